@@ -24,12 +24,6 @@ def may_contain_key(body: Column, keys: Sequence[str]) -> Column:
     return maybe
 
 
-def nesting_bound(body: Column) -> Column:
-    """No document nests deeper than it has opening brackets."""
-    openers = F.length(body) - F.length(F.translate(body, "[{", ""))
-    return F.least(openers, F.lit(PARSER_DEPTH))
-
-
 def _children(found: Column) -> Column:
     members = F.transform(
         F.map_entries(F.try_variant_get(found["node"], "$", "map<string,variant>")),
@@ -42,14 +36,15 @@ def _children(found: Column) -> Column:
     return F.coalesce(members, elements, F.array().cast(NODES))
 
 
-def find_nodes(name: Column, node: Column, key: str, depth: Column) -> Column:
-    """Values stored under ``key`` in ``node`` (itself stored under ``name``).
+def find_nodes(node: Column, key: str) -> Column:
+    """Values stored under ``key`` at any depth below ``node``.
 
-    Walks level by level with ``aggregate``, at most ``depth`` levels, all within
-    the row. It can go as deep as needed, but copies what lies below each level.
+    Walks level by level with ``aggregate``, all within the row. It goes as deep as
+    needed (a level takes two characters of text at least), but copies what lies
+    below each level.
     """
     nothing = F.array().cast(NODES)
-    root = F.array(F.struct(name.alias("key"), node.alias("node")))
+    root = F.array(F.struct(F.lit(None).cast("string").alias("key"), node.alias("node")))
     start = F.struct(root.alias("level"), nothing.alias("hits"))
 
     def descend(state: Column, _: Column) -> Column:
@@ -60,7 +55,8 @@ def find_nodes(name: Column, node: Column, key: str, depth: Column) -> Column:
         )
         return F.when(F.size(state["level"]) == 0, state).otherwise(deeper)
 
-    levels = F.sequence(F.lit(0), F.greatest(depth, F.lit(0)))
+    depth = F.least(F.length(F.to_json(node)) / 2, F.lit(PARSER_DEPTH)).cast("int")
+    levels = F.sequence(F.lit(0), depth + 1)
     return F.transform(
         F.aggregate(levels, start, descend, lambda state: state["hits"]), lambda e: e["node"]
     )

@@ -2,14 +2,18 @@
 
 Spark's Variant can be searched but not updated, and the places to change lie at
 any depth, so this one step is Python. Unchanged documents are not serialised
-again.
+again. The functions travel to the executors by value: this package need not be
+installed there.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator, Mapping
 
+from pyspark import cloudpickle
+
 # Document keys and type tags that mark the places to change.
 LINKED_SERVICE = "linkedService"
 ACTIVITIES = "activities"
@@ -19,6 +23,8 @@ LINKED_TYPES = {"DataWarehouse": "Warehouse", "Lakehouse": "Lakehouse"}
 
 PIPELINE_KEYS = (LINKED_SERVICE, ACTIVITIES, EXTERNAL_REFERENCES)
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Edits = Mapping[tuple[str, str], tuple[str, str | None]]
 Reference = tuple[str, str, dict, str]
 

@@ -12,9 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.functions import rewriting
 from lakemart.functions.arrays import any_differs, set_ids
-from lakemart.functions.definitions import find_nodes, may_contain_key, nesting_bound
+from lakemart.functions.definitions import find_nodes, may_contain_key
+from lakemart.functions.rewriting import (
+    PIPELINE_KEYS,
+    Edits,
+    edit_text,
+    references_in,
+    rewrite_notebook,
+    rewrite_pipeline,
+)
 from lakemart.functions.text import (
     Rule,
     base64_payload,
@@ -71,48 +78,39 @@ def find_key(
 ) -> DataFrame:
     """One row per value stored under ``key`` at any depth, matches inside matches too.
 
-    Every document is parsed once and taken apart level by level with generators,
-    in one stage without a shuffle. A level turns a node into its children; a node
-    that matches also stays as a settled row. Nodes left after ``levels`` levels
-    are searched to their end within the row, so no depth is cut off. The other
-    columns of ``docs`` are kept, the body is dropped; text that is not JSON gives
-    no rows (see :func:`malformed`).
+    Every document is parsed once and taken apart level by level with a generator,
+    in one stage without a shuffle. Matches found on the way ride along in an array,
+    on the first child of the node. Nodes left after ``levels`` levels are searched
+    to their end within the row, so no depth is cut off. The other columns of
+    ``docs`` are kept, the body is dropped; text that is not JSON gives no rows
+    (see :func:`malformed`).
     """
-    spark = docs.sparkSession
-    kept = [c for c in docs.columns if c != body]
+    kept = [_col(c) for c in docs.columns if c != body]
+    nothing = F.array().cast("array<variant>")
     found = docs.where(may_contain_key(_col(body), [key])).select(
-        *[_col(c) for c in kept],
-        nesting_bound(_col(body)).alias("_bound"),
-        F.lit(None).cast("string").alias("_name"),
+        *kept,
         F.try_parse_json(_col(body)).alias("_node"),
-        F.lit(False).alias("_settled"),
+        nothing.alias("_hits"),
     )
-    carried = [*[_col(c) for c in kept], F.col("_bound")]
     for _ in range(levels):
-        stay, go = F.lit(True), F.lit(False)
-        moves = (
-            F.when(F.col("_settled"), F.array(stay))
-            .when(F.col("_name") == key, F.array(stay, go))
-            .otherwise(F.array(go))
-        )
-        found = found.withColumn("_stay", F.explode(moves))
-        opened = F.when(~F.col("_stay").outer(), F.col("_node").outer())
-        child = spark.tvf.variant_explode_outer(opened).toDF("_pos", "_child_name", "_child")
+        children = docs.sparkSession.tvf.variant_explode_outer(F.col("_node").outer())
+        first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+        inherited = F.when(first, F.col("_hits")).otherwise(nothing)
         found = (
-            found.lateralJoin(child)
-            .where(F.col("_stay") | F.col("_child").isNotNull())
+            found.lateralJoin(children.toDF("_pos", "_name", "_child"))
             .select(
-                *carried,
-                F.when(F.col("_stay"), F.col("_name"))
-                .otherwise(F.col("_child_name"))
-                .alias("_name"),
-                F.when(F.col("_stay"), F.col("_node")).otherwise(F.col("_child")).alias("_node"),
-                F.col("_stay").alias("_settled"),
+                *kept,
+                F.col("_child").alias("_node"),
+                F.when(F.col("_name") == key, F.concat(inherited, F.array("_child")))
+                .otherwise(inherited)
+                .alias("_hits"),
             )
+            .where(F.col("_node").isNotNull() | (F.size("_hits") > 0))
         )
-    deeper = find_nodes(F.col("_name"), F.col("_node"), key, F.col("_bound") - F.lit(levels))
-    hits = F.when(F.col("_settled"), F.array(F.col("_node"))).otherwise(deeper)
-    return found.select(*[_col(c) for c in kept], F.explode(hits).alias(alias))
+    hits = F.when(F.col("_node").isNull(), F.col("_hits")).otherwise(
+        F.concat(F.col("_hits"), find_nodes(F.col("_node"), key))
+    )
+    return found.select(*kept, F.explode(hits).alias(alias))
 
 
 def malformed(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -231,11 +229,11 @@ def rewrite_pipelines(
     swaps = close_pairs(pairs)
     source = source_items.select("id", "display_name")
     edits = _item_edits(source, target_items, types)
-    candidate = F.when(may_contain_key(_col(body), rewriting.PIPELINE_KEYS), _col(body))
+    candidate = F.when(may_contain_key(_col(body), PIPELINE_KEYS), _col(body))
 
-    def edit(text: str | None, known: rewriting.Edits) -> dict:
-        return rewriting.edit_text(
-            text, lambda tree: rewriting.rewrite_pipeline(tree, workspace_id, wanted, known, swaps)
+    def edit(text: str | None, known: Edits) -> dict:
+        return edit_text(
+            text, lambda tree: rewrite_pipeline(tree, workspace_id, wanted, known, swaps)
         )
 
     if is_small(source, max_map_rows):
@@ -253,7 +251,7 @@ def rewrite_pipelines(
 
         @F.arrow_udf(REFERENCES)
         def references(bodies: pa.Array) -> pa.Array:
-            rows = [rewriting.references_in(b, workspace_id, wanted) for b in bodies.to_pylist()]
+            rows = [references_in(b, workspace_id, wanted) for b in bodies.to_pylist()]
             return pa.array(rows, _REFERENCES_ARROW)
 
         @F.arrow_udf(EDITED)
@@ -338,8 +336,8 @@ def repair_notebooks(
     def rewrite(bodies: pa.Array, lakehouses: pa.Array, warehouses: pa.Array) -> pa.Array:
         rows = []
         for text, lh, wh in zip(bodies.to_pylist(), lakehouses.to_pylist(), warehouses.to_pylist()):
-            edited = rewriting.edit_text(
-                text, lambda tree: (rewriting.rewrite_notebook(tree, workspace_id, lh, wh), [])
+            edited = edit_text(
+                text, lambda tree: (rewrite_notebook(tree, workspace_id, lh, wh), [])
             )
             rows.append(edited["body"])
         return pa.array(rows, pa.string())
