@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Mapping
 
+import pyarrow as pa
 from pyspark import cloudpickle
 
 # Document keys and type tags that mark the places to change.
@@ -25,20 +26,27 @@ PIPELINE_KEYS = (LINKED_SERVICE, ACTIVITIES, EXTERNAL_REFERENCES)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Edits = Mapping[tuple[str, str], tuple[str, str | None]]
 Reference = tuple[str, str, dict, str]
 
 
-def members(tree: object) -> Iterator[tuple[str, object]]:
-    """Every (key, value) of every object at any depth."""
+def find_members(tree: object, keys: Collection[str]) -> list[tuple[str, object]]:
+    """The (key, value) members of objects at any depth whose key is one of ``keys``."""
+    found: list[tuple[str, object]] = []
     waiting = [tree]
     while waiting:
         node = waiting.pop()
         if isinstance(node, dict):
-            yield from node.items()
-            waiting.extend(node.values())
+            for key, value in node.items():
+                if key in keys:
+                    found.append((key, value))
+                if isinstance(value, (dict, list)):
+                    waiting.append(value)
         elif isinstance(node, list):
             waiting.extend(node)
+    return found
 
 
 def _section(node: object, name: str) -> dict:
@@ -46,15 +54,18 @@ def _section(node: object, name: str) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-def item_references(tree: object, workspace: str, types: frozenset[str]) -> list[Reference]:
+def item_references(
+    places: list[tuple[str, object]], workspace: str, types: frozenset[str]
+) -> list[Reference]:
     """References to items outside ``workspace``: (item type, id, holder, field of the id)."""
     found: list[Reference] = []
 
     def add(kind: str | None, holder: dict, field: str) -> None:
-        if kind in types and isinstance(holder.get(field), str) and holder.get("workspaceId") != workspace:
-            found.append((kind, holder[field], holder, field))
+        if kind in types and holder.get("workspaceId") != workspace:
+            if isinstance(holder.get(field), str):
+                found.append((kind, holder[field], holder, field))
 
-    for key, value in members(tree):
+    for key, value in places:
         if key == LINKED_SERVICE:
             properties = _section(value, "properties")
             tag = properties.get("type")
@@ -72,10 +83,11 @@ def rewrite_pipeline(
 ) -> tuple[bool, list[str]]:
     """Point item references into ``workspace`` and swap connections; (changed, unresolved)."""
     changed = False
-    unresolved: list[str] = []
-    for kind, old, holder, field in item_references(tree, workspace, types):
+    unresolved: set[str] = set()
+    places = find_members(tree, PIPELINE_KEYS)
+    for kind, old, holder, field in item_references(places, workspace, types):
         if (kind, old) not in edits:
-            unresolved.append(f"{kind}:{old}")
+            unresolved.add(f"{kind}:{old}")
             continue
         new, endpoint = edits[kind, old]
         holder[field] = new
@@ -83,15 +95,13 @@ def rewrite_pipeline(
         if kind == "Warehouse" and endpoint is not None:
             holder["endpoint"] = endpoint
         changed = True
-    if swaps:
-        for key, value in members(tree):
-            if key == EXTERNAL_REFERENCES and isinstance(value, dict):
-                old = value.get("connection")
-                new = swaps.get(old, old) if isinstance(old, str) else old
-                if new != old:
-                    value["connection"] = new
-                    changed = True
-    return changed, sorted(set(unresolved))
+    for key, value in places:
+        if key == EXTERNAL_REFERENCES and isinstance(value, dict):
+            old = value.get("connection")
+            if isinstance(old, str) and swaps.get(old, old) != old:
+                value["connection"] = swaps[old]
+                changed = True
+    return changed, sorted(unresolved)
 
 
 def rewrite_notebook(
@@ -125,24 +135,39 @@ def rewrite_notebook(
     return changed
 
 
-def edit_text(body: str | None, edit: Callable[[object], tuple[bool, list[str]]]) -> dict:
-    """Parse, edit and serialise one document; the body is null when nothing changed."""
+Edited = tuple[str | None, list[str], str | None]
+
+
+def edit_text(body: str | None, edit: Callable[[object], tuple[bool, list[str]]]) -> Edited:
+    """Parse, edit and serialise a document: (text or null if unchanged, unresolved, error)."""
     if body is None:
-        return {"body": None, "unresolved": [], "error": None}
+        return None, [], None
     try:
         tree = json.loads(body)
         changed, unresolved = edit(tree)
-        text = json.dumps(tree) if changed else None
+        return json.dumps(tree) if changed else None, unresolved, None
     except (ValueError, RecursionError) as error:
-        return {"body": None, "unresolved": [], "error": type(error).__name__}
-    return {"body": text, "unresolved": unresolved, "error": None}
+        return None, [], type(error).__name__
 
 
 def references_in(body: str, workspace: str, types: frozenset[str]) -> list[dict]:
     """The distinct item references of one document; none when it is not JSON."""
     try:
-        found = item_references(json.loads(body), workspace, types)
+        places = find_members(json.loads(body), PIPELINE_KEYS)
     except (ValueError, RecursionError):
         return []
-    distinct = sorted({(kind, old) for kind, old, _, _ in found})
-    return [{"type": kind, "old_id": old} for kind, old in distinct]
+    found = {(kind, old) for kind, old, _, _ in item_references(places, workspace, types)}
+    return [{"type": kind, "old_id": old} for kind, old in sorted(found)]
+
+
+def edited_array(rows: list[Edited]) -> pa.Array:
+    """Results of :func:`edit_text` as an Arrow struct column."""
+    bodies, unresolved, errors = zip(*rows) if rows else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(bodies, pa.string()),
+            pa.array(unresolved, pa.list_(pa.string())),
+            pa.array(errors, pa.string()),
+        ],
+        ["body", "unresolved", "error"],
+    )

@@ -16,8 +16,10 @@ from lakemart.functions.arrays import any_differs, set_ids
 from lakemart.functions.definitions import find_nodes, may_contain_key
 from lakemart.functions.rewriting import (
     PIPELINE_KEYS,
+    Edited,
     Edits,
     edit_text,
+    edited_array,
     references_in,
     rewrite_notebook,
     rewrite_pipeline,
@@ -176,13 +178,6 @@ def resolve_pairs(
     return [(ids[old], ids[new]) for old, new in pairs]
 
 
-_EDITED_ARROW = pa.struct(
-    [
-        ("body", pa.string()),
-        ("unresolved", pa.list_(pa.string())),
-        ("error", pa.string()),
-    ]
-)
 _REFERENCES_ARROW = pa.list_(pa.struct([("type", pa.string()), ("old_id", pa.string())]))
 
 
@@ -231,20 +226,18 @@ def rewrite_pipelines(
     edits = _item_edits(source, target_items, types)
     candidate = F.when(may_contain_key(_col(body), PIPELINE_KEYS), _col(body))
 
-    def edit(text: str | None, known: Edits) -> dict:
+    def edit(text: str | None, known: Edits) -> Edited:
         return edit_text(
             text, lambda tree: rewrite_pipeline(tree, workspace_id, wanted, known, swaps)
         )
 
     if is_small(source, max_map_rows):
-        known_edits = {
-            (row["type"], row["old_id"]): (row["new_id"], row["endpoint"])
-            for row in edits.collect()
-        }
+        kinds, old_ids, new_ids, endpoints = (c.to_pylist() for c in edits.toArrow().columns)
+        known_edits = dict(zip(zip(kinds, old_ids), zip(new_ids, endpoints)))
 
         @F.arrow_udf(EDITED)
         def rewrite(bodies: pa.Array) -> pa.Array:
-            return pa.array([edit(text, known_edits) for text in bodies.to_pylist()], _EDITED_ARROW)
+            return edited_array([edit(text, known_edits) for text in bodies.to_pylist()])
 
         edited = docs.withColumn("_edited", rewrite(candidate))
     else:
@@ -262,16 +255,17 @@ def rewrite_pipelines(
                     (e["type"], e["old_id"]): (e["new_id"], e["endpoint"]) for e in entries or []
                 }
                 rows.append(edit(text, known))
-            return pa.array(rows, _EDITED_ARROW)
+            return edited_array(rows)
 
         uses = (
             docs.select(_col(key).alias("_doc"), candidate.alias("_body"))
             .where(F.col("_body").isNotNull())
             .select("_doc", F.inline(references(F.col("_body"))))
         )
-        # A document's own references are no more than its text holds.
+        # Neither side is known to be small, whatever the file sizes suggest: sort and
+        # merge. A document's own references are no more than its text holds.
         per_doc = (
-            uses.join(edits, ["type", "old_id"])
+            uses.join(edits.hint("merge"), ["type", "old_id"])
             .groupBy("_doc")
             .agg(F.collect_list(F.struct("type", "old_id", "new_id", "endpoint")).alias("_own"))
         )
@@ -336,10 +330,10 @@ def repair_notebooks(
     def rewrite(bodies: pa.Array, lakehouses: pa.Array, warehouses: pa.Array) -> pa.Array:
         rows = []
         for text, lh, wh in zip(bodies.to_pylist(), lakehouses.to_pylist(), warehouses.to_pylist()):
-            edited = edit_text(
+            new_text, _, _ = edit_text(
                 text, lambda tree: (rewrite_notebook(tree, workspace_id, lh, wh), [])
             )
-            rows.append(edited["body"])
+            rows.append(new_text)
         return pa.array(rows, pa.string())
 
     edited = items.withColumn(

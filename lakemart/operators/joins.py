@@ -22,15 +22,22 @@ MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 def first_match(
     catalog: DataFrame, keys: dict[str, Column], values: dict[str, Column], order: Sequence[Column]
 ) -> DataFrame:
-    """One row per key: the values of the row that comes first by ``order``."""
-    first = F.min_by(
-        F.struct(*[c.alias(n) for n, c in values.items()]), F.struct(*order)
-    ).alias("_first")
-    key_columns = [c.alias(n) for n, c in keys.items()]
+    """One row per key: the values of the row that comes first by ``order``.
+
+    Rows without an order are no candidates; equal ones are told apart by their values.
+    """
+    ranks = {f"_rank{i}": c for i, c in enumerate(order)}
+    rows = catalog.select(
+        F.xxhash64(*keys.values()).alias("_spread"),
+        *[c.alias(name) for name, c in {**keys, **ranks, **values}.items()],
+    )
+    for rank in ranks:
+        rows = rows.where(F.col(rank).isNotNull())
+    first = F.min(F.struct(*ranks, *values)).alias("_first")
     return (
-        catalog.groupBy(F.xxhash64(*keys.values()).alias("_spread"), *key_columns)
+        rows.groupBy("_spread", *keys)
         .agg(first)
-        .select(*keys, "_first.*")
+        .select(*keys, *[F.col(f"_first.{name}").alias(name) for name in values])
     )
 
 

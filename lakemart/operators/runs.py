@@ -28,6 +28,7 @@ def final_status(
     shuffle, so a job with very many polls is no problem.
     """
     last = F.col("last_status")
+    polled = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in ((ts, "t"), (poll, "p"), (status, "s"))])
     outcome = (
         F.when(last.isin(list(pending)), "pending")
         .when(last.isin(list(failed)), "failed")
@@ -35,10 +36,6 @@ def final_status(
     )
     return (
         log.groupBy(F.col(f"`{job}`"))
-        .agg(
-            F.max_by(F.col(f"`{status}`"), F.struct(F.col(f"`{ts}`"), F.col(f"`{poll}`"))).alias(
-                "last_status"
-            )
-        )
+        .agg(F.max(polled)["s"].alias("last_status"))
         .select(F.col(f"`{job}`"), "last_status", outcome.alias("outcome"))
     )
