@@ -1,0 +1,194 @@
+from __future__ import annotations
+
+import random
+import uuid
+
+import pytest
+
+from lakemart import operators as ops
+from lakemart.functions import is_uuid
+from pyspark.sql import functions as F
+
+from helpers import row_set, rows
+
+ITEMS = "id string, display_name string, type string"
+
+
+@pytest.fixture
+def items(spark):
+    data = [
+        ("i2", "bronze", "Lakehouse"),
+        ("i1", "bronze", "Lakehouse"),
+        ("i3", "bronze", "Warehouse"),
+        ("i4", "load", "Notebook"),
+        (None, "ghost", "Notebook"),
+        ("i9", "a.b", "Report"),
+    ]
+    return spark.createDataFrame(data, ITEMS)
+
+
+def test_in_scope_is_exact(items):
+    assert row_set(ops.in_scope(items, ["Notebook"]).select("id")) == [("i4",), (None,)]
+    assert row_set(ops.in_scope(items, ["notebook"])) == []
+
+
+def test_lookup_first_match_and_sentinel(spark, items):
+    wanted = spark.createDataFrame(
+        [("bronze", "Lakehouse"), ("bronze", "Warehouse"), ("none", "x"), ("ghost", "Notebook"), (None, None)],
+        "name string, kind string",
+    )
+    typed = ops.lookup(wanted, items, {"name": "display_name", "kind": "type"})
+    assert typed.columns == ["name", "kind", "id"]
+    assert row_set(typed) == sorted(
+        [
+            ("bronze", "Lakehouse", "i1"),
+            ("bronze", "Warehouse", "i3"),
+            ("none", "x", "NotExists"),
+            ("ghost", "Notebook", "NotExists"),
+            (None, None, "NotExists"),
+        ],
+        key=str,
+    )
+    by_name = ops.lookup(wanted.select("name").distinct(), items, {"name": "display_name"})
+    assert ("bronze", "i1") in rows(by_name)
+
+
+def test_lookup_in_empty_catalog(spark, items):
+    wanted = spark.createDataFrame([("bronze",)], "name string")
+    assert rows(ops.lookup(wanted, items.where("false"), {"name": "display_name"})) == [
+        ("bronze", "NotExists")
+    ]
+
+
+def test_lookup_other_value_and_order(spark):
+    capacities = spark.createDataFrame([("c1", "Active"), ("c2", "Paused")], "id string, state string")
+    wanted = spark.createDataFrame([("c2",), ("c3",)], "capacity string")
+    found = ops.lookup(wanted, capacities, {"capacity": "id"}, "state", default=None)
+    assert row_set(found) == [("c2", "Paused"), ("c3", None)]
+
+
+def test_rebind(spark):
+    source = spark.createDataFrame(
+        [("s1", "x", "Lakehouse"), ("s2", "y", "Lakehouse"), ("s3", "x", "Notebook")], ITEMS
+    )
+    target = spark.createDataFrame(
+        [("t2", "x", "Lakehouse"), ("t1", "x", "Lakehouse"), ("t3", "x", "Notebook")], ITEMS
+    )
+    refs = spark.createDataFrame([("s1",), ("s1",), ("s2",), ("s3",), ("zz",), (None,)], "ref string")
+    expected = [("s1", "t1"), ("s1", "t1"), ("s2", None), ("s3", "t3"), ("zz", None), (None, None)]
+    assert row_set(ops.rebind(refs, "ref", source, target)) == sorted(expected, key=str)
+
+
+def test_rebind_there_and_back_is_identity(spark):
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(50)]
+    source = spark.createDataFrame([(f"s{n}", n, "T") for n in names], ITEMS)
+    rng.shuffle(names)
+    target = spark.createDataFrame([(f"t{n}", n, "T") for n in names], ITEMS)
+    refs = spark.createDataFrame([(f"s{rng.choice(names)}",) for _ in range(200)], "ref string")
+    there = ops.rebind(refs, "ref", source, target, "there")
+    back = ops.rebind(there, "there", target, source, "back")
+    assert all(ref == home for ref, _, home in rows(back))
+
+
+def test_is_uuid_spellings(spark):
+    plain = str(uuid.UUID(int=2**127 + 12345))
+    yes = [
+        plain, plain.upper(), plain.replace("-", ""), "{" + plain + "}", "urn:uuid:" + plain,
+        "{{" + plain + "}", plain.replace("-", "")[:5] + "-" + plain.replace("-", "")[5:],
+    ]
+    no = ["", "bronze", plain[:-1], plain + "0", plain[:-1] + "g", plain + "\n", " " + plain, None]
+    df = spark.createDataFrame([(t,) for t in yes + no], "t string")
+    got = [r[0] for r in df.select(is_uuid(F.col("t"))).collect()]
+    assert got == [True] * len(yes) + [False] * len(no)
+    for text in yes:
+        uuid.UUID(text, version=4)
+
+
+def test_resolve_ref(spark):
+    id1 = "0" * 31 + "1"
+    connections = spark.createDataFrame([("c2", "main"), ("c1", "main"), ("c3", id1)], "id string, display_name string")
+    refs = spark.createDataFrame([("main",), (id1,), ("nobody",), (None,)], "ref string")
+    assert row_set(ops.resolve_ref(refs, "ref", connections)) == sorted(
+        [("main", "c1"), (id1, id1), ("nobody", None), (None, None)], key=str
+    )
+
+
+def test_resolve_tokens(spark, items):
+    tokens = spark.createDataFrame(
+        [
+            ("$items.Lakehouse.bronze.id",), ("$items.Report.a.b.id",), ("$items.Lakehouse.no.id",),
+            ("$workspace.id",), ("plain",), ("$items.Lakehouse.bronze",), (None,),
+        ],
+        "token string",
+    )
+    assert row_set(ops.resolve_tokens(tokens, "token", items, "w1")) == sorted(
+        [
+            ("$items.Lakehouse.bronze.id", "i1"),
+            ("$items.Report.a.b.id", "i9"),
+            ("$items.Lakehouse.no.id", None),
+            ("$workspace.id", "w1"),
+            ("plain", "plain"),
+            ("$items.Lakehouse.bronze", "$items.Lakehouse.bronze"),
+            (None, None),
+        ],
+        key=str,
+    )
+
+
+def test_resolve_tokens_with_workspace_column(spark, items):
+    tokens = spark.createDataFrame([("$workspace.id", "w7")], "token string, ws string")
+    assert rows(ops.resolve_tokens(tokens, "token", items, F.col("ws"))) == [
+        ("$workspace.id", "w7", "w7")
+    ]
+
+
+def test_resolve_rules(items):
+    rules = [
+        ("x", {"dev": "$items.Lakehouse.bronze.id", "prod": "$workspace.id"}),
+        ("y", {"dev": "plain"}),
+    ]
+    assert ops.resolve_rules(rules, items, "w1") == [
+        ("x", {"dev": "i1", "prod": "w1"}),
+        ("y", {"dev": "plain"}),
+    ]
+    with pytest.raises(ValueError, match="no such item"):
+        ops.resolve_rules([("x", {"dev": "$items.Lakehouse.none.id"})], items, "w1")
+
+
+def test_report_model(spark):
+    reports = spark.createDataFrame(
+        [("r1", "d1"), ("r2", "d1"), ("r3", "gone"), ("r4", None)], "name string, dataset_id string"
+    )
+    models = spark.createDataFrame([("d1", "health"), ("d2", "other")], "dataset_id string, dataset_name string")
+    assert row_set(ops.report_model(reports, models)) == [("r1", "d1", "health"), ("r2", "d1", "health")]
+    assert row_set(ops.report_without_model(reports, models)) == [("r3", "gone"), ("r4", None)]
+
+
+def test_exclude(spark, items):
+    default = spark.createDataFrame([("bronze", "Warehouse")], "display_name string, type string")
+    kept = ops.exclude(items, default, on=["display_name", "type"])
+    assert "i3" not in [r["id"] for r in kept.collect()]
+    assert kept.count() == 5
+
+
+def test_publish_and_orphans_leave_the_source_and_what_is_out_of_scope(spark):
+    rng = random.Random(11)
+
+    def sample(side, n):
+        keys = {(rng.choice("ABC"), f"n{rng.randrange(30)}") for _ in range(n)}
+        return spark.createDataFrame([(t, d, side) for t, d in sorted(keys)], "type string, display_name string, origin string")
+
+    source, target, scope = sample("source", 40), sample("target", 40), ["A", "B"]
+    published = ops.publish(source, target, types=scope)
+    gone = ops.orphans(published, source, types=scope)
+    left = {tuple(r) for r in rows(published)} - {tuple(r) for r in rows(gone)}
+    expected = {r for r in rows(source) if r[0] in scope} | {r for r in rows(target) if r[0] not in scope}
+    assert left == expected
+    assert len(rows(published)) == len({r[:2] for r in rows(published)})
+
+
+def test_orphans_without_scope(spark):
+    target = spark.createDataFrame([("A", "x"), ("B", "y")], "type string, display_name string")
+    source = spark.createDataFrame([("A", "x")], "type string, display_name string")
+    assert rows(ops.orphans(target, source)) == [("B", "y")]
