@@ -8,10 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The two logical types of a model and their Spark types.
 TYPES = {"int64": "bigint", "double": "double"}
 
+# Text that can be an integer at all; the ends are what a cast trims.
+INTEGER_TEXT = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*\z"
+
 # The default aggregations a column may declare.
 SUMMARIZE_BY = ("none", "sum")
 
@@ -54,12 +58,22 @@ class Model:
 
 
 def view(df: DataFrame, model: Model) -> DataFrame:
-    """Project ``df`` to the model's columns; anything not listed stays invisible."""
+    """Project ``df`` to the model's columns; anything not listed stays invisible.
+
+    A failing cast is an exception inside Spark even where it gives null, so text
+    that cannot be an integer is sorted out before: dirty columns cost no more
+    than clean ones.
+    """
+    texts = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
 
     def project(c: Column) -> SparkColumn:
         source = F.col(f"`{c.source}`")
-        cast = source.try_cast if model.errors_as_null else source.cast
-        return cast(TYPES[c.data_type]).alias(c.name)
+        if not model.errors_as_null:
+            return source.cast(TYPES[c.data_type]).alias(c.name)
+        value = source.try_cast(TYPES[c.data_type])
+        if c.source in texts and c.data_type == "int64":
+            value = F.when(source.rlike(INTEGER_TEXT), value)
+        return value.alias(c.name)
 
     return df.select(*[project(c) for c in model.columns])
 

@@ -34,4 +34,4 @@ def small_dir():
 
 @pytest.fixture(scope="session")
 def oracle_dir():
-    return f"{TESTDATA}/sf0.01"
+    return f"{TESTDATA}/{os.environ.get('ORACLE_SF', 'sf0.01')}"

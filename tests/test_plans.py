@@ -60,6 +60,15 @@ def test_health_view(spark):
     assert [r[0] for r in rows(view)] == [59, 48, None]
 
 
+def test_view_of_text_equals_try_cast(spark):
+    texts = ["1", " 7 ", "\t-3\n", "+4", "2.9", "", " ", "x", "1-URGENT", "1 2", "--1", "1e3", "\u00a05",
+             "9223372036854775807", "9223372036854775808", "0x1", "\u0661", None, "1\n", "\x7f8", "+", "1L"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    model = plans.Model("m", (plans.Column("n", "t", "int64"), plans.Column("d", "t", "double")))
+    expected = rows(df.selectExpr("try_cast(t AS bigint)", "try_cast(t AS double)"))
+    assert str(rows(plans.view(df, model))) == str(expected)
+
+
 def test_view_can_raise_instead_of_null(spark):
     strict = plans.Model("m", (plans.Column("Age", "AGE", "int64"),), errors_as_null=False)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
