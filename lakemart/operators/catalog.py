@@ -90,7 +90,7 @@ def rebind(
     """
     source = source_items.select("id", *by)
     mapping = rebind_map(source, target_items.select("id", *by), by)
-    if is_small(source):
+    if is_small(source) and is_small(mapping):
         mapping = F.broadcast(mapping)
     return df.join(mapping, _col(column) == F.col("old_id"), "left").select(
         *[_col(c) for c in df.columns], F.col("new_id").alias(alias)

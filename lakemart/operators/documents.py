@@ -84,8 +84,8 @@ def find_key(
     in one stage without a shuffle. Matches found on the way ride along in an array,
     on the first child of the node. Nodes left after ``levels`` levels are searched
     to their end within the row, so no depth is cut off. The other columns of
-    ``docs`` are kept, the body is dropped; text that is not JSON gives no rows
-    (see :func:`malformed`).
+    ``docs`` travel along (select those needed first), the body is dropped; text that
+    is not JSON gives no rows (see :func:`malformed`).
     """
     kept = [_col(c) for c in docs.columns if c != body]
     nothing = F.array().cast("array<variant>")
@@ -149,6 +149,8 @@ def swap(
     if len(closed) <= MAX_CASE_PAIRS:
         return df.withColumn(alias or column, swap_values(_col(column), closed))
     mapping = df.sparkSession.createDataFrame(list(closed.items()), "_from string, _to string")
+    if is_small(mapping):
+        mapping = F.broadcast(mapping)
     joined = df.join(mapping, _col(column) == F.col("_from"), "left")
     swapped = F.coalesce(F.col("_to"), _col(column))
     return joined.withColumn(alias or column, swapped).drop("_from", "_to")
@@ -231,7 +233,7 @@ def rewrite_pipelines(
             text, lambda tree: rewrite_pipeline(tree, workspace_id, wanted, known, swaps)
         )
 
-    if is_small(source, max_map_rows):
+    if is_small(source, max_map_rows) and is_small(edits, max_map_rows * len(types)):
         kinds, old_ids, new_ids, endpoints = (c.to_pylist() for c in edits.toArrow().columns)
         known_edits = dict(zip(zip(kinds, old_ids), zip(new_ids, endpoints)))
 

@@ -255,6 +255,26 @@ def d20_sum_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("category", F.round("sum_measure", 2).alias("sum_measure"))
 
 
+@query(
+    "d22_blank_groups",
+    """
+    SELECT category, round(sum(measure), 2) AS sum_measure
+    FROM (SELECT nullif(l_linenumber, 3) AS category,
+                 CASE WHEN l_linenumber <> 5 AND l_tax > 0 THEN l_quantity END AS measure
+          FROM lineitem)
+    GROUP BY category HAVING sum(measure) IS NOT NULL
+    """,
+)
+def d22_blank_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.nullif(number, F.lit(3)).alias("category"),
+        F.when((number != 5) & (F.col("l_tax") > 0), F.col("l_quantity")).alias("measure"),
+    )
+    sums = plans.sum_by_category(lines, "category", "measure", measure_name="sum_measure")
+    return sums.select("category", F.round("sum_measure", 2).alias("sum_measure"))
+
+
 @query(
     "d24_cross_filter",
     """
@@ -592,6 +612,23 @@ def r05_find_event_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.to_json("value").alias("found"))
 
 
+@query(
+    "r05_malformed",
+    """
+    SELECT event_id, body
+    FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN '[' || props ELSE props END AS body
+          FROM events)
+    WHERE NOT json_valid(body)
+    """,
+)
+def r05_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.when(F.col("event_type") == "error", _text("[", F.col("props")))
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.coalesce(broken, F.col("props")).alias("body")
+    )
+    return ops.malformed(events)
+
+
 def pipeline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pipeline definition per order: a copy sink, a notebook activity and a connection."""
     kind = (
@@ -832,6 +869,31 @@ def r09_swap_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.swap(orders, "swapped", [(str(i), str(i + 1)) for i in range(60)])
 
 
+@query(
+    "r09_swap_by_name",
+    """
+    SELECT l_orderkey, l_linenumber,
+           md5(CAST(CASE l_suppkey WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 5 THEN 6
+                                   ELSE l_suppkey END AS VARCHAR)) AS connection
+    FROM lineitem
+    """,
+)
+def r09_swap_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(key: Column) -> Column:
+        return F.md5(key.cast("string").cast("binary"))
+
+    connections = table(spark, sf_dir, "supplier").select(
+        digest(F.col("s_suppkey")).alias("connection_id"), F.col("s_name").alias("connection_name")
+    )
+    named = [f"Supplier#{number:09d}" for number in (1, 2, 3, 5, 6)]
+    one, two, three, five, six = named
+    pairs = ops.resolve_pairs([(one, two), (two, three), (five, six)], connections)
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", digest(F.col("l_suppkey")).alias("connection")
+    )
+    return ops.swap(lines, "connection", pairs)
+
+
 @query(
     "r13_package",
     """

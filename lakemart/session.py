@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# A JSON object with a key twice keeps the last value instead of being refused.
 # Adaptive execution re-plans joins from measured sizes and splits hot join
 # partitions; the forced variant also splits when a later step reuses the keys.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

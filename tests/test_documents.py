@@ -73,6 +73,11 @@ def test_find_key_ignores_what_is_not_json(spark):
     assert [r[0] for r in row_set(ops.malformed(docs).select("doc_id"))] == [0, 1, 3]
 
 
+def test_find_key_takes_the_last_of_a_repeated_key(spark):
+    body = '{"ref": 1, "x": {"a": 1, "a": {"ref": 2}}, "ref": 3}'
+    assert searched(frame(spark, [body]), "ref") == [(0, "2"), (0, "3")]
+
+
 def test_find_key_with_escaped_spelling(spark):
     assert searched(frame(spark, ['{"\\u0072ef": 1}']), "ref") == [(0, "1")]
 
