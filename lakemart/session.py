@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -33,6 +34,11 @@ def get_session(app_name: str = "lakemart", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="lakemart-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
@@ -40,9 +46,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     the executors would each see their own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
+    if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="lakemart-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _local_scratch()
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
