@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from lakemart import operators as ops
 from lakemart import plans, sources
+from lakemart.functions.rewriting import NOTEBOOK_ACTIVITY
 from lakemart.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -650,7 +651,7 @@ def pipeline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("o_orderpriority").alias("connection")).alias("externalReferences"),
     )
     notebook = F.struct(
-        F.lit("TridentNotebook").alias("type"),
+        F.lit(NOTEBOOK_ACTIVITY).alias("type"),
         F.struct(
             _text("item-", F.col("o_orderkey") % 100).alias("notebookId"),
             F.lit("ws-1").alias("workspaceId"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemart import operators as ops
 from lakemart.functions import close_pairs
+from lakemart.functions.rewriting import NOTEBOOK_ACTIVITY
 
 from helpers import row_set, rows
 
@@ -178,7 +179,8 @@ def linked(kind, artifact, workspace, **more):
 
 
 def notebook(item, workspace):
-    return {"type": "TridentNotebook", "typeProperties": {"notebookId": item, "workspaceId": workspace}}
+    fields = {"notebookId": item, "workspaceId": workspace}
+    return {"type": NOTEBOOK_ACTIVITY, "typeProperties": fields}
 
 
 @pytest.fixture
