@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,14 +15,15 @@ PARSER_DEPTH = 1000
 NODES = "array<struct<key:string,node:variant>>"
 
 
-def may_contain_key(body: Column, keys: Sequence[str]) -> Column:
-    """A cheap test that never misses a document with one of the keys.
+def may_contain(body: Column, *groups: Sequence[str]) -> Column:
+    """A cheap test that never misses a document with all keys of one of the groups.
 
     A key can be spelled with escapes, so any backslash also counts as a maybe.
     """
     maybe = body.contains("\\")
-    for key in keys:
-        maybe = maybe | body.contains(f'"{key}"')
+    for keys in groups:
+        every = [body.contains(f'"{key}"') for key in keys]
+        maybe = maybe | reduce(and_, every)
     return maybe
 
 

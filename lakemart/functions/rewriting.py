@@ -19,11 +19,18 @@ from pyspark import cloudpickle
 LINKED_SERVICE = "linkedService"
 ACTIVITIES = "activities"
 EXTERNAL_REFERENCES = "externalReferences"
+ARTIFACT_ID = "artifactId"
+NOTEBOOK_ID = "notebookId"
+CONNECTION = "connection"
 NOTEBOOK_ACTIVITY = "TridentNotebook"
 LINKED_TYPES = {"DataWarehouse": "Warehouse", "Lakehouse": "Lakehouse"}
 
 PIPELINE_KEYS = (LINKED_SERVICE, ACTIVITIES, EXTERNAL_REFERENCES)
 
+# What a document must contain for something to be rewritten: items, connections.
+ITEM_KEYS = ((LINKED_SERVICE, ARTIFACT_ID), (ACTIVITIES, NOTEBOOK_ID))
+CONNECTION_KEYS = ((EXTERNAL_REFERENCES, CONNECTION),)
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,11 +77,11 @@ def item_references(
             properties = _section(value, "properties")
             tag = properties.get("type")
             kind = LINKED_TYPES.get(tag) if isinstance(tag, str) else None
-            add(kind, _section(properties, "typeProperties"), "artifactId")
+            add(kind, _section(properties, "typeProperties"), ARTIFACT_ID)
         elif key == ACTIVITIES and isinstance(value, list):
             for activity in value:
                 if isinstance(activity, dict) and activity.get("type") == NOTEBOOK_ACTIVITY:
-                    add("Notebook", _section(activity, "typeProperties"), "notebookId")
+                    add("Notebook", _section(activity, "typeProperties"), NOTEBOOK_ID)
     return found
 
 
@@ -97,9 +104,9 @@ def rewrite_pipeline(
         changed = True
     for key, value in places:
         if key == EXTERNAL_REFERENCES and isinstance(value, dict):
-            old = value.get("connection")
+            old = value.get(CONNECTION)
             if isinstance(old, str) and swaps.get(old, old) != old:
-                value["connection"] = swaps[old]
+                value[CONNECTION] = swaps[old]
                 changed = True
     return changed, sorted(unresolved)
 

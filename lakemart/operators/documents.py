@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemart.functions.arrays import any_differs, set_ids
-from lakemart.functions.definitions import find_nodes, may_contain_key
+from lakemart.functions.definitions import find_nodes, may_contain
 from lakemart.functions.rewriting import (
-    PIPELINE_KEYS,
+    CONNECTION_KEYS,
+    ITEM_KEYS,
     Edited,
     Edits,
     edit_text,
@@ -89,7 +90,7 @@ def find_key(
     """
     kept = [_col(c) for c in docs.columns if c != body]
     nothing = F.array().cast("array<variant>")
-    found = docs.where(may_contain_key(_col(body), [key])).select(
+    found = docs.where(may_contain(_col(body), [key])).select(
         *kept,
         F.try_parse_json(_col(body)).alias("_node"),
         nothing.alias("_hits"),
@@ -216,7 +217,8 @@ def rewrite_pipelines(
     the id of the target item of the same name (warehouses their endpoint too), and
     external connections are swapped by the ordered ``pairs``. Source ids are unique.
     Adds ``new_body`` (the old text where nothing changed), ``changed``,
-    ``unresolved`` (type:id of items without a counterpart, left alone) and ``error``.
+    ``unresolved`` (type:id of items without a counterpart, left alone) and ``error``
+    (of a document that names something to rewrite, but is not JSON).
 
     A source catalog measured to be within ``max_map_rows`` travels with the UDF, and
     the documents are read in a single stage. A larger one stays distributed: ids
@@ -226,7 +228,8 @@ def rewrite_pipelines(
     swaps = close_pairs(pairs)
     source = source_items.select("id", "display_name")
     edits = _item_edits(source, target_items, types)
-    candidate = F.when(may_contain_key(_col(body), PIPELINE_KEYS), _col(body))
+    groups = (*ITEM_KEYS, *CONNECTION_KEYS) if swaps else ITEM_KEYS
+    candidate = F.when(may_contain(_col(body), *groups), _col(body))
 
     def edit(text: str | None, known: Edits) -> Edited:
         return edit_text(

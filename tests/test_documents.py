@@ -230,7 +230,8 @@ PIPELINES = [
 
 @pytest.mark.parametrize("max_map_rows", [100_000, 0])
 def test_rewrite_pipelines(spark, catalogs, max_map_rows):
-    docs = frame(spark, [*PIPELINES, '{"linkedService":', None])
+    broken = '{"linkedService": {"artifactId":'
+    docs = frame(spark, [*PIPELINES, broken, None])
     got = ops.rewrite_pipelines(
         docs, *catalogs, "w-tgt", [("A", "B"), ("B", "C")], max_map_rows=max_map_rows
     )
@@ -252,7 +253,7 @@ def test_rewrite_pipelines(spark, catalogs, max_map_rows):
     assert [result[i]["changed"] for i in range(8)] == [True, True, False, False, True, False, False, False]
     for i in (2, 3, 5):
         assert result[i]["new_body"] == json.dumps(PIPELINES[i])
-    assert result[6]["error"] == "JSONDecodeError" and result[6]["new_body"] == '{"linkedService":'
+    assert result[6]["error"] == "JSONDecodeError" and result[6]["new_body"] == broken
     assert result[7]["new_body"] is None
 
 
@@ -272,6 +273,12 @@ def test_rewriting_twice_changes_nothing_more(spark, catalogs):
     assert again.where("changed").count() == 0
 
 
+def test_rewriting_sees_escaped_keys(spark, catalogs):
+    body = json.dumps(linked("Lakehouse", "s-lake", "w-src")).replace("artifactId", "artifact\\u0049d")
+    got = ops.rewrite_pipelines(frame(spark, [body]), *catalogs, "w-tgt").first()
+    assert json.loads(got["new_body"]) == linked("Lakehouse", "t-lake", "w-tgt")
+
+
 def test_rewritten_keeps_key_order_and_unicode(spark, catalogs):
     doc = {"z": 1, "a": "é", **linked("Lakehouse", "s-lake", "w-src"), "n": 12345678901234567890}
     got = ops.rewrite_pipelines(frame(spark, [doc]), *catalogs, "w-tgt").first()["new_body"]
