@@ -61,7 +61,7 @@ def lookup(
 def rebind_map(
     source_items: DataFrame, target_items: DataFrame, by: Sequence[str] = ("display_name", "type")
 ) -> DataFrame:
-    """(old_id, new_id): items of the same ``by`` columns in source and target."""
+    """(old_id, new_id), one row per id: items of the same ``by`` columns in source and target."""
     target = first_match(
         target_items,
         keys={f"_by{i}": _col(c) for i, c in enumerate(by)},
@@ -69,9 +69,12 @@ def rebind_map(
         order=[_col("id")],
     )
     condition = [_col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
-    return source_items.join(target, condition, "inner").select(
+    paired = source_items.join(target, condition, "inner").select(
         _col("id").alias("old_id"), F.col("new_id")
     )
+    return first_match(
+        paired, {"old_id": F.col("old_id")}, {"new_id": F.col("new_id")}, [F.col("new_id")]
+    )
 
 
 def rebind(
@@ -84,9 +87,9 @@ def rebind(
 ) -> DataFrame:
     """Translate an id to the id of the item of the same name and type in the target.
 
-    Source ids are unique. Ids that cannot be translated give null. The two
-    catalogs are joined to each other first, so ``df`` takes part in one join
-    only; its other side is broadcast when it was measured to be small.
+    Ids that cannot be translated give null. The two catalogs are joined to each
+    other first, so ``df`` takes part in one join only; its other side is broadcast
+    when it was measured to be small.
     """
     source = source_items.select("id", *by)
     mapping = rebind_map(source, target_items.select("id", *by), by)

@@ -215,8 +215,7 @@ def rewrite_pipelines(
 
     At any depth: linked services and notebook activities outside the workspace get
     the id of the target item of the same name (warehouses their endpoint too), and
-    external connections are swapped by the ordered ``pairs``. Source ids are unique.
-    Adds ``new_body`` (the old text where nothing changed), ``changed``,
+    external connections are swapped by the ordered ``pairs``. Adds ``new_body`` (the old text where nothing changed), ``changed``,
     ``unresolved`` (type:id of items without a counterpart, left alone) and ``error``
     (of a document that names something to rewrite, but is not JSON).
 

@@ -69,8 +69,12 @@ def test_lookup_other_value_and_order(spark):
 
 def test_rebind(spark):
     source = spark.createDataFrame(
-        [("s1", "x", "Lakehouse"), ("s2", "y", "Lakehouse"), ("s3", "x", "Notebook")], ITEMS
-    )
+        [
+            ("s1", "x", "Lakehouse"), ("s2", "y", "Lakehouse"), ("s3", "x", "Notebook"),
+            ("s1", "x", "Lakehouse"),
+        ],
+        ITEMS,
+    )
     target = spark.createDataFrame(
         [("t2", "x", "Lakehouse"), ("t1", "x", "Lakehouse"), ("t3", "x", "Notebook")], ITEMS
     )
