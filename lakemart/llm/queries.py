@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemart.llm import quality, simhash
+from lakemart.llm import quality, simhash, substrings
 from lakemart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,43 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_substring_dedup",
+    r"""
+    WITH words AS (
+        SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word
+        FROM (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        )
+    ), windows AS (
+        SELECT doc_id, i, string_agg(word, ' ') OVER w AS seq, count(*) OVER w AS n
+        FROM words
+        WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+    ), later AS (
+        SELECT doc_id, i FROM (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) AS r
+            FROM windows WHERE n = 20
+        ) WHERE r > 1
+    ), judged AS (
+        SELECT w.doc_id, w.i, w.word, max(l.i) OVER (
+            PARTITION BY w.doc_id ORDER BY w.i ROWS UNBOUNDED PRECEDING
+        ) AS last_start
+        FROM words w LEFT JOIN later l ON w.doc_id = l.doc_id AND w.i = l.i
+    ), totals AS (
+        SELECT doc_id, count(*) AS n_words,
+            count(*) FILTER (WHERE last_start > i - 20) AS n_removed,
+            string_agg(word, ' ' ORDER BY i) FILTER (WHERE last_start IS NULL OR last_start <= i - 20) AS kept
+        FROM judged GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+        sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN totals t ON d.doc_id = t.doc_id
+    """,
+)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substrings.remove_repeats(docs)
+    return cut.select("doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256")
