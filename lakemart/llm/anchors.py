@@ -14,10 +14,14 @@ The way from documents to repeated anchors and back:
    are known to be repeated, and of each of them one entry represents all;
 2. entries go to a shard by hash, which decides which anchors are repeated;
 3. their places go back to the documents, keyed by a 64-bit document key. Two
-   documents with one key would only make more candidates.
+   documents with one key would only make more candidates;
+4. runs of consecutive windows with one anchor go to the shard of the anchor, where
+   equal windows meet and are compared exactly. An anchor with more than ``crowd``
+   occurrences would gather too much in one shard, so its windows are dealt one by one;
+5. what a shard decides goes back to the documents in the same way.
 
 A hash that a third of all documents share so reaches its shard once per task and
-:data:`HELD` entries.
+:data:`HELD` entries. Entries travel packed, a row for each sender and receiver.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, col, fresh, shuffle_partitions
+from lakemart.llm.common import by_value, col, fresh, shuffle_partitions, written
 
 by_value(__name__)
 
@@ -92,11 +96,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Units:
-    """What windows are made of: ``read`` gives a text's units as uint64 values."""
+    """What windows are made of.
+
+    ``read`` gives a text's units as an array of integers, ``values`` turns units into
+    well mixed uint64 values (when they aren't already).
+    """
 
     read: Callable[[str | None], np.ndarray]
     window: int
     gram: int
+    values: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 @dataclass
@@ -130,10 +139,11 @@ def pieces(rows: Iterator[tuple[int, np.ndarray]], window: int) -> Iterator[list
 
 @dataclass
 class Windows:
-    """All windows of some pieces: per window the batch row, the start within the
-    document, the anchor's start within the document, and the anchor's hash."""
+    """All windows of some pieces: per window the place among the units, the batch row,
+    the start within the document, the anchor's start there, and the anchor's hash."""
 
     units: np.ndarray
+    values: np.ndarray
     at: np.ndarray
     row: np.ndarray
     start: np.ndarray
@@ -141,11 +151,13 @@ class Windows:
     hash: np.ndarray
 
 
-def windows(group: list[Piece], window: int, gram: int) -> Windows:
+def windows(group: list[Piece], kind: Units) -> Windows:
+    window, gram = kind.window, kind.gram
     units = np.concatenate([p.units for p in group])
+    values = kind.values(units) if kind.values else units
     lengths = np.array([len(p.units) for p in group])
     ends = np.cumsum(lengths)
-    grams = mix(rolled(units, gram))
+    grams = mix(rolled(values, gram))
     placed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_min(placed, window - gram + 1) & _PLACE).astype(np.int64)
     end = np.repeat(ends, lengths)[: len(anchor)]
@@ -153,9 +165,8 @@ def windows(group: list[Piece], window: int, gram: int) -> Windows:
     piece = np.repeat(np.arange(len(group)), lengths)[at]
     shift = np.array([p.base for p in group])[piece] - (ends - lengths)[piece]
     anchor = anchor[at]
-    return Windows(
-        units, at, np.array([p.row for p in group])[piece], at + shift, anchor + shift, grams[anchor]
-    )
+    row = np.array([p.row for p in group])[piece]
+    return Windows(units, values, at, row, at + shift, anchor + shift, grams[anchor])
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -171,8 +182,10 @@ def by_key(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(keys[a]), slice(a, b)
 
 
-def dealt(shards: np.ndarray, known: bool, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row per shard: its entries, a binary value per column."""
+def dealt(
+    shards: np.ndarray, known: bool, columns: dict[str, np.ndarray], texts: list[bytes] | None = None
+) -> Iterator[pa.RecordBatch]:
+    """One row per shard: its entries, a binary value per column; ``texts`` are joined."""
     order = np.argsort(shards, kind="stable")
     shards = shards[order]
     columns = {name: c[order] for name, c in columns.items()}
@@ -180,13 +193,20 @@ def dealt(shards: np.ndarray, known: bool, columns: dict[str, np.ndarray]) -> It
     if runs:
         arrays = [pa.array([s for s, _ in runs], pa.int32()), pa.array([known] * len(runs))]
         arrays += [pa.array([c[at].tobytes() for _, at in runs], pa.binary()) for c in columns.values()]
-        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "known", *columns])
+        names = ["shard", "known", *columns]
+        if texts is not None:
+            joined = [b"".join([texts[i] for i in order[at]]) for _, at in runs]
+            arrays, names = [*arrays, pa.array(joined, pa.binary())], [*names, "content"]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def gathered(
     batches: Iterator[pa.RecordBatch], dtypes: dict[str, type]
 ) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """All entries of a shard's rows by column: (known ones, open ones)."""
+    """All entries of a shard's rows by column: (known ones, open ones).
+
+    What shards receive grows with the corpus over ``spark.sql.shuffle.partitions``.
+    """
     found: dict[bool, dict[str, list[bytes]]] = {k: {name: [] for name in dtypes} for k in (True, False)}
     for batch in batches:
         for known, *values in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
@@ -207,10 +227,20 @@ def runs_of(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+def apart(keys: np.ndarray, columns: dict[str, np.ndarray], shards: int, known: bool = True):
+    """Deal entries by their document key."""
+    yield from dealt(shard_of(keys.view(np.uint64), shards), known, columns)
+
+
 Decide = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
-_ANCHOR = {"hash": np.uint64, "key": np.int64, "place": np.int32, "more": np.uint8}
-_ANCHOR_TYPE = "shard int, known boolean, hash binary, key binary, place binary, more binary"
+_ANCHOR = {"hash": np.uint64, "key": np.int64, "place": np.int32, "more": np.uint32}
+_PLACE_OF = {"key": np.int64, "place": np.int32}
+_RUN = {"key": np.int64, "id": np.int64, "start": np.int32, "count": np.int32}
+
+
+def packed_type(dtypes: dict[str, type]) -> str:
+    return "shard int, known boolean, " + ", ".join(f"{name} binary" for name in dtypes)
 
 
 def _flushed(hash_: np.ndarray, key: np.ndarray, place: np.ndarray, across: bool, shards: int):
@@ -226,20 +256,31 @@ def _flushed(hash_: np.ndarray, key: np.ndarray, place: np.ndarray, across: bool
     else:
         repeated = size > 1
     here = repeated[run]
-    none = np.zeros(len(hash_), np.uint8)
-    settled = {"hash": hash_[here], "key": key[here], "place": place[here], "more": none[here]}
-    yield from dealt(shard_of(settled["key"].view(np.uint64), shards), True, settled)
+    settled = {"hash": hash_[here], "key": key[here], "place": place[here]}
+    settled["more"] = np.zeros(len(settled["key"]), np.uint32)
+    yield from apart(settled["key"], settled, shards)
     ask = ~here | first
-    asked = {"hash": hash_[ask], "key": key[ask], "place": place[ask], "more": here[ask].astype(np.uint8)}
+    more = np.where(here, size[run], 0).astype(np.uint32)
+    asked = {"hash": hash_[ask], "key": key[ask], "place": place[ask], "more": more[ask]}
     yield from dealt(shard_of(asked["hash"], shards), False, asked)
 
 
-def repeated_anchors(docs: DataFrame, key: str, text: str, kind: Units, across: bool, decide: Decide) -> DataFrame:
-    """(key, places): where in which document an anchor is found that ``decide`` calls repeated.
+def repeated_anchors(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    kind: Units,
+    across: bool,
+    decide: Decide,
+    crowd: int,
+) -> tuple[DataFrame, np.ndarray]:
+    """Where anchors are that ``decide`` calls repeated, and the hashes of crowded ones.
 
     ``across`` asks for repeats in different documents. ``decide`` gets a shard's entries
-    (hash, document key, whether the entry stands for several) and marks the repeated ones.
-    ``places`` packs 32-bit starts of grams; a document can have several rows.
+    (hash, document key, how many occurrences the entry stands for if not for one) and
+    marks the repeated ones. The frame has a row (key, places) per document with such
+    anchors; ``places`` packs 32-bit starts. The hashes are those with more than
+    ``crowd`` occurrences: at most one in ``crowd`` anchors, so they may reach the driver.
     """
     shards = shuffle_partitions(docs.sparkSession)
 
@@ -250,7 +291,7 @@ def repeated_anchors(docs: DataFrame, key: str, text: str, kind: Units, across:
             keys, texts = batch.column(0).to_numpy(), batch.column(1)
             rows = ((i, kind.read(t.as_py())) for i, t in enumerate(texts))
             for group in pieces(rows, kind.window):
-                w = windows(group, kind.window, kind.gram)
+                w = windows(group, kind)
                 new = np.r_[True, (w.row[1:] != w.row[:-1]) | (w.anchor[1:] != w.anchor[:-1])]
                 held.append((w.hash[new], keys[w.row[new]], w.anchor[new].astype(np.int32)))
                 size += int(new.sum())
@@ -263,20 +304,34 @@ def repeated_anchors(docs: DataFrame, key: str, text: str, kind: Units, across:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, open_ = gathered(batches, _ANCHOR)
         hit = decide(open_["hash"], open_["key"], open_["more"])
+        hot = np.zeros(0, np.uint64)
+        if len(hit):
+            hashes, at = np.unique(open_["hash"], return_inverse=True)
+            hot = hashes[np.bincount(at, weights=np.maximum(open_["more"], 1)) > crowd]
         # an entry that stands for several is only there to be counted
         hit &= open_["more"] == 0
         keys = np.concatenate([known["key"], open_["key"][hit]])
         places = np.concatenate([known["place"], open_["place"][hit]])
-        order = np.argsort(keys, kind="stable")
-        keys, places = keys[order], places[order]
+        yield from apart(keys, {"key": keys, "place": places}, shards)
+        if len(hot):
+            yield from dealt(np.zeros(len(hot), np.int64), False, {"key": hot, "place": hot})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _ = gathered(batches, _PLACE_OF)
+        order = np.lexsort((known["place"], known["key"]))
+        keys, places = known["key"][order], known["place"][order]
         runs = list(by_key(keys))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in runs], pa.int64()), pa.array([places[at].tobytes() for _, at in runs], pa.binary())],
-            names=["key", "places"],
-        )
+        found = [places[at].tobytes() for _, at in runs]
+        columns = [pa.array([k for k, _ in runs], pa.int64()), pa.array(found, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "places"])
 
-    sent = docs.select(col(key), col(text)).mapInArrow(find, _ANCHOR_TYPE)
-    return sent.repartitionById(shards, F.col("shard")).mapInArrow(judge, "key bigint, places binary")
+    by_shard = F.col("shard")
+    sent = docs.select(col(key), col(text)).mapInArrow(find, packed_type(_ANCHOR))
+    judged = sent.repartitionById(shards, by_shard).mapInArrow(judge, packed_type(_PLACE_OF))
+    judged = written(judged, "repeated-anchors")
+    crowded = b"".join(bytes(row["key"]) for row in judged.where("not known").select("key").collect())
+    places = judged.where("known").repartitionById(shards, by_shard)
+    return places.mapInArrow(unpack, "key bigint, places binary"), np.frombuffer(crowded, np.uint64)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
@@ -285,84 +340,115 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[
     A null id counts as the smallest; a row's identity is its id and its text, so rows
     that repeat both are one document.
     """
-    names = {part: fresh(docs, part) for part in ("key", "id", "print", "places", "marks")}
-    id_ = F.coalesce(col(id_col).cast("bigint"), F.lit(NO_ID))
-    wide = docs.withColumns({names["id"]: id_, names["print"]: F.xxhash64(col(text_col))})
-    return wide.withColumn(names["key"], F.xxhash64(names["id"], names["print"])), names
+    names = {part: fresh(docs, part) for part in ("key", "id", "places", "marks")}
+    wide = docs.withColumn(names["id"], F.coalesce(col(id_col).cast("bigint"), F.lit(NO_ID)))
+    return wide.withColumn(names["key"], F.xxhash64(names["id"], col(text_col))), names
 
 
 def candidates(docs: DataFrame, names: dict[str, str], text_col: str, places: DataFrame) -> DataFrame:
-    """Documents that hold a repeated anchor: key, id, print, text, places, then the rest.
+    """Documents that hold a repeated anchor: key, id, text, places, then the rest.
 
     ``docs`` is dealt by key. All its columns are kept, so that this shuffle is the same
     as that of the final step, which Spark then runs once.
     """
-    places = places.groupBy("key").agg(F.collect_list("places").alias("places"))
     places = places.select(F.col("key").alias(names["key"]), F.col("places").alias(names["places"]))
-    first = [names["key"], names["id"], names["print"], text_col, names["places"]]
+    first = [names["key"], names["id"], text_col, names["places"]]
     rest = [c for c in docs.columns if c not in first]
     return docs.join(places, names["key"]).select(*[col(c) for c in first + rest])
 
 
-def covered(starts: np.ndarray, window: int) -> np.ndarray:
-    """Maximal runs (from, to) covered by windows at the given starts."""
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    starts = np.unique(starts).astype(np.int64)
-    gap = np.flatnonzero(np.diff(starts) > window)
-    return np.stack([starts[np.r_[0, gap + 1]], starts[np.r_[gap, len(starts) - 1]] + window], axis=1)
-
-
-def marks_by_document(marks: DataFrame) -> DataFrame:
-    """(key, marks): all windows to remove of the documents with a key.
-
-    ``marks`` has (key, id, print, starts); a document's list is bounded by its length.
-    """
-    return marks.groupBy("key").agg(F.collect_list(F.struct("id", "print", "starts")).alias("marks"))
-
+def candidate_windows(w: Windows, found: pa.Array) -> np.ndarray:
+    """Places among the windows whose anchors are among the repeated places of their rows."""
+    hit = np.zeros(len(w.row), bool)
+    for row, at in by_key(w.row):
+        places = np.frombuffer(found[row].as_py(), np.int32)
+        hit[at] = np.isin(w.anchor[at], places)
+    return np.flatnonzero(hit)
 
-MARKS_TYPE = "key bigint, id bigint, print bigint, starts binary"
 
+def spread_out(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for every j below counts[i]."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - (np.cumsum(counts, dtype=np.int64) - counts)[which]
 
-def marks_batch(keys, ids, prints, starts) -> pa.RecordBatch:
-    """One row per document of the windows found in it."""
-    order = np.lexsort((starts, prints, ids, keys))
-    keys, ids, prints, starts = keys[order], ids[order], prints[order], starts[order].astype(np.int32)
-    runs = list(by_key(runs_of(keys, ids, prints)))
-    firsts = [at.start for _, at in runs]
-    return pa.RecordBatch.from_arrays(
-        [
-            *[pa.array(c[firsts]) for c in (keys, ids, prints)],
-            pa.array([starts[at].tobytes() for _, at in runs], pa.binary()),
-        ],
-        names=["key", "id", "print", "starts"],
-    )
 
+def consecutive(key: np.ndarray, id_: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
+    """Windows as runs of consecutive starts within a document."""
+    order = np.lexsort((start, id_, key))
+    key, id_, start = key[order], id_[order], start[order].astype(np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]) | (start[1:] > start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(key)][: len(first)] - 1
+    start, end = start[first].astype(np.int32), start[last]
+    return {"key": key[first], "id": id_[first], "start": start, "count": (end - start + 1).astype(np.int32)}
 
-def marked(docs: DataFrame, names: dict[str, str], marks: DataFrame, alias: str) -> DataFrame:
-    """Join each document with its marks; documents without keep null."""
-    ours = marks_by_document(marks).select(F.col("key").alias(names["key"]), F.col("marks").alias(alias))
-    return docs.join(ours, names["key"], "left")
 
+def settled_runs(dealt_runs: DataFrame) -> DataFrame:
+    """(key, marks) from packed runs of windows: one row per document key.
 
-def starts_for(marks: pa.Scalar, id_: int, print_: int) -> np.ndarray:
-    """The starts of one document among the marks of its key."""
-    parts = [m["starts"] for m in marks.as_py() or () if m["id"] == id_ and m["print"] == print_]
-    return np.frombuffer(b"".join(parts), np.int32)
+    ``marks`` lists (id, packed starts and counts); one entry unless two documents share
+    a key. It is bounded by the document's length.
+    """
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, _ = gathered(batches, _RUN)
+        order = np.lexsort((runs["start"], runs["id"], runs["key"]))
+        runs = {name: c[order] for name, c in runs.items()}
+        pair = np.stack([runs["start"], runs["count"]], axis=1)
+        documents = list(by_key(runs["key"]))
+        marks = [
+            [{"id": i, "runs": pair[at][own].tobytes()} for i, own in by_key(runs["id"][at])]
+            for _, at in documents
+        ]
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("runs", pa.binary())]))
+        columns = [pa.array([k for k, _ in documents], pa.int64()), pa.array(marks, kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "marks"])
 
-def removal(id_: Column, print_: Column, text: Column, marks: Column, cut: Callable, fields: str) -> Column:
-    """Apply ``cut(text, starts)``, a tuple of values per document, as a struct column."""
-    names = [f.split(":")[0] for f in fields.split(",")]
+    shards = shuffle_partitions(dealt_runs.sparkSession)
+    here = dealt_runs.repartitionById(shards, F.col("shard"))
+    return here.mapInArrow(unpack, "key bigint, marks array<struct<id:bigint,runs:binary>>")
 
-    @F.arrow_udf(f"struct<{fields}>")
-    def run(ids: pa.Array, prints: pa.Array, texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = [
-            dict(zip(names, cut(t.as_py(), starts_for(m, i.as_py(), p.as_py())), strict=True))
-            for i, p, t, m in zip(ids, prints, texts, found, strict=True)
-        ]
-        kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
-        types = [(f.split(":")[0], kinds[f.split(":")[1]]) for f in fields.split(",")]
-        return pa.array(rows, pa.struct(types))
 
-    return run(id_, print_, text, marks)
+def covered(starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Maximal stretches (from, to) under runs of windows sorted by start."""
+    if not len(starts):
+        return np.zeros((0, 2), np.int64)
+    starts = starts.astype(np.int64)
+    ends = np.maximum.accumulate(starts + counts - 1 + window)
+    gap = np.flatnonzero(starts[1:] > ends[:-1])
+    return np.stack([starts[np.r_[0, gap + 1]], ends[np.r_[gap, len(ends) - 1]]], axis=1)
+
+
+def removal(
+    docs: DataFrame,
+    names: dict[str, str],
+    text_col: str,
+    marks: DataFrame,
+    window: int,
+    cut: Callable[[str | None, np.ndarray], tuple],
+    fields: dict[str, pa.DataType],
+    alias: str,
+) -> DataFrame:
+    """Join documents with their marks and add ``cut(text, stretches)`` as a struct."""
+    kind = pa.struct(list(fields.items()))
+    ddl = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
+    declared = ",".join(f"{name}:{ddl[t]}" for name, t in fields.items())
+
+    @F.arrow_udf(f"struct<{declared}>")
+    def run(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.Array:
+        rows = []
+        for i, t, m in zip(ids, texts, found, strict=True):
+            own = b"".join([x["runs"] for x in m.as_py() or () if x["id"] == i.as_py()])
+            pair = np.frombuffer(own, np.int32).reshape(-1, 2)
+            stretches = covered(pair[:, 0], pair[:, 1], window)
+            rows.append(dict(zip(fields, cut(t.as_py(), stretches), strict=True)))
+        return pa.array(rows, kind)
+
+    marks = marks.select(F.col("key").alias(names["key"]), F.col("marks").alias(names["marks"]))
+    joined = docs.join(marks, names["key"], "left")
+    result = run(col(names["id"]), col(text_col), col(names["marks"]))
+    return joined.withColumn(alias, result).drop(*names.values())
+
+
+RUN_TYPE = packed_type(_RUN)

@@ -8,9 +8,9 @@ them up. The estimate of a window is the least of its cells. Collisions and anch
 shared by different windows can only raise it, so no repeated window is lost.
 
 The second pass makes windows of those places only whose estimate says they repeat,
-and groups them exactly (by 128 bits of their words). Each task keeps the earliest
-place of a window and settles all later ones itself, so that a passage in a third of
-all documents reaches the shard of its window once per task.
+and groups them exactly (by a 64-bit hash of the anchor's words and another of all
+words). Each task keeps the earliest place of a window and settles all later ones
+itself, so that a passage in a third of all documents reaches its shard once per task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemart.llm import anchors
-from lakemart.llm.anchors import MARKS_TYPE, Units, dealt, gathered, runs_of
+from lakemart.llm.anchors import RUN_TYPE, Units, dealt, gathered, runs_of
 from lakemart.llm.common import by_value, col, shuffle_partitions
 
 by_value(__name__)
@@ -39,13 +39,14 @@ WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 BYTES_AT_ONCE = 1 << 20
 
-# Two bases for two independent 64-bit hashes of a window.
-_BASE_1, _BASE_2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+# Occurrences beyond which the windows of an anchor are dealt one by one. The list of
+# such anchors travels to all tasks: 8 bytes for each million anchors at most.
+CROWD = 1_000_000
 
-_WINDOW = {
-    "one": np.uint64, "two": np.uint64, "key": np.int64, "id": np.int64, "print": np.int64, "start": np.int32,
-}
-_WINDOW_TYPE = "shard int, known boolean, " + ", ".join(f"{name} binary" for name in _WINDOW)
+_WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+_RUN = {"anchor": np.uint64, "key": np.int64, "id": np.int64, "start": np.int32, "count": np.int32}
+_WINDOW = ("anchor", "words", "key", "id", "start")
 
 
 def slices(data: bytes) -> Iterator[bytes]:
@@ -69,11 +70,11 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def estimated_repeats(hashes: np.ndarray, keys: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Entries whose count-min estimate is two or more; an entry can stand for several."""
-    weight = 1 + more.astype(np.int64)
+    weight = np.maximum(more, 1)
     width = max(64, CELLS_PER_ENTRY * len(hashes))
     estimate = np.full(len(hashes), np.iinfo(np.int64).max)
     for row in range(SKETCH_ROWS):
-        salt = np.uint64((2 * row + 1) * int(_BASE_1) % (1 << 64))
+        salt = np.uint64((2 * row + 1) * int(_WINDOW_BASE) % (1 << 64))
         cells = (anchors.mix(hashes ^ salt) % np.uint64(width)).astype(np.int64)
         counts = np.bincount(cells, weights=weight, minlength=width).astype(np.int64)
         estimate = np.minimum(estimate, counts[cells])
@@ -81,40 +82,46 @@ def estimated_repeats(hashes: np.ndarray, keys: np.ndarray, more: np.ndarray) ->
 
 
 def repeated_windows(
-    docs: DataFrame, spread: DataFrame, names: dict[str, str], text_col: str, kind: Units
+    docs: DataFrame, spread: DataFrame, names: dict[str, str], text_col: str, kind: Units, crowd: int
 ) -> DataFrame:
-    """(key, id, print, starts) of windows whose words also start earlier.
+    """Packed runs of windows whose words also start earlier.
 
     Earlier is a smaller id, or the same document and an earlier start; documents with
-    the same id and different texts are put in an order by a hash of the text.
-    ``spread`` is ``docs`` dealt by key.
+    the same id and different texts are put in an order by their keys. ``spread`` is
+    ``docs`` dealt by key.
     """
     shards = shuffle_partitions(docs.sparkSession)
-    places = anchors.repeated_anchors(docs, names["key"], text_col, kind, False, estimated_repeats)
+    places, hot = anchors.repeated_anchors(
+        docs, names["key"], text_col, kind, False, estimated_repeats, crowd
+    )
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         columns = dict(zip(_WINDOW, map(np.concatenate, zip(*held, strict=True)), strict=True))
         columns, later = earliest_first(columns)
-        settled = {name: c[later] for name, c in columns.items()}
-        yield from dealt(anchors.shard_of(settled["key"].view(np.uint64), shards), True, settled)
-        asked = {name: c[~later] for name, c in columns.items()}
-        yield from dealt(anchors.shard_of(asked["one"], shards), False, asked)
+        known = anchors.consecutive(*[columns[c][later] for c in ("key", "id", "start")])
+        known = {"anchor": known["key"].view(np.uint64), **known}
+        shard = anchors.shard_of(known["anchor"], shards)
+        yield from dealt(shard, True, known, [b""] * len(shard))
+        open_ = {name: c[~later] for name, c in columns.items()}
+        runs, words = packed_runs(open_, np.isin(open_["anchor"], hot))
+        first = np.frombuffer(b"".join([w[:8] for w in words]), np.uint64)
+        crowded = np.isin(runs["anchor"], hot)
+        shard = anchors.shard_of(np.where(crowded, first, runs["anchor"]), shards)
+        yield from dealt(shard, False, runs, words)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            keys, ids, prints = (batch.column(i).to_numpy() for i in range(3))
-            texts, found = batch.column(3), batch.column(4)
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts, found = batch.column(2), batch.column(3)
             rows = ((i, word_hashes(t.as_py())) for i, t in enumerate(texts))
             for group in anchors.pieces(rows, kind.window):
-                w = anchors.windows(group, kind.window, kind.gram)
-                hit = candidate_windows(w, found)
+                w = anchors.windows(group, kind)
+                hit = anchors.candidate_windows(w, found)
                 row = w.row[hit]
-                one = anchors.mix(anchors.rolled(w.units, kind.window, _BASE_1)[w.at[hit]])
-                two = anchors.mix(anchors.rolled(w.units, kind.window, _BASE_2)[w.at[hit]])
-                start = w.start[hit].astype(np.int32)
-                held.append((one, two, keys[row], ids[row], prints[row], start))
+                words = anchors.mix(anchors.rolled(w.values, kind.window, _WINDOW_BASE)[w.at[hit]])
+                held.append((w.hash[hit], words, keys[row], ids[row], w.start[hit].astype(np.int32)))
                 size += len(row)
                 if size > anchors.HELD:
                     yield from flush(held)
@@ -123,22 +130,42 @@ def repeated_windows(
             yield from flush(held)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, open_ = gathered(batches, _WINDOW)
-        open_, later = earliest_first(open_)
-        parts = [np.concatenate([known[c], open_[c][later]]) for c in ("key", "id", "print", "start")]
-        yield anchors.marks_batch(*parts)
+        known, runs = gathered(batches, _RUN | {"content": np.uint64})
+        which, j = anchors.spread_out(runs["count"])
+        columns = {name: runs[name][which] for name in ("anchor", "key", "id")}
+        columns |= {"words": runs["content"], "start": (runs["start"][which] + j).astype(np.int32)}
+        columns, later = earliest_first(columns)
+        found = anchors.consecutive(*[columns[c][later] for c in ("key", "id", "start")])
+        found = {name: np.concatenate([known[name], c]) for name, c in found.items()}
+        yield from anchors.apart(found["key"], found, shards)
 
-    sent = anchors.candidates(spread, names, text_col, places).mapInArrow(collect, _WINDOW_TYPE)
-    return sent.repartitionById(shards, F.col("shard")).mapInArrow(settle, MARKS_TYPE)
+    kinds = anchors.packed_type([*_RUN, "content"])
+    sent = anchors.candidates(spread, names, text_col, places).mapInArrow(collect, kinds)
+    return sent.repartitionById(shards, F.col("shard")).mapInArrow(settle, RUN_TYPE)
 
 
-def candidate_windows(w: anchors.Windows, found: pa.Array) -> np.ndarray:
-    """Places among the windows whose anchors are among the repeated places of their rows."""
-    hit = np.zeros(len(w.row), bool)
-    for row, at in anchors.by_key(w.row):
-        places = np.frombuffer(b"".join(found[row].as_py()), np.int32)
-        hit[at] = np.isin(w.anchor[at], places)
-    return np.flatnonzero(hit)
+def packed_runs(
+    columns: dict[str, np.ndarray], alone: np.ndarray
+) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """Consecutive windows with one anchor as a run, and the hashes of its windows.
+
+    Windows marked ``alone`` are runs of their own.
+    """
+    order = np.lexsort((columns["start"], columns["id"], columns["key"]))
+    c = {name: x[order] for name, x in columns.items()}
+    alone = alone[order]
+    new = alone.copy()
+    if len(new):
+        new[0] = True
+        new[1:] |= alone[:-1] | (c["start"][1:] != c["start"][:-1] + 1)
+        for name in ("anchor", "key", "id"):
+            new[1:] |= c[name][1:] != c[name][:-1]
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, len(new)])
+    data = c["words"].tobytes()
+    words = [data[8 * a : 8 * (a + n)] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+    runs = {name: c[name][first] for name in ("anchor", "key", "id", "start")}
+    return runs | {"count": count.astype(np.int32)}, words
 
 
 def earliest_first(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -146,12 +173,12 @@ def earliest_first(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray
 
     Entries of repeated rows are one document, so the same place twice counts once.
     """
-    order = np.lexsort([columns[c] for c in ("start", "print", "id", "two", "one")])
+    order = np.lexsort([columns[c] for c in ("start", "key", "id", "words", "anchor")])
     columns = {name: c[order] for name, c in columns.items()}
-    run = runs_of(columns["one"], columns["two"])
+    run = runs_of(columns["anchor"], columns["words"])
     first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])[run] if len(run) else run
     same = np.ones(len(run), bool)
-    for name in ("id", "print", "start"):
+    for name in ("id", "key", "start"):
         same &= columns[name] == columns[name][first]
     return columns, ~same
 
@@ -161,7 +188,9 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = WINDOW_WORDS,
+    crowd: int = CROWD,
     alias: str = "repeats",
+    with_kept: bool = True,
 ) -> DataFrame:
     """Add a struct (n_words, n_removed, kept, kept_sha256) of each text without repeats.
 
@@ -174,7 +203,7 @@ def remove_repeats(
     A null text has no words and stays null. A null id counts as smaller than all
     others. Rows with the same id and text are one document: they get the same result,
     and don't make each other's words repeats. Rows with the same id and different
-    texts come in the order of a hash of the text. Texts shorter than a window lose
+    texts come in the order of a hash of the row's id and text. Texts shorter than a window lose
     nothing. An empty table gives an empty table. All columns stay; one that is named
     like ``alias`` is replaced.
     """
@@ -183,17 +212,15 @@ def remove_repeats(
     kind = Units(word_hashes, window, ANCHOR_WORDS)
     wide, names = anchors.keyed(docs, id_col, text_col)
     spread = wide.repartition(names["key"])
-    marks = repeated_windows(wide, spread, names, text_col, kind)
-    joined = anchors.marked(spread, names, marks, names["marks"])
+    runs = repeated_windows(wide, spread, names, text_col, kind, crowd)
 
-    def cut(text: str | None, starts: np.ndarray) -> tuple:
-        return cut_words(text, anchors.covered(starts, window))
+    def cut(text: str | None, stretches: np.ndarray) -> tuple:
+        words, gone, kept, digest = cut_words(text, stretches)
+        return words, gone, kept if with_kept else None, digest
 
-    fields = "n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string"
-    result = anchors.removal(
-        F.col(names["id"]), F.col(names["print"]), col(text_col), F.col(names["marks"]), cut, fields
-    )
-    return joined.withColumn(alias, result).drop(*names.values())
+    fields = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
+    marks = anchors.settled_runs(runs)
+    return anchors.removal(spread, names, text_col, marks, window, cut, fields, alias)
 
 
 def cut_words(text: str | None, runs: np.ndarray) -> tuple[int, int, str | None, str]:
