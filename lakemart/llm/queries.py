@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakemart.llm import quality, simhash, substrings
+from lakemart.llm import bpe, packing, quality, simhash, substrings, suffixes
 from lakemart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,5 +82,66 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = substrings.remove_repeats(docs)
+    cut = substrings.remove_repeats(docs, with_kept=False)
     return cut.select("doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256")
+
+
+@query(
+    "op2_suffix_array_dedup",
+    """
+    WITH bytes AS (
+        SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n
+        FROM documents
+    ), strings AS (
+        SELECT doc_id, i, b[i:i + 49] AS s
+        FROM (SELECT doc_id, b, unnest(generate_series(1, n - 49)) AS i FROM bytes)
+    ), firsts AS (
+        SELECT s, min(doc_id) AS least FROM strings GROUP BY s HAVING count(*) > 1
+    ), starts AS (
+        SELECT t.doc_id, t.i,
+            CASE WHEN t.i <= lag(t.i) OVER (PARTITION BY t.doc_id ORDER BY t.i) + 50 THEN 0 ELSE 1 END AS new
+        FROM strings t JOIN firsts f ON t.s = f.s WHERE t.doc_id > f.least
+    ), numbered AS (
+        SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts
+    ), runs AS (
+        SELECT doc_id, min(i) AS first, max(i) + 49 AS last FROM numbered GROUP BY doc_id, run
+    ), gaps AS (
+        SELECT doc_id, first, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) + 1 AS a,
+            first - 1 AS z
+        FROM runs
+        UNION ALL SELECT b.doc_id, b.n + 1, coalesce(max(r.last), 0) + 1, b.n
+        FROM bytes b LEFT JOIN runs r ON b.doc_id = r.doc_id GROUP BY b.doc_id, b.n
+    ), kept AS (
+        SELECT g.doc_id, string_agg(hex(b.b[g.a:g.z]), '' ORDER BY g.first) AS h
+        FROM gaps g JOIN bytes b ON g.doc_id = b.doc_id WHERE g.z >= g.a GROUP BY g.doc_id
+    ), totals AS (
+        SELECT doc_id, sum(last - first + 1) AS removed, count(*) AS spans FROM runs GROUP BY doc_id
+    )
+    SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed,
+        coalesce(t.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+    FROM bytes b LEFT JOIN totals t ON b.doc_id = t.doc_id LEFT JOIN kept k ON b.doc_id = k.doc_id
+    """,
+)
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffixes.remove_shared(docs, with_kept=False)
+    return cut.select(
+        "doc_id", "shared.n_bytes", "shared.n_removed", "shared.n_spans", "shared.kept_sha256"
+    )
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_bpe_round_trip")
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    coded = coded.withColumn("decoded", bpe.decode(F.col("ids")))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
