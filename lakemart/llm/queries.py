@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemart.llm import bpe, packing, quality, simhash, substrings, suffixes
+from lakemart.llm import bpe, packing, quality, secrets, simhash, substrings, suffixes
 from lakemart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,21 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_secret_scans")
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs)
+    base = [kind.name for kind in secrets.KINDS if kind.base]
+
+    def only(*names: str):
+        return F.filter("secrets", lambda x: x["kind"].isin(*names))
+
+    return found.select(
+        "doc_id",
+        *[F.size(only(name)).cast("bigint").alias(f"n_{name}") for name in base],
+        F.sha2(secrets.as_text(only(*base)), 256).alias("base_sha256"),
+        secrets.as_text(F.col("secrets")).alias("spans"),
+        F.size(F.filter("secrets", lambda x: x["live"])).cast("bigint").alias("n_live"),
+    )
