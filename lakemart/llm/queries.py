@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemart.llm import bpe, packing, quality, secrets, simhash, substrings, suffixes
+from lakemart.llm import bpe, language, packing, quality, secrets, simhash, substrings, suffixes
 from lakemart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,8 +138,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_round_trip")
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    coded = coded.withColumn("decoded", bpe.decode(F.col("ids")))
-    return coded.select(
+    return bpe.decode(coded).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -163,3 +162,8 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.as_text(F.col("secrets")).alias("spans"),
         F.size(F.filter("secrets", lambda x: x["live"])).cast("bigint").alias("n_live"),
     )
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
