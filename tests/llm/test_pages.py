@@ -96,7 +96,8 @@ def test_viterbi_equals_trying_all_paths():
         weights = {n: rng.gauss(0, 1) for names in pages.features(blocks) for n in names}
         pairs = np.array([[rng.gauss(0, 2) for _ in range(2)] for _ in range(2)])
         field = pages.Field(weights, pairs, np.array([rng.gauss(0, 1), rng.gauss(0, 1)]))
-        assert field.label(blocks) == [bool(y) for y in max(all_paths(field, blocks))[1]]
+        scores = {path: score for score, path in all_paths(field, blocks)}  # equal ones happen
+        assert scores[tuple(map(int, field.label(blocks)))] >= max(scores.values()) - 1e-9
 
 
 def test_training_uses_neighbours():
