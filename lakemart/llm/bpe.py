@@ -21,14 +21,13 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakemart.llm.common import by_value, col, fresh, kept_in_worker
-from lakemart.llm.packing import byte_letters
+from lakemart.llm.common import by_value, col, fresh, kept_in_worker, with_computed
+from lakemart.llm.packing import byte_letters, is_plain
 
 by_value(__name__)
 
@@ -39,16 +38,13 @@ LEAF_CHARS = 32_768
 AGREED = 4
 UNSURE_BYTES = 32
 FIRST_WINDOW = 64
-# Printable ASCII and Latin-1, tabs and line ends: here both libraries split alike.
-NOT_PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
-LONGEST_RUN = regex.compile(r"[^\s]{500}|\s{500}")
 
 
 class ByteTokenizer:
     """Ids as the tokenizers library gives them.
 
-    Texts of plain characters go to tiktoken, which has the same merges and is several
-    times faster; all others, and texts with very long runs, to the library itself.
+    Plain texts go to tiktoken, which has the same merges and is several times faster;
+    all others to the library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,7 +64,7 @@ class ByteTokenizer:
         self.slow: Tokenizer | None = None
 
     def ids(self, text: str) -> np.ndarray:
-        if NOT_PLAIN.search(text) is None and LONGEST_RUN.search(text) is None:
+        if is_plain(text):
             return np.array(self.fast.encode(text, allowed_special="all"), "<u4")
         if self.slow is None:
             self.slow = Tokenizer.from_file(self.path)
@@ -78,9 +74,8 @@ class ByteTokenizer:
 
     def text(self, ids: np.ndarray) -> str:
         """Decoded text; bytes that are not UTF-8 become replacement characters."""
-        known = self.bytes
-        parts = [known[i] for i in ids.tolist() if i < len(known)]
-        return b"".join(parts).decode("utf-8", "replace")
+        known = ids[ids < len(self.bytes)].tolist()
+        return b"".join(map(self.bytes.__getitem__, known)).decode("utf-8", "replace")
 
 
 def tokenizer_of(path: str) -> ByteTokenizer:
@@ -158,16 +153,6 @@ def joined_all(parts: list[tuple[np.ndarray, bytes]], tok: ByteTokenizer) -> np.
     return parts[0][0]
 
 
-def _encoded(text: Column, vocabulary: str) -> Column:
-    @F.arrow_udf("binary")
-    def run(texts: pa.Array) -> pa.Array:
-        tok = tokenizer_of(vocabulary)
-        found = [None if t is None else tok.ids(t).tobytes() for t in (t.as_py() for t in texts)]
-        return pa.array(found, pa.binary())
-
-    return run(text)
-
-
 def encode(
     docs: DataFrame,
     text_col: str = "text",
@@ -189,7 +174,12 @@ def encode(
     text = col(text_col)
     digest = fresh(docs, "digest")
     is_long = F.coalesce(F.char_length(text), F.lit(0)) > leaf
-    short = docs.where(~is_long).withColumn(alias, _encoded(F.coalesce(text, F.lit("")), vocabulary))
+
+    def encoder():
+        tok = tokenizer_of(vocabulary)
+        return lambda t: tok.ids(t or "").tobytes()
+
+    short = with_computed(docs.where(~is_long), text_col, alias, pa.binary(), encoder)
     long = docs.where(is_long).withColumn(digest, F.sha2(text, 256))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,20 +205,18 @@ def encode(
 
     texts = long.groupBy(digest).agg(F.min(text).alias("text"))
     parts = texts.mapInArrow(split, "digest string, part int, text string").repartition("digest", "part")
-    coded = parts.withColumn("ids", _encoded(F.col("text"), vocabulary))
+    coded = with_computed(parts, "text", "ids", pa.binary(), encoder)
     whole = coded.groupBy("digest").applyInPandas(put_together, "digest string, ids binary")
     whole = whole.select(F.col("digest").alias(digest), F.col("ids").alias(alias))
     return short.unionByName(long.join(whole, digest).drop(digest).select(*short.columns))
 
 
-def decode(ids: Column, vocabulary: str | None = None) -> Column:
-    """Text of packed ids, special tokens included; null for null."""
+def decode(coded: DataFrame, ids_col: str = "ids", alias: str = "decoded", vocabulary: str | None = None) -> DataFrame:
+    """Add the text of packed ids, special tokens included; null for null."""
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
 
-    @F.arrow_udf("string")
-    def run(packed: pa.Array) -> pa.Array:
+    def decoder():
         tok = tokenizer_of(vocabulary)
-        found = [None if p is None else tok.text(np.frombuffer(p, "<u4")) for p in (p.as_py() for p in packed)]
-        return pa.array(found, pa.string())
+        return lambda packed: None if packed is None else tok.text(np.frombuffer(packed, "<u4"))
 
-    return run(ids)
+    return with_computed(coded, ids_col, alias, pa.string(), decoder)

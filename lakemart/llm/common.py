@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from lakemart.session import scratch_path
 
@@ -62,3 +65,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BYTES_AT_ONCE = 4 << 20
+
+
+def slices_of(batch: pa.RecordBatch, by: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about :data:`BYTES_AT_ONCE` bytes in column ``by``, a row at least."""
+    size, begin = 0, 0
+    for i, value in enumerate(batch.column(by)):
+        size += value.as_buffer().size if value.is_valid else 0
+        if size >= BYTES_AT_ONCE or i == batch.num_rows - 1:
+            yield batch.slice(begin, i + 1 - begin)
+            size, begin = 0, i + 1
+
+
+def with_computed(
+    df: DataFrame, source: str, alias: str, kind: pa.DataType, make: Callable[[], Callable[[Any], Any]]
+) -> DataFrame:
+    """Add a column computed in Python from a string or binary one, a few megabytes at a time.
+
+    ``make`` is called once per task and gives the function of a value. Unlike a
+    function in an expression, this is one step that Spark neither repeats nor merges
+    with the next. A column named like ``alias`` is replaced.
+    """
+    kept = [c for c in df.columns if c != alias]
+    wide = df.withColumn(fresh(df, "source"), col(source)).select(fresh(df, "source"), *[col(c) for c in kept])
+    fields = [f for f in df.schema.fields if f.name != alias]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            for part in slices_of(batch, 0):
+                found = pa.array([compute(v.as_py()) for v in part.column(0)], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], found], names=[*kept, alias])
+
+    return wide.mapInArrow(run, T.StructType([*fields, T.StructField(alias, from_arrow_type(kind))]))

@@ -7,7 +7,6 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakemart.llm import bpe
@@ -66,7 +65,7 @@ def test_encode_and_decode(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(texts())]
     rows += [(None, None, None), (0, None, "x"), (3, rows[9][1], "y"), (3, rows[9][1], "y"), (4, "word " * 900, "z")]
     docs = spark.createDataFrame(rows, "doc_id int, text string, digest string")
-    found = bpe.encode(docs, leaf=500).withColumn("back", bpe.decode(F.col("ids")))
+    found = bpe.decode(bpe.encode(docs, leaf=500), alias="back")
     assert found.columns == ["doc_id", "text", "digest", "ids", "back"]
     got = found.collect()
     assert sorted(map(str, ((r["doc_id"], r["text"], r["digest"]) for r in got))) == sorted(map(str, rows))
