@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,17 +186,18 @@ def by_key(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
 def dealt(
     shards: np.ndarray, known: bool, columns: dict[str, np.ndarray], texts: list[bytes] | None = None
 ) -> Iterator[pa.RecordBatch]:
-    """One row per shard: its entries, a binary value per column; ``texts`` are joined."""
+    """One row per shard: its entries, a packed value per column; ``texts`` are joined."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     order = np.argsort(shards, kind="stable")
     shards = shards[order]
     columns = {name: c[order] for name, c in columns.items()}
     runs = list(by_key(shards))
     if runs:
         arrays = [pa.array([s for s, _ in runs], pa.int32()), pa.array([known] * len(runs))]
-        arrays += [pa.array([c[at].tobytes() for _, at in runs], pa.binary()) for c in columns.values()]
+        arrays += [pa.array([pack(c[at].tobytes()) for _, at in runs], pa.binary()) for c in columns.values()]
         names = ["shard", "known", *columns]
         if texts is not None:
-            joined = [b"".join([texts[i] for i in order[at]]) for _, at in runs]
+            joined = [pack(b"".join([texts[i] for i in order[at]])) for _, at in runs]
             arrays, names = [*arrays, pa.array(joined, pa.binary())], [*names, "content"]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -207,11 +209,12 @@ def gathered(
 
     What shards receive grows with the corpus over ``spark.sql.shuffle.partitions``.
     """
+    unpack = zstandard.ZstdDecompressor().decompress
     found: dict[bool, dict[str, list[bytes]]] = {k: {name: [] for name in dtypes} for k in (True, False)}
     for batch in batches:
         for known, *values in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
             for name, value in zip(dtypes, values, strict=True):
-                found[known][name].append(value)
+                found[known][name].append(unpack(value))
 
     def joined(parts: dict[str, list[bytes]]) -> dict[str, np.ndarray]:
         return {name: np.frombuffer(b"".join(parts[name]), dtype) for name, dtype in dtypes.items()}
@@ -246,22 +249,24 @@ def packed_type(dtypes: dict[str, type]) -> str:
 def _flushed(hash_: np.ndarray, key: np.ndarray, place: np.ndarray, across: bool, shards: int):
     """Send a task's anchors: settle those that repeat here, ask the shard about the rest."""
     order = np.lexsort((key, hash_))
-    hash_, key, place = hash_[order], key[order], place[order]
-    run = runs_of(hash_)
+    sorted_hash, sorted_key = hash_[order], key[order]
+    run = runs_of(sorted_hash)
     first = np.r_[True, run[1:] != run[:-1]]
     starts = np.flatnonzero(first)
     size = np.diff(np.r_[starts, len(run)])
     if across:
-        repeated = key[starts] != key[starts + size - 1]
+        repeated = sorted_key[starts] != sorted_key[starts + size - 1]
     else:
         repeated = size > 1
-    here = repeated[run]
-    settled = {"hash": hash_[here], "key": key[here], "place": place[here]}
-    settled["more"] = np.zeros(len(settled["key"]), np.uint32)
+    # back in the order of documents, which packs best
+    here, ask, more = np.empty(len(run), bool), np.empty(len(run), bool), np.empty(len(run), np.uint32)
+    here[order] = repeated[run]
+    ask[order] = ~repeated[run] | first
+    more[order] = np.where(repeated, size, 0)[run]
+    columns = {"hash": hash_, "key": key, "place": place, "more": more}
+    settled = {name: c[here] for name, c in columns.items()}
     yield from apart(settled["key"], settled, shards)
-    ask = ~here | first
-    more = np.where(here, size[run], 0).astype(np.uint32)
-    asked = {"hash": hash_[ask], "key": key[ask], "place": place[ask], "more": more[ask]}
+    asked = {name: c[ask] for name, c in columns.items()}
     yield from dealt(shard_of(asked["hash"], shards), False, asked)
 
 
@@ -329,7 +334,9 @@ def repeated_anchors(
     sent = docs.select(col(key), col(text)).mapInArrow(find, packed_type(_ANCHOR))
     judged = sent.repartitionById(shards, by_shard).mapInArrow(judge, packed_type(_PLACE_OF))
     judged = written(judged, "repeated-anchors")
-    crowded = b"".join(bytes(row["key"]) for row in judged.where("not known").select("key").collect())
+    unpack_hot = zstandard.ZstdDecompressor().decompress
+    rows = judged.where("not known").select("key").collect()
+    crowded = b"".join(unpack_hot(bytes(row["key"])) for row in rows)
     places = judged.where("known").repartitionById(shards, by_shard)
     return places.mapInArrow(unpack, "key bigint, places binary"), np.frombuffer(crowded, np.uint64)
 
