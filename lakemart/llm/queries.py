@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemart.llm import bpe, language, packing, pages, quality, secrets, simhash, substrings, suffixes
+from lakemart.llm import bpe, language, packing, pages, quality, secrets, simhash, substrings, suffixes, vectors
 from lakemart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars")
     )
+
+
+@query("op8_embedding_near_dedup")
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
