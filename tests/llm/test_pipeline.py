@@ -43,7 +43,7 @@ def test_run_packs_what_is_left(spark, small_dir):
 
 def test_odd_rows_and_empty_tables(spark, small_dir):
     schema = spark.read.parquet(f"{small_dir}/documents.parquet").schema
-    prose = " ".join(f"the {w} of a thing{i} and it was so for all" for i, w in enumerate("abcdefghij" * 3))
+    prose = " ".join(f"the word{i} of a thing{i * 7} was in place{i * i} and" for i in range(30))
     rows = [(1, prose, "en", "s", len(prose)), (1, prose, "en", "s", len(prose)), (None, None, None, None, None), (2, "", "", "", 0), (None, prose, None, None, None)]
     for given in (rows, []):
         docs = spark.createDataFrame(given, schema)
