@@ -52,17 +52,26 @@ GROUPS = 20
 SMALL = CAPACITY // 3
 VOCABULARY = "word_bpe_49k.json"
 # Words whose ids a Python worker remembers, and the longest word that is remembered.
-WORDS_REMEMBERED = 300_000
+WORDS_REMEMBERED = 200_000
 LONGEST_MERGED = 200
 WORD_END = "</w>"
 MARK = b"\x01"
-NOT_PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
-BORDERS = {ord(c): " " for c in "\t\n\r"}
+# Printable ASCII and Latin-1, tabs and line ends: here both libraries split alike.
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+SPECIAL = "<|"
+BORDERS = "\n\t\r"
 
 
 # --- token ids ---------------------------------------------------------------
 
 
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 class WordTokenizer:
     """Token ids of whole texts from ids of their words.
 
@@ -80,8 +89,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+        # ids by word, the present and the former generation
+        self.plain: list[dict[str, bytes]] = [{}, {}]
+        self.others: list[dict[str, bytes]] = [{}, {}]
         rules = json.loads(Path(path).read_text())
         pattern = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.parts = regex.compile(pattern)
@@ -93,31 +103,56 @@ class WordTokenizer:
             ranks[bytes(letters[c] for c in stem) + (MARK if last else b"")] = number
         # a token that has the mark as a letter of its own can't occur in plain texts
         self.merges = tiktoken.Encoding("words", pat_str="[^\x01]*\x01", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[n for token, n in ranks.items() if token.endswith(MARK)]] = True
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        plain = NOT_PLAIN.search(text) is None
-        known = self.known if plain else self.others
-        words = (text.lower() if plain else text).translate(BORDERS).split(" ")
-        unknown = {w for w in words if w not in known}
-        if unknown:
-            if len(known) + len(unknown) > WORDS_REMEMBERED:
-                known.clear()
-                unknown = set(words)
-            short = [w for w in unknown if plain and len(w) <= LONGEST_MERGED]
-            known.update(zip(short, map(self._merged, short), strict=True))
-            rest = [w for w in unknown if not plain or len(w) > LONGEST_MERGED]
-            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([known[w] for w in words])
-        for w in unknown:
-            if len(w) > LONGEST_MERGED:
-                del known[w]
+        plain = SPECIAL not in text and is_plain(text)
+        both = self.plain if plain else self.others
+        for border in BORDERS:
+            text = text.replace(border, " ")
+        words = (text.lower() if plain else text).split(" ")
+        unknown = set(words).difference(both[0])
+        if not unknown:
+            return b"".join(map(both[0].__getitem__, words))
+        if len(both[0]) + len(unknown) > WORDS_REMEMBERED:
+            # a full generation stays readable until the next one is full
+            both[:] = [{}, both[0]]
+            unknown = set(words)
+        known, before = both
+        old = {w for w in unknown if w in before}
+        known.update(zip(old, map(before.__getitem__, old), strict=True))
+        known.update(self._encoded(unknown - old, plain))
+        out = b"".join(map(known.__getitem__, words))
+        for word in unknown:
+            if len(word) > LONGEST_MERGED:
+                del known[word]
         return out
 
-    def _merged(self, word: str) -> bytes:
-        marked = "".join([part + "\x01" for part in self.parts.findall(word)])
-        return np.array(self.merges.encode_ordinary(marked), "<u4").tobytes()
+    def _encoded(self, words: set[str], plain: bool) -> Iterator[tuple[str, bytes]]:
+        short = [w for w in words if plain and len(w) <= LONGEST_MERGED]
+        yield from zip(short, self._merged(short), strict=True)
+        rest = [w for w in words if not plain or len(w) > LONGEST_MERGED]
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            yield w, np.array(e.ids, "<u4").tobytes()
+
+    def _merged(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of many words from one run of the merges; each part of a word ends in a mark."""
+        marked, parts = [], []
+        for word in words:
+            if word.isalpha():
+                marked.append(word + "\x01")
+                parts.append(1)
+            else:
+                cut = self.parts.findall(word)
+                marked += [part + "\x01" for part in cut]
+                parts.append(len(cut))
+        ids = np.array(self.merges.encode_ordinary("".join(marked)), "<u4")
+        data = ids.tobytes()
+        part_ends = np.r_[0, 4 * (np.flatnonzero(self.ends[ids]) + 1)]
+        ends = part_ends[np.cumsum([0, *parts])].tolist()
+        return (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
 def byte_letters() -> dict[str, int]:
