@@ -26,7 +26,7 @@ from lakemart.llm.common import by_value, col, written
 
 by_value(__name__)
 
-VOCABULARY = 100_000
+VOCABULARY = 250_000
 GRAMS = 50_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
@@ -100,8 +100,8 @@ def gram_counts(words: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
     return counts.groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, most: int, by_length: bool) -> list[tuple[str, dict[str, int]]]:
-    """(text, counts per language) of the texts as frequent as a threshold allows.
+def frequent(counts: DataFrame, most: int, by_length: bool, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The texts as frequent as a threshold allows, and their counts per language.
 
     The threshold is a power of 2 ** 0.125, set from the numbers of texts between such
     powers, so that at most ``most`` texts remain (of each length, with ``by_length``).
@@ -123,8 +123,15 @@ def frequent(counts: DataFrame, most: int, by_length: bool) -> list[tuple[str, d
     keep = F.lit(False)
     for length, grade in least.items():
         keep = keep | ((F.col("group") == length) & (F.col("grade") >= grade))
-    rows = graded.where(keep).select("text", "langs").collect()
-    return sorted((r["text"], {x["lang"]: x["n"] for x in r["langs"]}) for r in rows)
+    found = graded.where(keep).select("text", F.explode("langs").alias("l")).select("text", "l.lang", "l.n")
+    found = found.toArrow()
+    texts = sorted(set(found["text"].to_pylist()))
+    row = {t: i for i, t in enumerate(texts)}
+    column = {name: i for i, name in enumerate(languages)}
+    n = np.zeros((len(texts), len(languages)))
+    at = [row[t] for t in found["text"].to_pylist()], [column[x] for x in found["lang"].to_pylist()]
+    n[at] = found["n"].to_numpy()
+    return texts, n
 
 
 @dataclass
@@ -136,53 +143,55 @@ class Model:
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
+    seen: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> tuple[float, ...]:
         """Scores from n-grams, the longest known one at each place."""
-        if word in self.seen:
-            return self.seen[word]
         marked = f" {word} "
-        rows, grams = [], self.grams
+        rows, get = [], self.grams.get
         for i in range(len(marked) - 1):
-            for length in range(LONGEST_GRAM, 0, -1):
-                at = grams.get(marked[i : i + length])
+            for end in range(i + LONGEST_GRAM, i, -1):
+                at = get(marked[i:end])
                 if at is not None:
                     rows.append(at)
                     break
         # n-grams overlap, so each place counts as a share of a word
-        score = self.gram_scores[rows].sum(axis=0) / LONGEST_GRAM
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        if len(word) <= LONGEST_WORD:
-            self.seen[word] = score
-        return score
+        return tuple((self.gram_scores[rows].sum(axis=0) / LONGEST_GRAM).tolist())
+
+    def _unseen_all(self, words: list[str]) -> np.ndarray:
+        seen = self.seen
+        new = {w for w in words if w not in seen}
+        if len(seen) + len(new) > REMEMBERED:
+            seen.clear()
+            new = set(words)
+        for word in new:
+            seen[word] = self.unseen(word)
+        total = np.array(list(map(seen.__getitem__, words))).sum(axis=0)
+        for word in new:
+            if len(word) > LONGEST_WORD:
+                del seen[word]
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
+        at = list(map(self.words.get, words))
         total = np.zeros(len(self.languages))
-        known = []
-        get = self.words.get
-        for word in words:
-            at = get(word)
-            if at is None:
-                total += self.unseen(word)
-            else:
-                known.append(at)
-        total += self.word_scores[known].sum(axis=0)
+        if None in at:
+            total += self._unseen_all([w for w, i in zip(words, at, strict=True) if i is None])
+            at = [i for i in at if i is not None]
+        if at:
+            total += self.word_scores[at].sum(axis=0)
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _scores(found: list[tuple[str, dict[str, int]]], languages: list[str], groups: list[int]) -> np.ndarray:
+def _scores(n: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Smoothed log frequencies among the texts of a group."""
-    n = np.zeros((len(found), len(languages)))
-    for row, (_, langs) in zip(n, found, strict=True):
-        row[:] = [langs.get(name, 0) + SMOOTHING for name in languages]
-    for group in set(groups):
-        at = np.array(groups) == group
+    n = n + SMOOTHING
+    for group in np.unique(groups):
+        at = groups == group
         n[at] = np.log(n[at] / n[at].sum(axis=0))
     return n
 
@@ -196,15 +205,16 @@ def fit(
 ) -> Model:
     """Learn from every row of ``docs`` with a text and a language."""
     words = written(word_counts(docs, text_col, lang_col), "language-words")
-    known = frequent(words, vocabulary, by_length=False)
-    pieces = frequent(gram_counts(words), grams, by_length=True)
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    known, word_counts_ = frequent(words, vocabulary, False, languages)
+    pieces = written(gram_counts(words), "language-grams")
+    pieces, gram_counts_ = frequent(pieces, grams, True, languages)
     return Model(
         languages,
-        {w: i for i, (w, _) in enumerate(known)},
-        _scores(known, languages, [0] * len(known)),
-        {g: i for i, (g, _) in enumerate(pieces)},
-        _scores(pieces, languages, [len(g) for g, _ in pieces]),
+        {w: i for i, w in enumerate(known)},
+        _scores(word_counts_, np.zeros(len(known))),
+        {g: i for i, g in enumerate(pieces)},
+        _scores(gram_counts_, np.array([len(g) for g in pieces])),
     )
 
 

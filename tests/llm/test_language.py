@@ -55,9 +55,9 @@ def test_unseen_words_back_off(spark):
 def test_thresholds_keep_frequent_texts(spark):
     rows = [(i, f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} " * (i + 1), "en") for i in range(100)]
     counts = language.word_counts(small_docs(spark, rows), "text", "lang")
-    kept = language.frequent(counts, 20, by_length=False)
-    assert 0 < len(kept) <= 20
-    assert min(c["en"] for _, c in kept) > 80
+    kept, n = language.frequent(counts, 20, False, ["de", "en"])
+    assert 0 < len(kept) == len(n) <= 20
+    assert n[:, 1].min() > 80 and not n[:, 0].any()
 
 
 def test_odd_rows(spark):
