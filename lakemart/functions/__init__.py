@@ -2,7 +2,7 @@
 
 from lakemart.functions.arrays import any_differs, set_ids
 from lakemart.functions.references import is_uuid, token_parts
-from lakemart.functions.text import base64_payload, close_pairs, replace_by_environment, swap_values
+from lakemart.functions.text import base64_payload, close_pairs, replace_by_environment
 
 __all__ = [
     "any_differs",
@@ -11,6 +11,5 @@ __all__ = [
     "is_uuid",
     "replace_by_environment",
     "set_ids",
-    "swap_values",
     "token_parts",
 ]

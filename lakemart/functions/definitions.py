@@ -39,8 +39,8 @@ def _children(found: Column) -> Column:
     return F.coalesce(members, elements, F.array().cast(NODES))
 
 
-def find_nodes(node: Column, key: str) -> Column:
-    """Values stored under ``key`` at any depth below ``node``.
+def find_nodes(node: Column, keys: Sequence[str]) -> Column:
+    """(key, node) of the values stored under one of ``keys`` at any depth below ``node``.
 
     Walks level by level with ``aggregate``, all within the row. It goes as deep as
     needed (a level takes two characters of text at least), but copies what lies
@@ -51,7 +51,7 @@ def find_nodes(node: Column, key: str) -> Column:
     start = F.struct(root.alias("level"), nothing.alias("hits"))
 
     def descend(state: Column, _: Column) -> Column:
-        hits = F.filter(state["level"], lambda e: e["key"] == F.lit(key))
+        hits = F.filter(state["level"], lambda e: e["key"].isin(list(keys)))
         deeper = F.struct(
             F.flatten(F.transform(state["level"], _children)).alias("level"),
             F.concat(state["hits"], hits).alias("hits"),
@@ -60,6 +60,4 @@ def find_nodes(node: Column, key: str) -> Column:
 
     depth = F.least(F.length(F.to_json(node)) / 2, F.lit(PARSER_DEPTH)).cast("int")
     levels = F.sequence(F.lit(0), depth + 1)
-    return F.transform(
-        F.aggregate(levels, start, descend, lambda state: state["hits"]), lambda e: e["node"]
-    )
+    return F.aggregate(levels, start, descend, lambda state: state["hits"])

@@ -11,7 +11,7 @@ UUID_BRACES = "{}"
 
 # The two placeholder formats, and how the first begins.
 ITEM_PREFIX = "$items."
-ITEM_TOKEN = r"^\$items\.([^.]+)\.(.+)\.id$"
+ITEM_TOKEN = r"(?s)^\$items\.([^.]+)\.(.+)\.id\z"
 WORKSPACE_TOKEN = "$workspace.id"
 
 

@@ -33,8 +33,6 @@ CONNECTION_KEYS = ((EXTERNAL_REFERENCES, CONNECTION),)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 Edits = Mapping[tuple[str, str], tuple[str, str | None]]
 Reference = tuple[str, str, dict, str]
 
@@ -61,6 +59,11 @@ def _section(node: object, name: str) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+def _entries(value: object) -> list[dict]:
+    """The objects of a list; anything else has none."""
+    return [e for e in value if isinstance(e, dict)] if isinstance(value, list) else []
+
+
 def item_references(
     places: list[tuple[str, object]], workspace: str, types: frozenset[str]
 ) -> list[Reference]:
@@ -78,9 +81,9 @@ def item_references(
             tag = properties.get("type")
             kind = LINKED_TYPES.get(tag) if isinstance(tag, str) else None
             add(kind, _section(properties, "typeProperties"), ARTIFACT_ID)
-        elif key == ACTIVITIES and isinstance(value, list):
-            for activity in value:
-                if isinstance(activity, dict) and activity.get("type") == NOTEBOOK_ACTIVITY:
+        elif key == ACTIVITIES:
+            for activity in _entries(value):
+                if activity.get("type") == NOTEBOOK_ACTIVITY:
                     add("Notebook", _section(activity, "typeProperties"), NOTEBOOK_ID)
     return found
 
@@ -129,14 +132,14 @@ def rewrite_notebook(
         if attached.get("default_lakehouse_workspace_id") != workspace:
             put(attached, "default_lakehouse", lakehouse)
             put(attached, "default_lakehouse_workspace_id", workspace)
-        for entry in attached.get("known_lakehouses") or []:
+        for entry in _entries(attached.get("known_lakehouses")):
             put(entry, "id", lakehouse)
 
     attached = _section(dependencies, "warehouse")
     if warehouse is not None and "default_warehouse" in attached:
         old = attached["default_warehouse"]
         put(attached, "default_warehouse", warehouse)
-        for entry in attached.get("known_warehouses") or []:
+        for entry in _entries(attached.get("known_warehouses")):
             if entry.get("id") == old:
                 put(entry, "id", warehouse)
     return changed
@@ -146,24 +149,34 @@ Edited = tuple[str | None, list[str], str | None]
 
 
 def edit_text(body: str | None, edit: Callable[[object], tuple[bool, list[str]]]) -> Edited:
-    """Parse, edit and serialise a document: (text or null if unchanged, unresolved, error)."""
+    """Parse, edit and serialise a document: (text or null if unchanged, unresolved, error).
+
+    Whatever goes wrong is an error of this document alone.
+    """
     if body is None:
         return None, [], None
     try:
         tree = json.loads(body)
         changed, unresolved = edit(tree)
-        return json.dumps(tree) if changed else None, unresolved, None
-    except (ValueError, RecursionError) as error:
+        return json.dumps(tree) if changed else None, [storable(x) for x in unresolved], None
+    except Exception as error:
         return None, [], type(error).__name__
 
 
+def storable(text: str) -> str:
+    """Text that fits a column: half a surrogate pair, legal in JSON, is spelled out."""
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
 def references_in(body: str, workspace: str, types: frozenset[str]) -> list[dict]:
     """The distinct item references of one document; none when it is not JSON."""
     try:
         places = find_members(json.loads(body), PIPELINE_KEYS)
-    except (ValueError, RecursionError):
+        found = {(kind, old) for kind, old, _, _ in item_references(places, workspace, types)}
+    except Exception:
         return []
-    found = {(kind, old) for kind, old, _, _ in item_references(places, workspace, types)}
+    # no catalog can hold an id that is not storable
+    found = {(kind, old) for kind, old in found if storable(old) == old}
     return [{"type": kind, "old_id": old} for kind, old in sorted(found)]
 
 

@@ -22,6 +22,8 @@ def replace_by_environment(text: Column, environment: Column, rules: Sequence[Ru
             raise ValueError("a rule needs text to find")
         replacement = F.lit(find)
         for name, value in values.items():
+            if value is None:
+                raise ValueError(f"no text to put in place of {find!r} in {name!r}")
             replacement = F.when(environment == F.lit(name), F.lit(value)).otherwise(replacement)
         text = F.replace(text, F.lit(find), replacement)
     return text
@@ -40,14 +42,6 @@ def close_pairs(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
     return closed
 
 
-def swap_values(value: Column, closed: Mapping[str, str]) -> Column:
-    """Map a value through a closed map of moderate length; others stay."""
-    result = value
-    for old, new in closed.items():
-        result = F.when(value == F.lit(old), F.lit(new)).otherwise(result)
-    return result
-
-
 def base64_payload(text: Column) -> Column:
     """Base64 of the UTF-8 bytes on a single line."""
     return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")

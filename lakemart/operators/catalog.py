@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lakemart.functions.references import WORKSPACE_TOKEN, is_uuid, token_parts
 from lakemart.functions.text import Rule
-from lakemart.operators.joins import first_match, is_small
+from lakemart.operators.joins import first_match, helpers
 
 # Fixed value: what a lookup gives for a name nobody has.
 NOT_EXISTS = "NotExists"
@@ -45,33 +45,48 @@ def lookup(
     row without a match gets ``default``.
     """
     alias = value if alias is None else alias
+    *keys, found, salt = helpers([*[f"key{i}" for i in range(len(on))], "value", "salt"], df)
     first = first_match(
-        catalog.select(*dict.fromkeys([*on.values(), value, *(order or [])])),
-        keys={f"_key{i}": _col(theirs) for i, theirs in enumerate(on.values())},
-        values={"_value": _col(value)},
+        catalog,
+        keys={k: _col(theirs) for k, theirs in zip(keys, on.values(), strict=True)},
+        values={found: _col(value)},
         order=[_col(c) for c in (order or [value])],
     )
-    condition = [_col(ours) == _col(f"_key{i}") for i, ours in enumerate(on)]
-    found = F.col("_value") if default is None else F.coalesce(F.col("_value"), F.lit(default))
+    # always 0, but no constant: the optimizer would move that out of the join's keys
+    first = first.withColumn(salt, F.pmod(F.xxhash64(*[_col(k) for k in keys]), F.lit(1)))
+    condition = [_col(ours) == _col(k) for k, ours in zip(keys, on, strict=True)]
+    # rows with a null key match nothing: a hash of the row spreads them
+    missing = F.lit(False)
+    for ours in on:
+        missing = missing | _col(ours).isNull()
+    spread = F.when(missing, F.xxhash64(*[_col(c) for c in _hashable(df)])).otherwise(F.lit(0))
+    condition.append(spread.cast("bigint") == _col(salt))
+    result = _col(found) if default is None else F.coalesce(_col(found), F.lit(default))
     return df.join(first, condition, "left").select(
-        *[_col(c) for c in df.columns], found.alias(alias)
+        *[_col(c) for c in df.columns if c != alias], result.alias(alias)
     )
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns a hash can take: no maps and variants."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def rebind_map(
     source_items: DataFrame, target_items: DataFrame, by: Sequence[str] = ("display_name", "type")
 ) -> DataFrame:
     """(old_id, new_id), one row per id: items of the same ``by`` columns in source and target."""
+    names = [f"by{i}" for i in range(len(by))]
     target = first_match(
         target_items,
-        keys={f"_by{i}": _col(c) for i, c in enumerate(by)},
+        keys={n: _col(c) for n, c in zip(names, by, strict=True)},
         values={"new_id": _col("id")},
         order=[_col("id")],
     )
-    condition = [_col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
-    paired = source_items.join(target, condition, "inner").select(
-        _col("id").alias("old_id"), F.col("new_id")
+    source = source_items.select(
+        _col("id").alias("old_id"), *[_col(c).alias(f"own_{n}") for n, c in zip(names, by, strict=True)]
     )
+    paired = source.join(target, [F.col(f"own_{n}") == F.col(n) for n in names], "inner")
     return first_match(
         paired, {"old_id": F.col("old_id")}, {"new_id": F.col("new_id")}, [F.col("new_id")]
     )
@@ -88,16 +103,11 @@ def rebind(
     """Translate an id to the id of the item of the same name and type in the target.
 
     Ids that cannot be translated give null. The two catalogs are joined to each
-    other first, so ``df`` takes part in one join only; its other side is broadcast
-    when it was measured to be small.
+    other first, so ``df`` takes part in one join only. A column named like ``alias``
+    is replaced.
     """
-    source = source_items.select("id", *by)
-    mapping = rebind_map(source, target_items.select("id", *by), by)
-    if is_small(source) and is_small(mapping):
-        mapping = F.broadcast(mapping)
-    return df.join(mapping, _col(column) == F.col("old_id"), "left").select(
-        *[_col(c) for c in df.columns], F.col("new_id").alias(alias)
-    )
+    mapping = rebind_map(source_items.select("id", *by), target_items.select("id", *by), by)
+    return lookup(df, mapping, {column: "old_id"}, "new_id", default=None, alias=alias)
 
 
 def resolve_ref(
@@ -113,9 +123,10 @@ def resolve_ref(
     Unknown names give null. All rows join on their own text: ids find nothing
     and are kept, and they spread over the partitions instead of meeting at null.
     """
-    found = lookup(df, catalog, {column: name}, value, default=None, alias="_found")
-    resolved = F.when(is_uuid(_col(column)), _col(column)).otherwise(F.col("_found"))
-    return found.select(*[_col(c) for c in df.columns], resolved.alias(alias))
+    (found,) = helpers(["found"], df)
+    looked = lookup(df, catalog, {column: name}, value, default=None, alias=found)
+    resolved = F.when(is_uuid(_col(column)), _col(column)).otherwise(_col(found))
+    return looked.withColumn(alias, resolved).drop(found)
 
 
 def resolve_tokens(
@@ -133,29 +144,21 @@ def resolve_tokens(
     token = _col(column)
     is_item, kind, name = token_parts(token)
     workspace = workspace_id if isinstance(workspace_id, Column) else F.lit(workspace_id)
-    # Rows without an item placeholder carry their own text as the name: it spreads
-    # them over the partitions, and the empty type matches no item.
-    keyed = df.select(
-        *[_col(c) for c in df.columns],
-        F.when(is_item, kind).otherwise(F.lit("")).alias("_type"),
-        F.when(is_item, name).otherwise(token).alias("_name"),
-    )
-    found = lookup(
-        keyed, items, {"_type": "type", "_name": "display_name"}, default=None, alias="_found"
-    )
+    type_, name_, found = helpers(["type", "name", "found"], df)
+    # Rows without an item placeholder have a null key, which the lookup spreads.
+    keyed = df.withColumns({type_: F.when(is_item, kind), name_: F.when(is_item, name)})
+    looked = lookup(keyed, items, {type_: "type", name_: "display_name"}, default=None, alias=found)
     resolved = (
-        F.when(is_item, F.col("_found"))
-        .when(token == F.lit(WORKSPACE_TOKEN), workspace)
-        .otherwise(token)
+        F.when(is_item, _col(found)).when(token == F.lit(WORKSPACE_TOKEN), workspace).otherwise(token)
     )
-    return found.select(*[_col(c) for c in df.columns], resolved.alias(alias))
+    return looked.withColumn(alias, resolved).drop(type_, name_, found)
 
 
 def resolve_rules(rules: Sequence[Rule], items: DataFrame, workspace_id: str) -> list[Rule]:
     """Resolve the placeholders among the values of replacement rules.
 
     Only the items the rules name are read back, at most one row per placeholder.
-    An unknown item is an error.
+    An unknown item, and one without an id, is an error.
     """
     texts = sorted({value for _, values in rules for value in values.values()})
     spark = items.sparkSession
@@ -170,6 +173,7 @@ def resolve_rules(rules: Sequence[Rule], items: DataFrame, workspace_id: str) ->
         known = items.where(
             F.col("type").isin([k for k, _ in named])
             & F.col("display_name").isin([n for _, n in named])
+            & F.col("id").isNotNull()
         )
         rows = (
             known.groupBy("type", "display_name").agg(F.min("id").alias("id"))
@@ -198,16 +202,25 @@ def report_model(
     model_name: str = "dataset_name",
     alias: str | None = None,
 ) -> DataFrame:
-    """Reports with the name of the model they are built on; see also :func:`report_without_model`."""
+    """Reports with the name of the model they are built on.
+
+    Every report is either here or in :func:`report_without_model`. A model without a
+    name exists, so its reports are here with a null name; of several names of one model
+    the smallest wins.
+    """
+    alias = model_name if alias is None else alias
+    (found,) = helpers(["model"], reports)
+    # a struct orders by its first field, so a name comes before none
+    entry = F.struct(_col(model_name).isNull().alias("unnamed"), _col(model_name).alias("name"))
     named = lookup(
         reports.where(_col(report_key).isNotNull()),
-        models.where(_col(model_name).isNotNull()),
-        {report_key: model_key},
-        model_name,
+        models.select(_col(model_key).alias("key"), entry.alias("entry")),
+        {report_key: "key"},
+        "entry",
         default=None,
-        alias="_model",
-    ).where(F.col("_model").isNotNull())
-    return named.withColumnRenamed("_model", model_name if alias is None else alias)
+        alias=found,
+    ).where(_col(found).isNotNull())
+    return named.withColumn(alias, F.col(f"{found}.name")).drop(found)
 
 
 def report_without_model(
@@ -216,9 +229,10 @@ def report_without_model(
     report_key: str = "dataset_id",
     model_key: str = "dataset_id",
 ) -> DataFrame:
-    """Reports whose model does not exist."""
-    keys = models.select(_col(model_key).alias("_key"))
-    return reports.join(keys, _col(report_key) == F.col("_key"), "left_anti")
+    """Reports whose model does not exist, also those that name none."""
+    (key,) = helpers(["key"], reports)
+    keys = models.select(_col(model_key).alias(key))
+    return reports.join(keys, _col(report_key) == _col(key), "left_anti")
 
 
 def exclude(df: DataFrame, excluded: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -233,11 +247,15 @@ def publish(
     types: Iterable[str] | None = None,
     type_column: str = "type",
 ) -> DataFrame:
-    """The target after publishing: in-scope source items overwrite or join its own."""
+    """The target after publishing: in-scope source items overwrite or join its own.
+
+    Keys are compared null-safe. The result has one row per key of the source: of
+    several source rows with a key the smallest one, column by column, is published.
+    """
     if types is not None:
         source = in_scope(source, types, type_column)
-    kept = target.join(source.select(*key), list(key), "left_anti")
-    return source.unionByName(kept.select(*source.columns))
+    kept = _without(target, source, key).select(*[_col(c) for c in source.columns])
+    return _one_per_key(source, key).unionByName(kept)
 
 
 def orphans(
@@ -247,7 +265,23 @@ def orphans(
     types: Iterable[str] | None = None,
     type_column: str = "type",
 ) -> DataFrame:
-    """In-scope target items that the source does not have."""
+    """In-scope target items that the source does not have; keys are compared null-safe."""
     if types is not None:
         target = in_scope(target, types, type_column)
-    return target.join(source.select(*key), list(key), "left_anti")
+    return _without(target, source, key)
+
+
+def _without(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose key, nulls included, the other table has not."""
+    names = helpers([f"key{i}" for i in range(len(key))], df)
+    theirs = other.select(*[_col(c).alias(n) for n, c in zip(names, key, strict=True)])
+    condition = [_col(c).eqNullSafe(_col(n)) for n, c in zip(names, key, strict=True)]
+    return df.join(theirs, condition, "left_anti")
+
+
+def _one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The smallest row of each key, by a minimum that combines before the shuffle."""
+    (row,) = helpers(["row"], df)
+    whole = F.struct(*[_col(c) for c in df.columns])
+    first = df.groupBy(*[_col(c) for c in key]).agg(F.min(whole).alias(row))
+    return first.select(*[F.col(f"{row}.`{c}`").alias(c) for c in df.columns])

@@ -30,24 +30,16 @@ from lakemart.functions.text import (
     base64_payload,
     close_pairs,
     replace_by_environment,
-    swap_values,
 )
-from lakemart.operators.catalog import lookup, rebind, resolve_ref
-from lakemart.operators.joins import first_match, is_small
+from lakemart.operators.catalog import lookup, rebind_map, resolve_ref
+from lakemart.operators.joins import first_match, helpers
 
 # Levels of a document searched by exploding; what lies deeper is searched within the row.
 EXPLODED_LEVELS = 12
 
-# Pair lists up to this length become a CASE expression, longer ones a join.
-MAX_CASE_PAIRS = 50
-
 # Item types whose references in pipelines are rewritten.
 PIPELINE_TYPES = ("Warehouse", "Lakehouse", "Notebook")
 
-# Where notebooks keep their attached items.
-LAKEHOUSE_PATH = "$.metadata.dependencies.lakehouse"
-WAREHOUSE_PATH = "$.metadata.dependencies.warehouse"
-
 # Names in an update request.
 PIPELINE_PART = "pipeline-content.json"
 PAYLOAD_TYPE = "InlineBase64"
@@ -74,46 +66,61 @@ def find_replace(
 
 def find_key(
     docs: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     body: str = "body",
     alias: str = "value",
     levels: int = EXPLODED_LEVELS,
+    key_alias: str | None = None,
 ) -> DataFrame:
     """One row per value stored under ``key`` at any depth, matches inside matches too.
 
-    Every document is parsed once and taken apart level by level with a generator,
-    in one stage without a shuffle. Matches found on the way ride along in an array,
-    on the first child of the node. Nodes left after ``levels`` levels are searched
-    to their end within the row, so no depth is cut off. The other columns of
-    ``docs`` travel along (select those needed first), the body is dropped; text that
-    is not JSON gives no rows (see :func:`malformed`).
+    Several keys are searched in one pass; ``key_alias`` names a column that tells which
+    key a value was found under. Every document is parsed once and taken apart level by
+    level with a generator, in one stage without a shuffle. Matches found on the way
+    ride along in an array, on the first child of the node. Nodes left after ``levels``
+    levels are searched to their end within the row, so no depth is cut off. The other
+    columns of ``docs`` travel along (select those needed first), the body is dropped.
+
+    Text that Spark's parser refuses gives no rows here: not JSON, nested deeper than
+    1,000 levels, or too long. :func:`malformed` lists these documents, so the two
+    together account for all. A key twice in an object would be refused, too, unless the
+    session allows it; the search asks for ``spark.sql.variant.allowDuplicateKeys``.
     """
-    kept = [_col(c) for c in docs.columns if c != body]
-    nothing = F.array().cast("array<variant>")
-    found = docs.where(may_contain(_col(body), [key])).select(
-        *kept,
-        F.try_parse_json(_col(body)).alias("_node"),
-        nothing.alias("_hits"),
+    if docs.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys") != "true":
+        raise ValueError("set spark.sql.variant.allowDuplicateKeys: repeated keys would be lost")
+    keys = [key] if isinstance(key, str) else list(key)
+    others = [c for c in docs.columns if c != body]
+    kept = [_col(c) for c in others]
+    node, hits, pos, name, child = helpers(["node", "hits", "pos", "name", "child"], docs)
+    nothing = F.array().cast("array<struct<key:string,node:variant>>")
+    found = docs.where(may_contain(_col(body), *[[k] for k in keys])).select(
+        *kept, F.try_parse_json(_col(body)).alias(node), nothing.alias(hits)
     )
     for _ in range(levels):
-        children = docs.sparkSession.tvf.variant_explode_outer(F.col("_node").outer())
-        first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-        inherited = F.when(first, F.col("_hits")).otherwise(nothing)
+        children = docs.sparkSession.tvf.variant_explode_outer(F.col(node).outer())
+        first = F.coalesce(F.col(pos), F.lit(0)) == 0
+        inherited = F.when(first, F.col(hits)).otherwise(nothing)
+        hit = F.array(F.struct(F.col(name).alias("key"), F.col(child).alias("node")))
         found = (
-            found.lateralJoin(children.toDF("_pos", "_name", "_child"))
+            found.lateralJoin(children.toDF(pos, name, child))
             .select(
                 *kept,
-                F.col("_child").alias("_node"),
-                F.when(F.col("_name") == key, F.concat(inherited, F.array("_child")))
+                F.col(child).alias(node),
+                F.when(F.col(name).isin(keys), F.concat(inherited, hit))
                 .otherwise(inherited)
-                .alias("_hits"),
+                .alias(hits),
             )
-            .where(F.col("_node").isNotNull() | (F.size("_hits") > 0))
+            .where(F.col(node).isNotNull() | (F.size(hits) > 0))
         )
-    hits = F.when(F.col("_node").isNull(), F.col("_hits")).otherwise(
-        F.concat(F.col("_hits"), find_nodes(F.col("_node"), key))
+    rest = F.when(F.col(node).isNull(), F.col(hits)).otherwise(
+        F.concat(F.col(hits), find_nodes(F.col(node), keys))
+    )
+    (hit_,) = helpers(["hit"], docs)
+    exploded = found.select(*kept, F.explode(rest).alias(hit_))
+    named = [] if key_alias is None else [F.col(f"{hit_}.key").alias(key_alias)]
+    return exploded.select(
+        *[_col(c) for c in others if c not in (alias, key_alias)], *named, F.col(f"{hit_}.node").alias(alias)
     )
-    return found.select(*kept, F.explode(hits).alias(alias))
 
 
 def malformed(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -143,18 +150,15 @@ def swap(
 ) -> DataFrame:
     """Replace values by an ordered list of (from, to) pairs; later pairs see earlier results.
 
-    The list is closed to a one-step map first, so a row costs one lookup no
-    matter how many pairs there are.
+    The list is closed to a one-step map first and looked up as a literal map, so a
+    row costs one lookup however many pairs there are. No job, no join.
     """
-    closed = close_pairs(pairs)
-    if len(closed) <= MAX_CASE_PAIRS:
-        return df.withColumn(alias or column, swap_values(_col(column), closed))
-    mapping = df.sparkSession.createDataFrame(list(closed.items()), "_from string, _to string")
-    if is_small(mapping):
-        mapping = F.broadcast(mapping)
-    joined = df.join(mapping, _col(column) == F.col("_from"), "left")
-    swapped = F.coalesce(F.col("_to"), _col(column))
-    return joined.withColumn(alias or column, swapped).drop("_from", "_to")
+    closed = {old: new for old, new in close_pairs(pairs).items() if old != new}
+    if not closed:
+        return df.withColumn(alias or column, _col(column))
+    # two array literals: an expression of one size for any number of pairs
+    mapping = F.map_from_arrays(F.lit(list(closed)), F.lit(list(closed.values())))
+    return df.withColumn(alias or column, F.coalesce(mapping[_col(column)], _col(column)))
 
 
 def resolve_pairs(
@@ -187,16 +191,25 @@ _REFERENCES_ARROW = pa.list_(pa.struct([("type", pa.string()), ("old_id", pa.str
 def _item_edits(
     source_items: DataFrame, target_items: DataFrame, types: Sequence[str]
 ) -> DataFrame:
-    """(type, old_id, new_id, endpoint): per old id and wanted type, the target item of that name."""
+    """(type, old_id, new_id, endpoint): per wanted type and old id, the target item of that name.
+
+    One row per type and old id, also where a source id has several names: the smallest
+    new id wins, as everywhere.
+    """
     endpoint = _col("endpoint") if "endpoint" in target_items.columns else F.lit(None)
     target = first_match(
         target_items.where(_col("type").isin(list(types))),
-        keys={"_type": _col("type"), "_name": _col("display_name")},
+        keys={"type": _col("type"), "name": _col("display_name")},
         values={"new_id": _col("id"), "endpoint": endpoint.cast("string")},
         order=[_col("id")],
     )
-    return source_items.join(target, _col("display_name") == F.col("_name")).select(
-        F.col("_type").alias("type"), _col("id").alias("old_id"), "new_id", "endpoint"
+    source = source_items.select(_col("id").alias("old_id"), _col("display_name").alias("old_name"))
+    paired = source.join(target, F.col("old_name") == F.col("name"))
+    return first_match(
+        paired,
+        keys={"type": F.col("type"), "old_id": F.col("old_id")},
+        values={"new_id": F.col("new_id"), "endpoint": F.col("endpoint")},
+        order=[F.col("new_id")],
     )
 
 
@@ -207,83 +220,79 @@ def rewrite_pipelines(
     workspace_id: str,
     pairs: Sequence[tuple[str, str]] = (),
     types: Sequence[str] = PIPELINE_TYPES,
-    key: str = "doc_id",
     body: str = "body",
-    max_map_rows: int = 100_000,
 ) -> DataFrame:
     """Point the references inside pipeline definitions to the target workspace.
 
     At any depth: linked services and notebook activities outside the workspace get
     the id of the target item of the same name (warehouses their endpoint too), and
-    external connections are swapped by the ordered ``pairs``. Adds ``new_body`` (the old text where nothing changed), ``changed``,
-    ``unresolved`` (type:id of items without a counterpart, left alone) and ``error``
-    (of a document that names something to rewrite, but is not JSON).
-
-    A source catalog measured to be within ``max_map_rows`` travels with the UDF, and
-    the documents are read in a single stage. A larger one stays distributed: ids
-    found in the documents are joined to it, and each document gets its own edits.
+    external connections are swapped by the ordered ``pairs``. Adds ``new_body`` (the
+    old text where nothing changed), ``changed``, ``unresolved`` (type:id of items
+    without a counterpart, left alone) and ``error`` (of a document that names
+    something to rewrite, but cannot be read). Columns of these names are replaced.
+
+    The ids found in the documents are joined to the catalogs, and the edits go back to
+    the documents by a digest of their text: they depend on nothing else, so no key
+    column is needed and equal texts share them. Documents that name nothing to rewrite
+    take no part in that; their texts are not shuffled.
     """
     wanted = frozenset(types)
     swaps = close_pairs(pairs)
-    source = source_items.select("id", "display_name")
-    edits = _item_edits(source, target_items, types)
+    edits = _item_edits(source_items, target_items, types)
     groups = (*ITEM_KEYS, *CONNECTION_KEYS) if swaps else ITEM_KEYS
-    candidate = F.when(may_contain(_col(body), *groups), _col(body))
+    may_change = F.coalesce(may_contain(_col(body), *groups), F.lit(False))
+    digest, own, edited = helpers(["digest", "own", "edited"], docs)
 
-    def edit(text: str | None, known: Edits) -> Edited:
-        return edit_text(
-            text, lambda tree: rewrite_pipeline(tree, workspace_id, wanted, known, swaps)
-        )
+    @F.arrow_udf(REFERENCES)
+    def references(bodies: pa.Array) -> pa.Array:
+        rows = [references_in(b, workspace_id, wanted) for b in bodies.to_pylist()]
+        return pa.array(rows, _REFERENCES_ARROW)
 
-    if is_small(source, max_map_rows) and is_small(edits, max_map_rows * len(types)):
-        kinds, old_ids, new_ids, endpoints = (c.to_pylist() for c in edits.toArrow().columns)
-        known_edits = dict(zip(zip(kinds, old_ids), zip(new_ids, endpoints)))
-
-        @F.arrow_udf(EDITED)
-        def rewrite(bodies: pa.Array) -> pa.Array:
-            return edited_array([edit(text, known_edits) for text in bodies.to_pylist()])
-
-        edited = docs.withColumn("_edited", rewrite(candidate))
-    else:
-
-        @F.arrow_udf(REFERENCES)
-        def references(bodies: pa.Array) -> pa.Array:
-            rows = [references_in(b, workspace_id, wanted) for b in bodies.to_pylist()]
-            return pa.array(rows, _REFERENCES_ARROW)
-
-        @F.arrow_udf(EDITED)
-        def rewrite_with(bodies: pa.Array, own: pa.Array) -> pa.Array:
-            rows = []
-            for text, entries in zip(bodies.to_pylist(), own.to_pylist()):
-                known = {
-                    (e["type"], e["old_id"]): (e["new_id"], e["endpoint"]) for e in entries or []
-                }
-                rows.append(edit(text, known))
-            return edited_array(rows)
-
-        uses = (
-            docs.select(_col(key).alias("_doc"), candidate.alias("_body"))
-            .where(F.col("_body").isNotNull())
-            .select("_doc", F.inline(references(F.col("_body"))))
-        )
-        # Neither side is known to be small, whatever the file sizes suggest: sort and
-        # merge. A document's own references are no more than its text holds.
-        per_doc = (
-            uses.join(edits.hint("merge"), ["type", "old_id"])
-            .groupBy("_doc")
-            .agg(F.collect_list(F.struct("type", "old_id", "new_id", "endpoint")).alias("_own"))
-        )
-        edited = (
-            docs.join(per_doc, _col(key) == F.col("_doc"), "left")
-            .withColumn("_edited", rewrite_with(candidate, F.col("_own")))
+    @F.arrow_udf(EDITED)
+    def rewrite(bodies: pa.Array, known: pa.Array) -> pa.Array:
+        rows = []
+        for text, entries in zip(bodies.to_pylist(), known.to_pylist(), strict=True):
+            mine: Edits = {
+                (e["type"], e["old_id"]): (e["new_id"], e["endpoint"]) for e in entries or []
+            }
+            edit = lambda tree: rewrite_pipeline(tree, workspace_id, wanted, mine, swaps)
+            rows.append(edit_text(text, edit))
+        return edited_array(rows)
+
+    def finished(df: DataFrame, result: Column | None) -> DataFrame:
+        nothing = F.lit(None).cast(EDITED)
+        df = df.withColumn(edited, nothing if result is None else result)
+        added = {
+            "new_body": F.coalesce(F.col(f"{edited}.body"), _col(body)),
+            "changed": F.col(f"{edited}.body").isNotNull(),
+            "unresolved": F.coalesce(F.col(f"{edited}.unresolved"), F.array().cast("array<string>")),
+            "error": F.col(f"{edited}.error"),
+        }
+        return df.select(
+            *[_col(c) for c in docs.columns if c not in added],
+            *[c.alias(name) for name, c in added.items()],
         )
-    return edited.select(
-        *[_col(c) for c in docs.columns],
-        F.coalesce(F.col("_edited.body"), _col(body)).alias("new_body"),
-        F.col("_edited.body").isNotNull().alias("changed"),
-        F.col("_edited.unresolved").alias("unresolved"),
-        F.col("_edited.error").alias("error"),
+
+    readable = docs.where(may_change).withColumn(digest, F.sha2(_col(body), 256))
+    uses = readable.select(F.col(digest).alias("digest"), F.inline(references(_col(body)))).distinct()
+    known = (
+        uses.join(edits.withColumnsRenamed({"type": "kind", "old_id": "id"}), [F.col("type") == F.col("kind"), F.col("old_id") == F.col("id")])
+        .groupBy("digest")
+        .agg(F.collect_list(F.struct("type", "old_id", "new_id", "endpoint")).alias(own))
+        .withColumnRenamed("digest", digest)
     )
+    joined = readable.join(known, digest, "left")
+    changed = finished(joined, rewrite(_col(body), F.col(own)))
+    return finished(docs.where(~may_change), None).unionByName(changed)
+
+
+NOTEBOOK = """struct<metadata:struct<dependencies:struct<
+    lakehouse:struct<default_lakehouse_name:string,default_lakehouse_workspace_id:string,
+        known_lakehouses:string>,
+    warehouse:struct<default_warehouse:string>>>,_unread:string>"""
+
+# What a notebook must contain for something to be repaired.
+NOTEBOOK_KEYS = (("lakehouse", "default_lakehouse_name"), ("warehouse", "default_warehouse"))
 
 
 def repair_notebooks(
@@ -298,57 +307,83 @@ def repair_notebooks(
     The default lakehouse is found by its name, the default warehouse by the name
     its id has in the source. Attached lakehouses all become the default one,
     attached warehouses only where they were the old default. Items that are not
-    found leave their part as it is. Adds ``new_body`` and ``changed``; only
-    notebooks that will change reach Python.
+    found leave their part as it is. Adds ``new_body``, ``changed``, ``unresolved``
+    (type:name of lakehouses and type:id of warehouses without a counterpart) and
+    ``error`` (of a notebook that cannot be read); columns of these names are replaced.
+
+    A notebook's fields are read once; those that name nothing take no part in the
+    lookups. Only notebooks that will change, or that the JVM cannot read, reach Python.
     """
-    name = F.get_json_object(_col(body), f"{LAKEHOUSE_PATH}.default_lakehouse_name")
-    home = F.get_json_object(_col(body), f"{LAKEHOUSE_PATH}.default_lakehouse_workspace_id")
-    known = F.from_json(
-        F.get_json_object(_col(body), f"{LAKEHOUSE_PATH}.known_lakehouses"),
-        "array<struct<id:string>>",
+    may_change = F.coalesce(may_contain(_col(body), *NOTEBOOK_KEYS), F.lit(False))
+    fields, lakehouse, warehouse, old, edited = helpers(
+        ["fields", "lakehouse", "warehouse", "old_warehouse", "edited"], docs
+    )
+    read = F.from_json(_col(body), NOTEBOOK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    home = f"{fields}.metadata.dependencies"
+    items = docs.where(may_change).withColumn(fields, read)
+    (name,) = helpers(["lakehouse_name"], items)
+    items = items.withColumns(
+        {
+            name: F.col(f"{home}.lakehouse.default_lakehouse_name"),
+            old: F.col(f"{home}.warehouse.default_warehouse"),
+        }
     )
-    warehouse = F.get_json_object(_col(body), f"{WAREHOUSE_PATH}.default_warehouse")
-
-    items = docs.withColumns({"_lakehouse_name": name, "_old_warehouse": warehouse})
     items = lookup(
         items,
         target_items.where(_col("type") == "Lakehouse"),
-        {"_lakehouse_name": "display_name"},
+        {name: "display_name"},
         default=None,
-        alias="_lakehouse",
+        alias=lakehouse,
     )
-    items = rebind(
-        items,
-        "_old_warehouse",
-        source_items.select("id", "display_name"),
-        target_items.where(_col("type") == "Warehouse"),
-        alias="_warehouse",
-        by=["display_name"],
-    )
-    moved = ~home.eqNullSafe(F.lit(workspace_id)) | any_differs(known, F.col("_lakehouse"))
-    needed = (F.col("_lakehouse").isNotNull() & moved) | (
-        F.col("_warehouse").isNotNull() & (F.col("_warehouse") != F.col("_old_warehouse"))
+    # an id of the target stays what it is
+    targets = target_items.where(_col("type") == "Warehouse").select("id", "display_name")
+    mapping = rebind_map(source_items.select("id", "display_name"), targets, ["display_name"])
+    stays = targets.select(F.col("id").alias("old_id"), F.col("id").alias("new_id"))
+    items = lookup(items, mapping.union(stays), {old: "old_id"}, "new_id", default=None, alias=warehouse)
+    known = F.from_json(F.col(f"{home}.lakehouse.known_lakehouses"), "array<struct<id:string>>")
+    moved = ~F.col(f"{home}.lakehouse.default_lakehouse_workspace_id").eqNullSafe(
+        F.lit(workspace_id)
+    ) | any_differs(known, F.col(lakehouse))
+    needed = (
+        (F.col(lakehouse).isNotNull() & moved)
+        | (F.col(warehouse).isNotNull() & (F.col(warehouse) != F.col(old)))
+        | F.col(f"{fields}._unread").isNotNull()
+        | F.col(f"{fields}.metadata").isNull()
     )
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(EDITED)
     def rewrite(bodies: pa.Array, lakehouses: pa.Array, warehouses: pa.Array) -> pa.Array:
         rows = []
-        for text, lh, wh in zip(bodies.to_pylist(), lakehouses.to_pylist(), warehouses.to_pylist()):
-            new_text, _, _ = edit_text(
-                text, lambda tree: (rewrite_notebook(tree, workspace_id, lh, wh), [])
-            )
-            rows.append(new_text)
-        return pa.array(rows, pa.string())
+        columns = (bodies.to_pylist(), lakehouses.to_pylist(), warehouses.to_pylist())
+        for text, lh, wh in zip(*columns, strict=True):
+            edit = lambda tree: (rewrite_notebook(tree, workspace_id, lh, wh), [])  # noqa: E731, B023
+            rows.append(edit_text(text, edit))
+        return edited_array(rows)
+
+    def finished(df: DataFrame, result: Column | None, missing: Column | None) -> DataFrame:
+        nothing = F.lit(None).cast(EDITED)
+        df = df.withColumn(edited, nothing if result is None else result)
+        none = F.array().cast("array<string>")
+        added = {
+            "new_body": F.coalesce(F.col(f"{edited}.body"), _col(body)),
+            "changed": F.col(f"{edited}.body").isNotNull(),
+            "unresolved": none if missing is None else missing,
+            "error": F.col(f"{edited}.error"),
+        }
+        return df.select(
+            *[_col(c) for c in docs.columns if c not in added],
+            *[c.alias(label) for label, c in added.items()],
+        )
 
-    edited = items.withColumn(
-        "_edited",
-        rewrite(F.when(needed, _col(body)), F.col("_lakehouse"), F.col("_warehouse")),
-    )
-    return edited.select(
-        *[_col(c) for c in docs.columns],
-        F.coalesce(F.col("_edited"), _col(body)).alias("new_body"),
-        F.col("_edited").isNotNull().alias("changed"),
+    missing = F.filter(
+        F.array(
+            F.when(F.col(lakehouse).isNull(), F.concat(F.lit("Lakehouse:"), F.col(name))),
+            F.when(F.col(warehouse).isNull(), F.concat(F.lit("Warehouse:"), F.col(old))),
+        ),
+        lambda x: x.isNotNull(),
     )
+    result = rewrite(F.when(needed, _col(body)), F.col(lakehouse), F.col(warehouse))
+    return finished(docs.where(~may_change), None, None).unionByName(finished(items, result, missing))
 
 
 def package(

@@ -1,10 +1,9 @@
-"""How catalogs are made unique and joined to big tables.
+"""How catalogs are made unique and joined to big tables, and names for helper columns.
 
-No join here is told to broadcast unless the broadcast side was measured. Without
-a hint Spark decides by size, and beyond the limit it sorts and merges, where
-adaptive execution splits hot keys. It can only do that when both inputs of the
-join come straight from a shuffle, which is why :func:`first_match` groups by a
-hash next to the key: the result is not already partitioned by the key, so the
+No join here is told to broadcast: adaptive execution does so when a side turns out to
+be small, and otherwise sorts, merges and splits hot keys. It can only split when both
+inputs of the join come straight from a shuffle, which is why :func:`first_match` groups
+by a hash next to the key: the result is not already partitioned by the key, so the
 (small) catalog side is shuffled once more instead of blocking the split.
 """
 
@@ -15,8 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+
+def helpers(names: Sequence[str], *frames: DataFrame) -> list[str]:
+    """Names for helper columns that none of the frames has, whatever their case."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    found = []
+    for name in names:
+        new, n = f"_{name}", 0
+        while new.lower() in taken:
+            n += 1
+            new = f"_{name}_{n}"
+        taken.add(new.lower())
+        found.append(new)
+    return found
 
 
 def first_match(
@@ -24,30 +34,27 @@ def first_match(
 ) -> DataFrame:
     """One row per key: the values of the row that comes first by ``order``.
 
-    Rows without an order are no candidates; equal ones are told apart by their values.
+    Rows without an order or with a null key are no candidates; equal ones are told
+    apart by their values.
     """
-    ranks = {f"_rank{i}": c for i, c in enumerate(order)}
-    rows = catalog.select(
-        F.xxhash64(*keys.values()).alias("_spread"),
-        *[c.alias(name) for name, c in {**keys, **ranks, **values}.items()],
+    ranks = [f"rank{i}" for i in range(len(order))]
+    key = F.struct(*[c.alias(f"key{i}") for i, c in enumerate(keys.values())])
+    value = F.struct(
+        *[c.alias(name) for name, c in zip(ranks, order, strict=True)],
+        *[c.alias(f"value{i}") for i, c in enumerate(values.values())],
     )
+    rows = catalog.select(key.alias("key"), value.alias("value"))
+    for i in range(len(keys)):
+        rows = rows.where(F.col(f"key.key{i}").isNotNull())
     for rank in ranks:
-        rows = rows.where(F.col(rank).isNotNull())
-    first = F.min(F.struct(*ranks, *values)).alias("_first")
-    return (
-        rows.groupBy("_spread", *keys)
-        .agg(first)
-        .select(*keys, *[F.col(f"_first.{name}").alias(name) for name in values])
+        rows = rows.where(F.col(f"value.{rank}").isNotNull())
+    rows = rows.select(
+        *[F.col(f"key.key{i}").alias(f"key{i}") for i in range(len(keys))],
+        F.xxhash64("key", F.lit(0)).alias("spread"),
+        "value",
     )
-
-
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Measure a table: are its rows and text bytes few enough to broadcast?"""
-    width = sum(
-        (F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns),
-        F.lit(0),
+    found = rows.groupBy("spread", *[f"key{i}" for i in range(len(keys))]).agg(F.min("value").alias("first"))
+    return found.select(
+        *[F.col(f"key{i}").alias(name) for i, name in enumerate(keys)],
+        *[F.col(f"first.value{i}").alias(name) for i, name in enumerate(values)],
     )
-    measured = df.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("size")
-    ).first()
-    return measured["n"] <= max_rows and measured["size"] <= MAX_BROADCAST_BYTES

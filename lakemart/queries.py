@@ -218,9 +218,8 @@ def d18_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(
         F.lower("c_mktsegment")
     )
-    return (
-        table(spark, sf_dir, "customer").groupBy(segment.alias("segment")).agg(F.count("*").alias("n"))
-    )
+    rows = table(spark, sf_dir, "customer").select(segment.alias("segment"), F.lit(1).alias("one"))
+    return plans.sum_by_category(rows, "segment", "one", measure_name="n", ordered=False)
 
 
 @query(
@@ -425,13 +424,16 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
+    """Models, some of them without a name and some twice."""
+    models = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
+    name = F.when(F.col("c_custkey") % 7 != 0, F.col("c_name"))
+    return models.withColumn("c_name", name).unionByName(models.where("c_custkey % 5 = 0"))
 
 
 @query(
     "r11_report_model",
     """
-    SELECT o_orderkey, o_custkey, c_name
+    SELECT o_orderkey, o_custkey, CASE WHEN c_custkey % 7 <> 0 OR c_custkey % 5 = 0 THEN c_name END AS c_name
     FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'
     """,
 )
@@ -474,18 +476,26 @@ def r12_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "r15_publish",
     """
-    SELECT c_custkey, c_mktsegment, 'source' AS origin FROM customer
-    WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+    WITH keyed AS (SELECT CASE WHEN c_custkey % 50 <> 0 THEN c_custkey // 2 END AS c_custkey,
+                          c_custkey AS number, c_mktsegment FROM customer),
+    source AS (SELECT c_custkey, min(c_mktsegment) AS c_mktsegment FROM keyed
+               WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_custkey)
+    SELECT c_custkey, c_mktsegment, 'source' AS origin FROM source
     UNION ALL
-    SELECT c_custkey, c_mktsegment, 'target' AS origin FROM customer
-    WHERE c_custkey % 2 = 0 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+    SELECT c_custkey, c_mktsegment, 'target' AS origin FROM keyed t
+    WHERE number % 2 = 0
+      AND NOT EXISTS (SELECT 1 FROM source s WHERE s.c_custkey IS NOT DISTINCT FROM t.c_custkey)
     """,
 )
 def r15_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    # keys that are null, and two rows with each key
+    halved = F.when(F.col("c_custkey") % 50 != 0, F.floor(F.col("c_custkey") / 2))
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("number"), halved.alias("c_custkey"), "c_mktsegment"
+    )
     return ops.publish(
-        customers.withColumn("origin", F.lit("source")),
-        customers.where("c_custkey % 2 = 0").withColumn("origin", F.lit("target")),
+        customers.drop("number").withColumn("origin", F.lit("source")),
+        customers.where("number % 2 = 0").drop("number").withColumn("origin", F.lit("target")),
         key=["c_custkey"],
         types=["BUILDING", "MACHINERY"],
         type_column="c_mktsegment",
@@ -495,19 +505,23 @@ def r15_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "r16_orphans",
     """
-    SELECT DISTINCT o_custkey, o_orderstatus FROM orders
-    WHERE o_orderstatus = 'F'
-      AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+    SELECT DISTINCT o_custkey, o_orderstatus
+    FROM (SELECT CASE WHEN o_custkey % 9 <> 0 THEN o_custkey END AS o_custkey, o_orderstatus FROM orders) o
+    WHERE o_orderstatus = 'F' AND NOT EXISTS (
+        SELECT 1 FROM (SELECT CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS k
+                       FROM customer WHERE c_mktsegment = 'BUILDING') c
+        WHERE k IS NOT DISTINCT FROM o.o_custkey)
     """,
 )
 def r16_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some keys are null on both sides, and many of the source are there more than once."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey")).alias("o_custkey"), "o_orderstatus"
+    )
     building = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    keys = building.select(F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")).alias("o_custkey"))
     return ops.orphans(
-        table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus").distinct(),
-        building.select(F.col("c_custkey").alias("o_custkey")),
-        key=["o_custkey"],
-        types=["F"],
-        type_column="o_orderstatus",
+        orders.distinct(), keys.union(keys), key=["o_custkey"], types=["F"], type_column="o_orderstatus"
     )
 
 
@@ -603,6 +617,26 @@ def r05_find_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.find_key(docs, "ref").select("o_orderkey", F.to_json("value").alias("found"))
 
 
+@query(
+    "r05_find_keys",
+    """
+    WITH docs AS (SELECT o_orderkey, '{"ls":{"ref":' || o_custkey || '},"xs":[{"id":' || o_orderkey
+                                     || '},{"y":{"ref":{"id":7}}}]}' AS j FROM orders)
+    SELECT o_orderkey, 'ref' AS key, CAST(unnest(json_extract(j, '$..ref')) AS VARCHAR) AS found FROM docs
+    UNION ALL
+    SELECT o_orderkey, 'id' AS key, CAST(unnest(json_extract(j, '$..id')) AS VARCHAR) AS found FROM docs
+    """,
+)
+def r05_find_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = _text(
+        '{"ls":{"ref":', F.col("o_custkey"), '},"xs":[{"id":', F.col("o_orderkey"),
+        '},{"y":{"ref":{"id":7}}}]}',
+    )
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    found = ops.find_key(docs, ["ref", "id"], key_alias="key")
+    return found.select("o_orderkey", "key", F.to_json("value").alias("found"))
+
+
 @query(
     "r05_find_event_key",
     "SELECT event_id, CAST(unnest(json_extract(props, '$..k')) AS VARCHAR) AS found FROM events",
@@ -666,7 +700,7 @@ def pipeline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _rewritten(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     source = customers.select(
         _text("item-", F.col("c_custkey")).alias("id"), F.col("c_name").alias("display_name")
@@ -684,9 +718,7 @@ def _rewritten(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
         ("3-MEDIUM", "1-URGENT"),
         ("5-LOW", "4-NOT SPECIFIED"),
     ]
-    docs = ops.rewrite_pipelines(
-        pipeline_docs(spark, sf_dir), source, target, "ws-0", pairs, **options
-    )
+    docs = ops.rewrite_pipelines(pipeline_docs(spark, sf_dir), source, target, "ws-0", pairs)
     copy, notebook = "$.properties.activities[0]", "$.properties.activities[1].typeProperties"
     linked = f"{copy}.typeProperties.sink.linkedService.properties.typeProperties"
     paths = {
@@ -740,11 +772,6 @@ def r06_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir)
 
 
-@query("r06_rewrite_large_catalog", REWRITE_SQL)
-def r06_rewrite_large_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rewritten(spark, sf_dir, max_map_rows=0)
-
-
 @query(
     "r07_array",
     """
@@ -840,6 +867,44 @@ def r07_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "r07_notebook_errors",
+    """
+    SELECT c_custkey AS doc_id, c_custkey % 4 = 1 AS changed,
+           CASE WHEN c_custkey % 4 >= 2 THEN 'JSONDecodeError' END AS error,
+           CASE WHEN c_custkey % 4 = 0 THEN 'Lakehouse:nobody' ELSE '' END AS unresolved
+    FROM customer
+    """,
+)
+def r07_notebook_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebooks without a counterpart, with text behind their end, and cut off."""
+    form = F.col("c_custkey") % 4
+    known = F.format_string("Supplier#%09d", F.col("c_custkey") % 10 + 1)
+    name = F.when(form == 0, F.lit("nobody")).otherwise(known)
+    lakehouse = F.struct(
+        F.lit("old-lh").alias("default_lakehouse"),
+        name.alias("default_lakehouse_name"),
+        F.lit("ws-1").alias("default_lakehouse_workspace_id"),
+    )
+    dependencies = F.struct(lakehouse.alias("lakehouse"))
+    body = F.to_json(F.struct(F.struct(dependencies.alias("dependencies")).alias("metadata")))
+    broken = F.when(form == 2, _text(body, " and more")).when(
+        form == 3, F.substring(body, 1, F.length(body) - 2)
+    )
+    docs = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), F.coalesce(broken, body).alias("body")
+    )
+    target = table(spark, sf_dir, "supplier").select(
+        _text("lh-", F.col("s_suppkey")).alias("id"),
+        F.col("s_name").alias("display_name"),
+        F.lit("Lakehouse").alias("type"),
+    )
+    repaired = ops.repair_notebooks(docs, target.where("false"), target, "ws-0")
+    return repaired.select(
+        "doc_id", "changed", "error", F.array_join("unresolved", ",").alias("unresolved")
+    )
+
+
 @query(
     "r09_swap",
     """
@@ -870,6 +935,20 @@ def r09_swap_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.swap(orders, "swapped", [(str(i), str(i + 1)) for i in range(60)])
 
 
+@query(
+    "r09_swap_short",
+    """
+    SELECT o_orderkey, CASE WHEN o_custkey < 20 THEN '20' ELSE CAST(o_custkey AS VARCHAR) END AS swapped
+    FROM orders
+    """,
+)
+def r09_swap_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("swapped")
+    )
+    return ops.swap(orders, "swapped", [(str(i), str(i + 1)) for i in range(20)])
+
+
 @query(
     "r09_swap_by_name",
     """
@@ -920,8 +999,10 @@ def r13_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT user_id, last_status,
            CASE WHEN last_status IN ('signup', 'view') THEN 'pending'
-                WHEN last_status = 'error' THEN 'failed' ELSE 'succeeded' END AS outcome
-    FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_status
+                WHEN last_status = 'error' THEN 'failed' ELSE 'succeeded' END AS outcome,
+           CASE WHEN last_status = 'error' THEN message END AS failure
+    FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_status,
+                 arg_max(props, (ts, event_id)) AS message
           FROM events GROUP BY user_id)
     """,
 )
@@ -934,4 +1015,5 @@ def r14_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         poll="event_id",
         pending=["signup", "view"],
         failed=["error"],
+        message="props",
     )

@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _counts_a_boolean(have: T.DataType, want: T.DataType) -> bool:
+    """Whether a cast would turn a boolean into a number, at any depth."""
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return _counts_a_boolean(have.elementType, want.elementType)
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        pairs = ((have.keyType, want.keyType), (have.valueType, want.valueType))
+        return any(_counts_a_boolean(a, b) for a, b in pairs)
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        return any(_counts_a_boolean(a.dataType, b.dataType) for a, b in zip(have, want))
+    return isinstance(have, T.BooleanType) and isinstance(want, T.NumericType)
+
+
 def convert(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Match ``df`` to ``schema`` by column name and cast each column.
 
     Lossy casts are allowed (2.9 becomes 2), values that do not fit raise under
-    ANSI. A boolean is not a number: such a column is refused while planning.
+    ANSI. A boolean is not a number: such a column is refused while planning, also
+    where the boolean lies inside an array, map or struct.
     Columns the sink does not have are left out; a missing one is an error.
     """
     have = {field.name: field.dataType for field in df.schema}
@@ -19,7 +32,7 @@ def convert(df: DataFrame, schema: T.StructType) -> DataFrame:
     if missing:
         raise ValueError(f"columns missing in the source: {missing}")
     for field in schema:
-        if isinstance(have[field.name], T.BooleanType) and isinstance(field.dataType, T.NumericType):
+        if _counts_a_boolean(have[field.name], field.dataType):
             raise TypeError(f"column {field.name}: a boolean is not converted to a number")
     return df.select(
         *[F.col(f"`{field.name}`").cast(field.dataType).alias(field.name) for field in schema]

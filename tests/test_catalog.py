@@ -196,3 +196,41 @@ def test_orphans_without_scope(spark):
     target = spark.createDataFrame([("A", "x"), ("B", "y")], "type string, display_name string")
     source = spark.createDataFrame([("A", "x")], "type string, display_name string")
     assert rows(ops.orphans(target, source)) == [("B", "y")]
+
+
+def test_resolve_tokens_reads_whole_texts(spark, items):
+    tokens = spark.createDataFrame([("$items.Lakehouse.bronze.id\n",), ("$items.Report.a\nb.id",)], "token string")
+    named = items.unionByName(spark.createDataFrame([("i10", "a\nb", "Report")], ITEMS))
+    assert row_set(ops.resolve_tokens(tokens, "token", named, "w")) == [
+        ("$items.Lakehouse.bronze.id\n", "$items.Lakehouse.bronze.id\n"),
+        ("$items.Report.a\nb.id", "i10"),
+    ]
+
+
+def test_items_without_id_resolve_nothing(spark, items):
+    with pytest.raises(ValueError, match="no such item"):
+        ops.resolve_rules([("x", {"dev": "$items.Notebook.ghost.id"})], items, "w1")
+    docs = spark.createDataFrame([("dev", "text")], "env string, body string")
+    with pytest.raises(ValueError, match="no text"):
+        ops.find_replace(docs, [("x", {"dev": None})], "env")
+
+
+def test_every_report_is_in_one_of_both(spark):
+    reports = spark.createDataFrame(
+        [("r1", "d1"), ("r2", "d2"), ("r3", "gone"), ("r4", None)], "name string, dataset_id string"
+    )
+    models = spark.createDataFrame(
+        [("d1", None), ("d2", None), ("d2", "b"), ("d2", "a"), (None, "x")], "dataset_id string, dataset_name string"
+    )
+    assert row_set(ops.report_model(reports, models)) == [("r1", "d1", None), ("r2", "d2", "a")]
+    assert row_set(ops.report_without_model(reports, models)) == [("r3", "gone"), ("r4", None)]
+
+
+def test_publish_and_orphans_with_null_and_repeated_keys(spark):
+    columns = "type string, display_name string, origin string"
+    source = spark.createDataFrame([("A", None, "s2"), ("A", None, "s1"), ("A", "x", "s"), (None, "y", "s")], columns)
+    target = spark.createDataFrame([("A", None, "t"), ("A", "x", "t"), (None, "y", "t"), (None, None, "t")], columns)
+    assert row_set(ops.publish(source, target)) == sorted(
+        [("A", None, "s1"), ("A", "x", "s"), (None, "y", "s"), (None, None, "t")], key=str
+    )
+    assert rows(ops.orphans(target, source)) == [(None, None, "t")]

@@ -228,13 +228,19 @@ PIPELINES = [
 ]
 
 
-@pytest.mark.parametrize("max_map_rows", [100_000, 0])
-def test_rewrite_pipelines(spark, catalogs, max_map_rows):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_rewrite_pipelines(spark, catalogs, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        check_rewrite_pipelines(spark, catalogs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def check_rewrite_pipelines(spark, catalogs):
     broken = '{"linkedService": {"artifactId":'
     docs = frame(spark, [*PIPELINES, broken, None])
-    got = ops.rewrite_pipelines(
-        docs, *catalogs, "w-tgt", [("A", "B"), ("B", "C")], max_map_rows=max_map_rows
-    )
+    got = ops.rewrite_pipelines(docs, *catalogs, "w-tgt", [("A", "B"), ("B", "C")])
     result = {r["doc_id"]: r for r in got.collect()}
     assert len(result) == len(PIPELINES) + 2
 
@@ -257,11 +263,8 @@ def test_rewrite_pipelines(spark, catalogs, max_map_rows):
     assert result[7]["new_body"] is None
 
 
-@pytest.mark.parametrize("max_map_rows", [100_000, 0])
-def test_rewrite_only_wanted_types(spark, catalogs, max_map_rows):
-    got = ops.rewrite_pipelines(
-        frame(spark, PIPELINES), *catalogs, "w-tgt", types=["Notebook"], max_map_rows=max_map_rows
-    )
+def test_rewrite_only_wanted_types(spark, catalogs):
+    got = ops.rewrite_pipelines(frame(spark, PIPELINES), *catalogs, "w-tgt", types=["Notebook"])
     assert [r["changed"] for r in got.orderBy("doc_id").collect()] == [True] + [False] * 5
 
 
@@ -341,3 +344,110 @@ def test_package_only_changed_on_one_line(spark):
             ]
         }
     }
+
+
+def test_rewriting_needs_no_key(spark, catalogs):
+    """Null, repeated and missing keys don't matter; source ids with several names take the smallest."""
+    source, target = catalogs
+    source = source.unionByName(spark.createDataFrame([("s-lake", "dw2", "Lakehouse"), ("s-lake", "bronze", "x")], ITEMS))
+    target = target.unionByName(spark.createDataFrame([("a-first", "dw2", "Lakehouse", None)], target.schema))
+    body = json.dumps(linked("Lakehouse", "s-lake", "w-src"))
+    docs = spark.createDataFrame([(None, body), (None, body), (1, body), (1, "{}")], "doc_id int, body string")
+    got = ops.rewrite_pipelines(docs, source, target, "w-tgt")
+    assert sorted(r["changed"] for r in got.collect()) == [False, True, True, True]
+    new = {r["new_body"] for r in got.where("changed").collect()}
+    assert [json.loads(t)["linkedService"]["properties"]["typeProperties"]["artifactId"] for t in new] == ["a-first"]
+    alone = ops.rewrite_pipelines(docs.select("body"), source, target, "w-tgt")
+    assert alone.columns == ["body", "new_body", "changed", "unresolved", "error"]
+    assert alone.where("changed").count() == 3
+
+
+def test_one_odd_pipeline_does_not_end_the_job(spark, catalogs):
+    half = json.dumps(linked("Lakehouse", "\ud800", "w-src"))
+    odd = [half, json.dumps({"activities": [7, None, "notebookId"]}), '{"linkedService": {"artifactId": 1}} tail']
+    good = json.dumps(linked("Lakehouse", "s-lake", "w-src"))
+    got = ops.rewrite_pipelines(frame(spark, [*odd, good]), *catalogs, "w-tgt").collect()
+    result = {r["doc_id"]: r for r in got}
+    assert result[0]["unresolved"] == ["Lakehouse:\\ud800"] and result[0]["error"] is None
+    assert not result[1]["changed"] and result[1]["error"] is None
+    assert result[2]["error"] == "JSONDecodeError"
+    assert result[3]["changed"]
+
+
+@pytest.mark.parametrize("known", [["abc"], [None], 7, {"id": "x"}, "text"])
+def test_one_odd_notebook_does_not_end_the_job(spark, catalogs, known):
+    odd = attached("bronze", "w-src")
+    odd["metadata"]["dependencies"]["lakehouse"]["known_lakehouses"] = known
+    warehouse = {"metadata": {"dependencies": {"warehouse": {"default_warehouse": "s-wh", "known_warehouses": known}}}}
+    good = attached("bronze", "w-src", ["old"])
+    docs = frame(spark, [odd, warehouse, good])
+    result = {r["doc_id"]: r for r in ops.repair_notebooks(docs, *catalogs, "w-tgt").collect()}
+    assert [result[i]["changed"] for i in range(3)] == [True] * 3
+    assert json.loads(result[0]["new_body"])["metadata"]["dependencies"]["lakehouse"]["known_lakehouses"] == known
+    assert all(result[i]["error"] is None for i in range(3))
+
+
+def test_notebooks_report_errors_and_what_is_unresolved(spark, catalogs):
+    text = json.dumps(attached("bronze", "w-src"))
+    gone = {"metadata": {"dependencies": {"warehouse": {"default_warehouse": "nobody's"}}}}
+    docs = frame(spark, [text + " tail", text[:-3], attached("unknown", "w-src"), gone, None, "not json"])
+    result = {r["doc_id"]: r for r in ops.repair_notebooks(docs, *catalogs, "w-tgt").collect()}
+    assert [result[i]["error"] for i in range(6)] == ["JSONDecodeError"] * 2 + [None] * 4
+    assert result[2]["unresolved"] == ["Lakehouse:unknown"] and result[3]["unresolved"] == ["Warehouse:nobody's"]
+    assert not any(r["changed"] for r in result.values())
+    again = ops.repair_notebooks(frame(spark, [attached("bronze", "w-src")]), *catalogs, "w-tgt")
+    twice = ops.repair_notebooks(again.select("doc_id", F.col("new_body").alias("body")), *catalogs, "w-tgt")
+    assert [(r["changed"], r["unresolved"]) for r in twice.collect()] == [(False, [])]
+
+
+def test_find_key_with_several_keys(spark):
+    rng = random.Random(8)
+    bodies = [[random_tree(rng, 6)] for _ in range(40)]
+    found = ops.find_key(frame(spark, bodies), ["ref", "a"], key_alias="key")
+    assert found.columns == ["doc_id", "key", "value"]
+    for key in ("ref", "a"):
+        own = found.where(F.col("key") == key).select("doc_id", F.to_json("value"))
+        got = sorted((i, json.dumps(json.loads(v), sort_keys=True)) for i, v in rows(own))
+        assert got == expected(bodies, key)
+
+
+def test_find_key_does_not_lose_documents_silently(spark):
+    deep = '{"ref":[' * 1200 + "1" + "]}" * 1200
+    docs = frame(spark, [deep, '{"ref":1}'])
+    assert {r["doc_id"] for r in ops.find_key(docs, "ref").collect()} == {1}
+    assert {r["doc_id"] for r in ops.malformed(docs).collect()} == {0}
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    try:
+        with pytest.raises(ValueError, match="allowDuplicateKeys"):
+            ops.find_key(docs, "ref")
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def test_helper_names_do_not_collide(spark, catalogs):
+    """Operators on tables with names like those they use, and on their own output."""
+    names = ["_node", "_hits", "_pos", "_name", "_child", "_digest", "_own", "_edited", "_from", "_to", "_value",
+             "_key0", "_salt", "_found", "_type", "_lakehouse", "_old_warehouse", "_model", "new_id", "_FIELDS"]
+    body = json.dumps({"ref": 1, **linked("Lakehouse", "s-lake", "w-src")})
+    docs = spark.createDataFrame([(1, body, *names)], ", ".join(["doc_id int", "body string", *[f"{n} string" for n in names]]))
+    docs = docs.withColumn("name", F.lit("bronze")).withColumn("item", F.lit("s-lake"))
+    source, target = catalogs
+    steps = [
+        lambda df: ops.swap(df, "_from", [(str(i), "x") for i in range(60)] + [("_from", "y")]),
+        lambda df: ops.lookup(df, target, {"name": "display_name"}),
+        lambda df: ops.rebind(df, "item", source, target),
+        lambda df: ops.resolve_ref(df, "name", target),
+        lambda df: ops.resolve_tokens(df, "name", target, "w"),
+        lambda df: ops.rewrite_pipelines(df, source, target, "w-tgt"),
+        lambda df: ops.repair_notebooks(df, source, target, "w-tgt"),
+    ]
+    for step in steps:
+        once = step(docs)
+        twice = step(once)
+        assert once.count() == twice.count() == 1
+        assert twice.columns == once.columns
+        assert set(names) <= set(once.columns)
+        kept = [n for n in names if n not in ("_from", "new_id")]
+        assert twice.select(kept).first() == docs.select(kept).first()
+    found = ops.find_key(docs, "ref")
+    assert found.columns == [c for c in docs.columns if c != "body"] + ["value"] and found.count() == 1

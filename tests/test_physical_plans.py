@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from lakemart import operators as ops
 from lakemart import plans
-from lakemart.operators.joins import is_small
 from lakemart.queries import QUERIES
 
 from helpers import physical_plan
 
 PYTHON_STEPS = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")
-PYTHON_ALLOWED = {"r06_rewrite", "r06_rewrite_large_catalog", "r07_notebooks"}
+PYTHON_ALLOWED = {"r06_rewrite", "r07_notebooks", "r07_notebook_errors"}
 
 
 @contextlib.contextmanager
@@ -58,7 +57,7 @@ def test_flagship_scan_is_pruned_and_sum_is_partial(spark, small_dir):
 @pytest.mark.parametrize(
     "name",
     ["d01_scan", "d09_truncate", "d14_model", "r01_scope", "r03_find_replace", "r05_find_key",
-     "r05_malformed", "r06_rewrite", "r07_array", "r09_swap", "r09_swap_by_name", "r09_swap_long",
+     "r05_malformed", "r05_find_keys", "r07_array", "r09_swap", "r09_swap_by_name", "r09_swap_long",
      "r13_package", "d12_shortcut", "d13_entity_scan"],
 )
 def test_row_local_operators_do_not_shuffle(spark, small_dir, name):
@@ -87,15 +86,53 @@ def test_rebind_shuffles_the_big_side_at_most_once(spark, small_dir):
     assert plan.count("hashpartitioning(l_suppkey") <= 1
 
 
-def test_broadcast_is_hinted_only_for_measured_tables(spark):
-    assert is_small(spark.range(1000))
-    assert not is_small(spark.range(1000), max_rows=999)
-    wide = spark.range(40).select(F.expr("repeat('x', 1048576)").alias("text"))
-    assert not is_small(wide)
+def test_several_keys_take_one_parse(spark, small_dir):
+    assert physical_plan(QUERIES["r05_find_keys"](spark, small_dir)).count("parseJson") == 1
+
+
+def test_texts_that_name_nothing_are_not_shuffled(spark, small_dir):
+    """Only the branch of candidates has an exchange below its scan of bodies."""
+    docs = spark.range(10).selectExpr("id AS doc_id", "CAST(id AS STRING) AS body")
+    items = spark.range(5).selectExpr("CAST(id AS STRING) AS id", "'n' || id AS display_name", "'Notebook' AS type")
+    for df in (
+        ops.rewrite_pipelines(docs, items, items, "w"),
+        ops.repair_notebooks(docs, items, items, "w"),
+    ):
+        plan = physical_plan(df)
+        assert plan.count("Union") >= 1
+        plain = plan[plan.index("Union") :].split("\n")[1:6]
+        assert not any("Exchange" in line for line in plain[:3])
+
+
+def test_operators_start_no_job(spark, small_dir):
+    """All but the sinks and the two that resolve a list of names are lazy."""
+    context = spark.sparkContext
+    items = spark.read.parquet(f"{small_dir}/supplier.parquet").selectExpr(
+        "CAST(s_suppkey AS STRING) AS id", "s_name AS display_name", "'Lakehouse' AS type",
+        "CAST(s_suppkey AS STRING) AS dataset_id", "s_name AS dataset_name",
+    )
+    docs = items.selectExpr("id AS doc_id", "display_name AS body")
+    context.setJobGroup("lazy", "no jobs expected")
+    try:
+        ops.lookup(docs, items, {"body": "display_name"})
+        ops.rebind(docs, "doc_id", items, items)
+        ops.resolve_ref(docs, "body", items)
+        ops.resolve_tokens(docs, "body", items, "w")
+        ops.report_model(items, items)
+        ops.report_without_model(items, items)
+        ops.publish(items, items)
+        ops.orphans(items, items)
+        ops.find_key(docs, "k")
+        ops.rewrite_pipelines(docs, items, items, "w", [("a", "b")])
+        ops.repair_notebooks(docs, items, items, "w")
+        ops.swap(docs, "body", [(str(i), "x") for i in range(100)])
+        assert list(context.statusTracker().getJobIdsForGroup("lazy")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize("operator", ["lookup", "rebind", "resolve_ref", "orphans", "cross_filter"])
-def test_hot_keys_are_split(spark, tmp_path, operator, monkeypatch):
+@pytest.mark.parametrize("operator", ["lookup", "rebind", "resolve_ref", "resolve_tokens", "orphans", "cross_filter"])
+def test_hot_keys_are_split(spark, tmp_path, operator):
     """One key holds a third of the rows: adaptive execution splits its partition."""
     n = 600_000
     big = spark.range(n).select(
@@ -108,7 +145,6 @@ def test_hot_keys_are_split(spark, tmp_path, operator, monkeypatch):
     catalog = spark.range(0, n, 5).select(
         names.alias("display_name"), F.concat(F.lit("i"), F.col("id")).alias("id"), F.lit("T").alias("type")
     )
-    monkeypatch.setattr("lakemart.operators.catalog.is_small", lambda df: False)
     adaptive = {
         "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "1m",
         "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
@@ -119,6 +155,9 @@ def test_hot_keys_are_split(spark, tmp_path, operator, monkeypatch):
             result = ops.lookup(big, catalog, {"ref": "display_name"})
         elif operator == "resolve_ref":
             result = ops.resolve_ref(big, "ref", catalog)
+        elif operator == "resolve_tokens":
+            tokens = big.withColumn("ref", F.concat(F.lit("$items.T."), "ref", F.lit(".id")))
+            result = ops.resolve_tokens(tokens, "ref", catalog, "w")
         elif operator == "rebind":
             source = catalog.select(F.col("display_name").alias("id"), F.col("id").alias("display_name"))
             target = source.withColumn("id", F.concat(F.lit("new"), "id"))
@@ -136,6 +175,24 @@ def test_hot_keys_are_split(spark, tmp_path, operator, monkeypatch):
     assert found == {"orphans": n - matched, "cross_filter": matched}.get(operator, n)
 
 
+@pytest.mark.parametrize("operator", ["lookup", "rebind", "resolve_tokens"])
+def test_null_keys_are_spread(spark, operator):
+    """Rows with nothing to look up are dealt by a hash of the row."""
+    n = 40_000
+    big = spark.range(n).select(F.lit(None).cast("string").alias("ref"), "id")
+    catalog = spark.range(100).selectExpr("'i' || id AS id", "'k' || id AS display_name", "'T' AS type")
+    with settings(spark, **NO_BROADCAST, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        if operator == "lookup":
+            result = ops.lookup(big, catalog, {"ref": "display_name"}, alias="found")
+        elif operator == "rebind":
+            result = ops.rebind(big, "ref", catalog, catalog, alias="found")
+        else:
+            plain = big.withColumn("ref", F.lit("plain"))
+            result = ops.resolve_tokens(plain, "ref", catalog, "w", alias="found")
+        sizes = result.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < n / 4
+
+
 def test_status_and_sums_combine_before_the_shuffle(spark, small_dir):
     for name, marker in (("r14_status", "partial_max"), ("d19_default_sums", "partial_")):
         assert marker in physical_plan(QUERIES[name](spark, small_dir))

@@ -26,3 +26,13 @@ def test_last_status_decides(spark):
         ("d", "Cancelled", "succeeded"),
         ("e", "Running", "pending"),
     ]
+
+
+def test_failure_message_of_the_last_poll(spark):
+    log = spark.createDataFrame(
+        [("a", 1, 1, "Failed", "first"), ("a", 2, 2, "Failed", "last"), ("b", 1, 1, "Failed", "x"), ("b", 2, 2, "Completed", "y"), ("c", 1, 1, "Failed", None)],
+        "job_id string, poll_id int, ts int, status string, reason string",
+    )
+    found = ops.final_status(log, message="reason")
+    assert {r["job_id"]: r["failure"] for r in found.collect()} == {"a": "last", "b": None, "c": None}
+    assert ops.final_status(log).columns == ["job_id", "last_status", "outcome"]

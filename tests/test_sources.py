@@ -145,3 +145,12 @@ def test_scratch_path_uses_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(shared)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+@pytest.mark.parametrize("kind", ["array<{}>", "map<string,{}>", "struct<a:string,b:array<{}>>"])
+def test_nested_booleans_do_not_become_numbers(spark, kind):
+    df = spark.createDataFrame([], "v " + kind.format("boolean"))
+    want = spark.createDataFrame([], "v " + kind.format("int")).schema
+    with pytest.raises(TypeError, match="boolean"):
+        sources.convert(df, want)
+    assert sources.convert(df, df.schema).schema == df.schema
