@@ -400,12 +400,18 @@ def training_set(pages: list[str], layouts: int = LAYOUTS, seed: int = 0) -> Ite
 
 
 def fit(pages: DataFrame, html_col: str = "html", most: int = TRAINING_PAGES) -> Field:
-    """Train on ``most`` pages at most, chosen by a hash; longer ones than 50,000 characters are not chosen."""
+    """Train on ``most`` pages at most, those with the smallest hashes of their text.
+
+    Only pages that name their parts and have 50,000 characters or less can be chosen.
+    """
     text = col(html_col)
-    fit_for = pages.select(text.alias("html")).where(F.char_length(text) <= TRAINING_CHARS)
-    fit_for = fit_for.where(F.lower("html").rlike("<(article|main)"))
-    chosen = fit_for.orderBy(F.xxhash64("html"), "html").limit(most).collect()
-    return train(training_set([row["html"] for row in chosen]))
+    usable = pages.select(text.alias("html")).where(F.char_length(text) <= TRAINING_CHARS)
+    usable = usable.where(F.lower("html").rlike("<(article|main)")).withColumn("hash", F.xxhash64("html"))
+    # narrow rows are sorted, and only the chosen pages reach the driver
+    hashes = [r["hash"] for r in usable.select("hash").distinct().orderBy("hash").limit(most).collect()]
+    chosen = usable.where(F.col("hash").isin(hashes)).groupBy("hash").agg(F.min("html").alias("html"))
+    found = sorted((r["hash"], r["html"]) for r in chosen.collect())
+    return train(training_set([page for _, page in found]))
 
 
 def main_text(page: str | None, field: Field) -> str:
