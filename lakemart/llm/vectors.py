@@ -38,6 +38,9 @@ AUDITED = 100
 RECALL = 0.99
 INSERTED_AT_ONCE = 512
 QUERIED_AT_ONCE = 256
+# A widened beam costs about as much as comparing with so many nodes per place of it.
+COMPARED_PER_PLACE = 64
+COMPARED_AT_ONCE = 4_000_000
 # Room for the error of single precision in the graph; pairs are verified afterwards.
 SLACK = 1e-4
 
@@ -230,10 +233,17 @@ class Shard:
                 break
             self.beam *= 2
 
-    def _found(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def _all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs near enough from comparing queries with all nodes."""
+        rows = max(1, COMPARED_AT_ONCE // len(self.x))
+        parts = [np.nonzero(q[a : a + rows] @ self.x.T >= self.near) for a in range(0, len(q), rows)]
+        i = np.concatenate([part[0] + n * rows for n, part in enumerate(parts)])
+        return i, np.concatenate([part[1] for part in parts])
+
+    def _found(self, q: np.ndarray, beam: int, widened: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) near enough, verified in double precision."""
-        if beam >= len(self.x):
-            return np.nonzero(q @ self.x.T >= self.near)
+        if beam >= len(self.x) or widened and beam * COMPARED_PER_PLACE >= len(self.x):
+            return self._all(q)
         nodes, sims = self.graph.near(q.astype(np.float32), beam)
         hit = (sims >= self.near - SLACK) & (nodes >= 0)
         # a beam without an end may have left some out
@@ -244,7 +254,7 @@ class Shard:
         i, j = i[ok], j[ok]
         if full.any():
             more = np.flatnonzero(full)
-            a, b = self._found(q[more], 4 * beam)
+            a, b = self._found(q[more], 4 * beam, True)
             i, j = np.concatenate([i, more[a]]), np.concatenate([j, b])
         return i, j
 
