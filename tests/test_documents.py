@@ -173,6 +173,7 @@ def test_rewrite_array(spark):
     ]
 
 
+# Fixed values in the shapes below: field names and tags of the definitions' format.
 def linked(kind, artifact, workspace, **more):
     fields = {"artifactId": artifact, "workspaceId": workspace, **more}
     return {"linkedService": {"name": "x", "properties": {"type": kind, "typeProperties": fields}}}
@@ -333,6 +334,7 @@ def test_package_only_changed_on_one_line(spark):
     packed = ops.package(docs, request="request").collect()
     assert [r["doc_id"] for r in packed] == [1]
     assert packed[0]["payload"] == base64.b64encode(long.encode("utf-8")).decode()
+    # fixed values: field names of an update request
     assert json.loads(packed[0]["request"]) == {
         "definition": {
             "parts": [
