@@ -113,3 +113,12 @@ def test_components_of_paths_stars_and_rings(spark):
                 changed = True
     frame = spark.createDataFrame(edges, "u bigint, v bigint").repartition(5)
     assert {r["node"]: r["root"] for r in connected_components(frame).collect()} == label
+
+
+def test_clashing_columns(spark):
+    names = "doc_id bigint, text string, print string, component_id int, fingerprint int, _rank int, _COMPONENT int, t int, r int"
+    docs = spark.createDataFrame([(i, "the same words here", "p", 1, 2, 3, 4, 5, 6) for i in (7, 3, 3)], names)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert [r["doc_id"] for r in kept.collect()] == [3]
+    assert simhash.near_duplicates(docs).count() == 3
