@@ -35,13 +35,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, col, fresh, shuffle_partitions, written
+from lakemart.llm.common import by_value, col, fresh, shuffle_partitions, tidy, tidy_after, written
 
 by_value(__name__)
 
 # Units worked on at once, and entries a task holds before it passes them on.
 UNITS_AT_ONCE = 1 << 18
-HELD = 1 << 20
+HELD = 1 << 19
+ROWS_AT_ONCE = 500
 _PLACE_BITS = np.uint64(20)
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -331,14 +332,14 @@ def repeated_anchors(
         yield pa.RecordBatch.from_arrays(columns, names=["key", "places"])
 
     by_shard = F.col("shard")
-    sent = docs.select(col(key), col(text)).mapInArrow(find, packed_type(_ANCHOR))
-    judged = sent.repartitionById(shards, by_shard).mapInArrow(judge, packed_type(_PLACE_OF))
+    sent = docs.select(col(key), col(text)).mapInArrow(tidy_after(find), packed_type(_ANCHOR))
+    judged = sent.repartitionById(shards, by_shard).mapInArrow(tidy_after(judge), packed_type(_PLACE_OF))
     judged = written(judged, "repeated-anchors")
     unpack_hot = zstandard.ZstdDecompressor().decompress
     rows = judged.where("not known").select("key").collect()
     crowded = b"".join(unpack_hot(bytes(row["key"])) for row in rows)
     places = judged.where("known").repartitionById(shards, by_shard)
-    return places.mapInArrow(unpack, "key bigint, places binary"), np.frombuffer(crowded, np.uint64)
+    return places.mapInArrow(tidy_after(unpack), "key bigint, places binary"), np.frombuffer(crowded, np.uint64)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
@@ -414,7 +415,7 @@ def settled_runs(dealt_runs: DataFrame) -> DataFrame:
 
     shards = shuffle_partitions(dealt_runs.sparkSession)
     here = dealt_runs.repartitionById(shards, F.col("shard"))
-    return here.mapInArrow(unpack, "key bigint, marks array<struct<id:bigint,runs:binary>>")
+    return here.mapInArrow(tidy_after(unpack), "key bigint, marks array<struct<id:bigint,runs:binary>>")
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -444,13 +445,19 @@ def removal(
 
     @F.arrow_udf(f"struct<{declared}>")
     def run(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = []
+        parts, rows = [pa.array([], kind)], []
         for i, t, m in zip(ids, texts, found, strict=True):
             own = b"".join([x["runs"] for x in m.as_py() or () if x["id"] == i.as_py()])
             pair = np.frombuffer(own, np.int32).reshape(-1, 2)
             stretches = covered(pair[:, 0], pair[:, 1], window)
             rows.append(dict(zip(fields, cut(t.as_py(), stretches), strict=True)))
-        return pa.array(rows, kind)
+            if len(rows) == ROWS_AT_ONCE:
+                parts.append(pa.array(rows, kind))
+                rows = []
+        whole = pa.concat_arrays([*parts, pa.array(rows, kind)])
+        del parts, rows
+        tidy()
+        return whole
 
     marks = marks.select(F.col("key").alias(names["key"]), F.col("marks").alias(names["marks"]))
     joined = docs.join(marks, names["key"], "left")

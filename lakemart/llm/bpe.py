@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakemart.llm.common import by_value, col, fresh, kept_in_worker, with_computed
+from lakemart.llm.common import by_value, col, fresh, kept_in_worker, tidy_after, with_computed
 from lakemart.llm.packing import byte_letters, is_plain
 
 by_value(__name__)
@@ -204,7 +204,7 @@ def encode(
         return pd.DataFrame({"digest": parts["digest"].iloc[:1], "ids": [joined_all(coded, tok).tobytes()]})
 
     texts = long.groupBy(digest).agg(F.min(text).alias("text"))
-    parts = texts.mapInArrow(split, "digest string, part int, text string").repartition("digest", "part")
+    parts = texts.mapInArrow(tidy_after(split), "digest string, part int, text string").repartition("digest", "part")
     coded = with_computed(parts, "text", "ids", pa.binary(), encoder)
     whole = coded.groupBy("digest").applyInPandas(put_together, "digest string, ids binary")
     whole = whole.select(F.col("digest").alias(digest), F.col("ids").alias(alias))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -67,6 +68,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy() -> None:
+    """Give free memory back to the system: a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy_after(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that gives back memory when its task ends."""
+
+    def tidied(batches: Batches) -> Batches:
+        yield from run(batches)
+        tidy()
+
+    return tidied
+
+
 BYTES_AT_ONCE = 4 << 20
 
 
@@ -100,4 +122,4 @@ def with_computed(
                 found = pa.array([compute(v.as_py()) for v in part.column(0)], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], found], names=[*kept, alias])
 
-    return wide.mapInArrow(run, T.StructType([*fields, T.StructField(alias, from_arrow_type(kind))]))
+    return wide.mapInArrow(tidy_after(run), T.StructType([*fields, T.StructField(alias, from_arrow_type(kind))]))

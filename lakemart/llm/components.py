@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, written
+from lakemart.llm.common import by_value, tidy_after, written
 
 by_value(__name__)
 
@@ -66,7 +66,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     proper = edges.where("u is not null and v is not null and u != v")
-    return proper.mapInArrow(contract, "u bigint, v bigint").where("u is not null")
+    return proper.mapInArrow(tidy_after(contract), "u bigint, v bigint").where("u is not null")
 
 
 def connected_components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, col, written
+from lakemart.llm.common import by_value, col, tidy, tidy_after, written
 
 by_value(__name__)
 
@@ -77,7 +77,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             yield _counts([name] * len(c), list(c), c)
 
     labelled = docs.select(col(lang_col).alias("lang"), col(text_col).alias("text")).dropna()
-    counts = labelled.mapInArrow(count, "lang string, text string, n bigint")
+    counts = labelled.mapInArrow(tidy_after(count), "lang string, text string, n bigint")
     return counts.groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
@@ -96,7 +96,7 @@ def gram_counts(words: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
                     found = Counter()
         yield _emitted(found)
 
-    counts = words.mapInArrow(count, "lang string, text string, n bigint")
+    counts = words.mapInArrow(tidy_after(count), "lang string, text string, n bigint")
     return counts.groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
@@ -231,6 +231,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", alias: str =
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
         found = [shared.value.predict(t.as_py()) for t in texts]
+        tidy()
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
             names=["lang", "score"],

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakemart.llm.common import by_value, col, kept_in_worker, shuffle_partitions, written
+from lakemart.llm.common import by_value, col, kept_in_worker, shuffle_partitions, tidy_after, written
 
 by_value(__name__)
 
@@ -52,7 +52,7 @@ GROUPS = 20
 SMALL = CAPACITY // 3
 VOCABULARY = "word_bpe_49k.json"
 # Words whose ids a Python worker remembers, and the longest word that is remembered.
-WORDS_REMEMBERED = 200_000
+WORDS_REMEMBERED = 150_000
 LONGEST_MERGED = 200
 WORD_END = "</w>"
 MARK = b"\x01"
@@ -86,9 +86,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
+        self.library: Tokenizer | None = None
         # ids by word, the present and the former generation
         self.plain: list[dict[str, bytes]] = [{}, {}]
         self.others: list[dict[str, bytes]] = [{}, {}]
@@ -134,9 +133,18 @@ class WordTokenizer:
         short = [w for w in words if plain and len(w) <= LONGEST_MERGED]
         yield from zip(short, self._merged(short), strict=True)
         rest = [w for w in words if not plain or len(w) > LONGEST_MERGED]
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+        if rest and self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        coded = self.library.encode_batch(rest, add_special_tokens=False) if rest else []
+        for w, e in zip(rest, coded, strict=True):
             yield w, np.array(e.ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Drop the remembered words: a worker lives longer than its tasks."""
+        self.plain, self.others = [{}, {}], [{}, {}]
+
     def _merged(self, words: list[str]) -> Iterator[bytes]:
         """Ids of many words from one run of the merges; each part of a word ends in a mark."""
         marked, parts = [], []
@@ -187,9 +195,10 @@ def token_pieces(texts: DataFrame, text_col: str, vocabulary: str, capacity: int
             arrays = [*kept, pa.array(piece, pa.int32())]
             arrays += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "piece", "start", "length", "ids_crc32"])
+        tokenizer.forget()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in texts.drop(text_col).dtypes)
-    return texts.mapInArrow(cut, f"{schema}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return texts.mapInArrow(tidy_after(cut), f"{schema}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # --- the plan ----------------------------------------------------------------

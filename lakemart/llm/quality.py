@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, col, fresh
+from lakemart.llm.common import by_value, col, fresh, tidy
 
 by_value(__name__)
 
@@ -196,7 +196,9 @@ def fit(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES)
 
     @F.arrow_udf("binary")
     def cast(texts: pa.Array) -> pa.Array:
-        return pa.array([v.tobytes() for v in _votes(_counted(texts), rules)], pa.binary())
+        found = pa.array([v.tobytes() for v in _votes(_counted(texts), rules)], pa.binary())
+        tidy()
+        return found
 
     # at most 3 ** len(rules) rows
     found = docs.select(cast(col(text_col)).alias("votes")).groupBy("votes").count().collect()
@@ -241,6 +243,7 @@ def score(
             "base_failed": pa.array(failed),
             "kept": pa.array(~failed & (probability >= threshold)),
         }
+        tidy()
         return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.withColumn(alias, judge(col(text_col)))

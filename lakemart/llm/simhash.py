@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, col, fresh, shuffle_partitions, written
+from lakemart.llm.common import by_value, col, fresh, shuffle_partitions, tidy, tidy_after, written
 from lakemart.llm.components import connected_components, stars
 
 by_value(__name__)
@@ -41,7 +41,8 @@ HOT_BLOCK = 4096
 # What a task holds at once: shingle hashes, fingerprints, and node pairs of a level.
 HASHES_AT_ONCE = 65_536
 KEYS_AT_ONCE = 100_000
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 100_000
+FOUND_AT_ONCE = 400_000
 
 
 def fingerprint_of(text: str | None, width: int = SHINGLE_WORDS) -> int:
@@ -72,6 +73,7 @@ def fingerprint(text: Column, width: int = SHINGLE_WORDS) -> Column:
     @F.arrow_udf("bigint")
     def run(texts: pa.Array) -> pa.Array:
         found = np.array([fingerprint_of(t.as_py(), width) for t in texts], dtype=np.uint64)
+        tidy()
         return pa.array(found.view(np.int64))
 
     return run(text)
@@ -81,11 +83,37 @@ def as_hex(bits: Column) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def close_pairs(keys: np.ndarray, group: np.ndarray, top: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+class _Pairs:
+    """Pairs found so far; when there are many, what connects them takes their place."""
+
+    def __init__(self, contract: bool) -> None:
+        self.contract = contract
+        self.a, self.b = [], []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.size += len(a)
+        if self.contract and self.size > FOUND_AT_ONCE:
+            a, b = stars(np.concatenate(self.a), np.concatenate(self.b))
+            # a star has fewer edges than keys, so this leaves room again
+            self.a, self.b, self.size = [a], [b], 0
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.a:
+            return np.zeros(0, int), np.zeros(0, int)
+        return np.concatenate(self.a), np.concatenate(self.b)
+
+
+def close_pairs(
+    keys: np.ndarray, group: np.ndarray, top: int, most: int, contract: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of ``keys`` (uint64, sorted within each ``group``) at ``most`` bits or less.
 
     Keys of a group agree in their ``top`` highest bits, which is where the traversal
-    starts. Nodes are ranges of the sorted keys.
+    starts. Nodes are ranges of the sorted keys. With ``contract``, pairs that connect
+    the same keys may stand for those found.
     """
     keys = keys.astype(np.uint64)
     n = len(keys)
@@ -93,7 +121,7 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, top: int, most: int) -> tup
     lo, hi = edge, np.r_[edge[1:], n][: len(edge)]
     several = hi - lo > 1
     lo, hi = lo[several], hi[several]
-    found_a, found_b = [], []
+    found = _Pairs(contract)
     # node pairs (a, b) by level: range of a, range of b, bits in which they differ
     open_ = [(top, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     zeros: dict[int, np.ndarray] = {}
@@ -105,8 +133,7 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, top: int, most: int) -> tup
         if single.any():  # two paths without branches: settle all further bits at once
             a, b = alo[single], blo[single]
             near = np.bitwise_count(keys[a] ^ keys[b]) <= most
-            found_a.append(a[near])
-            found_b.append(b[near])
+            found.add(a[near], b[near])
             rest = ~single
             alo, ahi, blo, bhi, bits = alo[rest], ahi[rest], blo[rest], bhi[rest], bits[rest]
         if level == 64 or len(alo) == 0:
@@ -132,9 +159,7 @@ def close_pairs(keys: np.ndarray, group: np.ndarray, top: int, most: int) -> tup
         alo, ahi, blo, bhi, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep = (ahi > alo) & (bhi > blo) & (bits <= most) & ~((alo == blo) & (ahi - alo == 1))
         open_.append((level + 1, alo[keep], ahi[keep], blo[keep], bhi[keep], bits[keep]))
-    if not found_a:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return found.all()
 
 
 def _turned(bits: Column, by: int) -> Column:
@@ -198,7 +223,7 @@ def linked(prints: DataFrame, most: int = MAX_BITS, hot: int = HOT_BLOCK) -> Dat
             trie, top, key, value = columns
             group = np.cumsum(np.r_[True, (trie[1:] != trie[:-1]) | (top[1:] != top[:-1])])
             # the order of signed keys within a group is that of unsigned ones: same top bits
-            a, b = close_pairs(key.view(np.uint64), group, BLOCK, most)
+            a, b = close_pairs(key.view(np.uint64), group, BLOCK, most, contract=True)
             u, v = stars(value[a], value[b])
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -218,7 +243,7 @@ def linked(prints: DataFrame, most: int = MAX_BITS, hot: int = HOT_BLOCK) -> Dat
 
     tries = _tries(prints, hot).repartition(shuffle_partitions(spark), "trie", "top")
     ordered = tries.sortWithinPartitions("trie", "top", "key")
-    return ordered.mapInArrow(join, "u bigint, v bigint")
+    return ordered.mapInArrow(tidy_after(join), "u bigint, v bigint")
 
 
 def near_duplicates(

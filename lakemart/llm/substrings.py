@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lakemart.llm import anchors
 from lakemart.llm.anchors import RUN_TYPE, Units, dealt, gathered, runs_of
-from lakemart.llm.common import by_value, col, shuffle_partitions
+from lakemart.llm.common import by_value, col, shuffle_partitions, tidy_after
 
 by_value(__name__)
 
@@ -140,8 +140,8 @@ def repeated_windows(
         yield from anchors.apart(found["key"], found, shards)
 
     kinds = anchors.packed_type([*_RUN, "content"])
-    sent = anchors.candidates(spread, names, text_col, places).mapInArrow(collect, kinds)
-    return sent.repartitionById(shards, F.col("shard")).mapInArrow(settle, RUN_TYPE)
+    sent = anchors.candidates(spread, names, text_col, places).mapInArrow(tidy_after(collect), kinds)
+    return sent.repartitionById(shards, F.col("shard")).mapInArrow(tidy_after(settle), RUN_TYPE)
 
 
 def packed_runs(

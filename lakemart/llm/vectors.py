@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, col, shuffle_partitions, written
+from lakemart.llm.common import by_value, col, shuffle_partitions, tidy_after, written
 from lakemart.llm.components import connected_components, stars
 
 by_value(__name__)
@@ -314,7 +314,7 @@ def _links(work: DataFrame, near: float) -> DataFrame:
                 if shard is not None:
                     yield from answer(shard, nodes, counts, node, vectors)
 
-    return work.mapInArrow(run, "node bigint, links bigint, other bigint")
+    return work.mapInArrow(tidy_after(run), "node bigint, links bigint, other bigint")
 
 
 def near_duplicates(

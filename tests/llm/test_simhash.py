@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 from lakemart.llm import simhash
-from lakemart.llm.components import connected_components
+from lakemart.llm.components import connected_components, local_roots
 
 
 def brute_fingerprint(text):
@@ -84,6 +84,19 @@ def test_trie_pairs_equal_all_pairs():
     assert found == wanted and len(a) == len(found) > 50
 
 
+def test_contracted_pairs_connect_the_same(monkeypatch):
+    monkeypatch.setattr(simhash, "FOUND_AT_ONCE", 50)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 20)
+    rng = np.random.default_rng(6)
+    flips = np.uint64(1) << rng.integers(0, 20, (300, 2)).astype(np.uint64)
+    keys = np.unique((np.uint64(7) << np.uint64(40)) ^ flips[:, 0] ^ flips[:, 1])
+    whole = simhash.close_pairs(keys, np.zeros(len(keys), int), 16, 3)
+    some = simhash.close_pairs(keys, np.zeros(len(keys), int), 16, 3, contract=True)
+    assert len(whole[0]) > 1000 > len(some[0])
+    roots = [local_roots(a, b, len(keys)).tolist() for a, b in (whole, some)]
+    assert roots[0] == roots[1]
+
+
 def test_keep_first(docs_of):
     items = corpus()
     kept = simhash.keep_first(docs_of(items))
