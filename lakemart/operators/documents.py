@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from lakemart.functions.arrays import any_differs, set_ids
 from lakemart.functions.definitions import find_nodes, may_contain
 from lakemart.functions.rewriting import (
+    ARTIFACT_ID,
     CONNECTION_KEYS,
     ITEM_KEYS,
+    NOTEBOOK_ID,
     Edited,
     Edits,
     edit_text,
@@ -44,6 +46,9 @@ PIPELINE_TYPES = ("Warehouse", "Lakehouse", "Notebook")
 PIPELINE_PART = "pipeline-content.json"
 PAYLOAD_TYPE = "InlineBase64"
 
+# What holds an item's id in a text without escapes.
+ITEM_IDS = rf'"(?:{ARTIFACT_ID}|{NOTEBOOK_ID})"\s*:\s*"([^"]*)"'
+
 EDITED = "struct<body:string,unresolved:array<string>,error:string>"
 REFERENCES = "array<struct<type:string,old_id:string>>"
 
@@ -233,19 +238,23 @@ def rewrite_pipelines(
 
     The ids found in the documents are joined to the catalogs, and the edits go back to
     the documents by a digest of their text: they depend on nothing else, so no key
-    column is needed and equal texts share them. Documents that name nothing to rewrite
-    take no part in that; their texts are not shuffled.
+    column is needed and equal texts share them. The ids are found by a pattern, which
+    may find some too many; texts with escapes, where it might miss one, are parsed for
+    them. Documents that name nothing to rewrite take no part in that; their texts are
+    not shuffled.
     """
     wanted = frozenset(types)
     swaps = close_pairs(pairs)
     edits = _item_edits(source_items, target_items, types)
     groups = (*ITEM_KEYS, *CONNECTION_KEYS) if swaps else ITEM_KEYS
     may_change = F.coalesce(may_contain(_col(body), *groups), F.lit(False))
-    digest, own, edited = helpers(["digest", "own", "edited"], docs)
+    one, two, own, edited = helpers(["digest", "digest_too", "own", "edited"], docs)
 
     @F.arrow_udf(REFERENCES)
     def references(bodies: pa.Array) -> pa.Array:
-        rows = [references_in(b, workspace_id, wanted) for b in bodies.to_pylist()]
+        rows = [
+            None if b is None else references_in(b, workspace_id, wanted) for b in bodies.to_pylist()
+        ]
         return pa.array(rows, _REFERENCES_ARROW)
 
     @F.arrow_udf(EDITED)
@@ -273,15 +282,22 @@ def rewrite_pipelines(
             *[c.alias(name) for name, c in added.items()],
         )
 
-    readable = docs.where(may_change).withColumn(digest, F.sha2(_col(body), 256))
-    uses = readable.select(F.col(digest).alias("digest"), F.inline(references(_col(body)))).distinct()
+    readable = docs.where(may_change).withColumns(
+        {one: F.xxhash64(_col(body)), two: F.xxhash64(F.lit(1), _col(body))}
+    )
+    escaped = _col(body).contains("\\")
+    parsed = F.transform(references(F.when(escaped, _col(body))), lambda r: r["old_id"])
+    matched = F.regexp_extract_all(_col(body), F.lit(ITEM_IDS), F.lit(1))
+    ids = F.array_distinct(F.when(escaped, parsed).otherwise(matched))
+    uses = readable.select(F.col(one).alias("one"), F.col(two).alias("two"), F.explode(ids).alias("id"))
     known = (
-        uses.join(edits.withColumnsRenamed({"type": "kind", "old_id": "id"}), [F.col("type") == F.col("kind"), F.col("old_id") == F.col("id")])
-        .groupBy("digest")
+        uses.distinct()
+        .join(edits, F.col("id") == F.col("old_id"))
+        .groupBy("one", "two")
         .agg(F.collect_list(F.struct("type", "old_id", "new_id", "endpoint")).alias(own))
-        .withColumnRenamed("digest", digest)
+        .withColumnsRenamed({"one": one, "two": two})
     )
-    joined = readable.join(known, digest, "left")
+    joined = readable.join(known, [one, two], "left")
     changed = finished(joined, rewrite(_col(body), F.col(own)))
     return finished(docs.where(~may_change), None).unionByName(changed)
 
