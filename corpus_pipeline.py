@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemart.llm import packing, quality, secrets, simhash, substrings
-from lakemart.llm.common import col, table, written
+from lakemart.llm.common import col, small_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,16 +26,19 @@ def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
+    small_batches(spark)
     return simhash.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that also start earlier go; documents stay, whatever is left of them."""
+    small_batches(spark)
     cut = substrings.remove_repeats(docs, alias="repeats" if "repeats" not in docs.columns else "_repeats")
     name = cut.columns[-1]
     return _with_text(cut.withColumn("text", F.col(f"{name}.kept")), docs)
@@ -48,6 +51,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document, with its place in a sequence."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -50,7 +50,22 @@ def col(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DOCUMENTS_AT_ONCE = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of at most 1,000 rows: documents have kilobytes, not bytes.
+
+    Spark's 10,000 rows are tens of megabytes of text, held several times over by a task
+    and its Python worker. The setting stays with the session; a smaller one is kept.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= DOCUMENTS_AT_ONCE:
+        spark.conf.set(ARROW_ROWS, str(DOCUMENTS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

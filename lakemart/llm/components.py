@@ -69,14 +69,18 @@ def contracted(edges: DataFrame) -> DataFrame:
     return proper.mapInArrow(tidy_after(contract), "u bigint, v bigint").where("u is not null")
 
 
-def connected_components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
+def connected_components(
+    edges: DataFrame, label: str = "components", rounds: int = 60, stars_already: bool = False
+) -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node it can reach.
 
     ``edges`` has two bigint columns ``u`` and ``v``. Direction, repeats, loops and null
-    ends don't matter. No edges give an empty table.
+    ends don't matter. No edges give an empty table. ``stars_already`` says that the
+    tasks that make the edges have contracted them.
     """
-    spark = edges.sparkSession
-    now = written(contracted(edges.select("u", "v")), label)
+    edges = edges.select("u", "v")
+    edges = edges.where("u != v") if stars_already else contracted(edges)
+    now = written(edges, label)
     for _ in range(rounds):
         # large-star: of the neighbours, the larger ones go to the smallest
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -266,7 +266,8 @@ def near_duplicates(
     rows = docs.select(col(id_col).alias("doc_id"), fingerprint(col(text_col), width).alias("print"))
     rows = written(rows, "simhash")
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(linked(prints.select("print"), most, hot), "simhash-components")
+    edges = linked(prints.select("print"), most, hot)
+    roots = connected_components(edges, "simhash-components", stars_already=True)
     placed = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")
     )
