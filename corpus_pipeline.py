@@ -50,9 +50,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its place in a sequence."""
+    """A row per piece of a document: its token ids and its place in a sequence."""
     small_batches(spark)
-    return packing.pack(docs)
+    return packing.pack_ids(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -24,12 +24,12 @@ All of this handles equal sequences together as one class with a count.
 from __future__ import annotations
 
 import json
-import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import public_tokenizers
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakemart.llm.common import by_value, col, kept_in_worker, shuffle_partitions, tidy_after, written
+from lakemart.llm.common import BYTES_AT_ONCE, by_value, col, kept_in_worker, shuffle_partitions, tidy_after, written
 
 by_value(__name__)
 
@@ -174,31 +174,41 @@ def byte_letters() -> dict[str, int]:
 
 
 def token_pieces(texts: DataFrame, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
-    """One row per piece with the columns of ``texts`` but the text: piece, start, length, ids_crc32, ids."""
+    """One row per piece with the columns of ``texts`` but the text: piece, start, length, ids.
+
+    ``ids`` are little-endian unsigned 32-bit, as those of operator 10.
+    """
     others = [c for c in texts.columns if c != text_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = kept_in_worker((VOCABULARY, vocabulary), lambda: WordTokenizer(vocabulary))
         end = np.array([end_id], "<u4").tobytes()
+
+        def out(batch: pa.RecordBatch, row: list, piece: list, start: list, parts: list) -> pa.RecordBatch:
+            kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row, pa.int64())) for c in others]
+            arrays = [*kept, pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
+            arrays += [pa.array([len(part) // 4 for part in parts], pa.int64()), pa.array(parts, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=[*others, "piece", "start", "length", "ids"])
+
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, parts, size = [], [], [], [], 0
             for i, text in enumerate(batch.column(batch.schema.get_field_index(text_col))):
                 ids = tokenizer.ids(text.as_py() or "") + end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
                     row.append(i)
                     piece.append(n)
                     start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row, pa.int64())) for c in others]
-            arrays = [*kept, pa.array(piece, pa.int32())]
-            arrays += [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*others, "piece", "start", "length", "ids_crc32"])
+                    parts.append(ids[at : at + 4 * capacity])
+                    size += len(parts[-1])
+                    if size >= BYTES_AT_ONCE:
+                        yield out(batch, row, piece, start, parts)
+                        row, piece, start, parts, size = [], [], [], [], 0
+            if row:
+                yield out(batch, row, piece, start, parts)
         tokenizer.forget()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in texts.drop(text_col).dtypes)
-    return texts.mapInArrow(tidy_after(cut), f"{schema}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return texts.mapInArrow(tidy_after(cut), f"{schema}, piece int, start bigint, length bigint, ids binary")
 
 
 # --- the plan ----------------------------------------------------------------
@@ -416,7 +426,7 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     return ranked.withColumn("rank", F.col("before") + F.col("here")).drop("bucket", "before", "here")
 
 
-def pack(
+def pack_ids(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -428,10 +438,12 @@ def pack(
 ) -> DataFrame:
     """Pack documents into sequences of ``capacity`` tokens: a row for each piece.
 
-    (doc_id, piece, start, length, ids_crc32, sequence_id, offset). A document's ids are
+    (doc_id, piece, start, length, ids, sequence_id, offset). A document's ids are
     those of its text and ``end_id``; only longer documents are cut, into pieces of
-    ``capacity`` tokens, the last may be shorter. Offsets within a sequence have no
-    gaps. ``vocabulary`` is the path of a word tokenizer's file.
+    ``capacity`` tokens, the last may be shorter. ``ids`` holds those of the piece as
+    little-endian unsigned 32-bit numbers: a sequence is its pieces' ids joined in the
+    order of their offsets, which have no gaps. ``vocabulary`` is the path of a word
+    tokenizer's file.
 
     A null or empty text has the end id alone. Ids are only carried along: null ids and
     repeated rows are documents like any other. An empty table gives an empty table.
@@ -465,4 +477,14 @@ def pack(
         )
 
     placed = _ranked(pieces).withColumn("place", place("length", "rank"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids", "place.sequence_id", "place.offset")
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """The rows of :func:`pack_ids` with the CRC32 of the ids in their place."""
+    return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+def pack(docs: DataFrame, *args: Any, **options: Any) -> DataFrame:
+    """The placement alone, with digests of the ids: :func:`pack_ids` for who has them already."""
+    return digests(pack_ids(docs, *args, **options))

@@ -132,7 +132,7 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.digests(packing.pack_ids(table(spark, sf_dir, "documents")))
 
 
 @query("op10_bpe_round_trip")

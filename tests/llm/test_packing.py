@@ -131,3 +131,17 @@ def test_empty_table_and_clashing_columns(spark, docs_of):
     assert packing.pack(docs_of([])).collect() == []
     clash = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id int, text string, row int, length int")
     assert packing.pack(clash).count() == 1
+
+
+def test_sequences_hold_the_ids(docs_of):
+    """Joined by their offsets, the ids of a sequence can be trained on as they are."""
+    rows = list(enumerate(TEXTS + random_texts(20) + ["long " * 9000]))
+    found = packing.pack_ids(docs_of(rows)).collect()
+    wanted = [[*ids, packing.END_ID] for ids in reference([t for _, t in rows])]
+    sequences = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert ids == wanted[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(sequences[r["sequence_id"]]) == r["offset"]
+        sequences[r["sequence_id"]] += ids
+    assert Counter(x for ids in sequences.values() for x in ids) == Counter(x for ids in wanted for x in ids)

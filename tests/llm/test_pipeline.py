@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import public_tokenizers
+
 import corpus_pipeline
-from lakemart.llm import quality, secrets, simhash, substrings
+from lakemart.llm import packing, quality, secrets, simhash, substrings
 
 
 def test_stages_on_the_table(spark, small_dir):
@@ -50,3 +52,17 @@ def test_odd_rows_and_empty_tables(spark, small_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, small_dir)
         assert docs.count() == (1 if given else 0)
+
+
+def test_run_returns_the_ids_of_the_cleaned_texts(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(60)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small_dir)
+    docs = docs.cache()
+    tokenizer = packing.WordTokenizer(public_tokenizers.path(packing.VOCABULARY))
+    end = packing.END_ID.to_bytes(4, "little")
+    wanted = {r["doc_id"]: tokenizer.ids(r["text"]) + end for r in docs.collect()}
+    found = defaultdict(bytes)
+    for r in corpus_pipeline.best_fit_packing(spark, docs, small_dir).orderBy("doc_id", "piece").collect():
+        found[r["doc_id"]] += bytes(r["ids"])
+    assert wanted and found == wanted
