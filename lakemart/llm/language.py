@@ -5,16 +5,17 @@ language. A text is scored word by word: a known word by the logarithm of its fr
 in each language, an unseen one by its character n-grams, at each place the longest
 known one of four characters down to one. The language with the largest sum wins.
 
-The model is of bounded size: of words and of n-grams of each length, those at least as
-frequent as a threshold are kept, which is set so that at most ``vocabulary`` words and
-``grams`` n-grams of a length remain. Counting covers every labelled document.
+Every word counted is a known one. Tasks hold the most frequent of them, those above a
+threshold set so that at most ``vocabulary`` remain; if there are more, the texts' other
+words are joined to the table of all words. Of n-grams of each length, at most ``grams``
+are kept, by such a threshold. Counting covers every labelled document.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.common import by_value, col, tidy, tidy_after, written
+from lakemart.llm.common import by_value, col, fresh, tidy, tidy_after, written
 
 by_value(__name__)
 
@@ -136,13 +137,20 @@ def frequent(counts: DataFrame, most: int, by_length: bool, languages: list[str]
 
 @dataclass
 class Model:
-    """Log frequencies by word and n-gram, a row of :attr:`languages` each."""
+    """Log frequencies by word and n-gram, a row of :attr:`languages` each.
+
+    If not all words are held, ``rest`` has the counts of all, (text, langs), for
+    :func:`predict` to join; the method of a single text does without.
+    """
 
     languages: list[str]
     words: dict[str, int]
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
+    # logarithms of the languages' smoothed totals
+    word_totals: np.ndarray
+    rest: DataFrame | None = None
     seen: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
     def unseen(self, word: str) -> tuple[float, ...]:
@@ -172,20 +180,56 @@ class Model:
                 del seen[word]
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def _held(self, text: str | None) -> tuple[np.ndarray | None, list[str]]:
+        """The sum over the words held, null for a text without any words, and the other words."""
         words = words_of(text) if text else []
         if not words or not self.languages:
-            return UNKNOWN, 0.0
+            return None, []
         at = list(map(self.words.get, words))
-        total = np.zeros(len(self.languages))
+        total, others = np.zeros(len(self.languages)), []
         if None in at:
-            total += self._unseen_all([w for w, i in zip(words, at, strict=True) if i is None])
+            others = [w for w, i in zip(words, at, strict=True) if i is None]
             at = [i for i in at if i is not None]
         if at:
             total += self.word_scores[at].sum(axis=0)
+        return total, others
+
+    def _best(self, total: np.ndarray | None) -> tuple[str, float]:
+        if total is None:
+            return UNKNOWN, 0.0
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        total, others = self._held(text)
+        if others:
+            total += self._unseen_all(others)
+        return self._best(total)
+
+    def begin(self, text: str | None) -> tuple[list[float] | None, list[tuple[str, int]]]:
+        """The sum over what is known here, and the other words with their numbers."""
+        total, others = self._held(text)
+        if total is None:
+            return None, []
+        # longer ones are in no table
+        if long := [w for w in others if len(w) > LONGEST_WORD]:
+            total += self._unseen_all(long)
+        return total.tolist(), sorted(Counter(w for w in others if len(w) <= LONGEST_WORD).items())
+
+    def finish(self, total: list[float] | None, others: list[dict] | None) -> tuple[str, float]:
+        """The result from what :meth:`begin` gave, its words with their counts, if any, by language."""
+        if total is None:
+            return UNKNOWN, 0.0
+        total = np.array(total)
+        # sums of equal texts are equal to the last bit
+        for x in sorted(others or [], key=lambda x: x["word"]):
+            if x["langs"] is None:
+                total += x["k"] * self._unseen_all([x["word"]])
+            else:
+                n = dict.fromkeys(self.languages, 0) | {pair["lang"]: pair["n"] for pair in x["langs"]}
+                total += x["k"] * (np.log(np.array(list(n.values())) + SMOOTHING) - self.word_totals)
+        return self._best(total)
+
 
 def _scores(n: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Smoothed log frequencies among the texts of a group."""
@@ -207,14 +251,22 @@ def fit(
     words = written(word_counts(docs, text_col, lang_col), "language-words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     known, word_counts_ = frequent(words, vocabulary, False, languages)
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    distinct = words.select("text").distinct().count()
+    word_totals = np.log(np.array([totals[name] for name in languages]) + SMOOTHING * distinct)
+    rest = None
+    if distinct > len(known):
+        rest = words.groupBy("text").agg(F.collect_list(F.struct("lang", "n")).alias("langs"))
     pieces = written(gram_counts(words), "language-grams")
     pieces, gram_counts_ = frequent(pieces, grams, True, languages)
     return Model(
         languages,
         {w: i for i, w in enumerate(known)},
-        _scores(word_counts_, np.zeros(len(known))),
+        np.log(word_counts_ + SMOOTHING) - word_totals,
         {g: i for i, g in enumerate(pieces)},
         _scores(gram_counts_, np.array([len(g) for g in pieces])),
+        word_totals,
+        rest,
     )
 
 
@@ -226,18 +278,57 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", alias: str =
     column is looked at, repeated rows get the same result, an empty table gives an
     empty table. All columns stay; one named like ``alias`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _predicted(docs, model, text_col, alias, docs.columns)
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def run(texts: pa.Array) -> pa.Array:
-        found = [shared.value.predict(t.as_py()) for t in texts]
+
+def _predicted(docs: DataFrame, model: Model, text_col: str, alias: str, columns: list[str]) -> DataFrame:
+    """Some columns of ``docs`` and the struct of :func:`predict`."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None, seen={}))
+    kept = [col(c) for c in columns]
+
+    def results(found: list[tuple[str, float]]) -> pa.Array:
         tidy()
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
             names=["lang", "score"],
         )
 
-    return docs.withColumn(alias, run(col(text_col)))
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return results([shared.value.predict(t.as_py()) for t in texts])
+
+    if model.rest is None:
+        return docs.withColumn(alias, run(col(text_col))).select(*kept, *_new(alias, columns))
+
+    word = pa.struct([("word", pa.string()), ("k", pa.int64())])
+
+    @F.arrow_udf("struct<total:array<double>,others:array<struct<word:string,k:bigint>>>")
+    def begin(texts: pa.Array) -> pa.Array:
+        found = [shared.value.begin(t.as_py()) for t in texts]
+        others = [[{"word": w, "k": k} for w, k in f[1]] for f in found]
+        tidy()
+        return pa.StructArray.from_arrays(
+            [pa.array([f[0] for f in found], pa.list_(pa.float64())), pa.array(others, pa.list_(word))],
+            names=["total", "others"],
+        )
+
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def finish(totals: pa.Array, others: pa.Array) -> pa.Array:
+        return results([shared.value.finish(t.as_py(), o.as_py()) for t, o in zip(totals, others, strict=True)])
+
+    row, part, found = fresh(docs, "row"), fresh(docs, "part"), fresh(docs, "found")
+    # row numbers stay as they are, since they are written
+    begun = docs.select(*kept, F.monotonically_increasing_id().alias(row), begin(col(text_col)).alias(part))
+    begun = written(begun, "language-begun")
+    asked = begun.select(F.col(row), F.explode(f"{part}.others").alias("x")).select(row, "x.word", "x.k")
+    answers = asked.join(model.rest.withColumnRenamed("text", "word"), "word", "left")
+    answers = answers.groupBy(row).agg(F.collect_list(F.struct("word", "k", "langs")).alias(found))
+    joined = begun.join(answers, row, "left")
+    return joined.withColumn(alias, finish(F.col(f"{part}.total"), F.col(found))).select(*kept, *_new(alias, columns))
+
+
+def _new(alias: str, columns: list[str]) -> list[Column]:
+    return [] if alias.lower() in {c.lower() for c in columns} else [col(alias)]
 
 
 def held_out(id_: Column) -> Column:
@@ -256,7 +347,7 @@ def identify(
         col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang")
     ).withColumn("held_out", held_out(F.col("doc_id")))
     model = fit(rows.where("doc_id is not null and not held_out"))
-    found = predict(rows.select("doc_id", "held_out", "text"), model)
+    found = _predicted(rows, model, "text", "language", ["doc_id", "held_out"])
     return found.select(
         "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
     )

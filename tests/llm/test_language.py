@@ -77,3 +77,26 @@ def test_nothing_to_learn_from_and_empty(spark):
     assert language.identify(small_docs(spark, [])).collect() == []
     clash = small_docs(spark, TRAIN).withColumn("held_out", F.lit(1)).withColumn("language", F.lit(2))
     assert language.identify(clash).columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_words_beyond_those_held_count_alike(spark):
+    """Rare words of a small language, and what tasks hold of all words, don't change any result."""
+    common = "".join(f"{a}{b}{c} " for a in "bdfg" for b in "aeiou" for c in "lmnr")
+    rows = [(i, common, "en") for i in range(20)] + [(90, "lam lem nar gan bon fal", "fr"), (91, "dul gil fam", "fr")]
+    rows += [(92, "zum kip kip vox", "de"), (93, "x" * 200, "de"), (94, None, "de"), (None, "kip lam", "fr")]
+    rows += [(95, "vox zum lam nar", None), (95, "vox zum lam nar", None), (96, "quux nar kipp " + "y" * 90, None), (97, "1", None)]
+    docs = small_docs(spark, rows).withColumn("language", F.lit(1))
+    whole = language.fit(docs)
+    assert whole.rest is None
+    wanted = {tuple(r)[:3]: tuple(r["language"]) for r in language.predict(docs, whole).collect()}
+    assert wanted[92, "zum kip kip vox", "de"][0] == "de"
+    for most in (0, 1, 85):
+        held = language.fit(docs, vocabulary=most)
+        assert len(held.words) <= most and held.rest is not None
+        frame = language.predict(docs, held)
+        assert frame.columns == docs.columns
+        found = frame.collect()
+        assert len(found) == len(rows)
+        for r in found:
+            lang, score = wanted[tuple(r)[:3]]
+            assert r["language"]["lang"] == lang and np.isclose(r["language"]["score"], score)
