@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 # Nesting the JSON parser accepts; deeper text does not parse at all.
 PARSER_DEPTH = 1000
 
+# The parsed form of a document holds this many bytes at most.
+PARSER_BYTES = 128 << 20
+
 NODES = "array<struct<key:string,node:variant>>"
 
+# Everything but brackets outside of texts; a text that never ends is taken to the end.
+NO_BRACKET = r'"(?:[^"\\]++|\\.)*+"?|[^\[\]{}]'
+
 
 def may_contain(body: Column, *groups: Sequence[str]) -> Column:
     """A cheap test that never misses a document with all keys of one of the groups.
@@ -27,6 +33,29 @@ def may_contain(body: Column, *groups: Sequence[str]) -> Column:
     return maybe
 
 
+def refusal(body: Column) -> Column:
+    """Why the JSON parser takes no document in a text; meant for texts it has refused.
+
+    ``too deep`` (nested beyond :data:`PARSER_DEPTH`), ``repeated key`` (JSON otherwise,
+    refused by a session that does not allow it), ``too long``, or ``not JSON``.
+    """
+    brackets = F.regexp_replace(body, F.lit(NO_BRACKET), F.lit(""))
+    step = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+    def deepen(state: Column, bracket: Column) -> Column:
+        depth = state["depth"] + F.when(bracket.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
+
+    deepest = F.aggregate(F.split(brackets, ""), step, deepen, lambda state: state["most"])
+    readable = F.get_json_object(body, "$").isNotNull()
+    return (
+        F.when(F.octet_length(body) > PARSER_BYTES, "too long")
+        .when(readable, "repeated key")
+        .when((F.length(brackets) > PARSER_DEPTH) & (deepest > PARSER_DEPTH), "too deep")
+        .otherwise("not JSON")
+    )
+
+
 def _children(found: Column) -> Column:
     members = F.transform(
         F.map_entries(F.try_variant_get(found["node"], "$", "map<string,variant>")),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemart.functions.arrays import any_differs, set_ids
-from lakemart.functions.definitions import find_nodes, may_contain
+from lakemart.functions.definitions import find_nodes, may_contain, refusal
 from lakemart.functions.rewriting import (
     ARTIFACT_ID,
     CONNECTION_KEYS,
@@ -76,6 +76,7 @@ def find_key(
     alias: str = "value",
     levels: int = EXPLODED_LEVELS,
     key_alias: str | None = None,
+    error_alias: str | None = None,
 ) -> DataFrame:
     """One row per value stored under ``key`` at any depth, matches inside matches too.
 
@@ -86,26 +87,32 @@ def find_key(
     levels are searched to their end within the row, so no depth is cut off. The other
     columns of ``docs`` travel along (select those needed first), the body is dropped.
 
-    Text that Spark's parser refuses gives no rows here: not JSON, nested deeper than
-    1,000 levels, or too long. :func:`malformed` lists these documents, so the two
-    together account for all. A key twice in an object would be refused, too, unless the
-    session allows it; the search asks for ``spark.sql.variant.allowDuplicateKeys``.
+    Text that Spark's parser refuses has no values. With ``error_alias`` the same parse
+    gives one row for each such document, with a null value and the reason
+    (:func:`refusal`) in that column, which is null for values found: together the rows
+    account for every document that has one of the keys in its text, whatever the
+    session's settings. An object with a key twice keeps the last value where
+    ``spark.sql.variant.allowDuplicateKeys`` is set, and is refused otherwise.
     """
-    if docs.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys") != "true":
-        raise ValueError("set spark.sql.variant.allowDuplicateKeys: repeated keys would be lost")
     keys = [key] if isinstance(key, str) else list(key)
     others = [c for c in docs.columns if c != body]
     kept = [_col(c) for c in others]
-    node, hits, pos, name, child = helpers(["node", "hits", "pos", "name", "child"], docs)
+    node, hits, pos, name, child, why = helpers(["node", "hits", "pos", "name", "child", "why"], docs)
     nothing = F.array().cast("array<struct<key:string,node:variant>>")
     found = docs.where(may_contain(_col(body), *[[k] for k in keys])).select(
-        *kept, F.try_parse_json(_col(body)).alias(node), nothing.alias(hits)
+        *kept, _col(body), F.try_parse_json(_col(body)).alias(node), nothing.alias(hits)
     )
+    refused = [] if error_alias is None else [F.col(why)]
+    reason = F.when(F.col(node).isNull(), refusal(_col(body))).alias(why)
+    found = found.select(*kept, node, hits, *([reason] if refused else []))
     for _ in range(levels):
         children = docs.sparkSession.tvf.variant_explode_outer(F.col(node).outer())
         first = F.coalesce(F.col(pos), F.lit(0)) == 0
         inherited = F.when(first, F.col(hits)).otherwise(nothing)
         hit = F.array(F.struct(F.col(name).alias("key"), F.col(child).alias("node")))
+        going = F.col(node).isNotNull() | (F.size(hits) > 0)
+        for c in refused:
+            going = going | c.isNotNull()
         found = (
             found.lateralJoin(children.toDF(pos, name, child))
             .select(
@@ -114,23 +121,32 @@ def find_key(
                 F.when(F.col(name).isin(keys), F.concat(inherited, hit))
                 .otherwise(inherited)
                 .alias(hits),
+                *refused,
             )
-            .where(F.col(node).isNotNull() | (F.size(hits) > 0))
+            .where(going)
         )
     rest = F.when(F.col(node).isNull(), F.col(hits)).otherwise(
         F.concat(F.col(hits), find_nodes(F.col(node), keys))
     )
+    for c in refused:
+        no_value = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("node"))
+        rest = F.when(c.isNotNull(), F.array(no_value)).otherwise(rest)
     (hit_,) = helpers(["hit"], docs)
-    exploded = found.select(*kept, F.explode(rest).alias(hit_))
+    exploded = found.select(*kept, F.explode(rest).alias(hit_), *refused)
     named = [] if key_alias is None else [F.col(f"{hit_}.key").alias(key_alias)]
+    errors = [c.alias(error_alias) for c in refused]
     return exploded.select(
-        *[_col(c) for c in others if c not in (alias, key_alias)], *named, F.col(f"{hit_}.node").alias(alias)
+        *[_col(c) for c in others if c not in (alias, key_alias, error_alias)],
+        *named,
+        F.col(f"{hit_}.node").alias(alias),
+        *errors,
     )
 
 
-def malformed(docs: DataFrame, body: str = "body") -> DataFrame:
-    """Documents whose text is not JSON."""
-    return docs.where(_col(body).isNotNull() & F.try_parse_json(_col(body)).isNull())
+def malformed(docs: DataFrame, body: str = "body", reason: str | None = None) -> DataFrame:
+    """Documents that Spark's JSON parser refuses; ``reason`` names a column that tells why."""
+    refused = docs.where(_col(body).isNotNull() & F.try_parse_json(_col(body)).isNull())
+    return refused if reason is None else refused.withColumn(reason, refusal(_col(body)))
 
 
 def rewrite_array(

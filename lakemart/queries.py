@@ -647,6 +647,27 @@ def r05_find_event_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.to_json("value").alias("found"))
 
 
+@query(
+    "r05_find_key_errors",
+    """
+    WITH docs AS (SELECT event_id, CASE WHEN event_type = 'error' THEN '[' || props ELSE props END AS body
+                  FROM events)
+    SELECT event_id, CAST(unnest(json_extract(body, '$..k')) AS VARCHAR) AS found, CAST(NULL AS VARCHAR) AS error
+    FROM docs WHERE json_valid(body)
+    UNION ALL
+    SELECT event_id, NULL, 'not JSON' FROM docs WHERE NOT json_valid(body) AND contains(body, '"k"')
+    """,
+)
+def r05_find_key_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values found and documents refused, from one parse."""
+    broken = F.when(F.col("event_type") == "error", _text("[", F.col("props")))
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.coalesce(broken, F.col("props")).alias("body")
+    )
+    found = ops.find_key(events, "k", error_alias="error")
+    return found.select("event_id", F.to_json("value").alias("found"), "error")
+
+
 @query(
     "r05_malformed",
     """

@@ -11,7 +11,7 @@ from lakemart import operators as ops
 from lakemart.functions import close_pairs
 from lakemart.functions.rewriting import NOTEBOOK_ACTIVITY
 
-from helpers import row_set, rows
+from helpers import physical_plan, row_set, rows
 
 ITEMS = "id string, display_name string, type string"
 
@@ -413,17 +413,31 @@ def test_find_key_with_several_keys(spark):
         assert got == expected(bodies, key)
 
 
-def test_find_key_does_not_lose_documents_silently(spark):
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_find_key_accounts_for_every_document(spark, allowed):
     deep = '{"ref":[' * 1200 + "1" + "]}" * 1200
-    docs = frame(spark, [deep, '{"ref":1}'])
-    assert {r["doc_id"] for r in ops.find_key(docs, "ref").collect()} == {1}
-    assert {r["doc_id"] for r in ops.malformed(docs).collect()} == {0}
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
-    try:
-        with pytest.raises(ValueError, match="allowDuplicateKeys"):
-            ops.find_key(docs, "ref")
-    finally:
-        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    texts = [deep, '{"ref":1}', '{"ref":1,"ref":2}', '{"ref":', '{"x":"[[[\\"ref\\""}', '{"x":1}', None,
+             '{"ref":"' + "[" * 1200 + '"}', "[" * 1200 + '"ref"']
+    session = spark.newSession()
+    session.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+    docs = frame(session, texts)
+    found = ops.find_key(docs, "ref", error_alias="error")
+    assert found.columns == ["doc_id", "value", "error"]
+    errors = {r[0]: r[1] for r in found.where("error is not null").select("doc_id", "error").collect()}
+    values = {r[0]: r[1] for r in found.where("error is null").select("doc_id", F.to_json("value")).collect()}
+    repeated = {} if allowed == "true" else {2: "repeated key"}
+    assert errors == {0: "too deep", 3: "not JSON", 8: "too deep"} | repeated
+    assert values == {1: "1", 7: '"' + "[" * 1200 + '"'} | ({2: "2"} if allowed == "true" else {})
+    # without the column the refused ones are left out, and malformed lists them
+    assert {r["doc_id"] for r in ops.find_key(docs, "ref").collect()} == set(values)
+    listed = ops.malformed(docs, reason="why")
+    assert {r["doc_id"]: r["why"] for r in listed.collect()} == errors
+
+
+def test_errors_come_from_the_same_parse(spark):
+    found = ops.find_key(frame(spark, ['{"ref":1}']), ["ref", "id"], key_alias="key", error_alias="error")
+    plan = physical_plan(found)
+    assert plan.count("parseJson") == 1 and "Exchange" not in plan
 
 
 def test_helper_names_do_not_collide(spark, catalogs):

@@ -10,6 +10,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from lakemart.queries import ORACLES, QUERIES
+from lakemart.session import SETTINGS
 
 NAMES = sorted(QUERIES)
 
@@ -35,9 +36,17 @@ def test_every_query_has_sql():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, duck, oracle_dir, name):
-    df = queries()[name](spark, oracle_dir)
+@pytest.fixture(scope="module")
+def bare(spark):
+    """A session that knows none of the package's settings."""
+    session = spark.newSession()
+    for name in SETTINGS:
+        session.conf.unset(name)
+    return session
+
+
+def compare(session, duck, oracle_dir, name):
+    df = queries()[name](session, oracle_dir)
     cursor = duck.execute(oracle_sql()[name])
     expected_columns = [d[0] for d in cursor.description]
     expected = cursor.fetchall()
@@ -47,6 +56,17 @@ def test_query_equals_sql(spark, duck, oracle_dir, name):
     assert sorted_rows(df.columns, actual) == sorted_rows(expected_columns, expected)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_sql(spark, duck, oracle_dir, name):
+    compare(spark, duck, oracle_dir, name)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_sql_without_settings(bare, duck, oracle_dir, name):
+    assert bare.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+    compare(bare, duck, oracle_dir, name)
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["category", "sum_measure"]
     assert entry(spark).count() == 50

@@ -57,7 +57,7 @@ def test_flagship_scan_is_pruned_and_sum_is_partial(spark, small_dir):
 @pytest.mark.parametrize(
     "name",
     ["d01_scan", "d09_truncate", "d14_model", "r01_scope", "r03_find_replace", "r05_find_key",
-     "r05_malformed", "r05_find_keys", "r07_array", "r09_swap", "r09_swap_by_name", "r09_swap_long",
+     "r05_malformed", "r05_find_keys", "r05_find_key_errors", "r07_array", "r09_swap", "r09_swap_by_name", "r09_swap_long",
      "r13_package", "d12_shortcut", "d13_entity_scan"],
 )
 def test_row_local_operators_do_not_shuffle(spark, small_dir, name):
