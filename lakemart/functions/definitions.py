@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -21,7 +21,16 @@ NODES = "array<struct<key:string,node:variant>>"
 NO_BRACKET = r'"(?:[^"\\]++|\\.)*+"?|[^\[\]{}]'
 
 
-def may_contain(body: Column, *groups: Sequence[str]) -> Column:
+def once(text: Column, test: Callable[[Column], Column]) -> Column:
+    """A test that looks at a text several times and has it computed once.
+
+    The optimizer moves filters below the projection a text comes from, where each
+    mention of the text would compute it anew. Null where the text is null.
+    """
+    return F.exists(F.array(text), test)
+
+
+def has_keys(body: Column, *groups: Sequence[str]) -> Column:
     """A cheap test that never misses a document with all keys of one of the groups.
 
     A key can be spelled with escapes, so any backslash also counts as a maybe.
@@ -33,6 +42,11 @@ def may_contain(body: Column, *groups: Sequence[str]) -> Column:
     return maybe
 
 
+def may_contain(body: Column, *groups: Sequence[str]) -> Column:
+    """:func:`has_keys` of a text that may be expensive to compute."""
+    return once(body, lambda b: has_keys(b, *groups))
+
+
 def refusal(body: Column) -> Column:
     """Why the JSON parser takes no document in a text; meant for texts it has refused.
 

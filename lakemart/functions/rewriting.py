@@ -21,6 +21,8 @@ ACTIVITIES = "activities"
 EXTERNAL_REFERENCES = "externalReferences"
 ARTIFACT_ID = "artifactId"
 NOTEBOOK_ID = "notebookId"
+WORKSPACE_ID = "workspaceId"
+ENDPOINT = "endpoint"
 CONNECTION = "connection"
 NOTEBOOK_ACTIVITY = "TridentNotebook"
 LINKED_TYPES = {"DataWarehouse": "Warehouse", "Lakehouse": "Lakehouse"}
@@ -71,7 +73,7 @@ def item_references(
     found: list[Reference] = []
 
     def add(kind: str | None, holder: dict, field: str) -> None:
-        if kind in types and holder.get("workspaceId") != workspace:
+        if kind in types and holder.get(WORKSPACE_ID) != workspace:
             if isinstance(holder.get(field), str):
                 found.append((kind, holder[field], holder, field))
 
@@ -101,9 +103,9 @@ def rewrite_pipeline(
             continue
         new, endpoint = edits[kind, old]
         holder[field] = new
-        holder["workspaceId"] = workspace
+        holder[WORKSPACE_ID] = workspace
         if kind == "Warehouse" and endpoint is not None:
-            holder["endpoint"] = endpoint
+            holder[ENDPOINT] = endpoint
         changed = True
     for key, value in places:
         if key == EXTERNAL_REFERENCES and isinstance(value, dict):
@@ -168,18 +170,6 @@ def storable(text: str) -> str:
     return text.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
-def references_in(body: str, workspace: str, types: frozenset[str]) -> list[dict]:
-    """The distinct item references of one document; none when it is not JSON."""
-    try:
-        places = find_members(json.loads(body), PIPELINE_KEYS)
-        found = {(kind, old) for kind, old, _, _ in item_references(places, workspace, types)}
-    except Exception:
-        return []
-    # no catalog can hold an id that is not storable
-    found = {(kind, old) for kind, old in found if storable(old) == old}
-    return [{"type": kind, "old_id": old} for kind, old in sorted(found)]
-
-
 def edited_array(rows: list[Edited]) -> pa.Array:
     """Results of :func:`edit_text` as an Arrow struct column."""
     bodies, unresolved, errors = zip(*rows) if rows else ((), (), ())

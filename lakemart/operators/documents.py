@@ -6,14 +6,15 @@ the JSON text (``body``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakemart.functions.arrays import any_differs, set_ids
-from lakemart.functions.definitions import find_nodes, may_contain, refusal
+from lakemart.functions.definitions import find_nodes, has_keys, may_contain, once, refusal
 from lakemart.functions.rewriting import (
     ARTIFACT_ID,
     CONNECTION_KEYS,
@@ -23,10 +24,10 @@ from lakemart.functions.rewriting import (
     Edits,
     edit_text,
     edited_array,
-    references_in,
     rewrite_notebook,
     rewrite_pipeline,
 )
+from lakemart.functions.shapes import PipelineEdit, as_shape, shape_pattern, spaced
 from lakemart.functions.text import (
     Rule,
     base64_payload,
@@ -46,11 +47,10 @@ PIPELINE_TYPES = ("Warehouse", "Lakehouse", "Notebook")
 PIPELINE_PART = "pipeline-content.json"
 PAYLOAD_TYPE = "InlineBase64"
 
-# What holds an item's id in a text without escapes.
-ITEM_IDS = rf'"(?:{ARTIFACT_ID}|{NOTEBOOK_ID})"\s*:\s*"([^"]*)"'
+# What holds an item's id; within the id escapes may occur, in the names they don't.
+ITEM_IDS = rf'"(?:{ARTIFACT_ID}|{NOTEBOOK_ID})"\s*:\s*"((?:[^"\\]++|\\.)*+)"'
 
 EDITED = "struct<body:string,unresolved:array<string>,error:string>"
-REFERENCES = "array<struct<type:string,old_id:string>>"
 
 
 def _col(name: str) -> Column:
@@ -206,9 +206,6 @@ def resolve_pairs(
     return [(ids[old], ids[new]) for old, new in pairs]
 
 
-_REFERENCES_ARROW = pa.list_(pa.struct([("type", pa.string()), ("old_id", pa.string())]))
-
-
 def _item_edits(
     source_items: DataFrame, target_items: DataFrame, types: Sequence[str]
 ) -> DataFrame:
@@ -234,6 +231,19 @@ def _item_edits(
     )
 
 
+def item_ids(body: Column) -> Column:
+    """The ids a pipeline definition may refer to, some too many but none too few.
+
+    Found by a pattern. A text with escapes is copied by the JSON parser first, which
+    spells every name without them; what is no JSON is searched as it is.
+    """
+    escaped = body.contains("\\")
+    plain = F.when(escaped, F.coalesce(F.get_json_object(body, "$"), body)).otherwise(body)
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(ITEM_IDS), F.lit(1)))
+    read = F.transform(found, lambda i: F.get_json_object(F.concat(F.lit('["'), i, F.lit('"]')), "$[0]"))
+    return F.when(escaped, read).otherwise(found)
+
+
 def rewrite_pipelines(
     docs: DataFrame,
     source_items: DataFrame,
@@ -242,6 +252,7 @@ def rewrite_pipelines(
     pairs: Sequence[tuple[str, str]] = (),
     types: Sequence[str] = PIPELINE_TYPES,
     body: str = "body",
+    shape: str | T.StructType | None = None,
 ) -> DataFrame:
     """Point the references inside pipeline definitions to the target workspace.
 
@@ -254,24 +265,22 @@ def rewrite_pipelines(
 
     The ids found in the documents are joined to the catalogs, and the edits go back to
     the documents by a digest of their text: they depend on nothing else, so no key
-    column is needed and equal texts share them. The ids are found by a pattern, which
-    may find some too many; texts with escapes, where it might miss one, are parsed for
-    them. Documents that name nothing to rewrite take no part in that; their texts are
-    not shuffled.
+    column is needed and equal texts share them. A text that a large part of the
+    documents have is no bottleneck: its ids are made distinct before they are shuffled,
+    and the join that brings the edits back can be split. Documents that name nothing
+    to rewrite take no part in that; their texts are not shuffled.
+
+    With a ``shape`` (a struct type or its DDL, see :mod:`lakemart.functions.shapes`)
+    documents that fit it are read, edited and written as typed columns in the JVM; only
+    the others are walked as trees in Python. Both give the same JSON; a field that
+    a document did not have stands last after one, and where the shape has it after the other.
     """
     wanted = frozenset(types)
     swaps = close_pairs(pairs)
     edits = _item_edits(source_items, target_items, types)
     groups = (*ITEM_KEYS, *CONNECTION_KEYS) if swaps else ITEM_KEYS
     may_change = F.coalesce(may_contain(_col(body), *groups), F.lit(False))
-    one, two, own, edited = helpers(["digest", "digest_too", "own", "edited"], docs)
-
-    @F.arrow_udf(REFERENCES)
-    def references(bodies: pa.Array) -> pa.Array:
-        rows = [
-            None if b is None else references_in(b, workspace_id, wanted) for b in bodies.to_pylist()
-        ]
-        return pa.array(rows, _REFERENCES_ARROW)
+    one, two, own, tree, new, edited = helpers(["digest", "digest_too", "own", "tree", "new", "edited"], docs)
 
     @F.arrow_udf(EDITED)
     def rewrite(bodies: pa.Array, known: pa.Array) -> pa.Array:
@@ -284,38 +293,71 @@ def rewrite_pipelines(
             rows.append(edit_text(text, edit))
         return edited_array(rows)
 
-    def finished(df: DataFrame, result: Column | None) -> DataFrame:
-        nothing = F.lit(None).cast(EDITED)
-        df = df.withColumn(edited, nothing if result is None else result)
-        added = {
-            "new_body": F.coalesce(F.col(f"{edited}.body"), _col(body)),
-            "changed": F.col(f"{edited}.body").isNotNull(),
-            "unresolved": F.coalesce(F.col(f"{edited}.unresolved"), F.array().cast("array<string>")),
-            "error": F.col(f"{edited}.error"),
-        }
-        return df.select(
-            *[_col(c) for c in docs.columns if c not in added],
-            *[c.alias(name) for name, c in added.items()],
-        )
+    def digested(test: Callable[[Column], Column]) -> DataFrame:
+        digests = {one: F.xxhash64(_col(body)), two: F.xxhash64(F.lit(1), _col(body))}
+        return docs.where(once(_col(body), test)).withColumns(digests)
 
-    readable = docs.where(may_change).withColumns(
-        {one: F.xxhash64(_col(body)), two: F.xxhash64(F.lit(1), _col(body))}
+    readable = digested(lambda b: has_keys(b, *groups))
+    uses = readable.select(
+        F.col(one).alias("one"), F.col(two).alias("two"), F.explode(item_ids(_col(body))).alias("id")
     )
-    escaped = _col(body).contains("\\")
-    parsed = F.transform(references(F.when(escaped, _col(body))), lambda r: r["old_id"])
-    matched = F.regexp_extract_all(_col(body), F.lit(ITEM_IDS), F.lit(1))
-    ids = F.array_distinct(F.when(escaped, parsed).otherwise(matched))
-    uses = readable.select(F.col(one).alias("one"), F.col(two).alias("two"), F.explode(ids).alias("id"))
+    # grouped by a hash beside the digest, so that the join below has an exchange on both sides
     known = (
         uses.distinct()
         .join(edits, F.col("id") == F.col("old_id"))
-        .groupBy("one", "two")
-        .agg(F.collect_list(F.struct("type", "old_id", "new_id", "endpoint")).alias(own))
-        .withColumnsRenamed({"one": one, "two": two})
+        .groupBy(F.xxhash64("one", "two", F.lit(2)).alias("spread"), "one", "two")
+        .agg(F.collect_list(F.struct("type", "old_id", "new_id", "endpoint")).alias("own"))
+        .select(F.col("one").alias(one), F.col("two").alias(two), F.col("own").alias(own))
+    )
+
+    def in_python(df: DataFrame) -> DataFrame:
+        joined = df.join(known, [one, two], "left")
+        return _finished(joined.withColumn(edited, rewrite(_col(body), F.col(own))), docs.columns, body, edited)
+
+    unchanged = _finished(docs.where(~may_change).withColumn(edited, _nothing()), docs.columns, body, edited)
+    if shape is None:
+        return unchanged.unionByName(in_python(readable))
+
+    kind = as_shape(shape)
+    pattern = shape_pattern(kind)
+    joined = digested(lambda b: has_keys(b, *groups) & b.rlike(pattern)).join(known, [one, two], "left")
+    entries = F.transform(
+        F.coalesce(F.col(own), F.array().cast("array<struct<type:string,old_id:string,new_id:string,endpoint:string>>")),
+        lambda e: F.struct(F.concat(e["type"], F.lit(":"), e["old_id"]), F.struct(e["new_id"], e["endpoint"])),
+    )
+    typed = joined.select(
+        *[_col(c) for c in docs.columns],
+        F.map_from_entries(entries).alias(own),
+        F.from_json(_col(body), kind).alias(tree),
+    )
+    edit = PipelineEdit(kind, workspace_id, types, F.col(own), swaps)
+    typed = typed.withColumn(new, edit.apply(F.col(tree)))
+    missing = F.filter(edit.references(F.col(tree)), lambda r: F.col(own)[r].isNull())
+    result = F.struct(
+        F.when(~F.col(new).eqNullSafe(F.col(tree)), spaced(F.to_json(new))).alias("body"),
+        F.sort_array(F.array_distinct(missing)).alias("unresolved"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    in_jvm = _finished(typed.withColumn(edited, result), docs.columns, body, edited)
+    rest = digested(lambda b: has_keys(b, *groups) & ~b.rlike(pattern))
+    return unchanged.unionByName(in_jvm).unionByName(in_python(rest))
+
+
+def _nothing() -> Column:
+    return F.lit(None).cast(EDITED)
+
+
+def _finished(df: DataFrame, columns: Sequence[str], body: str, edited: str) -> DataFrame:
+    """The columns of the documents and what the struct ``edited`` says of them."""
+    added = {
+        "new_body": F.coalesce(F.col(f"{edited}.body"), _col(body)),
+        "changed": F.col(f"{edited}.body").isNotNull(),
+        "unresolved": F.coalesce(F.col(f"{edited}.unresolved"), F.array().cast("array<string>")),
+        "error": F.col(f"{edited}.error"),
+    }
+    return df.select(
+        *[_col(c) for c in columns if c not in added], *[c.alias(name) for name, c in added.items()]
     )
-    joined = readable.join(known, [one, two], "left")
-    changed = finished(joined, rewrite(_col(body), F.col(own)))
-    return finished(docs.where(~may_change), None).unionByName(changed)
 
 
 NOTEBOOK = """struct<metadata:struct<dependencies:struct<
@@ -343,46 +385,74 @@ def repair_notebooks(
     (type:name of lakehouses and type:id of warehouses without a counterpart) and
     ``error`` (of a notebook that cannot be read); columns of these names are replaced.
 
-    A notebook's fields are read once; those that name nothing take no part in the
-    lookups. Only notebooks that will change, or that the JVM cannot read, reach Python.
+    What is looked up are narrow rows, one per different text: a digest, the names and
+    the ids attached, read from the notebook in the JVM. One join against both kinds of
+    items answers them, and the answers return to the bodies, which are shuffled once, by
+    the digest. A text that many notebooks share is no bottleneck (see
+    :func:`rewrite_pipelines`). Only notebooks that will change, or that the JVM cannot
+    read, reach Python.
     """
     may_change = F.coalesce(may_contain(_col(body), *NOTEBOOK_KEYS), F.lit(False))
-    fields, lakehouse, warehouse, old, edited = helpers(
-        ["fields", "lakehouse", "warehouse", "old_warehouse", "edited"], docs
+    one, two, lakehouse, warehouse, needed, missing, edited = helpers(
+        ["digest", "digest_too", "lakehouse", "warehouse", "needed", "missing", "edited"], docs
+    )
+    candidates = docs.where(may_change).withColumns(
+        {one: F.xxhash64(_col(body)), two: F.xxhash64(F.lit(1), _col(body))}
     )
     read = F.from_json(_col(body), NOTEBOOK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
-    home = f"{fields}.metadata.dependencies"
-    items = docs.where(may_change).withColumn(fields, read)
-    (name,) = helpers(["lakehouse_name"], items)
-    items = items.withColumns(
-        {
-            name: F.col(f"{home}.lakehouse.default_lakehouse_name"),
-            old: F.col(f"{home}.warehouse.default_warehouse"),
-        }
+    home = "fields.metadata.dependencies"
+    known = F.from_json(F.col(f"{home}.lakehouse.known_lakehouses"), "array<struct<id:string>>")
+    narrow = (
+        candidates.select(F.col(one).alias("one"), F.col(two).alias("two"), read.alias("fields"))
+        .select(
+            "one",
+            "two",
+            F.col(f"{home}.lakehouse.default_lakehouse_name").alias("name"),
+            F.col(f"{home}.warehouse.default_warehouse").alias("old"),
+            F.col(f"{home}.lakehouse.default_lakehouse_workspace_id").eqNullSafe(F.lit(workspace_id)).alias("home"),
+            F.array_distinct(F.transform(known, lambda e: e["id"])).alias("attached"),
+            (F.col("fields._unread").isNotNull() | F.col("fields.metadata").isNull()).alias("unread"),
+        )
+        .distinct()
     )
-    items = lookup(
-        items,
-        target_items.where(_col("type") == "Lakehouse"),
-        {name: "display_name"},
-        default=None,
-        alias=lakehouse,
+    asked = F.array(
+        F.struct(F.lit("Lakehouse").alias("kind"), F.col("name").alias("key")),
+        F.struct(F.lit("Warehouse").alias("kind"), F.col("old").alias("key")),
     )
-    # an id of the target stays what it is
-    targets = target_items.where(_col("type") == "Warehouse").select("id", "display_name")
-    mapping = rebind_map(source_items.select("id", "display_name"), targets, ["display_name"])
-    stays = targets.select(F.col("id").alias("old_id"), F.col("id").alias("new_id"))
-    items = lookup(items, mapping.union(stays), {old: "old_id"}, "new_id", default=None, alias=warehouse)
-    known = F.from_json(F.col(f"{home}.lakehouse.known_lakehouses"), "array<struct<id:string>>")
-    moved = ~F.col(f"{home}.lakehouse.default_lakehouse_workspace_id").eqNullSafe(
-        F.lit(workspace_id)
-    ) | any_differs(known, F.col(lakehouse))
-    needed = (
-        (F.col(lakehouse).isNotNull() & moved)
-        | (F.col(warehouse).isNotNull() & (F.col(warehouse) != F.col(old)))
-        | F.col(f"{fields}._unread").isNotNull()
-        | F.col(f"{fields}.metadata").isNull()
+    questions = narrow.select(
+        "*", F.inline_outer(F.filter(asked, lambda a: a["key"].isNotNull())).alias("kind", "key")
+    )
+    answered = lookup(
+        questions, _notebook_items(source_items, target_items), {"kind": "kind", "key": "key"}, default=None, alias="id"
     )
 
+    def answer(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("id"))).alias(kind.lower())
+
+    fields = ["name", "old", "home", "attached", "unread"]
+    # grouped by a hash beside the digest, so that the join below has an exchange on both sides
+    found = answered.groupBy(F.xxhash64("one", "two", F.lit(2)).alias("spread"), "one", "two").agg(
+        *[F.first(c).alias(c) for c in fields], answer("Lakehouse"), answer("Warehouse")
+    )
+    moved = ~F.col("home") | F.coalesce(F.exists("attached", lambda i: ~i.eqNullSafe(F.col("lakehouse"))), F.lit(False))
+    verdicts = found.select(
+        F.col("one").alias(one),
+        F.col("two").alias(two),
+        F.col("lakehouse").alias(lakehouse),
+        F.col("warehouse").alias(warehouse),
+        (
+            (F.col("lakehouse").isNotNull() & moved)
+            | (F.col("warehouse").isNotNull() & (F.col("warehouse") != F.col("old")))
+            | F.col("unread")
+        ).alias(needed),
+        F.array_compact(
+            F.array(
+                F.when(F.col("lakehouse").isNull(), F.concat(F.lit("Lakehouse:"), F.col("name"))),
+                F.when(F.col("warehouse").isNull(), F.concat(F.lit("Warehouse:"), F.col("old"))),
+            )
+        ).alias(missing),
+    ).where(F.col(needed) | (F.size(missing) > 0))
+
     @F.arrow_udf(EDITED)
     def rewrite(bodies: pa.Array, lakehouses: pa.Array, warehouses: pa.Array) -> pa.Array:
         rows = []
@@ -392,30 +462,30 @@ def repair_notebooks(
             rows.append(edit_text(text, edit))
         return edited_array(rows)
 
-    def finished(df: DataFrame, result: Column | None, missing: Column | None) -> DataFrame:
-        nothing = F.lit(None).cast(EDITED)
-        df = df.withColumn(edited, nothing if result is None else result)
-        none = F.array().cast("array<string>")
-        added = {
-            "new_body": F.coalesce(F.col(f"{edited}.body"), _col(body)),
-            "changed": F.col(f"{edited}.body").isNotNull(),
-            "unresolved": none if missing is None else missing,
-            "error": F.col(f"{edited}.error"),
-        }
-        return df.select(
-            *[_col(c) for c in docs.columns if c not in added],
-            *[c.alias(label) for label, c in added.items()],
-        )
+    joined = candidates.join(verdicts, [one, two], "left")
+    result = rewrite(F.when(F.col(needed), _col(body)), F.col(lakehouse), F.col(warehouse))
+    # what a notebook lacks was found by the lookup, not by the rewriting
+    changed = joined.withColumn(edited, result).withColumn(
+        edited, F.struct(F.col(f"{edited}.body"), F.col(missing).alias("unresolved"), F.col(f"{edited}.error"))
+    )
+    unchanged = docs.where(~may_change).withColumn(edited, _nothing())
+    return _finished(unchanged, docs.columns, body, edited).unionByName(
+        _finished(changed, docs.columns, body, edited)
+    )
 
-    missing = F.filter(
-        F.array(
-            F.when(F.col(lakehouse).isNull(), F.concat(F.lit("Lakehouse:"), F.col(name))),
-            F.when(F.col(warehouse).isNull(), F.concat(F.lit("Warehouse:"), F.col(old))),
-        ),
-        lambda x: x.isNotNull(),
+
+def _notebook_items(source_items: DataFrame, target_items: DataFrame) -> DataFrame:
+    """(kind, key, id): target lakehouses by name, target warehouses by id of the source or their own."""
+    lakehouses = target_items.where(_col("type") == "Lakehouse").select(
+        F.lit("Lakehouse").alias("kind"), _col("display_name").alias("key"), _col("id")
     )
-    result = rewrite(F.when(needed, _col(body)), F.col(lakehouse), F.col(warehouse))
-    return finished(docs.where(~may_change), None, None).unionByName(finished(items, result, missing))
+    warehouses = target_items.where(_col("type") == "Warehouse").select("id", "display_name")
+    mapping = rebind_map(source_items.select("id", "display_name"), warehouses, ["display_name"])
+    kind = F.lit("Warehouse").alias("kind")
+    moved = mapping.select(kind, F.col("old_id").alias("key"), F.col("new_id").alias("id"))
+    # an id of the target stays what it is
+    stays = warehouses.select(kind, F.col("id").alias("key"), F.col("id"))
+    return lakehouses.union(moved).union(stays)
 
 
 def package(

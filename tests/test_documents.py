@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakemart import operators as ops
 from lakemart.functions import close_pairs
 from lakemart.functions.rewriting import NOTEBOOK_ACTIVITY
+from lakemart.functions.shapes import as_shape, shape_pattern
 
 from helpers import physical_plan, row_set, rows
 
@@ -291,6 +292,117 @@ def test_rewritten_keeps_key_order_and_unicode(spark, catalogs):
     assert json.loads(got)["a"] == "é"
 
 
+SHAPE = """linkedService struct<name: string, properties: struct<type: string,
+        typeProperties: struct<artifactId: string, workspaceId: string, endpoint: string,
+            linkedService: struct<properties: struct<type: string,
+                typeProperties: struct<artifactId: string, workspaceId: string, endpoint: string>>>>,
+        n: bigint, on: boolean>>,
+    activities array<struct<type: string not null,
+        typeProperties: struct<notebookId: string, workspaceId: string,
+            activities: array<struct<type: string, typeProperties: struct<notebookId: string, workspaceId: string>>>>,
+        externalReferences: struct<connection: string>>>,
+    tags array<array<string>>"""
+
+
+def random_pipeline(rng):
+    def maybe(**fields):
+        return {k: v for k, v in fields.items() if rng.random() < 0.8}
+
+    def service(inner):
+        kind = rng.choice(["Lakehouse", "DataWarehouse", "Blob"])
+        place = maybe(artifactId=rng.choice(["s-lake", "s-wh", "none", "t,:x"]), workspaceId=rng.choice(["w-src", "w-tgt"]))
+        if kind == "DataWarehouse":
+            place |= {"endpoint": "old, host: 1"}
+        if inner and rng.random() < 0.5:
+            place |= {"endpoint": "e", "linkedService": service(False)}
+        properties = maybe(type=kind, typeProperties=place)
+        if not inner:
+            return {"properties": properties}
+        return maybe(name="x") | {"properties": properties | maybe(n=rng.choice([0, -7, 10**17]), on=True)}
+
+    def activity(depth):
+        place = maybe(notebookId=rng.choice(["s-nb", "none"]), workspaceId=rng.choice(["w-src", "w-tgt"]))
+        if depth and rng.random() < 0.5:
+            place["activities"] = [activity(0) for _ in range(rng.randrange(3))]
+        found = {"type": rng.choice([NOTEBOOK_ACTIVITY, "Copy"]), "typeProperties": place}
+        if depth and rng.random() < 0.5:
+            found["externalReferences"] = maybe(connection=rng.choice(["A", "B", "C", "a: b, c"]))
+        return found
+
+    return maybe(
+        linkedService=service(True),
+        activities=[activity(1) for _ in range(rng.randrange(4))],
+        tags=[["a", "b,c"], [], ["]"]],
+    )
+
+
+def test_known_shape_gives_the_same_as_the_tree_walk(spark, catalogs):
+    rng = random.Random(3)
+    texts = []
+    for i in range(300):
+        tree = random_pipeline(rng)
+        texts.append(json.dumps(tree, **[{}, {"indent": 2}, {"separators": (",", ":")}][i % 3]))
+        if i % 5 == 0:  # what the shape does not cover
+            odd = [{**tree, "more": 1}, {"z": 0, **tree}, [tree], {**tree, "tags": [["é"]]}, {**tree, "tags": None}]
+            texts.append(json.dumps(odd[i // 5 % 5]))
+            texts.append(texts[-2][:-1] + ",}")
+            texts.append(texts[-3] + " tail")
+    docs = frame(spark, texts)
+    pattern = shape_pattern(as_shape(SHAPE))
+    fitting = docs.where(F.col("body").rlike(pattern)).count()
+    assert fitting == sum(fits(t) for t in texts) and 290 <= fitting <= 310
+    plain = ops.rewrite_pipelines(docs, *catalogs, "w-tgt", [("A", "B"), ("B", "C")])
+    typed = ops.rewrite_pipelines(docs, *catalogs, "w-tgt", [("A", "B"), ("B", "C")], shape=SHAPE)
+    assert as_json(typed) == as_json(plain)
+    assert typed.where("changed").count() > 100 and typed.where("size(unresolved) > 0").count() > 50
+    only = ops.rewrite_pipelines(docs, *catalogs, "w-tgt", types=["Notebook"], shape=SHAPE)
+    assert as_json(only) == as_json(ops.rewrite_pipelines(docs, *catalogs, "w-tgt", types=["Notebook"]))
+
+
+def as_json(df):
+    """Rows with the new text read where it is JSON: an added field may stand elsewhere."""
+    found = []
+    for r in df.collect():
+        tree = json.loads(r["new_body"]) if r["changed"] else r["new_body"]
+        spaced = not r["changed"] or r["new_body"] == json.dumps(tree)
+        found.append((r["doc_id"], json.dumps(tree, sort_keys=True), spaced, r["unresolved"], r["error"]))
+    return sorted(found)
+
+
+def fits(text):
+    try:
+        tree = json.loads(text)
+    except json.JSONDecodeError:
+        return False
+    names = ["linkedService", "activities", "tags"]
+    if not isinstance(tree, dict) or list(tree) != [n for n in names if n in tree] or "\\" in text:
+        return False
+    return tree.get("tags", []) is not None
+
+
+def test_documents_of_the_shape_stay_in_the_jvm(spark, catalogs):
+    """Those that fit are filtered out in front of Python."""
+    docs = frame(spark, [json.dumps(random_pipeline(random.Random(i))) for i in range(5)])
+    plan = physical_plan(ops.rewrite_pipelines(docs, *catalogs, "w-tgt", shape=SHAPE))
+    assert plan.count("ArrowEvalPython") == 1
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert "NOT RLIKE(" in below.split("ArrowEvalPython")[1]
+
+
+@pytest.mark.parametrize("shape", ["a double", "`a\"b` string", "linkedService struct<properties: struct<type: string, typeProperties: struct<artifactId: string>>>"])
+def test_shapes_that_cannot_be_edited_are_refused(spark, catalogs, shape):
+    with pytest.raises(ValueError):
+        ops.rewrite_pipelines(frame(spark, ["{}"]), *catalogs, "w-tgt", shape=shape)
+
+
+def test_ids_with_escapes(spark, catalogs):
+    source, target = catalogs
+    odd = 'a"b\\c'
+    source = source.unionByName(spark.createDataFrame([(odd, "bronze", "Lakehouse")], ITEMS))
+    got = ops.rewrite_pipelines(frame(spark, [json.dumps(linked("Lakehouse", odd, "w-src"))]), source, target, "w-tgt")
+    assert json.loads(got.first()["new_body"]) == linked("Lakehouse", "t-lake", "w-tgt")
+
+
 def attached(name, workspace, known=None, default="old"):
     lake = {"default_lakehouse": default, "default_lakehouse_name": name, "default_lakehouse_workspace_id": workspace}
     if known is not None:

@@ -104,6 +104,19 @@ def test_texts_that_name_nothing_are_not_shuffled(spark, small_dir):
         assert not any("Exchange" in line for line in plain[:3])
 
 
+def test_notebooks_are_looked_up_by_narrow_rows(spark, small_dir):
+    """Bodies take part in one join only, the last; what is distinct and looked up has none."""
+    docs = spark.range(10).selectExpr("id AS doc_id", "CAST(id AS STRING) AS body")
+    items = spark.range(5).selectExpr("CAST(id AS STRING) AS id", "'n' || id AS display_name", "'Lakehouse' AS type")
+    with settings(spark, **NO_BROADCAST):
+        plan = ops.repair_notebooks(docs, items, items, "w")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join LeftOuter" in line]
+    assert len(joins) == 2
+    looked_up = plan[plan.index(joins[1]) :]
+    aggregate = looked_up[looked_up.index("Aggregate") :].split("\n")[0]
+    assert "body" not in aggregate and "from_json" not in aggregate
+
+
 def test_operators_start_no_job(spark, small_dir):
     """All but the sinks and the two that resolve a list of names are lazy."""
     context = spark.sparkContext
@@ -175,6 +188,49 @@ def test_hot_keys_are_split(spark, tmp_path, operator):
     assert found == {"orphans": n - matched, "cross_filter": matched}.get(operator, n)
 
 
+@pytest.mark.parametrize("operator", ["rewrite_pipelines", "shape", "repair_notebooks"])
+def test_hot_texts_are_split(spark, tmp_path, operator):
+    """A template that a third of the documents share is rewritten in many tasks."""
+    n = 60_000
+    name = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id")))
+    filler = F.concat(F.lit('{"pad":"'), F.when(F.col("id") % 3 == 0, F.lit("x" * 400)).otherwise(F.repeat(F.sha2(name, 256), F.lit(6))))
+    if operator == "repair_notebooks":
+        rest = F.concat(F.lit('","metadata":{"dependencies":{"lakehouse":{"default_lakehouse_name":"'), name, F.lit('"}}}}'))
+    else:
+        rest = F.concat(
+            F.lit('","linkedService":{"properties":{"type":"Lakehouse","typeProperties":{"artifactId":"'), name,
+            F.lit('"}}}}'),
+        )
+    # equal texts compress to nothing: what else a row has makes the partition large
+    payload = F.concat(*[F.sha2(F.concat("id", F.lit(i)), 256) for i in range(4)])
+    docs = spark.range(n).select("id", F.concat(filler, rest).alias("body"), payload.alias("payload"))
+    docs.repartition(16).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    keys = F.when(F.col("id") == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id")))
+    catalog = spark.range(0, n, 5).select(keys.alias("id"), keys.alias("display_name"), F.lit("Lakehouse").alias("type"))
+    shape = None
+    if operator == "shape":
+        place = "struct<artifactId: string, workspaceId: string, endpoint: string>"
+        shape = f"pad string, linkedService struct<properties: struct<type: string, typeProperties: {place}>>"
+    adaptive = {
+        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "1m",
+        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
+        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "1m",
+        "spark__sql__adaptive__forceOptimizeSkewedJoin": "true",
+    }
+    with settings(spark, **NO_BROADCAST, **adaptive):
+        if operator == "repair_notebooks":
+            result = ops.repair_notebooks(docs, catalog, catalog, "w")
+        else:
+            result = ops.rewrite_pipelines(docs, catalog, catalog, "w", shape=shape)
+        counted = result.agg(F.count_if("changed"), F.max("new_body"), F.max("payload"))
+        found = counted.collect()[0][0]
+        plan = physical_plan(counted)
+    assert "skew=true" in plan
+    even = spark.range(n).where("id % 3 = 0 or id % 5 = 0").count()
+    assert found == even
+
+
 @pytest.mark.parametrize("operator", ["lookup", "rebind", "resolve_tokens"])
 def test_null_keys_are_spread(spark, operator):
     """Rows with nothing to look up are dealt by a hash of the row."""
