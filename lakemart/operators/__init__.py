@@ -2,6 +2,7 @@
 
 from lakemart.operators.catalog import (
     NOT_EXISTS,
+    change_set,
     exclude,
     in_scope,
     lookup,
@@ -14,6 +15,7 @@ from lakemart.operators.catalog import (
     resolve_ref,
     resolve_rules,
     resolve_tokens,
+    with_model,
 )
 from lakemart.operators.documents import (
     find_key,
@@ -30,6 +32,7 @@ from lakemart.operators.runs import final_status
 
 __all__ = [
     "NOT_EXISTS",
+    "change_set",
     "exclude",
     "final_status",
     "find_key",
@@ -52,4 +55,5 @@ __all__ = [
     "rewrite_array",
     "rewrite_pipelines",
     "swap",
+    "with_model",
 ]

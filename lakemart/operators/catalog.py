@@ -52,19 +52,24 @@ def lookup(
         values={found: _col(value)},
         order=[_col(c) for c in (order or [value])],
     )
+    result = _col(found) if default is None else F.coalesce(_col(found), F.lit(default))
+    return _matched(df, first, dict(zip(on, keys, strict=True)), salt).select(
+        *[_col(c) for c in df.columns if c != alias], result.alias(alias)
+    )
+
+
+def _matched(df: DataFrame, unique: DataFrame, on: Mapping[str, str], salt: str) -> DataFrame:
+    """``df`` left joined to a table with one row per key; ``salt`` is null where none matches."""
     # always 0, but no constant: the optimizer would move that out of the join's keys
-    first = first.withColumn(salt, F.pmod(F.xxhash64(*[_col(k) for k in keys]), F.lit(1)))
-    condition = [_col(ours) == _col(k) for k, ours in zip(keys, on, strict=True)]
+    unique = unique.withColumn(salt, F.pmod(F.xxhash64(*[_col(k) for k in on.values()]), F.lit(1)))
+    condition = [_col(ours) == _col(k) for ours, k in on.items()]
     # rows with a null key match nothing: a hash of the row spreads them
     missing = F.lit(False)
     for ours in on:
         missing = missing | _col(ours).isNull()
     spread = F.when(missing, F.xxhash64(*[_col(c) for c in _hashable(df)])).otherwise(F.lit(0))
     condition.append(spread.cast("bigint") == _col(salt))
-    result = _col(found) if default is None else F.coalesce(_col(found), F.lit(default))
-    return df.join(first, condition, "left").select(
-        *[_col(c) for c in df.columns if c != alias], result.alias(alias)
-    )
+    return df.join(unique, condition, "left")
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -120,13 +125,13 @@ def resolve_ref(
 ) -> DataFrame:
     """A reference that is a UUID stays as it is; any other text is a name to look up.
 
-    Unknown names give null. All rows join on their own text: ids find nothing
-    and are kept, and they spread over the partitions instead of meeting at null.
+    Unknown names give null. Rows that are ids, and those without a reference, take no
+    part in the join: only names are shuffled.
     """
-    (found,) = helpers(["found"], df)
-    looked = lookup(df, catalog, {column: name}, value, default=None, alias=found)
-    resolved = F.when(is_uuid(_col(column)), _col(column)).otherwise(_col(found))
-    return looked.withColumn(alias, resolved).drop(found)
+    named = F.coalesce(~is_uuid(_col(column)), F.lit(False)) & _col(column).isNotNull()
+    ready = df.where(~named).withColumn(alias, _col(column).cast(catalog.schema[value].dataType))
+    looked = lookup(df.where(named), catalog, {column: name}, value, default=None, alias=alias)
+    return ready.select(*[_col(c) for c in looked.columns]).unionByName(looked)
 
 
 def resolve_tokens(
@@ -194,33 +199,46 @@ def resolve_rules(rules: Sequence[Rule], items: DataFrame, workspace_id: str) ->
     ]
 
 
-def report_model(
+def with_model(
     reports: DataFrame,
     models: DataFrame,
     report_key: str = "dataset_id",
     model_key: str = "dataset_id",
     model_name: str = "dataset_name",
     alias: str | None = None,
+    present: str = "has_model",
 ) -> DataFrame:
-    """Reports with the name of the model they are built on.
+    """Every report with the name of its model and whether that model exists, from one join.
 
-    Every report is either here or in :func:`report_without_model`. A model without a
-    name exists, so its reports are here with a null name; of several names of one model
-    the smallest wins.
+    A model without a name exists, so its reports have a null name and ``present`` set; of
+    several names of one model the smallest wins. Reports that name no model have none.
     """
     alias = model_name if alias is None else alias
-    (found,) = helpers(["model"], reports)
-    # a struct orders by its first field, so a name comes before none
-    entry = F.struct(_col(model_name).isNull().alias("unnamed"), _col(model_name).alias("name"))
-    named = lookup(
-        reports.where(_col(report_key).isNotNull()),
-        models.select(_col(model_key).alias("key"), entry.alias("entry")),
-        {report_key: "key"},
-        "entry",
-        default=None,
-        alias=found,
-    ).where(_col(found).isNotNull())
-    return named.withColumn(alias, F.col(f"{found}.name")).drop(found)
+    key, name, spread, salt = helpers(["key", "name", "spread", "salt"], reports)
+    known = models.select(_col(model_key).alias(key), _col(model_name).alias(name))
+    # grouped by a hash beside the key, see the module of the joins
+    hashed = F.xxhash64(_col(key), F.lit(0)).alias(spread)
+    unique = known.where(_col(key).isNotNull()).groupBy(hashed, _col(key)).agg(F.min(_col(name)).alias(name))
+    matched = _matched(reports, unique.drop(spread), {report_key: key}, salt)
+    return matched.select(
+        *[_col(c) for c in reports.columns if c not in (alias, present)],
+        _col(name).alias(alias),
+        _col(salt).isNotNull().alias(present),
+    )
+
+
+def report_model(
+    reports: DataFrame,
+    models: DataFrame,
+    report_key: str = "dataset_id",
+    model_key: str = "dataset_id",
+    model_name: str = "dataset_name",
+    alias: str | None = None,
+) -> DataFrame:
+    """Reports whose model exists, with its name: one half of :func:`with_model`."""
+    (present,) = helpers(["present"], reports)
+    split = with_model(reports, models, report_key, model_key, model_name, alias, present)
+    return split.where(_col(present)).drop(present)
 
 
 def report_without_model(
@@ -229,10 +247,10 @@ def report_without_model(
     report_key: str = "dataset_id",
     model_key: str = "dataset_id",
 ) -> DataFrame:
-    """Reports whose model does not exist, also those that name none."""
-    (key,) = helpers(["key"], reports)
-    keys = models.select(_col(model_key).alias(key))
-    return reports.join(keys, _col(report_key) == _col(key), "left_anti")
+    """Reports whose model does not exist, also those that name none: the other half."""
+    name, present = helpers(["name", "present"], reports)
+    split = with_model(reports, models, report_key, model_key, model_key, name, present)
+    return split.where(~_col(present)).drop(name, present)
 
 
 def exclude(df: DataFrame, excluded: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -240,6 +258,44 @@ def exclude(df: DataFrame, excluded: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(excluded.select(*on), list(on), "left_anti")
 
 
+PUBLISH, REPLACED, KEEP, REMOVE = "publish", "replaced", "keep", "remove"
+
+
+def change_set(
+    source: DataFrame,
+    target: DataFrame,
+    key: Sequence[str] = ("type", "display_name"),
+    types: Iterable[str] | None = None,
+    type_column: str = "type",
+    change: str = "change",
+) -> DataFrame:
+    """What publishing does to every item, in one pass over both tables.
+
+    In-scope source items are to ``publish``, one row per key: of several with a key the
+    smallest, column by column. Target items are ``replaced`` by one of these, to
+    ``remove`` if they are in scope and the source has no such key, and to ``keep``
+    otherwise. Keys are compared null-safe. The rows have the columns of the target that
+    the source has, too, and ``change``.
+
+    A full outer join would tell the same, but adaptive execution cannot split its hot
+    keys; the target joined to the keys of the source, with the source's rows beside it,
+    can be split.
+    """
+    listed = None if types is None else list(types)
+    columns = [c for c in target.columns if c in source.columns and c != change]
+    first = _one_per_key(source if listed is None else in_scope(source, listed, type_column), key)
+    *names, salt = helpers([*[f"key{i}" for i in range(len(key))], "salt"], target)
+    # the hash beside the key forces an exchange on this side as well
+    named = [_col(c).alias(n) for c, n in zip(key, names, strict=True)]
+    keys = first.select(*named, F.xxhash64(*[_col(c) for c in key], F.lit(0)).alias(salt)).distinct()
+    condition = [_col(c).eqNullSafe(_col(n)) for c, n in zip(key, names, strict=True)]
+    inside = F.lit(True) if listed is None else F.coalesce(_col(type_column).isin(listed), F.lit(False))
+    label = F.when(_col(salt).isNotNull(), REPLACED).when(inside, REMOVE).otherwise(KEEP)
+    old = target.join(keys, condition, "left").select(*[_col(c) for c in columns], label.alias(change))
+    new = first.select(*[_col(c) for c in columns], F.lit(PUBLISH).alias(change))
+    return new.unionByName(old)
+
+
 def publish(
     source: DataFrame,
     target: DataFrame,
@@ -249,13 +305,12 @@ def publish(
 ) -> DataFrame:
     """The target after publishing: in-scope source items overwrite or join its own.
 
-    Keys are compared null-safe. The result has one row per key of the source: of
-    several source rows with a key the smallest one, column by column, is published.
+    The :func:`change_set` without what is replaced. The source must have no column that
+    the target has not.
     """
-    if types is not None:
-        source = in_scope(source, types, type_column)
-    kept = _without(target, source, key).select(*[_col(c) for c in source.columns])
-    return _one_per_key(source, key).unionByName(kept)
+    (change,) = helpers(["change"], source, target)
+    changes = change_set(source, target.select(*[_col(c) for c in source.columns]), key, types, type_column, change)
+    return changes.where(_col(change) != REPLACED).select(*[_col(c) for c in source.columns])
 
 
 def orphans(
@@ -265,18 +320,20 @@ def orphans(
     types: Iterable[str] | None = None,
     type_column: str = "type",
 ) -> DataFrame:
-    """In-scope target items that the source does not have; keys are compared null-safe."""
-    if types is not None:
-        target = in_scope(target, types, type_column)
-    return _without(target, source, key)
-
-
-def _without(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows whose key, nulls included, the other table has not."""
-    names = helpers([f"key{i}" for i in range(len(key))], df)
-    theirs = other.select(*[_col(c).alias(n) for n, c in zip(names, key, strict=True)])
-    condition = [_col(c).eqNullSafe(_col(n)) for n, c in zip(names, key, strict=True)]
-    return df.join(theirs, condition, "left_anti")
+    """In-scope target items that no item of the source, in scope or not, has the key of.
+
+    What :func:`change_set` removes; the keys of the source are all it needs of that.
+    """
+    (change,) = helpers(["change"], source, target)
+    lacking = [c for c in target.columns if c not in source.columns]
+    whole = source.select(
+        *[_col(c) for c in target.columns if c not in lacking],
+        *[F.lit(None).cast(target.schema[c].dataType).alias(c) for c in lacking],
+    )
+    listed = None if types is None else list(types)
+    scoped = target if listed is None else in_scope(target, listed, type_column)
+    changes = change_set(whole, scoped, key, None, type_column, change)
+    return changes.where(_col(change) == REMOVE).select(*[_col(c) for c in target.columns])
 
 
 def _one_per_key(df: DataFrame, key: Sequence[str]) -> DataFrame:

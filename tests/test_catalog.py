@@ -234,3 +234,31 @@ def test_publish_and_orphans_with_null_and_repeated_keys(spark):
         [("A", None, "s1"), ("A", "x", "s"), (None, "y", "s"), (None, None, "t")], key=str
     )
     assert rows(ops.orphans(target, source)) == [(None, None, "t")]
+
+
+def test_change_set_labels_every_item(spark):
+    source = spark.createDataFrame(
+        [("A", "x", "s1"), ("A", "x", "s0"), ("A", None, "s2"), ("B", "y", "s3")], "type string, display_name string, id string"
+    )
+    target = spark.createDataFrame(
+        [("A", "x", "t1"), ("A", "x", "t2"), ("A", None, "t3"), ("A", "gone", "t4"), ("B", "z", "t5"), (None, "n", "t6")],
+        source.schema,
+    )
+    changes = ops.change_set(source, target, types=["A"])
+    assert row_set(changes.select("id", "change")) == [
+        ("s0", "publish"), ("s2", "publish"), ("t1", "replaced"), ("t2", "replaced"), ("t3", "replaced"),
+        ("t4", "remove"), ("t5", "keep"), ("t6", "keep"),
+    ]
+    # publishing leaves all but what is replaced, and then removing leaves the source's items
+    assert row_set(ops.publish(source, target, types=["A"]).select("id")) == [(i,) for i in ("s0", "s2", "t4", "t5", "t6")]
+    assert row_set(ops.orphans(target, source, types=["A"]).select("id")) == [("t4",)]
+
+
+def test_with_model_splits_all_reports(spark):
+    reports = spark.createDataFrame([("r1", "d1"), ("r2", "d2"), ("r3", "gone"), ("r4", None)], "id string, dataset_id string")
+    models = spark.createDataFrame(
+        [("d1", "b"), ("d1", None), ("d1", "a"), ("d2", None), (None, "x")], "dataset_id string, dataset_name string"
+    )
+    assert row_set(ops.with_model(reports, models)) == [
+        ("r1", "d1", "a", True), ("r2", "d2", None, True), ("r3", "gone", None, False), ("r4", None, None, False)
+    ]

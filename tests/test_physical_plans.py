@@ -65,6 +65,24 @@ def test_row_local_operators_do_not_shuffle(spark, small_dir, name):
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
 
 
+def test_ids_leave_before_the_shuffle(spark, small_dir):
+    """What is an id already is filtered out below the exchange of the names."""
+    refs = spark.range(10).selectExpr("CAST(id AS STRING) AS ref")
+    items = spark.range(5).selectExpr("CAST(id AS STRING) AS id", "'n' || id AS display_name")
+    with settings(spark, **NO_BROADCAST):
+        plan = physical_plan(ops.resolve_ref(refs, "ref", items))
+    ready, named = plan[plan.index("Union") :].split("\n   +- ", 1)
+    assert "Exchange" not in ready and "RLIKE" in ready
+    assert named.count("hashpartitioning(ref") == 1
+
+
+@pytest.mark.parametrize("name", ["r11_report_model", "r11_report_without_model"])
+def test_reports_take_one_join(spark, small_dir, name):
+    with settings(spark, **NO_BROADCAST):
+        plan = physical_plan(QUERIES[name](spark, small_dir))
+    assert plan.count("Join") == 1
+
+
 def test_scope_filter_reaches_the_scan(spark, small_dir):
     plan = physical_plan(QUERIES["r01_scope"](spark, small_dir))
     assert "PushedFilters: [In(event_type, [click,view])]" in plan
@@ -144,7 +162,7 @@ def test_operators_start_no_job(spark, small_dir):
         context.setLocalProperty("spark.jobGroup.id", None)
 
 
-@pytest.mark.parametrize("operator", ["lookup", "rebind", "resolve_ref", "resolve_tokens", "orphans", "cross_filter"])
+@pytest.mark.parametrize("operator", ["lookup", "rebind", "resolve_ref", "resolve_tokens", "orphans", "publish", "with_model", "cross_filter"])
 def test_hot_keys_are_split(spark, tmp_path, operator):
     """One key holds a third of the rows: adaptive execution splits its partition."""
     n = 600_000
@@ -178,6 +196,11 @@ def test_hot_keys_are_split(spark, tmp_path, operator):
         elif operator == "orphans":
             keys = catalog.select(F.col("display_name").alias("ref"))
             result = ops.orphans(big, keys, key=["ref"])
+        elif operator == "publish":
+            own = catalog.select(F.col("display_name").alias("ref"), F.lit("").alias("payload"))
+            result = ops.publish(own, big, key=["ref"])
+        elif operator == "with_model":
+            result = ops.with_model(big, catalog, "ref", "display_name", "id")
         else:
             result = plans.cross_filter(big, "ref", catalog.select("display_name"))
         counted = result.agg(F.count("*"), F.max("payload"))
@@ -185,7 +208,8 @@ def test_hot_keys_are_split(spark, tmp_path, operator):
         plan = physical_plan(counted)
     assert "skew=true" in plan
     matched = n // 5 + n // 3 - n // 15  # every fifth key, and the hot one throughout
-    assert found == {"orphans": n - matched, "cross_filter": matched}.get(operator, n)
+    kept = {"orphans": n - matched, "cross_filter": matched, "publish": n - matched + n // 5}
+    assert found == kept.get(operator, n)
 
 
 @pytest.mark.parametrize("operator", ["rewrite_pipelines", "shape", "repair_notebooks"])
