@@ -10,7 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemart.llm import bpe, language, packing, pages, quality, secrets, simhash, substrings, suffixes, vectors
+from lakemart.llm import (
+    bpe,
+    language,
+    merkle,
+    packing,
+    pages,
+    quality,
+    secrets,
+    simhash,
+    substrings,
+    suffixes,
+    vectors,
+)
 from lakemart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +192,79 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_near_dedup")
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_merkle_manifest",
+    """
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, lang, n_chars,
+            coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+                || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+            coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+            list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda crc, b:
+                list_reduce([xor(crc, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda r, i:
+                    xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT) AS crc
+        FROM documents
+    ), hashed AS (
+        SELECT doc_id, lang, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+            CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(
+                head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS claim
+        FROM leaves
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+    ), levels AS (
+        SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY lang
+        UNION ALL
+        SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+            lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], '')))
+        FROM levels WHERE len(nodes) > 1
+    ), subroots AS (
+        SELECT lang, level AS height, nodes[1] AS subroot,
+            row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos
+        FROM levels WHERE len(nodes) = 1
+    ), tops AS (
+        SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+        UNION ALL
+        SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+            lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], '')))
+        FROM tops WHERE len(nodes) > 1
+    ), paths AS (
+        SELECT p.doc_id, p.leaf, l.level, (p.pos >> l.level) % 2 = 1 AS is_left,
+            coalesce(l.nodes[xor(p.pos >> l.level, 1) + 1], '') AS sibling
+        FROM placed p JOIN levels l ON l.lang IS NOT DISTINCT FROM p.lang WHERE len(l.nodes) > 1
+        UNION ALL
+        SELECT p.doc_id, p.leaf, s.height + t.level, (s.pos >> t.level) % 2 = 1,
+            coalesce(t.nodes[xor(s.pos >> t.level, 1) + 1], '')
+        FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN tops t WHERE len(t.nodes) > 1
+    ), folds AS (
+        SELECT doc_id, leaf, 0 AS level, coalesce(claim, leaf) AS node FROM placed
+        UNION ALL
+        SELECT f.doc_id, f.leaf, f.level + 1,
+            sha256(CASE WHEN is_left THEN sibling || node ELSE node || sibling END)
+        FROM folds f JOIN paths p ON p.doc_id = f.doc_id AND p.leaf = f.leaf AND p.level = f.level
+    ), proofs AS (
+        SELECT doc_id, leaf, sha256(string_agg(sibling, '' ORDER BY level)) AS proof FROM paths GROUP BY doc_id, leaf
+    ), ends AS (
+        SELECT doc_id, leaf, arg_max(node, level) AS folded FROM folds GROUP BY doc_id, leaf
+    )
+    SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(f.proof, sha256('')) AS proof_sha256,
+        e.folded AS folded_root, e.folded = r.root AS verified
+    FROM placed p
+    JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+    CROSS JOIN (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1) r
+    JOIN ends e ON e.doc_id = p.doc_id AND e.leaf = p.leaf
+    LEFT JOIN proofs f ON f.doc_id = p.doc_id AND f.leaf = p.leaf
+    """,
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proved = merkle.prove(
+        table(spark, sf_dir, "documents"),
+        claims={"n_chars": F.col("n_chars") + 1},
+        when=F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+    )
+    siblings = F.array_join(F.transform("path", lambda s: s["sibling"]), "")
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified"
+    )
