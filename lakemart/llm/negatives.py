@@ -34,11 +34,13 @@ POSITIVES, NEGATIVES = 5, 3
 LOWEST, HIGHEST = 50, 95
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 16_384
-LEAF_ROWS = 48
+LEAF_ROWS = 128
 # How much the covering angle shrinks from a level to the next.
 SHRINK = 0.7
 # Centres tried at a node; points that none of them covers stay leaves of the node itself.
 CENTRES = 64
+# Leaves whose scores are looked at together: one at first, then twice as many each time.
+LEAVES_AT_ONCE = 16
 
 NODE = "size int, label bigint, node bigint, parent bigint, sphere double, angle double, centre array<bigint>, ids array<bigint>, vectors array<bigint>"
 
@@ -179,36 +181,45 @@ class Best:
 
 def descend(trees: list[Tree], query: np.ndarray, windows: list[Best], own: int | None) -> None:
     """Fill the windows from the trees, the node with the highest bound first."""
-    norm = math.sqrt(float(query @ query))
+    real = query.astype(np.float64)
+    norm = math.sqrt(float(real @ real))
     heap: list[tuple[float, float, int, int]] = []
 
     def open_(t: int, node: int) -> None:
-        low, high = trees[t].bounds(node, query, norm)
+        low, high = trees[t].bounds(node, real, norm)
         reach = min(w.least() for w in windows)
         for n in np.flatnonzero(high >= reach):
             heapq.heappush(heap, (-float(high[n]), float(low[n]), t, trees[t].children[node][n]))
 
-    for t in range(len(trees)):
-        open_(t, -1)
-    while heap:
-        high, low, t, node = heapq.heappop(heap)
-        high = -high
-        asking = [w for w in windows if w.wants(low, high)]
-        if not asking:
-            if all(high < w.least() for w in windows):
-                return
-            continue
-        if node not in trees[t].leaves:
-            open_(t, node)
-            continue
-        ids, vectors = trees[t].leaves[node]
-        scores = vectors @ query.astype(vectors.dtype)
+    def verify(pending: list[tuple[int, int]]) -> None:
+        held = [trees[t].leaves[node] for t, node in pending]
+        ids = np.concatenate([h[0] for h in held])
+        scores = np.concatenate([h[1] @ query.astype(h[1].dtype) for h in held])
         if own is not None:
             other = ids != own
             scores, ids = scores[other], ids[other]
-        for w in asking:
+        for w in windows:
             w.offer(scores, ids)
 
+    for t in range(len(trees)):
+        open_(t, -1)
+    pending: list[tuple[int, int]] = []
+    together = 1
+    while heap:
+        high, low, t, node = heapq.heappop(heap)
+        if any(w.wants(low, -high) for w in windows):
+            if node not in trees[t].leaves:
+                open_(t, node)
+                continue
+            pending.append((t, node))
+        elif all(-high < w.least() for w in windows):
+            break
+        if len(pending) == together:
+            verify(pending)
+            pending, together = [], min(2 * together, LEAVES_AT_ONCE)
+    if pending:
+        verify(pending)
+
 
 # --- tables ------------------------------------------------------------------
 
@@ -325,9 +336,7 @@ def _searched(trees: DataFrame, queries: DataFrame, blocks: int, shards: int, se
             else:
                 among = [t for key, t in trees_.items() if key[0] == size and key[1] != label]
                 windows = [Best(most, low, high) for low, high in zip(lows[i], highs[i], strict=True)]
-            exact = all(leaf[1].dtype == np.float64 for t in among for leaf in t.leaves.values()) if among else True
-            asked_ = query.astype(np.float64) if exact else query
-            descend(among, asked_, windows, anchor if search == "same" else None)
+            descend(among, query, windows, anchor if search == "same" else None)
             out += [(anchor, w, id_, -s) for w, window in enumerate(windows) for s, id_ in window.found]
         columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
