@@ -22,6 +22,7 @@ from lakemart.llm import (
     simhash,
     substrings,
     suffixes,
+    tokenfiles,
     vectors,
 )
 from lakemart.llm.common import table
@@ -300,3 +301,9 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfiles.write(table(spark, sf_dir, "documents"))
+    return tokenfiles.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
