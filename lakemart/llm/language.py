@@ -5,10 +5,15 @@ language. A text is scored word by word: a known word by the logarithm of its fr
 in each language, an unseen one by its character n-grams, at each place the longest
 known one of four characters down to one. The language with the largest sum wins.
 
-Every word counted is a known one. Tasks hold the most frequent of them, those above a
-threshold set so that at most ``vocabulary`` remain; if there are more, the texts' other
-words are joined to the table of all words. Of n-grams of each length, at most ``grams``
-are kept, by such a threshold. Counting covers every labelled document.
+Every word counted is a known one, however long. Tasks hold the most frequent of them,
+at most ``vocabulary``; the texts' other words are made distinct, joined to the table of
+all words, scored once each (those in no table by their n-grams) and their scores summed
+up per text, all of it in Spark. Of n-grams each language has its ``grams`` most frequent
+of each length; equally frequent ones go by their letters. Counting covers every labelled
+document.
+
+Scores are whole numbers, multiples of 1 / :data:`UNIT`, so that sums do not depend on
+the order of words.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemart.llm.common import by_value, col, fresh, tidy, tidy_after, written
@@ -28,19 +33,30 @@ from lakemart.llm.common import by_value, col, fresh, tidy, tidy_after, written
 by_value(__name__)
 
 VOCABULARY = 250_000
-GRAMS = 50_000
+GRAMS = 20_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
-# Longer runs of letters are cut for the counts, not for what is read of a text.
-LONGEST_WORD = 60
+# Longer words are not held by tasks; like all that are not, they are looked up in the table.
+LONGEST_HELD = 60
 COUNTED_AT_ONCE = 300_000
+# Letters of a word whose n-grams are cut at once.
+LETTERS_AT_ONCE = 100_000
 SMOOTHING = 0.5
 REMEMBERED = 200_000
+UNIT = 1 << 26
+# Latin-1 without all but small letters: what is left are the words.
+SMALL_LETTERS = bytes(
+    ord(chr(b).lower()) if regex.fullmatch(r"\p{L}", chr(b)) else 0x20 for b in range(256)
+)
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, in small letters."""
+    try:
+        return text.encode("latin-1").translate(SMALL_LETTERS).decode("latin-1").split(" ")
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -50,17 +66,13 @@ def grams_of(word: str, length: int) -> list[str]:
     return [marked[i : i + length] for i in range(border, len(marked) - length + 1 - border)]
 
 
-def _counts(lang: list, text: list, count: Counter) -> pa.RecordBatch:
+def _counts(lang: list, text: list, count: dict[str, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(lang, pa.string()), pa.array(text, pa.string()), pa.array(list(count.values()), pa.int64())],
         names=["lang", "text", "n"],
     )
 
 
-def _emitted(count: Counter) -> pa.RecordBatch:
-    return _counts([k[0] for k in count], [k[1] for k in count], count)
-
-
 def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, text, n) of all words; each task sums up before it sends."""
 
@@ -68,8 +80,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = [w[:LONGEST_WORD] for w in words_of(text.as_py())]
-                found.setdefault(lang.as_py(), Counter()).update(words)
+                found.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
                 if sum(map(len, found.values())) > COUNTED_AT_ONCE:
                     for name, c in found.items():
                         yield _counts([name] * len(c), list(c), c)
@@ -79,65 +90,99 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     labelled = docs.select(col(lang_col).alias("lang"), col(text_col).alias("text")).dropna()
     counts = labelled.mapInArrow(tidy_after(count), "lang string, text string, n bigint")
-    return counts.groupBy("lang", "text").agg(F.sum("n").alias("n"))
+    # between two other characters there is an empty word, which is none
+    return counts.where("text != ''").groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
     """(lang, text, n) of the n-grams of counted words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: dict[str, dict[str, int]] = {}
+        size = 0
         for batch in batches:
             for lang, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = found.setdefault(lang, {})
+                get, before = own.get, len(own)
                 for length in range(1, longest + 1):
-                    for gram in grams_of(word, length):
-                        found[lang, gram] += n
-                if len(found) > COUNTED_AT_ONCE:
-                    yield _emitted(found)
-                    found = Counter()
-        yield _emitted(found)
+                    for begin in range(0, len(word), LETTERS_AT_ONCE):
+                        # a part with the letters behind it that its last n-grams reach into
+                        part = word[max(0, begin - length + 1) : begin + LETTERS_AT_ONCE]
+                        if len(part) == len(word):
+                            grams = grams_of(word, length)
+                        else:
+                            grams = _inner(word, length, begin)
+                        for gram in grams:
+                            own[gram] = get(gram, 0) + n
+                size += len(own) - before
+                if size > COUNTED_AT_ONCE:
+                    for name, c in found.items():
+                        yield _counts([name] * len(c), list(c), c)
+                    found, size = {}, 0
+        for name, c in found.items():
+            yield _counts([name] * len(c), list(c), c)
 
     counts = words.mapInArrow(tidy_after(count), "lang string, text string, n bigint")
     return counts.groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, most: int, by_length: bool, languages: list[str]) -> tuple[list[str], np.ndarray]:
+def _inner(word: str, length: int, begin: int) -> Iterator[str]:
+    """The n-grams of a long word that start in the part at ``begin``, borders included."""
+    end = min(begin + LETTERS_AT_ONCE, len(word))
+    if begin == 0 and length > 1:
+        yield f" {word[: length - 1]}"
+    for i in range(begin, end):
+        gram = word[i : i + length]
+        if len(gram) == length:
+            yield gram
+        elif i + length - 1 == len(word):
+            yield f"{gram} "
+
+
+def _gathered(found: DataFrame, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The texts of (text, lang, n) rows and their counts per language."""
+    table = found.select("text", "lang", "n").toArrow()
+    texts = sorted(set(table["text"].to_pylist()))
+    row = {t: i for i, t in enumerate(texts)}
+    column = {name: i for i, name in enumerate(languages)}
+    n = np.zeros((len(texts), len(languages)))
+    at = [row[t] for t in table["text"].to_pylist()], [column[x] for x in table["lang"].to_pylist()]
+    n[at] = table["n"].to_numpy()
+    return texts, n
+
+
+def frequent(counts: DataFrame, most: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
     """The texts as frequent as a threshold allows, and their counts per language.
 
     The threshold is a power of 2 ** 0.125, set from the numbers of texts between such
-    powers, so that at most ``most`` texts remain (of each length, with ``by_length``).
+    powers, so that at most ``most`` texts remain.
     """
     pair = F.struct("lang", "n")
     whole = counts.groupBy("text").agg(F.sum("n").alias("total"), F.collect_list(pair).alias("langs"))
-    group = F.char_length("text") if by_length else F.lit(0)
-    graded = whole.withColumn("group", group).withColumn("grade", F.floor(8 * F.log2("total")))
+    graded = whole.withColumn("grade", F.floor(8 * F.log2("total")))
     # a few hundred rows, however many texts
-    grades = graded.groupBy("group", "grade").count().collect()
-    least: dict[int, int] = {}
-    for length in {r["group"] for r in grades}:
-        left = most
-        for r in sorted((r for r in grades if r["group"] == length), key=lambda r: -r["grade"]):
-            left -= r["count"]
-            if left < 0:
-                break
-            least[length] = r["grade"]
-    keep = F.lit(False)
-    for length, grade in least.items():
-        keep = keep | ((F.col("group") == length) & (F.col("grade") >= grade))
+    left, least = most, None
+    for r in sorted(graded.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["grade"]
+    keep = F.lit(False) if least is None else F.col("grade") >= least
     found = graded.where(keep).select("text", F.explode("langs").alias("l")).select("text", "l.lang", "l.n")
-    found = found.toArrow()
-    texts = sorted(set(found["text"].to_pylist()))
-    row = {t: i for i, t in enumerate(texts)}
-    column = {name: i for i, name in enumerate(languages)}
-    n = np.zeros((len(texts), len(languages)))
-    at = [row[t] for t in found["text"].to_pylist()], [column[x] for x in found["lang"].to_pylist()]
-    n[at] = found["n"].to_numpy()
-    return texts, n
+    return _gathered(found, languages)
+
+
+def frequent_grams(counts: DataFrame, most: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The ``most`` most frequent n-grams of each length in each language, and their counts in all."""
+    length = F.char_length("text")
+    order = Window.partitionBy("lang", length).orderBy(F.desc("n"), "text")
+    first = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return _gathered(counts.join(first.select("text").distinct(), "text", "left_semi"), languages)
 
 
 @dataclass
 class Model:
-    """Log frequencies by word and n-gram, a row of :attr:`languages` each.
+    """Scores by word and n-gram, a row of :attr:`languages` each.
 
     If not all words are held, ``rest`` has the counts of all, (text, langs), for
     :func:`predict` to join; the method of a single text does without.
@@ -151,84 +196,60 @@ class Model:
     # logarithms of the languages' smoothed totals
     word_totals: np.ndarray
     rest: DataFrame | None = None
-    seen: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    seen: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> tuple[float, ...]:
+    def unseen(self, word: str) -> np.ndarray:
         """Scores from n-grams, the longest known one at each place."""
         marked = f" {word} "
-        rows, get = [], self.grams.get
+        total, rows, get = np.zeros(len(self.languages)), [], self.grams.get
         for i in range(len(marked) - 1):
             for end in range(i + LONGEST_GRAM, i, -1):
                 at = get(marked[i:end])
                 if at is not None:
                     rows.append(at)
                     break
+            if len(rows) == LETTERS_AT_ONCE:
+                total += self.gram_scores[rows].sum(axis=0)
+                rows = []
+        total += self.gram_scores[rows].sum(axis=0)
         # n-grams overlap, so each place counts as a share of a word
-        return tuple((self.gram_scores[rows].sum(axis=0) / LONGEST_GRAM).tolist())
-
-    def _unseen_all(self, words: list[str]) -> np.ndarray:
-        seen = self.seen
-        new = {w for w in words if w not in seen}
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = set(words)
-        for word in new:
-            seen[word] = self.unseen(word)
-        total = np.array(list(map(seen.__getitem__, words))).sum(axis=0)
-        for word in new:
-            if len(word) > LONGEST_WORD:
-                del seen[word]
-        return total
-
-    def _held(self, text: str | None) -> tuple[np.ndarray | None, list[str]]:
+        return np.rint(total / LONGEST_GRAM * UNIT).astype(np.int64)
+
+    def _remembered(self, word: str) -> np.ndarray:
+        found = self.seen.get(word)
+        if found is None:
+            found = self.unseen(word)
+            if len(word) <= LONGEST_HELD:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[word] = found
+        return found
+
+    def held(self, text: str | None) -> tuple[np.ndarray | None, Counter]:
         """The sum over the words held, null for a text without any words, and the other words."""
         words = words_of(text) if text else []
-        if not words or not self.languages:
-            return None, []
+        if not self.languages:
+            return None, Counter()
         at = list(map(self.words.get, words))
-        total, others = np.zeros(len(self.languages)), []
+        total, others = np.zeros(len(self.languages), np.int64), Counter()
         if None in at:
-            others = [w for w, i in zip(words, at, strict=True) if i is None]
+            others.update(w for w, i in zip(words, at, strict=True) if i is None and w)
             at = [i for i in at if i is not None]
         if at:
             total += self.word_scores[at].sum(axis=0)
-        return total, others
+        return (total, others) if at or others else (None, others)
 
-    def _best(self, total: np.ndarray | None) -> tuple[str, float]:
+    def best(self, total: np.ndarray | None) -> tuple[str, float]:
         if total is None:
             return UNKNOWN, 0.0
         best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return self.languages[best], float(1 / np.exp((total - total[best]) / UNIT).sum())
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total, others = self._held(text)
-        if others:
-            total += self._unseen_all(others)
-        return self._best(total)
-
-    def begin(self, text: str | None) -> tuple[list[float] | None, list[tuple[str, int]]]:
-        """The sum over what is known here, and the other words with their numbers."""
-        total, others = self._held(text)
-        if total is None:
-            return None, []
-        # longer ones are in no table
-        if long := [w for w in others if len(w) > LONGEST_WORD]:
-            total += self._unseen_all(long)
-        return total.tolist(), sorted(Counter(w for w in others if len(w) <= LONGEST_WORD).items())
-
-    def finish(self, total: list[float] | None, others: list[dict] | None) -> tuple[str, float]:
-        """The result from what :meth:`begin` gave, its words with their counts, if any, by language."""
-        if total is None:
-            return UNKNOWN, 0.0
-        total = np.array(total)
-        # sums of equal texts are equal to the last bit
-        for x in sorted(others or [], key=lambda x: x["word"]):
-            if x["langs"] is None:
-                total += x["k"] * self._unseen_all([x["word"]])
-            else:
-                n = dict.fromkeys(self.languages, 0) | {pair["lang"]: pair["n"] for pair in x["langs"]}
-                total += x["k"] * (np.log(np.array(list(n.values())) + SMOOTHING) - self.word_totals)
-        return self._best(total)
+        total, others = self.held(text)
+        for word, k in others.items():
+            total += k * self._remembered(word)
+        return self.best(total)
 
 
 def _scores(n: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -250,7 +271,7 @@ def fit(
     """Learn from every row of ``docs`` with a text and a language."""
     words = written(word_counts(docs, text_col, lang_col), "language-words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    known, word_counts_ = frequent(words, vocabulary, False, languages)
+    known, word_counts_ = frequent(words.where(F.char_length("text") <= LONGEST_HELD), vocabulary, languages)
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     distinct = words.select("text").distinct().count()
     word_totals = np.log(np.array([totals[name] for name in languages]) + SMOOTHING * distinct)
@@ -258,11 +279,11 @@ def fit(
     if distinct > len(known):
         rest = words.groupBy("text").agg(F.collect_list(F.struct("lang", "n")).alias("langs"))
     pieces = written(gram_counts(words), "language-grams")
-    pieces, gram_counts_ = frequent(pieces, grams, True, languages)
+    pieces, gram_counts_ = frequent_grams(pieces, grams, languages)
     return Model(
         languages,
         {w: i for i, w in enumerate(known)},
-        np.log(word_counts_ + SMOOTHING) - word_totals,
+        np.rint((np.log(word_counts_ + SMOOTHING) - word_totals) * UNIT).astype(np.int64),
         {g: i for i, g in enumerate(pieces)},
         _scores(gram_counts_, np.array([len(g) for g in pieces])),
         word_totals,
@@ -274,7 +295,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", alias: str =
     """Add a struct (lang, score): the likeliest language and its share of all likelihoods.
 
     Null texts and texts without letters are ``und`` with score 0, and so are all texts
-    if nothing was learned. Equal scores go to the language that sorts first. No other
+    if nothing was learned. Texts and words of any length are read to their end. Equal scores go to the language that sorts first. No other
     column is looked at, repeated rows get the same result, an empty table gives an
     empty table. All columns stay; one named like ``alias`` is replaced.
     """
@@ -286,45 +307,81 @@ def _predicted(docs: DataFrame, model: Model, text_col: str, alias: str, columns
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None, seen={}))
     kept = [col(c) for c in columns]
 
-    def results(found: list[tuple[str, float]]) -> pa.Array:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [shared.value.predict(t.as_py()) for t in texts]
         tidy()
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
             names=["lang", "score"],
         )
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def run(texts: pa.Array) -> pa.Array:
-        return results([shared.value.predict(t.as_py()) for t in texts])
-
     if model.rest is None:
         return docs.withColumn(alias, run(col(text_col))).select(*kept, *_new(alias, columns))
 
-    word = pa.struct([("word", pa.string()), ("k", pa.int64())])
-
-    @F.arrow_udf("struct<total:array<double>,others:array<struct<word:string,k:bigint>>>")
+    @F.arrow_udf("struct<total:array<bigint>,words:array<string>,ks:array<bigint>>")
     def begin(texts: pa.Array) -> pa.Array:
-        found = [shared.value.begin(t.as_py()) for t in texts]
-        others = [[{"word": w, "k": k} for w, k in f[1]] for f in found]
+        totals, words, ks, ends = [], [], [], [0]
+        for text in texts:
+            total, others = shared.value.held(text.as_py())
+            totals.append(total)
+            words += others.keys()
+            ks += others.values()
+            ends.append(len(words))
         tidy()
+        at = pa.array(ends, pa.int32())
         return pa.StructArray.from_arrays(
-            [pa.array([f[0] for f in found], pa.list_(pa.float64())), pa.array(others, pa.list_(word))],
-            names=["total", "others"],
+            [
+                pa.array(totals, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(at, pa.array(words, pa.string())),
+                pa.ListArray.from_arrays(at, pa.array(ks, pa.int64())),
+            ],
+            names=["total", "words", "ks"],
         )
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def finish(totals: pa.Array, others: pa.Array) -> pa.Array:
-        return results([shared.value.finish(t.as_py(), o.as_py()) for t, o in zip(totals, others, strict=True)])
+    @F.arrow_udf("array<bigint>")
+    def unseen(words: pa.Array) -> pa.Array:
+        found = [shared.value.unseen(w.as_py()) for w in words]
+        tidy()
+        return pa.array(found, pa.list_(pa.int64()))
 
-    row, part, found = fresh(docs, "row"), fresh(docs, "part"), fresh(docs, "found")
+    row, part = fresh(docs, "row"), fresh(docs, "part")
     # row numbers stay as they are, since they are written
     begun = docs.select(*kept, F.monotonically_increasing_id().alias(row), begin(col(text_col)).alias(part))
     begun = written(begun, "language-begun")
-    asked = begun.select(F.col(row), F.explode(f"{part}.others").alias("x")).select(row, "x.word", "x.k")
-    answers = asked.join(model.rest.withColumnRenamed("text", "word"), "word", "left")
-    answers = answers.groupBy(row).agg(F.collect_list(F.struct("word", "k", "langs")).alias(found))
+    asked = begun.select(
+        F.col(row).alias("row"), F.inline(F.arrays_zip(F.col(f"{part}.words"), F.col(f"{part}.ks"))).alias("word", "k")
+    )
+    # each word once, whatever the number of texts that have it
+    found = asked.select("word").distinct().join(model.rest.withColumnRenamed("text", "word"), "word", "left")
+    found = written(found, "language-asked")
+    n = F.map_from_entries("langs")
+    known = [
+        F.rint((F.log(F.coalesce(n[name], F.lit(0)) + SMOOTHING) - float(total)) * UNIT).cast("bigint")
+        for name, total in zip(model.languages, model.word_totals, strict=True)
+    ]
+    scored = found.where("langs is not null").select("word", F.array(*known).alias("s"))
+    scored = scored.union(found.where("langs is null").select("word", unseen("word").alias("s")))
+    sums = [F.sum(F.col("k") * F.col("s")[i]).alias(f"sum{i}") for i in range(len(model.languages))]
+    answers = asked.join(scored, "word").groupBy("row").agg(*sums)
+    total, best, held = fresh(docs, "total"), fresh(docs, "best"), F.col(f"{part}.total")
+    answers = answers.select(F.col("row").alias(row), F.array(*[f"sum{i}" for i in range(len(sums))]).alias(total))
+
     joined = begun.join(answers, row, "left")
-    return joined.withColumn(alias, finish(F.col(f"{part}.total"), F.col(found))).select(*kept, *_new(alias, columns))
+    both = F.zip_with(held, F.coalesce(F.col(total), F.transform(held, lambda _: F.lit(0).cast("bigint"))), lambda a, b: a + b)
+    joined = joined.withColumn(total, both).withColumn(best, F.array_max(total))
+    likely = F.aggregate(
+        F.col(total), F.lit(0.0), lambda acc, x: acc + F.exp((x - F.col(best)).cast("double") / UNIT)
+    )
+    names = F.lit(model.languages)
+    result = F.when(
+        F.col(best).isNotNull(),
+        F.struct(
+            F.element_at(names, F.array_position(F.col(total), F.col(best)).cast("int")).alias("lang"),
+            (1 / likely).alias("score"),
+        ),
+    ).otherwise(F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score")))
+    return joined.withColumn(alias, result).select(*kept, *_new(alias, columns))
 
 
 def _new(alias: str, columns: list[str]) -> list[Column]:

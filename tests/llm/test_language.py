@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lakemart.llm import language
@@ -55,7 +58,7 @@ def test_unseen_words_back_off(spark):
 def test_thresholds_keep_frequent_texts(spark):
     rows = [(i, f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} " * (i + 1), "en") for i in range(100)]
     counts = language.word_counts(small_docs(spark, rows), "text", "lang")
-    kept, n = language.frequent(counts, 20, False, ["de", "en"])
+    kept, n = language.frequent(counts, 20, ["de", "en"])
     assert 0 < len(kept) == len(n) <= 20
     assert n[:, 1].min() > 80 and not n[:, 0].any()
 
@@ -83,7 +86,7 @@ def test_words_beyond_those_held_count_alike(spark):
     """Rare words of a small language, and what tasks hold of all words, don't change any result."""
     common = "".join(f"{a}{b}{c} " for a in "bdfg" for b in "aeiou" for c in "lmnr")
     rows = [(i, common, "en") for i in range(20)] + [(90, "lam lem nar gan bon fal", "fr"), (91, "dul gil fam", "fr")]
-    rows += [(92, "zum kip kip vox", "de"), (93, "x" * 200, "de"), (94, None, "de"), (None, "kip lam", "fr")]
+    rows += [(92, "zum kip kip vox", "de"), (93, "x" * 50, "de"), (94, None, "de"), (None, "kip lam", "fr")]
     rows += [(95, "vox zum lam nar", None), (95, "vox zum lam nar", None), (96, "quux nar kipp " + "y" * 90, None), (97, "1", None)]
     docs = small_docs(spark, rows).withColumn("language", F.lit(1))
     whole = language.fit(docs)
@@ -100,3 +103,87 @@ def test_words_beyond_those_held_count_alike(spark):
         for r in found:
             lang, score = wanted[tuple(r)[:3]]
             assert r["language"]["lang"] == lang and np.isclose(r["language"]["score"], score)
+
+
+def test_long_words_are_counted_to_their_end(spark):
+    long = "ab" * 150_000 + "ende"
+    counts = language.word_counts(small_docs(spark, [(1, f"x {long}", "de"), (2, long, "de")]), "text", "lang")
+    assert {(len(r["text"]), r["n"]) for r in counts.collect()} == {(1, 1), (len(long), 2)}
+    grams = {r["text"]: r["n"] for r in language.gram_counts(counts).collect()}
+    wanted = Counter()
+    for word, n in (("x", 1), (long, 2)):
+        for size in range(1, 5):
+            for gram in language.grams_of(word, size):
+                wanted[gram] += n
+    assert grams == wanted
+    # a word that long is known as a whole, and one like it by its n-grams
+    rows = [(1, f"{long} der die das", "de"), (2, "le la les", "fr"), (61, long, None), (62, long[:-4], None), (63, "y" * 70, None)]
+    docs = small_docs(spark, rows)
+    model = language.fit(docs)
+    assert long not in model.words and model.rest is not None
+    found = {r["doc_id"]: r["language"]["lang"] for r in language.predict(docs, model).collect()}
+    assert found[61] == found[62] == "de"
+
+
+def plain_identify(rows, vocabulary_of_grams):
+    """Scores by the definition, text by text, with dictionaries of all counts."""
+    words, grams = {}, {}
+    for i, text, lang in rows:
+        if text is None or lang is None or i is None or zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            words.setdefault(w, Counter())[lang] += 1
+    langs = sorted({name for c in words.values() for name in c})
+    for w, c in words.items():
+        for size in range(1, 5):
+            for g in language.grams_of(w, size):
+                for name, n in c.items():
+                    grams.setdefault(g, Counter())[name] += n
+    kept = set()
+    for name in langs:
+        for size in range(1, 5):
+            own = sorted((-c[name], g) for g, c in grams.items() if len(g) == size and c[name])
+            kept |= {g for _, g in own[:vocabulary_of_grams]}
+    totals = [math.log(sum(c[name] for c in words.values()) + 0.5 * len(words)) for name in langs]
+    of_size = {
+        (size, name): sum(grams[g][name] + 0.5 for g in kept if len(g) == size) for size in range(1, 5) for name in langs
+    }
+    out = []
+    for i, text, _ in rows:
+        sums, n = [0.0] * len(langs), 0
+        for w in regex.findall(r"\p{L}+", (text or "").lower()):
+            n += 1
+            for j, name in enumerate(langs):
+                if w in words:
+                    sums[j] += math.log(words[w][name] + 0.5) - totals[j]
+                    continue
+                marked = f" {w} "
+                for at in range(len(marked) - 1):
+                    known = [g for size in range(4, 0, -1) if (g := marked[at : at + size]) in kept and len(g) == size]
+                    if known:
+                        sums[j] += math.log((grams[known[0]][name] + 0.5) / of_size[len(known[0]), name]) / 4
+        if not n or not langs:
+            out.append((i, "und", 0.0))
+            continue
+        best = max(range(len(langs)), key=lambda j: (sums[j], -j))
+        out.append((i, langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)))
+    return out
+
+
+@pytest.mark.parametrize("vocabulary", [0, 20, 100_000])
+def test_equals_a_plain_scorer(spark, small_dir, vocabulary):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()] + [(None, None, "en"), (9_000_001, "Ünïcode 漢字 ωμέγα", "en"), (9_000_002, "漢 é", None)]
+    docs = small_docs(spark, rows)
+    model = language.fit(docs.where("doc_id is not null").where(~language.held_out(F.col("doc_id"))), vocabulary=vocabulary)
+    found = language.predict(docs, model).select("doc_id", "language.lang", "language.score").collect()
+    wanted = sorted(plain_identify(rows, language.GRAMS), key=str)
+    for got, want in zip(sorted(map(tuple, found), key=str), wanted, strict=True):
+        assert got[0] == want[0] and abs(got[2] - want[2]) < 1e-4
+        assert got[1] == want[1] or want[2] < 0.5001
+
+
+def test_words_of_latin_texts_are_those_of_the_pattern():
+    every = "".join(map(chr, range(256)))
+    for text in (every, every * 2 + "ab", "", " a", "É²A ½ªµß", every + "漢"):
+        assert [w for w in language.words_of(text) if w] == regex.findall(r"\p{L}+", text.lower())
