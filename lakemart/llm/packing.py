@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakemart.llm.common import BYTES_AT_ONCE, by_value, col, kept_in_worker, shuffle_partitions, tidy_after, written
+from lakemart.llm.common import BYTES_AT_ONCE, by_value, col, kept_in_worker, tidy_after, written
 
 by_value(__name__)
 
@@ -60,6 +60,8 @@ MARK = b"\x01"
 PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 SPECIAL = "<|"
 BORDERS = "\n\t\r"
+# Characters of texts whose words are looked up together.
+LETTERS_AT_ONCE = 1 << 16
 
 
 # --- token ids ---------------------------------------------------------------
@@ -107,29 +109,48 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        plain = SPECIAL not in text and is_plain(text)
-        both = self.plain if plain else self.others
-        for border in BORDERS:
-            text = text.replace(border, " ")
-        words = (text.lower() if plain else text).split(" ")
-        unknown = set(words).difference(both[0])
-        if not unknown:
-            return b"".join(map(both[0].__getitem__, words))
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts, whose new words are encoded together."""
+        found: list[bytes] = [b""] * len(texts)
+        kinds: tuple[list[int], list[int]] = ([], [])
+        for i, text in enumerate(texts):
+            kinds[SPECIAL in text or not is_plain(text)].append(i)
+        for both, own, plain in ((self.plain, kinds[0], True), (self.others, kinds[1], False)):
+            words = []
+            for i in own:
+                text = texts[i].lower() if plain else texts[i]
+                for border in BORDERS:
+                    text = text.replace(border, " ")
+                words.append(text.split(" "))
+            for i, data in zip(own, self._looked_up(words, both, plain), strict=True):
+                found[i] = data
+        return found
+
+    def _looked_up(self, texts: list[list[str]], both: list[dict[str, bytes]], plain: bool) -> list[bytes]:
+        unknown = set().union(*texts).difference(both[0])
         if len(both[0]) + len(unknown) > WORDS_REMEMBERED:
             # a full generation stays readable until the next one is full
             both[:] = [{}, both[0]]
-            unknown = set(words)
+            unknown = set().union(*texts)
         known, before = both
-        old = {w for w in unknown if w in before}
-        known.update(zip(old, map(before.__getitem__, old), strict=True))
-        known.update(self._encoded(unknown - old, plain))
-        out = b"".join(map(known.__getitem__, words))
+        get = before.get
+        new = []
         for word in unknown:
+            data = get(word)
+            if data is None:
+                new.append(word)
+            else:
+                known[word] = data
+        known.update(self._encoded(new, plain))
+        out = [b"".join(map(known.__getitem__, words)) for words in texts]
+        for word in new:
             if len(word) > LONGEST_MERGED:
                 del known[word]
         return out
 
-    def _encoded(self, words: set[str], plain: bool) -> Iterator[tuple[str, bytes]]:
+    def _encoded(self, words: list[str], plain: bool) -> Iterator[tuple[str, bytes]]:
         short = [w for w in words if plain and len(w) <= LONGEST_MERGED]
         yield from zip(short, self._merged(short), strict=True)
         rest = [w for w in words if not plain or len(w) > LONGEST_MERGED]
@@ -173,42 +194,66 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def groups_of(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, nulls empty, in groups of some :data:`LETTERS_AT_ONCE` characters, one at least."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= LETTERS_AT_ONCE:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def token_pieces(texts: DataFrame, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
-    """One row per piece with the columns of ``texts`` but the text: piece, start, length, ids.
+    """One row per piece with the columns of ``texts`` but the text: piece, start, length, ids, nth.
 
-    ``ids`` are little-endian unsigned 32-bit, as those of operator 10.
+    ``ids`` are little-endian unsigned 32-bit, as those of operator 10. ``nth`` numbers the
+    pieces of each length within a task.
     """
     others = [c for c in texts.columns if c != text_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = kept_in_worker((VOCABULARY, vocabulary), lambda: WordTokenizer(vocabulary))
         end = np.array([end_id], "<u4").tobytes()
+        seen = [0] * (capacity + 1)
+        names = [*others, "piece", "start", "length", "ids", "nth"]
 
         def out(batch: pa.RecordBatch, row: list, piece: list, start: list, parts: list) -> pa.RecordBatch:
             kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row, pa.int64())) for c in others]
+            lengths, nth = [len(part) // 4 for part in parts], []
+            for length in lengths:
+                nth.append(seen[length])
+                seen[length] += 1
             arrays = [*kept, pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
-            arrays += [pa.array([len(part) // 4 for part in parts], pa.int64()), pa.array(parts, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=[*others, "piece", "start", "length", "ids"])
+            arrays += [pa.array(lengths, pa.int64()), pa.array(parts, pa.binary()), pa.array(nth, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            row, piece, start, parts, size = [], [], [], [], 0
-            for i, text in enumerate(batch.column(batch.schema.get_field_index(text_col))):
-                ids = tokenizer.ids(text.as_py() or "") + end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    row.append(i)
-                    piece.append(n)
-                    start.append(at // 4)
-                    parts.append(ids[at : at + 4 * capacity])
-                    size += len(parts[-1])
-                    if size >= BYTES_AT_ONCE:
-                        yield out(batch, row, piece, start, parts)
-                        row, piece, start, parts, size = [], [], [], [], 0
+            row, piece, start, parts, size, i = [], [], [], [], 0, -1
+            for group in groups_of(batch.column(batch.schema.get_field_index(text_col))):
+                for ids in tokenizer.all_ids(group):
+                    i += 1
+                    ids += end
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        row.append(i)
+                        piece.append(n)
+                        start.append(at // 4)
+                        parts.append(ids[at : at + 4 * capacity])
+                        size += len(parts[-1])
+                        if size >= BYTES_AT_ONCE:
+                            yield out(batch, row, piece, start, parts)
+                            row, piece, start, parts, size = [], [], [], [], 0
             if row:
                 yield out(batch, row, piece, start, parts)
         tokenizer.forget()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in texts.drop(text_col).dtypes)
-    return texts.mapInArrow(tidy_after(cut), f"{schema}, piece int, start bigint, length bigint, ids binary")
+    return texts.mapInArrow(
+        tidy_after(cut), f"{schema}, piece int, start bigint, length bigint, ids binary, nth bigint"
+    )
 
 
 # --- the plan ----------------------------------------------------------------
@@ -413,17 +458,15 @@ def _best_fit(plan: Plan, classes: list[Class], histogram: Mapping[int, int]) ->
 def _ranked(pieces: DataFrame) -> DataFrame:
     """Number the pieces of each length from 0, without gathering a length in one task.
 
-    Pieces are dealt by length and a hash of their number; ranks count within such a
-    bucket, after all pieces of the length in buckets before it.
+    A piece has its number among those of its length in the task that made it; the table
+    of where a task's numbers begin has a row per task and length. The pieces themselves
+    are shuffled only if that table is too large to be sent to all tasks.
     """
-    buckets = shuffle_partitions(pieces.sparkSession)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
-    sizes = dealt.groupBy("length", "bucket").count()
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    here = Window.partitionBy("length", "bucket").orderBy("row")
-    ranked = dealt.withColumn("here", F.row_number().over(here) - 1).join(sizes, ["length", "bucket"])
-    return ranked.withColumn("rank", F.col("before") + F.col("here")).drop("bucket", "before", "here")
+    sizes = pieces.groupBy("length", "part").count()
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    ranked = pieces.join(starts, ["length", "part"])
+    return ranked.withColumn("rank", F.col("before") + F.col("nth")).drop("part", "before", "nth")
 
 
 def pack_ids(
@@ -453,7 +496,7 @@ def pack_ids(
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     pieces = token_pieces(texts, "text", vocabulary, capacity, end_id)
     # numbers that stay as they are, since they are written
-    pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = written(pieces.withColumn("part", F.spark_partition_id()), "pieces")
     # at most ``capacity`` rows
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = make_plan(histogram, capacity, groups, small)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lakemart.llm.common import BYTES_AT_ONCE, by_value, col, kept_in_worker, tidy_after, written
 from lakemart.llm.numbering import PLACE_BITS, in_order
-from lakemart.llm.packing import END_ID, VOCABULARY, WordTokenizer
+from lakemart.llm.packing import END_ID, VOCABULARY, WordTokenizer, groups_of
 from lakemart.session import scratch_path
 
 by_value(__name__)
@@ -181,12 +181,9 @@ def _coded(docs: DataFrame, vocabulary: str, end_id: int, width: str) -> DataFra
             )
 
         for batch in batches:
-            begin, parts, size = 0, [], 0
-            for i, text in enumerate(batch.column(1)):
-                parts.append(tokenizer.ids(text.as_py() or "") + end)
-                size += len(parts[-1])
-                if size < BYTES_AT_ONCE and i + 1 < batch.num_rows:
-                    continue
+            begin = 0
+            for group in groups_of(batch.column(1)):
+                parts = [ids + end for ids in tokenizer.all_ids(group)]
                 ids = np.frombuffer(b"".join(parts), "<u4")
                 new = np.bincount(ids)
                 if len(new) > len(counts):
@@ -197,7 +194,7 @@ def _coded(docs: DataFrame, vocabulary: str, end_id: int, width: str) -> DataFra
                 ends = np.cumsum([0, *[len(p) // 4 * each for p in parts]]).tolist()
                 narrow_parts = [narrow[a:b] for a, b in zip(ends, ends[1:], strict=False)]
                 yield out(batch.column(0).slice(begin, len(parts)), narrow_parts, None)
-                begin, parts, size = i + 1, [], 0
+                begin += len(parts)
         tokenizer.forget()
         if len(counts):
             yield out(pa.nulls(1, pa.int64()), [None], counts.tolist())
