@@ -96,8 +96,9 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = substrings.remove_repeats(docs, with_kept=False)
-    return cut.select("doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256")
+    cut = substrings.remove_repeats(docs)
+    words = F.btrim(F.regexp_replace(F.coalesce("repeats.kept", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return cut.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
 @query(
@@ -138,10 +139,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = suffixes.remove_shared(docs, with_kept=False)
-    return cut.select(
-        "doc_id", "shared.n_bytes", "shared.n_removed", "shared.n_spans", "shared.kept_sha256"
-    )
+    cut = suffixes.remove_shared(docs)
+    digest = F.sha2("shared.kept", 256).alias("kept_sha256")
+    return cut.select("doc_id", "shared.n_bytes", "shared.n_removed", "shared.n_spans", digest)
 
 
 @query("op5_best_fit_packing")

@@ -130,12 +130,14 @@ def scan(
 
     A finding is (start, rank, kind, end, value_start, repositories, owners, live) in
     code points, end exclusive; ``rank`` is the place of the kind in :data:`KINDS`. It
-    is live if at most ``max_owners`` owners have its value. Matches of the base kinds
+    is live if at most ``max_owners`` owners have its value, in however many of their
+    repositories; where no owner is known, repositories count in their place. Matches of
+    the base kinds
     are always listed; a token of the kind ``owned`` only if it is live and overlaps
     none of them.
 
-    Null and empty texts have no findings. Null owners are not counted, so a value
-    without any owner is live. Ids play no part, and repeated rows add nothing to the
+    Null and empty texts have no findings; texts may have any length. Null owners and
+    repositories are not counted, so a value without any of them is live. Ids play no part, and repeated rows add nothing to the
     counts. An empty table gives an empty table. All columns stay; one named like
     ``alias`` is replaced. ``repository_col`` is the owner's column if not given.
     """
@@ -143,7 +145,8 @@ def scan(
     if alias in docs.columns and alias not in (text_col, owner_col, repository_col):
         docs = docs.drop(alias)
     key = fresh(docs, "text_key")
-    hits = docs.where(has_candidate(text)).withColumn(key, F.sha2(text, 256))
+    # the few texts with a candidate are written, so that the patterns look for them once
+    hits = written(docs.where(has_candidate(text)).withColumn(key, F.sha2(text, 256)), "secrets-hits")
     texts = hits.groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
     found = spans(texts).withColumn("hash", F.sha2("value", 256)).drop("value")
     found = written(found, "secrets")
@@ -152,7 +155,10 @@ def scan(
         col(repository_col or owner_col).alias("repository"),
         col(owner_col).alias("owner"),
     )
-    judged = found.join(ownership(found, holders), "hash").withColumn("live", F.col("owners") <= max_owners)
+    # written, so that the join starts from a shuffle on both sides and a hot value is split
+    owned = written(ownership(found, holders), "secrets-owners")
+    spread = F.when(F.col("owners") > 0, F.col("owners")).otherwise(F.col("repositories"))
+    judged = found.join(owned, "hash").withColumn("live", spread <= max_owners)
     finding = F.struct("start", "rank", "kind", "end", "value_start", "repositories", "owners", "live")
     lists = judged.groupBy("key").agg(F.array_sort(F.collect_list(finding)).alias("all"))
     # written, so that the join below starts from a shuffle on both sides and hot texts are split

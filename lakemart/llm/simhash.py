@@ -263,19 +263,28 @@ def near_duplicates(
     component has no other id. Repeated rows come out as often as they come in. An
     empty table gives an empty table.
     """
+    rows = _printed(docs, id_col, text_col, width)
+    placed = _placed(rows, most, hot)
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = placed.select("print", "root").join(least, "root").select("print", "component_id")
+    return rows.join(named, "print").select(
+        "doc_id", as_hex(F.col("print")).alias("fingerprint"), "component_id"
+    )
+
+
+def _printed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     rows = docs.select(col(id_col).alias("doc_id"), fingerprint(col(text_col), width).alias("print"))
-    rows = written(rows, "simhash")
+    return written(rows, "simhash")
+
+
+def _placed(rows: DataFrame, most: int, hot: int) -> DataFrame:
+    """(print, first, root) of each fingerprint: its smallest id and its component."""
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("first"))
     edges = linked(prints.select("print"), most, hot)
     roots = connected_components(edges, "simhash-components", stars_already=True)
-    placed = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
+    return prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")
     )
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.select("print", "root").join(least, "root").select("print", "component_id")
-    return rows.join(named, "print").select(
-        "doc_id", as_hex(F.col("print")).alias("fingerprint"), "component_id"
-    )
 
 
 def keep_first(
@@ -284,31 +293,44 @@ def keep_first(
     text_col: str = "text",
     width: int = SHINGLE_WORDS,
     most: int = MAX_BITS,
+    hot: int = HOT_BLOCK,
 ) -> DataFrame:
-    """One document of each group: the row whose id is the group's component_id.
-
-    Rows of that id are told apart by their texts, the smallest stays; of repeated rows
-    one stays. A group without any id keeps the row with the smallest text.
+    """One document of each group: the row with the group's smallest id.
+
+    A row is told by its id and fingerprint, so an id that occurs in several groups leads
+    those where it is the smallest, each with its own text. Of rows that have both in
+    common the one with the smallest text stays; of repeated rows one stays. A group
+    without any id keeps a row with its smallest fingerprint, and of these the smallest
+    text. Texts may have any length, null ones are empty. An empty table gives an empty
+    table. All columns stay as they are.
     """
-    found = near_duplicates(docs, id_col, text_col, width, most)
-    key, mark = fresh(docs, "component"), fresh(docs, "rank")
-    firsts = found.select(F.col("doc_id").alias(mark), F.col("component_id").alias(key))
-    firsts = firsts.where(f"{mark} = {key}").select(mark).distinct()
-    lead = docs.join(firsts, col(id_col) == F.col(mark), "left_semi")
-    lost = docs.where(col(id_col).isNull())
-    orphan = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    print_ = fresh(docs, "print")
-    lost = lost.withColumn(print_, as_hex(fingerprint(col(text_col), width))).join(
-        orphan.select(F.col("fingerprint").alias(print_)), print_, "left_semi"
+    rows = _printed(docs, id_col, text_col, width)
+    leader = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "print")).alias("leader")
+    leaders = _placed(rows, most, hot).groupBy("root").agg(leader).select(
+        F.col("leader.first").alias("doc_id"), "leader.print"
     )
-    return _one_per(lead, id_col, text_col).unionByName(_one_per(lost, print_, text_col).drop(print_))
-
-
-def _one_per(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    leaders = written(leaders, "simhash-leaders")
+    # ids with several fingerprints; all others are told by themselves
+    several = rows.groupBy("doc_id").agg(F.min("print").alias("a"), F.max("print").alias("b"))
+    several = written(several.where("doc_id is not null and a != b").select("doc_id"), "simhash-several")
+    id_, print_ = fresh(docs, "id"), fresh(docs, "print")
+    shared = several.withColumnRenamed("doc_id", id_)
+    clear = leaders.where("doc_id is not null").join(several, "doc_id", "left_anti")
+    lead = docs.join(clear.select(F.col("doc_id").alias(id_)), col(id_col) == F.col(id_), "left_semi")
+    unclear = leaders.join(several, "doc_id", "left_semi").union(leaders.where("doc_id is null"))
+    unclear = unclear.select(F.col("doc_id").alias(id_), F.col("print").alias(print_))
+    rest = docs.join(shared, col(id_col) == F.col(id_), "left_semi").union(docs.where(col(id_col).isNull()))
+    told = fresh(docs, "told")
+    rest = rest.withColumn(told, fingerprint(col(text_col), width))
+    rest = rest.join(unclear, col(id_col).eqNullSafe(F.col(id_)) & (F.col(told) == F.col(print_)), "left_semi")
+    return _one_per(lead, [id_col], text_col).unionByName(_one_per(rest, [id_col, told], text_col).drop(told))
+
+
+def _one_per(docs: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """One row per key, the one with the smallest text, by a minimum that sums up early."""
     row = fresh(docs, "row")
     plain = [c for c in docs.columns]
-    packed = docs.groupBy(col(key)).agg(
+    packed = docs.groupBy(*[col(k) for k in keys]).agg(
         F.min(F.struct(col(text_col).alias("t"), F.struct(*[col(c) for c in plain]).alias("r"))).alias(row)
     )
     return packed.select(f"{row}.r.*")

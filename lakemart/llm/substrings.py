@@ -15,7 +15,6 @@ itself, so that a passage in a third of all documents reaches its shard once per
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -190,15 +189,14 @@ def remove_repeats(
     window: int = WINDOW_WORDS,
     crowd: int = CROWD,
     alias: str = "repeats",
-    with_kept: bool = True,
 ) -> DataFrame:
-    """Add a struct (n_words, n_removed, kept, kept_sha256) of each text without repeats.
+    """Add a struct (n_words, n_removed, kept) of each text without repeats.
 
     A word goes if a window of ``window`` words over it also starts earlier: in a
     document with a smaller id, or before it in the same one. Windows are judged on the
     input. ``kept`` is the text with the removed words cut out together with the white
-    space behind them; a text that loses nothing stays as it is. ``kept_sha256`` is the
-    SHA-256 of the kept words joined by one space.
+    space behind them; a text that loses nothing stays as it is. Texts may have any
+    length; a long one is cut into slices whose windows overlap.
 
     A null text has no words and stays null. A null id counts as smaller than all
     others. Rows with the same id and text are one document: they get the same result,
@@ -213,28 +211,16 @@ def remove_repeats(
     wide, names = anchors.keyed(docs, id_col, text_col)
     spread = wide.repartition(names["key"])
     runs = repeated_windows(wide, spread, names, text_col, kind, crowd)
-
-    def cut(text: str | None, stretches: np.ndarray) -> tuple:
-        words, gone, kept, digest = cut_words(text, stretches)
-        return words, gone, kept if with_kept else None, digest
-
-    fields = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
+    fields = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
     marks = anchors.settled_runs(runs)
-    return anchors.removal(spread, names, text_col, marks, window, cut, fields, alias)
+    return anchors.removal(spread, names, text_col, marks, window, cut_words, fields, alias)
 
 
-def cut_words(text: str | None, runs: np.ndarray) -> tuple[int, int, str | None, str]:
-    """(words, removed words, kept text, SHA-256 of the kept words) given runs of words to cut."""
+def cut_words(text: str | None, runs: np.ndarray) -> tuple[int, int, str | None]:
+    """(words, removed words, kept text) given runs of words to cut."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    digest = hashlib.sha256()
     if not len(runs):
-        count = 0
-        for part in slices(data):
-            words = part.split()
-            if words:
-                digest.update((b" " if count else b"") + b" ".join(words))
-                count += len(words)
-        return count, 0, text, digest.hexdigest()
+        return sum(len(part.split()) for part in slices(data)), 0, text
     kept, gone, count, run, begun = [], 0, 0, 0, 0
     for found in WORD.finditer(data):
         while run < len(runs) and count >= runs[run, 1]:
@@ -244,11 +230,9 @@ def cut_words(text: str | None, runs: np.ndarray) -> tuple[int, int, str | None,
                 kept.append(data[begun : found.start()])
             gone += 1
             begun = None
-        else:
-            digest.update((b" " if count > gone else b"") + found.group())
-            if begun is None:
-                begun = found.start()
+        elif begun is None:
+            begun = found.start()
         count += 1
     if begun is not None:
         kept.append(data[begun:])
-    return count, gone, b"".join(kept).decode("utf-8", "surrogatepass"), digest.hexdigest()
+    return count, gone, b"".join(kept).decode("utf-8", "surrogatepass")

@@ -19,7 +19,6 @@ then show which strings are equal. Only the order of the first 50 bytes is neede
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -299,13 +298,13 @@ def remove_shared(
     window: int = WINDOW_BYTES,
     crowd: int = CROWD,
     alias: str = "shared",
-    with_kept: bool = True,
 ) -> DataFrame:
-    """Add a struct (n_bytes, n_removed, n_spans, kept_sha256, kept) of each text.
+    """Add a struct (n_bytes, n_removed, n_spans, kept) of each text.
 
     A byte goes if a string of ``window`` bytes over it also starts in a document with
     a smaller id. Strings are judged on the input; they never cross documents. ``kept``
-    is what remains, as bytes, since a cut may fall inside a character.
+    is what remains, as bytes, since a cut may fall inside a character. Texts may have any
+    length; only stretches around bytes that documents share meet in a task.
 
     A null text has no bytes. A null id counts as smaller than all others. Rows with
     the same id don't take from each other, whatever their texts; repeated rows get the
@@ -319,23 +318,13 @@ def remove_shared(
     spread = wide.repartition(names["key"])
     runs = repeated_strings(wide, spread, names, text_col, kind, crowd)
 
-    def cut(text: str | None, stretches: np.ndarray) -> tuple:
-        return cut_bytes(text, stretches, with_kept)
-
-    numbers = {name: pa.int64() for name in ("n_bytes", "n_removed", "n_spans")}
-    fields = numbers | {"kept_sha256": pa.string(), "kept": pa.binary()}
+    fields = {name: pa.int64() for name in ("n_bytes", "n_removed", "n_spans")} | {"kept": pa.binary()}
     marks = anchors.settled_runs(runs)
-    return anchors.removal(spread, names, text_col, marks, window, cut, fields, alias)
+    return anchors.removal(spread, names, text_col, marks, window, cut_bytes, fields, alias)
 
 
-def cut_bytes(text: str | None, runs: np.ndarray, with_kept: bool) -> tuple:
+def cut_bytes(text: str | None, runs: np.ndarray) -> tuple[int, int, int, bytes]:
     data = (text or "").encode("utf-8", "surrogatepass")
     edges = [0, *runs.ravel().tolist(), len(data)]
     kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-    return (
-        len(data),
-        len(data) - len(kept),
-        len(runs),
-        hashlib.sha256(kept).hexdigest(),
-        kept if with_kept else None,
-    )
+    return len(data), len(data) - len(kept), len(runs), kept

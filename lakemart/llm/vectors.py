@@ -35,6 +35,9 @@ BUILD_BEAM = 40
 FIRST_BEAM = 32
 EXPANDED = 3
 AUDITED = 100
+# Nodes sampled at most to find that many with a partner, and queries audited of each lot.
+SAMPLED = 2_000
+AUDITED_OF_LOT = 16
 RECALL = 0.99
 INSERTED_AT_ONCE = 512
 QUERIED_AT_ONCE = 256
@@ -222,16 +225,34 @@ class Shard:
         self.near = near
         self.graph = Graph(self.x)
         self.beam = FIRST_BEAM
-        sample = np.random.default_rng(1).permutation(len(self.x))[:AUDITED]
-        true = self.x[sample] @ self.x.T >= near
-        # those without any neighbour but themselves say nothing
-        while self.beam < len(self.x):
-            i, j = self._found(self.x[sample], self.beam)
+        order = np.random.default_rng(1).permutation(len(self.x))
+        audited = 0
+        # until enough nodes with a partner are among the sample: the others say nothing
+        for at in range(0, min(len(order), SAMPLED), AUDITED):
+            audited += self.audit(self.x[order[at : at + AUDITED]], order[at : at + AUDITED])
+            if audited >= AUDITED:
+                break
+
+    def audit(self, q: np.ndarray, own: np.ndarray | None = None) -> int:
+        """Widen the beam until queries get their true neighbours; the number of them that have any.
+
+        The recall of each query counts alike, so a crowd does not hide what single pairs
+        lose. ``own`` are the queries' nodes if they are in the graph: what a node says
+        about itself does not count.
+        """
+        true = q @ self.x.T >= self.near
+        if own is not None:
+            true[np.arange(len(q)), own] = False
+        some = true.any(axis=1)
+        q, true = q[some], true[some]
+        while len(q) and self.beam < len(self.x):
+            i, j = self._found(q, self.beam)
             got = np.zeros(true.shape, bool)
             got[i, j] = True
-            if (got & true).sum() >= RECALL * true.sum():
+            if ((got & true).sum(axis=1) / true.sum(axis=1)).mean() >= RECALL:
                 break
             self.beam *= 2
+        return len(q)
 
     def _all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs near enough from comparing queries with all nodes."""
@@ -261,7 +282,10 @@ class Shard:
     def links_of(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(offset, queries, nodes) of pairs near enough, some queries at a time."""
         for at in range(0, len(vectors), QUERIED_AT_ONCE):
-            i, j = self._found(unit(vectors[at : at + QUERIED_AT_ONCE]), self.beam)
+            q = unit(vectors[at : at + QUERIED_AT_ONCE])
+            # queries come from other shards, too: some of each lot are audited as they are
+            self.audit(q[:: max(1, len(q) // AUDITED_OF_LOT)])
+            i, j = self._found(q, self.beam)
             yield at, i, j
 
 

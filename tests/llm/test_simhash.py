@@ -106,6 +106,24 @@ def test_keep_first(docs_of):
     assert ids == sorted(wanted, key=str)
 
 
+def test_keep_first_with_an_id_in_several_groups(docs_of):
+    """Ids say nothing about texts: each group keeps its own first row."""
+    words = [f"w{i}" for i in range(400)]
+    near, far = " ".join(words), " ".join(reversed(words))
+    a, b = near + " end", "something else entirely here"
+    assert simhash_bits(docs_of, near, a) <= 3 < simhash_bits(docs_of, near, far)
+    rows = [(5, near), (7, a), (7, far), (7, b), (9, b), (7, b), (None, "only here"), (None, "only here"), (None, near)]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(docs_of(rows)).collect() if r["doc_id"] is not None)
+    assert kept == sorted([(5, near), (7, far), (7, b)])
+    assert [r["text"] for r in simhash.keep_first(docs_of(rows)).where("doc_id is null").collect()] == ["only here"]
+
+
+def simhash_bits(docs_of, one, two):
+    found = simhash.near_duplicates(docs_of([(1, one), (2, two)])).collect()
+    a, b = (int(r["fingerprint"], 16) for r in found)
+    return (a ^ b).bit_count()
+
+
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).collect() == []
     assert simhash.keep_first(docs_of([])).collect() == []

@@ -119,6 +119,51 @@ def test_audit_widens_the_beam(monkeypatch):
     assert vectors.Shard(x, near=0.8).beam >= 400  # a graph that finds nothing: all is compared
 
 
+def only_one(node, sim, beam):
+    """A beam with one place taken."""
+    nodes, sims = np.full((len(node), beam), -1), np.full((len(node), beam), -np.inf)
+    nodes[:, 0], sims[:, 0] = node, np.where(node >= 0, sim, -np.inf)
+    return nodes, sims
+
+
+def rare_pairs(n, pairs):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, 16))
+    x[:pairs] = x[pairs : 2 * pairs] + rng.normal(size=(pairs, 16)) * 0.02
+    return x
+
+
+def test_audit_is_not_satisfied_by_what_a_node_says_of_itself(monkeypatch):
+    """Few nodes have a partner, and the graph finds each node and nothing else."""
+
+    def itself(self, q, beam):
+        sims = q @ self.x.T
+        return only_one(np.argmax(sims, axis=1), np.max(sims, axis=1), beam)
+
+    monkeypatch.setattr(vectors.Graph, "near", itself)
+    x = rare_pairs(2000, 60)
+    shard = vectors.Shard(x)
+    assert shard.beam >= 2000
+    assert sum((i + at != j).sum() for at, i, j in shard.links_of(x)) == 120
+
+
+def test_audit_covers_queries_of_other_shards(monkeypatch):
+    """A graph that knows its own nodes only by heart is found out by queries from elsewhere."""
+    x = rare_pairs(1200, 400)
+    inside, outside = x[400:], x[:400]
+
+    def by_heart(self, q, beam):
+        sims = q @ self.x.T
+        best, top = np.argmax(sims, axis=1), np.max(sims, axis=1)
+        return only_one(np.where(top > 0.999999, best, -1), top, beam)
+
+    monkeypatch.setattr(vectors.Graph, "near", by_heart)
+    shard = vectors.Shard(inside)
+    assert shard.beam < 800  # within the shard nothing has a partner, so nothing is missed
+    assert sum(len(i) for _, i, _ in shard.links_of(outside)) >= 400 * 0.99
+    assert shard.beam >= 800
+
+
 def test_empty_table_and_clashing_columns(spark):
     schema = "vec_id bigint, embedding array<float>, label int, node int, links int, first int"
     assert vectors.near_duplicates(spark.createDataFrame([], schema)).collect() == []
