@@ -7,7 +7,8 @@ a block and for every pair of neighbouring labels, the best sequence found by Vi
 
 It is trained on pages whose markup names the parts itself (:func:`labelled`): blocks
 inside an article element are text, blocks in navigation, notices, forms and the like
-are not. So that the field doesn't lean on one way of writing pages, each training page
+are not. Where no page does, the texts say it themselves (:func:`dense`): the longest row
+of sentences outside of what is named a menu, a notice or the like. So that the field doesn't lean on one way of writing pages, each training page
 is also laid out anew under other element and class names, with menus, side bars,
 notices, adverts, forms and reader comments around and inside the article.
 """
@@ -43,7 +44,7 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
 
 # Element names of the HTML standard by what they mean here.
@@ -305,6 +306,36 @@ def labelled(page: str) -> tuple[list[Block], list[bool]]:
     return blocks, [bool(b.names & ARTICLE) and not b.names & NOT_ARTICLE for b in blocks]
 
 
+SENTENCE_WORDS = 8
+SENTENCE = re.compile(r"[.!?…][\"'”’)]*$")
+# Blocks without a sentence that may stand between those of an article: headings, short lines.
+GAP_BLOCKS = 2
+
+
+def dense(page: str) -> tuple[list[Block], list[bool]]:
+    """Blocks and labels of a page without named parts: its longest row of sentences.
+
+    A heading right before the row belongs to it. Without any sentence nothing is labelled.
+    """
+    blocks = read_blocks(page)
+    said = [
+        len(b.text.split()) >= SENTENCE_WORDS and bool(SENTENCE.search(b.text)) and not b.names & NOT_ARTICLE
+        for b in blocks
+    ]
+    best, size, first, last, here = (0, 0), 0, 0, -GAP_BLOCKS - 2, 0
+    for i in [i for i, y in enumerate(said) if y]:
+        if i - last > GAP_BLOCKS + 1:
+            first, here = i, 0
+        here += len(blocks[i].text)
+        last = i
+        if here > size:
+            best, size = (first, i + 1), here
+    begin, end = best
+    if size and begin and blocks[begin - 1].tag in ("h1", "h2") and not blocks[begin - 1].names & NOT_ARTICLE:
+        begin -= 1
+    return blocks, [begin <= i < end and not b.names & NOT_ARTICLE for i, b in enumerate(blocks)]
+
+
 # Ways of writing the parts of a page: what opens and closes them.
 AROUND_ARTICLE = (
     "<article>", "<main>", "<main><article>", '<div class="content">', '<div id="main-content">',
@@ -389,6 +420,8 @@ def training_set(pages: list[str], layouts: int = LAYOUTS, seed: int = 0) -> Ite
     """Pages as they are, and laid out anew some times each."""
     rng = random.Random(seed)
     known = [labelled(page) for page in pages]
+    if not any(any(labels) for _, labels in known):
+        known = [dense(page) for page in pages]
     known = [(blocks, labels) for blocks, labels in known if any(labels)]
     texts = [b.text for blocks, labels in known for b, y in zip(blocks, labels, strict=True) if y]
     for blocks, labels in known:
@@ -402,13 +435,22 @@ def training_set(pages: list[str], layouts: int = LAYOUTS, seed: int = 0) -> Ite
 def fit(pages: DataFrame, html_col: str = "html", most: int = TRAINING_PAGES) -> Field:
     """Train on ``most`` pages at most, those with the smallest hashes of their text.
 
-    Only pages that name their parts and have 50,000 characters or less can be chosen.
+    Only pages of 50,000 characters or less can be chosen, and only those that name their
+    parts; if none does, all of them.
     """
     text = col(html_col)
-    usable = pages.select(text.alias("html")).where(F.char_length(text) <= TRAINING_CHARS)
-    usable = usable.where(F.lower("html").rlike("<(article|main)")).withColumn("hash", F.xxhash64("html"))
-    # narrow rows are sorted, and only the chosen pages reach the driver
-    hashes = [r["hash"] for r in usable.select("hash").distinct().orderBy("hash").limit(most).collect()]
+    short = pages.select(text.alias("html")).where(F.char_length(text) <= TRAINING_CHARS)
+    short = short.withColumn("hash", F.xxhash64("html"))
+
+    def first(usable: DataFrame) -> list[int]:
+        # narrow rows are sorted, and only the chosen pages reach the driver
+        return [r["hash"] for r in usable.select("hash").distinct().orderBy("hash").limit(most).collect()]
+
+    usable = short.where(F.lower("html").rlike("<(article|main)"))
+    hashes = first(usable)
+    if not hashes:
+        usable = short
+        hashes = first(usable)
     chosen = usable.where(F.col("hash").isin(hashes)).groupBy("hash").agg(F.min("html").alias("html"))
     found = sorted((r["hash"], r["html"]) for r in chosen.collect())
     return train(training_set([page for _, page in found]))
@@ -426,9 +468,10 @@ def extract(pages: DataFrame, html_col: str = "html", alias: str = "text", field
     Character references are decoded and white space within a block is one space. A
     null or empty page, and one without an article, has an empty text. Pages are
     independent of each other and of any id, so null ids and repeated rows don't
-    matter. An empty table gives an empty table; without any page that names its parts
-    nothing is known and all texts are empty. All columns stay; one named like
-    ``alias`` is replaced.
+    matter. Pages may have any length; those too long to train on are read to their end.
+    An empty table gives an empty table. A table without pages that name their parts is
+    trained on its own rows of sentences; without any of these nothing is known and all
+    texts are empty. All columns stay; one named like ``alias`` is replaced.
     """
     field = field or fit(pages, html_col)
     return with_computed(pages, html_col, alias, pa.string(), lambda: lambda page: main_text(page, field))

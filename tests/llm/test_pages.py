@@ -118,3 +118,35 @@ def test_odd_rows(spark, field):
     assert pages.extract(docs.where("1 = 0")).collect() == []
     nothing = spark.createDataFrame([("<div>no part is named here</div>",)], "html string")
     assert [r["text"] for r in pages.extract(nothing).collect()] == [""]
+
+
+def test_pages_without_named_parts(spark):
+    """Layouts of div and table elements only: sentences are told by themselves."""
+    rng = random.Random(3)
+    nouns = "harbour engine letter garden winter market river painter signal window".split()
+
+    def sentence():
+        words = [rng.choice(nouns) if i % 2 else rng.choice(["the", "a", "near", "with", "under"]) for i in range(rng.randint(9, 16))]
+        return " ".join(words).capitalize() + "."
+
+    rows, wanted = [], {}
+    for i in range(60):
+        title, body = f"About the {rng.choice(nouns)} {i}", [f"{sentence()} {sentence()}" for _ in range(rng.randint(3, 6))]
+        menu = "".join(f'<div><a href="#">{rng.choice(nouns)}</a></div>' for _ in range(5))
+        text = f"<h1>{title}</h1>" + "".join(f"<div>{b}</div>" for b in body)
+        page = f'<table><tr><td class="m{i}">{menu}</td><td class="b"><div>{text}</div></td></tr></table><div>Copyright {i}</div>'
+        rows.append((i, f"<html><body>{page}</body></html>"))
+        wanted[i] = "\n".join([title, *body])
+    found = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id int, html string")).collect()}
+    assert sum(found[i] == wanted[i] for i in wanted) >= 57
+
+
+def test_other_attributes_name_nothing():
+    (block,) = pages.read_blocks('<div data-id="comments" class="story"><p>x</p></div>')
+    assert ".story" in block.names and ".comments" not in block.names
+
+
+def test_a_very_long_page(field):
+    text = "".join(f"<p>Sentence number {i} of a long article goes on and on.</p>" for i in range(20_000))
+    found = pages.main_text(f"<body>{MENU}<article><h1>{TITLE}</h1>{text}</article></body>", field)
+    assert found.count("\n") == 20_000 and found.startswith(TITLE)
