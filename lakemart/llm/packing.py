@@ -46,6 +46,8 @@ by_value(__name__)
 
 CAPACITY = 4096
 END_ID = 1
+# Rows of three numbers: some 50 MB in a task's memory at most.
+STARTS_SENT = 1_000_000
 GROUPS = 20
 # Lengths up to this are packed by best fit alone: with a third of a sequence and more, a
 # configuration holds two pieces, and what is left over has small ones to fill it up.
@@ -459,12 +461,16 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     """Number the pieces of each length from 0, without gathering a length in one task.
 
     A piece has its number among those of its length in the task that made it; the table
-    of where a task's numbers begin has a row per task and length. The pieces themselves
-    are shuffled only if that table is too large to be sent to all tasks.
+    of where a task's numbers begin has a row per task and length that it made. Up to
+    :data:`STARTS_SENT` rows it is sent to all tasks, which keeps the pieces where they
+    are; a longer one is joined by a shuffle, whose large partitions can be split.
     """
     sizes = pieces.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    starts = written(starts, "pieces-starts")
+    if starts.count() <= STARTS_SENT:
+        starts = F.broadcast(starts)
     ranked = pieces.join(starts, ["length", "part"])
     return ranked.withColumn("rank", F.col("before") + F.col("nth")).drop("part", "before", "nth")
 

@@ -145,3 +145,14 @@ def test_sequences_hold_the_ids(docs_of):
         assert len(sequences[r["sequence_id"]]) == r["offset"]
         sequences[r["sequence_id"]] += ids
     assert Counter(x for ids in sequences.values() for x in ids) == Counter(x for ids in wanted for x in ids)
+
+
+def test_long_tables_of_starts_are_joined_alike(docs_of, monkeypatch):
+    """Beyond the rows that are sent to all tasks a shuffle gives the same ranks."""
+    rows = list(enumerate(TEXTS + random_texts(40)))
+    wanted = sorted(map(str, packing.pack(docs_of(rows)).drop("sequence_id", "offset").collect()))
+    monkeypatch.setattr(packing, "STARTS_SENT", 0)
+    found = packing.pack(docs_of(rows).repartition(5)).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in found}
+    assert len(places) == len(found)
+    assert sorted(str(r) for r in docs_of([]).sparkSession.createDataFrame(found).drop("sequence_id", "offset").collect()) == wanted
