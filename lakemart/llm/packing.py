@@ -46,8 +46,8 @@ by_value(__name__)
 
 CAPACITY = 4096
 END_ID = 1
-# Rows of three numbers: some 50 MB in a task's memory at most.
-STARTS_SENT = 1_000_000
+# Rows of three numbers, 130 bytes each as sent: some 50 MB at most.
+STARTS_SENT = 400_000
 GROUPS = 20
 # Lengths up to this are packed by best fit alone: with a third of a sequence and more, a
 # configuration holds two pieces, and what is left over has small ones to fill it up.
