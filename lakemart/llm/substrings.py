@@ -1,14 +1,15 @@
-"""Removing repeated passages of words, with a count-min sketch in front.
+"""Removing repeated passages of words, with merged count-min sketches in front.
 
 Counting every window of 20 words exactly would move the corpus several times. So a
-first pass estimates counts: every window is counted under its anchor
-(:mod:`lakemart.llm.anchors`) in a count-min sketch. The sketch is cut into shards by
-hash; tasks send each shard their share of entries, pre-aggregated, and the shard sums
-them up. The estimate of a window is the least of its cells. Collisions and anchors
-shared by different windows can only raise it, so no repeated window is lost.
-
-The second pass makes windows of those places only whose estimate says they repeat,
-and groups them exactly (by a 64-bit hash of the anchor's words and another of all
+first pass estimates counts (:mod:`lakemart.llm.sketches`): each partition of documents
+makes a count-min sketch of all its windows, the sketches of all partitions are added up
+block by block, and a partition gets back which of its cells count two or more. The
+estimate of a window is the least of its cells. Collisions can only raise it, so no
+repeated window is lost.
+
+The second pass looks up the windows of the documents in those cells and takes only the
+ones estimated repeated. They go to shards by their anchors (:mod:`lakemart.llm.anchors`)
+and are grouped there exactly (by a 64-bit hash of the anchor's words and another of all
 words). Each task keeps the earliest place of a window and settles all later ones
 itself, so that a passage in a third of all documents reaches its shard once per task.
 """
@@ -24,28 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm import anchors
+from lakemart.llm import anchors, sketches
 from lakemart.llm.anchors import RUN_TYPE, Units, dealt, gathered, runs_of
-from lakemart.llm.common import by_value, col, shuffle_partitions, tidy_after
+from lakemart.llm.common import by_value, col, fresh, shuffle_partitions, tidy_after
 
 by_value(__name__)
 
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 8
-SKETCH_ROWS = 2
-CELLS_PER_ENTRY = 4
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 BYTES_AT_ONCE = 1 << 20
 
-# Occurrences beyond which the windows of an anchor are dealt one by one. The list of
-# such anchors travels to all tasks: 8 bytes for each million anchors at most.
+# Occurrences beyond which the windows of an anchor are dealt one by one.
 CROWD = 1_000_000
 
-_WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
-
 _RUN = {"anchor": np.uint64, "key": np.int64, "id": np.int64, "start": np.int32, "count": np.int32}
-_WINDOW = ("anchor", "words", "key", "id", "start")
+_WINDOW = ("anchor", "words", "key", "id", "start", "state")
 
 
 def slices(data: bytes) -> Iterator[bytes]:
@@ -67,32 +63,17 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def estimated_repeats(hashes: np.ndarray, keys: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Entries whose count-min estimate is two or more; an entry can stand for several."""
-    weight = np.maximum(more, 1)
-    width = max(64, CELLS_PER_ENTRY * len(hashes))
-    estimate = np.full(len(hashes), np.iinfo(np.int64).max)
-    for row in range(SKETCH_ROWS):
-        salt = np.uint64((2 * row + 1) * int(_WINDOW_BASE) % (1 << 64))
-        cells = (anchors.mix(hashes ^ salt) % np.uint64(width)).astype(np.int64)
-        counts = np.bincount(cells, weights=weight, minlength=width).astype(np.int64)
-        estimate = np.minimum(estimate, counts[cells])
-    return estimate > 1
-
-
 def repeated_windows(
-    docs: DataFrame, spread: DataFrame, names: dict[str, str], text_col: str, kind: Units, crowd: int
+    spread: DataFrame, names: dict[str, str], text_col: str, kind: Units, crowd: int
 ) -> DataFrame:
     """Packed runs of windows whose words also start earlier.
 
     Earlier is a smaller id, or the same document and an earlier start; documents with
-    the same id and different texts are put in an order by their keys. ``spread`` is
-    ``docs`` dealt by key.
+    the same id and different texts are put in an order by their keys. ``spread`` holds
+    the documents dealt by key.
     """
-    shards = shuffle_partitions(docs.sparkSession)
-    places, hot = anchors.repeated_anchors(
-        docs, names["key"], text_col, kind, False, estimated_repeats, crowd
-    )
+    shards = shuffle_partitions(spread.sparkSession)
+    answers = sketches.answers(spread, names, text_col, kind, crowd)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         columns = dict(zip(_WINDOW, map(np.concatenate, zip(*held, strict=True)), strict=True))
@@ -102,25 +83,28 @@ def repeated_windows(
         shard = anchors.shard_of(known["anchor"], shards)
         yield from dealt(shard, True, known, [b""] * len(shard))
         open_ = {name: c[~later] for name, c in columns.items()}
-        runs, words = packed_runs(open_, np.isin(open_["anchor"], hot))
-        first = np.frombuffer(b"".join([w[:8] for w in words]), np.uint64)
-        crowded = np.isin(runs["anchor"], hot)
-        shard = anchors.shard_of(np.where(crowded, first, runs["anchor"]), shards)
-        yield from dealt(shard, False, runs, words)
+        # windows of an anchor of which nothing is known go both ways, and meet all others
+        for chosen, alone in ((open_["state"] != sketches.CROWD, False), (open_["state"] != sketches.CLEAR, True)):
+            runs, words = packed_runs({name: c[chosen] for name, c in open_.items()}, alone)
+            first = np.frombuffer(b"".join([w[:8] for w in words]), np.uint64)
+            yield from dealt(anchors.shard_of(first if alone else runs["anchor"], shards), False, runs, words)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        known: dict[int, sketches.Estimates] = {}
         for batch in batches:
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts, found = batch.column(2), batch.column(3)
+            keys, ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            parts = batch.column(4).to_numpy()
+            for i in np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                known[int(parts[i])] = sketches.Estimates(batch.column(3)[i].as_py(), shards)
             rows = ((i, word_hashes(t.as_py())) for i, t in enumerate(texts))
             for group in anchors.pieces(rows, kind.window):
                 w = anchors.windows(group, kind)
-                hit = anchors.candidate_windows(w, found)
+                words = sketches.window_hashes(w, kind)
+                hit, state = sketches.estimated(w, words, parts, known)
                 row = w.row[hit]
-                words = anchors.mix(anchors.rolled(w.values, kind.window, _WINDOW_BASE)[w.at[hit]])
-                held.append((w.hash[hit], words, keys[row], ids[row], w.start[hit].astype(np.int32)))
+                held.append((w.hash[hit], words[hit], keys[row], ids[row], w.start[hit].astype(np.int32), state))
                 size += len(row)
                 if size > anchors.HELD:
                     yield from flush(held)
@@ -139,24 +123,21 @@ def repeated_windows(
         yield from anchors.apart(found["key"], found, shards)
 
     kinds = anchors.packed_type([*_RUN, "content"])
-    sent = anchors.candidates(spread, names, text_col, places).mapInArrow(tidy_after(collect), kinds)
+    docs = sketches.with_answers(spread, names, text_col, answers)
+    sent = docs.mapInArrow(tidy_after(collect), kinds)
     return sent.repartitionById(shards, F.col("shard")).mapInArrow(tidy_after(settle), RUN_TYPE)
 
 
-def packed_runs(
-    columns: dict[str, np.ndarray], alone: np.ndarray
-) -> tuple[dict[str, np.ndarray], list[bytes]]:
+def packed_runs(columns: dict[str, np.ndarray], alone: bool) -> tuple[dict[str, np.ndarray], list[bytes]]:
     """Consecutive windows with one anchor as a run, and the hashes of its windows.
 
-    Windows marked ``alone`` are runs of their own.
+    With ``alone`` every window is a run of its own.
     """
     order = np.lexsort((columns["start"], columns["id"], columns["key"]))
     c = {name: x[order] for name, x in columns.items()}
-    alone = alone[order]
-    new = alone.copy()
-    if len(new):
-        new[0] = True
-        new[1:] |= alone[:-1] | (c["start"][1:] != c["start"][:-1] + 1)
+    new = np.ones(len(order), bool)
+    if not alone:
+        new[1:] = c["start"][1:] != c["start"][:-1] + 1
         for name in ("anchor", "key", "id"):
             new[1:] |= c[name][1:] != c[name][:-1]
     first = np.flatnonzero(new)
@@ -209,8 +190,9 @@ def remove_repeats(
         raise ValueError(f"a window has {ANCHOR_WORDS} words at least")
     kind = Units(word_hashes, window, ANCHOR_WORDS)
     wide, names = anchors.keyed(docs, id_col, text_col)
+    names |= {part: fresh(wide, part) for part in ("part", "found")}
     spread = wide.repartition(names["key"])
-    runs = repeated_windows(wide, spread, names, text_col, kind, crowd)
+    runs = repeated_windows(spread, names, text_col, kind, crowd)
     fields = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
     marks = anchors.settled_runs(runs)
     return anchors.removal(spread, names, text_col, marks, window, cut_words, fields, alias)

@@ -8,8 +8,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lakemart.llm import anchors, substrings, suffixes
+from lakemart.llm import anchors, sketches, substrings, suffixes
 
 NONE_FIRST = -(1 << 63)
 
@@ -127,6 +128,8 @@ def test_small_steps_give_the_same(docs_of, monkeypatch):
     rows = corpus()
     monkeypatch.setattr(anchors, "UNITS_AT_ONCE", 64)
     monkeypatch.setattr(anchors, "HELD", 50)
+    monkeypatch.setattr(sketches, "HELD", 70)
+    monkeypatch.setattr(sketches, "WINDOW_CELLS", 64)
     monkeypatch.setattr(suffixes, "STRETCHES_HELD", 7)
     monkeypatch.setattr(suffixes, "BYTES_SORTED", 200)
     monkeypatch.setattr(substrings, "BYTES_AT_ONCE", 100)
@@ -186,13 +189,72 @@ def test_suffix_order_equals_sorting(alphabet):
                 assert a[:n] == b[:n] and (n == 12 or a[n] != b[n])
 
 
-def test_count_min_never_underestimates():
-    rng = np.random.default_rng(2)
-    hashes = rng.integers(0, 300, 500).astype(np.uint64)
-    more = (rng.random(500) < 0.1).astype(np.uint32) * 2
-    hit = substrings.estimated_repeats(hashes, np.zeros(500, np.int64), more)
-    total = {h: int(np.maximum(more, 1)[hashes == h].sum()) for h in set(hashes)}
-    assert all(hit[i] for i, h in enumerate(hashes) if total[h] > 1)
+@pytest.mark.parametrize("cells", [4, 64, 1 << 16])
+def test_merged_sketches_never_underestimate(monkeypatch, cells):
+    """Whatever the width; and a wide sketch hardly overestimates."""
+    monkeypatch.setattr(sketches, "WINDOW_CELLS", cells)
+    monkeypatch.setattr(sketches, "ANCHOR_CELLS", cells)
+    rng, shards = np.random.default_rng(2), 3
+    parts = [anchors.mix(rng.integers(1, 3000, 500).astype(np.uint64)) for _ in range(4)]
+    rows = (*sketches.WINDOW_ROWS, sketches.ANCHOR_ROW)
+    sent = [(p, row, *x) for p, hashes in enumerate(parts) for row in rows for x in sketches.partial(hashes, row, shards)]
+    total = {
+        (row, shard): sketches.merged(row, [x[3:] for x in sent if x[1:3] == (row, shard)])
+        for row, shard in {x[1:3] for x in sent}
+    }
+    every = np.concatenate(parts)
+    for p, hashes in enumerate(parts):
+        answer = []
+        for _, row, shard, data, _ in (x for x in sent if x[0] == p):
+            at = sketches.unpacked(data)
+            count = total[row, shard][at]
+            answer.append({"row": row, "shard": shard, "cells": sketches.packed(at[count > 1])})
+            if row == sketches.ANCHOR_ROW:
+                answer.append({"row": sketches.CROWDED, "shard": shard, "cells": sketches.packed(at[count > 3])})
+        known = sketches.Estimates(answer, shards)
+        occurs = np.array([(every == h).sum() for h in hashes])
+        hit, crowded = known.repeated(hashes, hashes), known.crowded(hashes)
+        assert hit[occurs > 1].all() and crowded[occurs > 3].all()
+        if cells > 1 << 10:
+            assert hit[occurs == 1].sum() < 10 and crowded[occurs <= 3].mean() < 0.1
+
+
+def test_counts_of_a_cell_stop_at_the_largest_number():
+    hashes = np.full(1000, 7, np.uint64)
+    for row in (0, sketches.ANCHOR_ROW):
+        ((_, cells, counts),) = sketches.partial(hashes, row, 1)
+        assert sketches.merged(row, [(cells, counts)] * 3)[sketches.unpacked(cells)[0]] == (255 if row == 0 else 3000)
+
+
+def test_only_windows_estimated_repeated_are_grouped(docs_of, monkeypatch):
+    """Nothing of documents that share nothing is held for repeated."""
+    docs = docs_of([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(30)])
+    wide, names = anchors.keyed(docs, "doc_id", "text")
+    names |= {"part": "part", "found": "found"}
+    kind = anchors.Units(substrings.word_hashes, 20, 8)
+    spread = wide.repartition(names["key"])
+    found = sketches.answers(spread, names, "text", kind, 1000)
+    assert [r["found"] for r in found.collect() if r["found"]] == []
+    met = sketches.with_answers(spread, names, "text", found).collect()
+    assert len(met) == 30 and {r["part"] for r in met} == {r["part"] for r in met if r["found"] is not None}
+
+
+@pytest.mark.parametrize("crowd", [2, substrings.CROWD])
+def test_documents_without_an_answer_lose_nothing(docs_of, monkeypatch, crowd):
+    """As after the split of a skewed partition: some parts have an answer, others don't."""
+    answers = sketches.answers
+    monkeypatch.setattr(sketches, "answers", lambda *a: answers(*a).where(F.col(a[1]["key"]) % 2 == 0))
+    rows = corpus()
+    assert of_words(substrings.remove_repeats(docs_of(rows), crowd=crowd)) == brute_words(rows)
+
+
+def test_documents_are_dealt_once(docs_of):
+    """The sketches, the second pass and the removal share one shuffle of the documents."""
+    found = substrings.remove_repeats(docs_of(corpus()))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("ReusedExchange") >= 2
 
 
 def test_rolled_and_sliding_minimum():
