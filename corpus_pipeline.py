@@ -39,7 +39,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that also start earlier go; documents stay, whatever is left of them."""
     small_batches(spark)
-    cut = substrings.remove_repeats(docs, alias="repeats" if "repeats" not in docs.columns else "_repeats")
+    # without the count that is made anew: all steps then share one shuffle of the documents
+    cut = substrings.remove_repeats(
+        docs.drop("n_chars"), alias="repeats" if "repeats" not in docs.columns else "_repeats"
+    )
     name = cut.columns[-1]
     return _with_text(cut.withColumn("text", F.col(f"{name}.kept")), docs)
 
