@@ -66,3 +66,13 @@ def test_run_returns_the_ids_of_the_cleaned_texts(spark, small_dir):
     for r in corpus_pipeline.best_fit_packing(spark, docs, small_dir).orderBy("doc_id", "piece").collect():
         found[r["doc_id"]] += bytes(r["ids"])
     assert wanted and found == wanted
+
+
+def test_substring_stage_deals_documents_once(spark, small_dir):
+    """Its two passes and the removal share one shuffle of the documents."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    cut = corpus_pipeline.substring_dedup(spark, docs, small_dir)
+    assert cut.columns == docs.columns
+    cut.collect()
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("== Initial Plan ==")].count("ReusedExchange") >= 2
