@@ -15,18 +15,22 @@ def replace_by_environment(text: Column, environment: Column, rules: Sequence[Ru
 
     Each rule makes one pass and does not look at its own output again; a later
     rule sees what earlier ones wrote. Rows of an environment a rule does not
-    name keep their text.
+    name keep their text: a row is searched for what its own environment
+    replaces and nothing else.
     """
+    replaced: dict[str, Column] = {}
     for find, values in rules:
         if not find:
             raise ValueError("a rule needs text to find")
-        replacement = F.lit(find)
         for name, value in values.items():
             if value is None:
                 raise ValueError(f"no text to put in place of {find!r} in {name!r}")
-            replacement = F.when(environment == F.lit(name), F.lit(value)).otherwise(replacement)
-        text = F.replace(text, F.lit(find), replacement)
-    return text
+            if value != find:
+                replaced[name] = F.replace(replaced.get(name, text), F.lit(find), F.lit(value))
+    result = text
+    for name, own in replaced.items():
+        result = F.when(environment == F.lit(name), own).otherwise(result)
+    return result
 
 
 def close_pairs(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:

@@ -117,6 +117,25 @@ def test_find_replace_is_literal_ordered_and_per_environment(spark):
         ops.find_replace(docs, [("", {"dev": "x"})], "env")
 
 
+def test_find_replace_equals_the_rules_one_after_another(spark):
+    """Rules that touch, contain and undo each other, over all environments."""
+    rng = random.Random(3)
+    word = lambda low, high: "".join(rng.choice("ab.$") for _ in range(rng.randint(low, high)))
+    for _ in range(4):
+        rules = [(word(1, 3), {e: word(0, 3) for e in "xyz" if rng.random() < 0.7}) for _ in range(6)]
+        texts = [(i, rng.choice(["x", "y", "z", "other", "", None]), word(0, 30)) for i in range(200)]
+        texts += [(len(texts), "x", None), (len(texts) + 1, "y", "")]
+        expected = []
+        for i, env, text in texts:
+            for find, values in rules:
+                if text is not None and env in values:
+                    text = text.replace(find, values[env])
+            expected.append((i, text))
+        docs = spark.createDataFrame(texts, "doc_id int, env string, body string")
+        found = ops.find_replace(docs, rules, "env").select("doc_id", "body")
+        assert sorted(tuple(r) for r in found.collect()) == expected
+
+
 def apply_pairs(value, pairs):
     for old, new in pairs:
         if old and value == old:
