@@ -3,8 +3,8 @@
 Edges are first contracted inside each task to a star per local component, so a hot
 node sends at most one edge per task and neighbour. Rounds of large-star and small-star
 steps follow: every node links its neighbours to the smallest node it knows of. Both
-steps are a minimum per node (summed up before the shuffle) and a join, so no
-neighbourhood is gathered anywhere. Each round is written to the shared checkpoint
+steps are a minimum per node (summed up before the shuffle) and a join whose hot nodes
+adaptive execution can split, so no neighbourhood is gathered anywhere. Each round is written to the shared checkpoint
 folder; the driver only sees whether the round changed anything.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemart.llm.common import by_value, tidy_after, written
@@ -69,6 +69,32 @@ def contracted(edges: DataFrame) -> DataFrame:
     return proper.mapInArrow(tidy_after(contract), "u bigint, v bigint").where("u is not null")
 
 
+def per_node(edges: DataFrame, *values: Column) -> DataFrame:
+    """Aggregates per node ``u``, grouped by a hash next to it.
+
+    So the result is not partitioned by the node yet and is shuffled (one row per node)
+    for the join that follows: only then can adaptive execution split a hot node's edges.
+    """
+    return edges.groupBy("u", F.xxhash64("u", F.lit(0)).alias("spread")).agg(*values).drop("spread")
+
+
+def large_star(edges: DataFrame) -> DataFrame:
+    """Of a node's neighbours, the larger ones go to the smallest (or to the node itself)."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = per_node(both, F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return large.where("u != v").distinct()
+
+
+def small_star(large: DataFrame) -> DataFrame:
+    """Of a node's neighbours, the smaller ones and the node go to the smallest."""
+    low = per_node(large, F.min("v").alias("m"), F.count("*").alias("n"))
+    up = large.join(low.where("n > 1"), "u").where("v != m")
+    return low.select("u", F.col("m").alias("v")).union(
+        up.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    )
+
+
 def connected_components(
     edges: DataFrame, label: str = "components", rounds: int = 60, stars_already: bool = False
 ) -> DataFrame:
@@ -82,17 +108,7 @@ def connected_components(
     edges = edges.where("u != v") if stars_already else contracted(edges)
     now = written(edges, label)
     for _ in range(rounds):
-        # large-star: of the neighbours, the larger ones go to the smallest
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        # small-star: of the neighbours, the smaller ones and the node go to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        up = large.join(low.where("n > 1"), "u").where("v != m")
-        small = low.select("u", F.col("m").alias("v")).union(
-            up.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
+        small = small_star(large_star(now))
         after = written(small.distinct(), label)
         # done when every node hangs on a root: no node is both below and above
         open_ = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi")

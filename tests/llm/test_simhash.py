@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from lakemart.llm import simhash
-from lakemart.llm.components import connected_components, local_roots
+from lakemart.llm.components import connected_components, large_star, local_roots
 
 
 def brute_fingerprint(text):
@@ -153,3 +154,29 @@ def test_clashing_columns(spark):
     assert kept.columns == docs.columns
     assert [r["doc_id"] for r in kept.collect()] == [3]
     assert simhash.near_duplicates(docs).count() == 3
+
+
+def test_hot_nodes_of_components_are_split(spark, tmp_path):
+    """A third of all nodes hang on one: no task gets all of its edges."""
+    n = 600_000
+    edges = spark.range(1, n).select(F.col("id").alias("u"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") - 1).alias("v"))
+    edges.repartition(16).write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+    }
+    old = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        step = large_star(edges)
+        counted = step.agg(F.count("*"), F.max("v"))
+        assert counted.collect()[0][0] > 0
+        assert "skew=true" in counted._jdf.queryExecution().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
