@@ -9,8 +9,10 @@ and beams are widened until the graph finds enough of those answers. A query who
 beam is near enough may have more such neighbours, so its beam is widened until it has
 an end, up to comparing with everything. Pairs found are verified in double precision.
 
-A task works on many queries at a time; it sends on numbers of links, and of the pairs
-only what connects them (a star per component).
+A task works on many queries at a time. Of the pairs it sends on what connects them (a
+star per component), and to count links the pairs of searches whose beam had an end, at
+most a beam's width each: either side may have found a pair, and it counts for both. A
+widened search sends its number of links only, so crowds don't make all their pairs.
 """
 
 from __future__ import annotations
@@ -246,7 +248,7 @@ class Shard:
         some = true.any(axis=1)
         q, true = q[some], true[some]
         while len(q) and self.beam < len(self.x):
-            i, j = self._found(q, self.beam)
+            i, j, _ = self._found(q, self.beam)
             got = np.zeros(true.shape, bool)
             got[i, j] = True
             if ((got & true).sum(axis=1) / true.sum(axis=1)).mean() >= RECALL:
@@ -261,10 +263,10 @@ class Shard:
         i = np.concatenate([part[0] + n * rows for n, part in enumerate(parts)])
         return i, np.concatenate([part[1] for part in parts])
 
-    def _found(self, q: np.ndarray, beam: int, widened: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) near enough, verified in double precision."""
+    def _found(self, q: np.ndarray, beam: int, widened: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, node) near enough, verified in double precision, and which queries' beams had an end."""
         if beam >= len(self.x) or widened and beam * COMPARED_PER_PLACE >= len(self.x):
-            return self._all(q)
+            return *self._all(q), np.zeros(len(q), bool)
         nodes, sims = self.graph.near(q.astype(np.float32), beam)
         hit = (sims >= self.near - SLACK) & (nodes >= 0)
         # a beam without an end may have left some out
@@ -275,18 +277,17 @@ class Shard:
         i, j = i[ok], j[ok]
         if full.any():
             more = np.flatnonzero(full)
-            a, b = self._found(q[more], 4 * beam, True)
+            a, b, _ = self._found(q[more], 4 * beam, True)
             i, j = np.concatenate([i, more[a]]), np.concatenate([j, b])
-        return i, j
+        return i, j, ~full
 
-    def links_of(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(offset, queries, nodes) of pairs near enough, some queries at a time."""
+    def links_of(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(offset, queries, nodes) of pairs near enough, some queries at a time, and whose beams had an end."""
         for at in range(0, len(vectors), QUERIED_AT_ONCE):
             q = unit(vectors[at : at + QUERIED_AT_ONCE])
             # queries come from other shards, too: some of each lot are audited as they are
             self.audit(q[:: max(1, len(q) // AUDITED_OF_LOT)])
-            i, j = self._found(q, self.beam)
-            yield at, i, j
+            yield at, *self._found(q, self.beam)
 
 
 def comparable(vector: Column, label: Column) -> Column:
@@ -295,24 +296,38 @@ def comparable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+FOUND = ("node", "other", "links", "back", "shard", "own")
+
+
 def _links(work: DataFrame, near: float) -> DataFrame:
-    """(node, links, other): numbers of links per node, and pairs that connect them."""
+    """What the searches found, in rows of three kinds, with columns :data:`FOUND`.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(node, links, other) -> pa.RecordBatch:
-            columns = [pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["node", "links", "other"])
+    A pair found by a search with an end: ``other`` is in ``shard`` and has ``links``
+    copies, ``node`` is in ``own`` and has ``back`` copies. The number of ``links`` that a
+    widened search found in ``shard``, without other. Pairs that connect, without links.
+    """
 
-        def answer(shard, nodes, copies, q_nodes, q_vectors) -> Iterator[pa.RecordBatch]:
-            for at, i, j in shard.links_of(q_vectors):
-                here = q_nodes[at : at + QUERIED_AT_ONCE]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(node, **values) -> pa.RecordBatch:
+            columns = {"node": node, **values}
+            arrays = [pa.array(columns.get(c, [None] * len(node)), pa.int64()) for c in FOUND]
+            return pa.RecordBatch.from_arrays(arrays, names=list(FOUND))
+
+        def answer(place, shard, nodes, copies, q_nodes, q_copies, q_own, q_vectors) -> Iterator[pa.RecordBatch]:
+            for at, i, j, ended in shard.links_of(q_vectors):
+                lot = slice(at, at + QUERIED_AT_ONCE)
+                here, here_copies, here_own = q_nodes[lot], q_copies[lot], q_own[lot]
                 other = here[i] != nodes[j]
                 i, j = i[other], j[other]
-                links = np.bincount(i, copies[j].astype(float), len(here)).astype(np.int64)
+                a, b = i[ended[i]], j[ended[i]]
+                pairs = {"other": nodes[b], "links": copies[b], "back": here_copies[a], "own": here_own[a]}
+                yield out(here[a], **pairs, shard=np.full(len(a), place))
+                a, b = i[~ended[i]], j[~ended[i]]
+                links = np.bincount(a, copies[b].astype(float), len(here)).astype(np.int64)
                 some = links > 0
-                yield out(here[some], links[some], [None] * int(some.sum()))
+                yield out(here[some], links=links[some], shard=np.full(int(some.sum()), place))
                 u, v = stars(here[i], nodes[j])
-                yield out(u, [None] * len(u), v)
+                yield out(u, other=v)
 
         group, shard = None, None
         held: list[tuple[np.ndarray, ...]] = []
@@ -324,8 +339,8 @@ def _links(work: DataFrame, near: float) -> DataFrame:
                     continue
                 *own, is_query = keys[begin]
                 part = batch.slice(begin, end - begin)
-                node, copies = part.column(5).to_numpy(), part.column(6).to_numpy()
-                vectors = part.column(7).flatten().to_numpy().reshape(end - begin, -1)
+                node, copies, home = (part.column(c).to_numpy() for c in (5, 6, 7))
+                vectors = part.column(8).flatten().to_numpy().reshape(end - begin, -1)
                 begin = end
                 if own != group:
                     group, shard, held = own, None, []
@@ -336,9 +351,28 @@ def _links(work: DataFrame, near: float) -> DataFrame:
                     nodes, counts, x = map(np.concatenate, zip(*held, strict=True))
                     shard, held = Shard(x, near), []
                 if shard is not None:
-                    yield from answer(shard, nodes, counts, node, vectors)
+                    yield from answer(own[2], shard, nodes, counts, node, copies, home, vectors)
+
+    return work.mapInArrow(tidy_after(run), ", ".join(f"{c} bigint" for c in FOUND))
 
-    return work.mapInArrow(tidy_after(run), "node bigint, links bigint, other bigint")
+
+def _link_counts(found: DataFrame) -> DataFrame:
+    """(node, links): a pair counts once for each of its nodes, whichever found it.
+
+    What a widened search counted in a shard holds for that shard; pairs that nodes of
+    the shard found would count twice there and are left out.
+    """
+    counted = found.where("other is null").select("node", "shard", "other", "links")
+    pairs = found.where("other is not null and links is not null")
+    there = pairs.select("node", "shard", "other", "links")
+    back = pairs.select(
+        F.col("other").alias("node"), F.col("own").alias("shard"), F.col("node").alias("other"), F.col("back").alias("links")
+    )
+    once = counted.union(there).union(back).groupBy("node", "shard", "other").agg(F.max("links").alias("links"))
+    of_shard = once.groupBy("node", "shard").agg(
+        F.max(F.when(F.col("other").isNull(), F.col("links"))).alias("counted"), F.sum("links").alias("links")
+    )
+    return of_shard.groupBy("node").agg(F.sum(F.coalesce("counted", "links")).alias("links"))
 
 
 def near_duplicates(
@@ -388,7 +422,7 @@ def near_duplicates(
     own_shard = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
     own_block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    last = ["node", "copies", "vector"]
+    last = ["node", "copies", own_shard.alias("own"), "vector"]
     index = sized.select(
         "label", "size", own_shard.alias("shard"), every("blocks").alias("block"), F.lit(0).alias("query"), *last
     )
@@ -398,8 +432,8 @@ def near_duplicates(
     group = ["label", "size", "shard", "block"]
     work = index.union(queries).repartitionByRange(shuffle_partitions(spark), *group)
     found = written(_links(work.sortWithinPartitions(*group, "query"), near), "vector-links")
-    links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    edges = found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    links = _link_counts(found)
+    edges = found.where("other is not null and links is null").select(F.col("node").alias("u"), F.col("other").alias("v"))
     roots = connected_components(edges, "vector-components")
     placed = distinct.select(*same, "node", "first", "copies").join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")

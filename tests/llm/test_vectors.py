@@ -108,7 +108,7 @@ def test_graph_recall(crowd):
     shard = vectors.Shard(x)
     u = vectors.unit(x)
     true = u @ u.T >= 0.98
-    got = sum(len(i) for _, i, _ in shard.links_of(x))
+    got = sum(len(i) for _, i, _, _ in shard.links_of(x))
     assert got >= 0.98 * true.sum()
 
 
@@ -144,7 +144,7 @@ def test_audit_is_not_satisfied_by_what_a_node_says_of_itself(monkeypatch):
     x = rare_pairs(2000, 60)
     shard = vectors.Shard(x)
     assert shard.beam >= 2000
-    assert sum((i + at != j).sum() for at, i, j in shard.links_of(x)) == 120
+    assert sum((i + at != j).sum() for at, i, j, _ in shard.links_of(x)) == 120
 
 
 def test_audit_covers_queries_of_other_shards(monkeypatch):
@@ -160,7 +160,7 @@ def test_audit_covers_queries_of_other_shards(monkeypatch):
     monkeypatch.setattr(vectors.Graph, "near", by_heart)
     shard = vectors.Shard(inside)
     assert shard.beam < 800  # within the shard nothing has a partner, so nothing is missed
-    assert sum(len(i) for _, i, _ in shard.links_of(outside)) >= 400 * 0.99
+    assert sum(len(i) for _, i, _, _ in shard.links_of(outside)) >= 400 * 0.99
     assert shard.beam >= 800
 
 
@@ -170,3 +170,35 @@ def test_empty_table_and_clashing_columns(spark):
     rows = [(1, [1.0, 2.0], 3, 0, 0, 0), (2, [1.0, 2.0], 3, 0, 0, 0)]
     found = vectors.near_duplicates(spark.createDataFrame(rows, schema)).collect()
     assert sorted(map(tuple, found)) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_pairs_count_for_both_sides(spark):
+    """Found by either side or both; beside a widened search's count of a shard nothing is added."""
+    rows = [
+        # 1 (shard 0, 2 copies) and 2 (shard 1, 3 copies): found from 1 only
+        (1, 2, 3, 2, 1, 0),
+        # 3 and 4: found from both
+        (3, 4, 1, 1, 0, 0), (4, 3, 1, 1, 0, 0),
+        # 5 (shard 1) found 6 (shard 0); 6 counted 7 links in shard 1, that one among them, and found 8 in shard 0
+        (5, 6, 1, 1, 0, 1), (6, None, 7, None, 1, None), (6, 8, 2, 1, 0, 0),
+        # a pair that connects
+        (9, 1, None, None, None, None),
+    ]
+    found = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in vectors.FOUND))
+    links = {r["node"]: r["links"] for r in vectors._link_counts(found).collect()}
+    assert links == {1: 3, 2: 2, 3: 1, 4: 1, 5: 1, 6: 9, 8: 1}
+
+
+@pytest.mark.parametrize("shard_rows", [100_000, 150])
+def test_links_are_symmetric(spark, shard_rows):
+    """Links are symmetric, within a shard and between shards."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 16))
+    x[:250] = x[250:500] + rng.normal(size=(250, 16)) * 0.02
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    found = {r["vec_id"]: r for r in vectors.near_duplicates(frame, shard_rows=shard_rows).collect()}
+    u = vectors.unit(x)
+    true = (u @ u.T >= 0.98) & ~np.eye(600, dtype=bool)
+    for a, b in zip(*np.nonzero(true), strict=True):
+        assert (found[int(a)]["n_links"] > 0) == (found[int(b)]["n_links"] > 0)
+    assert sum(r["n_links"] for r in found.values()) >= 0.99 * true.sum()
