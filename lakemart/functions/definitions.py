@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Nesting the JSON parser accepts; deeper text does not parse at all.
@@ -30,6 +30,15 @@ def once(text: Column, test: Callable[[Column], Column]) -> Column:
     return F.exists(F.array(text), test)
 
 
+def computed(docs: DataFrame, body: str) -> DataFrame:
+    """The documents with their text computed once, for all filters and columns that look at it.
+
+    The optimizer moves no filter below a generator, also none to the other side of a
+    shuffle: where several branches read the same shuffled rows, they share one shuffle.
+    """
+    return docs.withColumn(body, F.explode(F.array(f"`{body}`")))
+
+
 def has_keys(body: Column, *groups: Sequence[str]) -> Column:
     """A cheap test that never misses a document with all keys of one of the groups.
 

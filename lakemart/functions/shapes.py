@@ -8,8 +8,9 @@ read by :func:`from_json`, which is what makes editing it as columns safe.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,10 +69,32 @@ def _pattern(kind: T.DataType) -> str:
     raise ValueError(f"a shape has no {kind.simpleString()}")
 
 
-def spaced(text: Column) -> Column:
-    """Compact JSON with a blank behind each comma and colon outside of texts."""
+# A quote between these may end a text or begin one: an end of text may look like an opening, or the reverse.
+UNCLEAR = [f'{before}"{after}' for before in ",{" for after in ",:}]"] + ['[":', ':":']
+
+
+def spaced(text: Column, shape: T.DataType) -> Column:
+    """Compact JSON of a shape with a blank behind each comma and colon outside of texts.
+
+    Where all quotes are clear, a name ends at ``":``, the next text or name begins at
+    ``,"`` and the next object at ``},{"``; nothing inside of texts looks like that. Other
+    texts are taken apart by a pattern, which takes several times as long.
+    """
     unit = r'("(?:[^"\\]++|\\.)*+"[\]}]*+|[^",:]++)([,:]|\z)'
-    return F.rtrim(F.regexp_replace(text, F.lit(unit), F.lit("$1$2 ")))
+    apart = F.rtrim(F.regexp_replace(text, F.lit(unit), F.lit("$1$2 ")))
+    if _has_other_commas(shape):
+        return apart
+    signs = ["\\", "},{}", "],[", *UNCLEAR]
+    unclear = reduce(or_, [text.contains(s) for s in signs])
+    clear = reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), [('":', '": '), (',"', ', "'), ('},{"', '}, {"')], text)
+    return F.when(unclear, apart).otherwise(clear)
+
+
+def _has_other_commas(kind: T.DataType) -> bool:
+    """Whether a comma may stand in front of something else than a text, a name, an object or a list."""
+    if isinstance(kind, T.ArrayType):
+        return not isinstance(kind.elementType, (T.StringType, T.StructType, T.ArrayType)) or _has_other_commas(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_has_other_commas(f.dataType) for f in kind.fields)
 
 
 def _field(kind: T.DataType, name: str) -> T.DataType | None:
@@ -83,10 +106,17 @@ def _put(node: Column, name: str, value: Column) -> Column:
     return node.withField(f"`{name}`", value)
 
 
+def _bound(value: Column, use: Edit) -> Column:
+    """``use(value)`` with the value computed once, however often it is looked at."""
+    return F.transform(F.array(value), use)[0]
+
+
 class PipelineEdit:
     """The edits of :func:`lakemart.functions.rewriting.rewrite_pipeline` on typed columns.
 
-    ``known`` maps ``type:id`` of an item to a struct (new_id, endpoint).
+    ``known`` maps the id of an item to a struct of its edits by type, each (new_id, endpoint).
+    Spark interprets what is inside of a list, where joining texts is slow: items are looked
+    up by their ids as they are, and only those without a counterpart are spelled out.
     """
 
     def __init__(
@@ -100,27 +130,42 @@ class PipelineEdit:
         edit = self._edit(self.shape)
         return tree if edit is None else edit(tree)
 
-    def references(self, tree: Column) -> Column:
-        """``type:id`` of every item reference to be rewritten."""
+    def missing(self, tree: Column) -> Column:
+        """``type:id`` of every item reference to be rewritten that has no counterpart."""
         collect = self._collect(self.shape)
-        nothing = F.array().cast("array<string>")
-        return nothing if collect is None else F.filter(collect(tree), lambda r: r.isNotNull())
+        if collect is None:
+            return F.array().cast("array<string>")
+        # a list of references is null in nothing but the references themselves
+        unknown = F.filter(collect(tree), lambda r: r.isNotNull() & self._found(r["kind"], r["id"], LINKED_TYPES.values()).isNull())
+        return F.transform(unknown, lambda r: F.concat(r["kind"], F.lit(":"), r["id"]))
 
     def _kind(self, tag: Column) -> Column:
         named = [(tag == F.lit(t), F.lit(kind)) for t, kind in LINKED_TYPES.items() if kind in self.types]
         return reduce(lambda kind, case: F.when(case[0], case[1]).otherwise(kind), named, F.lit(None).cast("string"))
 
+    def _outside(self, holder: Column) -> Column:
+        return ~holder[WORKSPACE_ID].eqNullSafe(self.workspace)
+
+    def _found(self, kind: Column, id_: Column, kinds: Iterable[str] = ()) -> Column:
+        """The edit of an item of one of the kinds, of a notebook otherwise."""
+        named = [(kind == F.lit(k), self.known[id_][k]) for k in kinds]
+        return reduce(lambda found, case: F.when(case[0], case[1]).otherwise(found), named, self.known[id_]["Notebook"])
+
     def _reference(self, holder: Column, kind: Column, id_field: str) -> Column:
-        outside = ~holder[WORKSPACE_ID].eqNullSafe(self.workspace)
-        return F.when(outside, F.concat(kind, F.lit(":"), holder[id_field]))
+        reference = F.struct(kind.alias("kind"), holder[id_field].alias("id"))
+        return F.when(self._outside(holder) & kind.isNotNull() & holder[id_field].isNotNull(), reference)
 
     def _moved(self, holder: Column, kind: Column, id_field: str) -> Column:
-        found = self.known[self._reference(holder, kind, id_field)]
-        new = _put(_put(holder, id_field, found["new_id"]), WORKSPACE_ID, self.workspace)
-        if id_field == ARTIFACT_ID:
-            endpoint = F.when(kind == "Warehouse", found["endpoint"])
-            new = _put(new, ENDPOINT, F.coalesce(endpoint, holder[ENDPOINT]))
-        return F.when(found.isNotNull(), new).otherwise(holder)
+        def moved(found: Column) -> Column:
+            new = _put(_put(holder, id_field, found["new_id"]), WORKSPACE_ID, self.workspace)
+            if id_field == ARTIFACT_ID:
+                endpoint = F.when(kind == "Warehouse", found["endpoint"])
+                new = _put(new, ENDPOINT, F.coalesce(endpoint, holder[ENDPOINT]))
+            return F.when(found.isNotNull(), new).otherwise(holder)
+
+        kinds = LINKED_TYPES.values() if id_field == ARTIFACT_ID else ()
+        found = F.when(self._outside(holder) & kind.isNotNull(), self._found(kind, holder[id_field], kinds))
+        return _bound(found, moved)
 
     def _holder(self, kind: T.DataType | None, id_field: str, *others: str) -> bool:
         """Whether a place can hold an item's id; if so, it must have the other fields, too."""
@@ -196,7 +241,7 @@ class PipelineEdit:
             parts.extend(self._collect_member(f.name, f.dataType))
         if not parts:
             return None
-        nothing = F.array().cast("array<string>")
+        nothing = F.array().cast("array<struct<kind:string,id:string>>")
         return lambda node: F.concat(*[F.coalesce(part(node), nothing) for part in parts])
 
     def _collect_member(self, name: str, kind: T.DataType) -> list[Edit]:
@@ -205,12 +250,10 @@ class PipelineEdit:
             found.append(lambda node: inner(node[name]))
         if self._is_linked(name, kind):
 
-            def linked(node: Column) -> Column:
-                properties = node[name]["properties"]
-                holder = properties["typeProperties"]
-                return F.array(self._reference(holder, self._kind(properties["type"]), ARTIFACT_ID))
+            def linked(properties: Column) -> Column:
+                return self._reference(properties["typeProperties"], self._kind(properties["type"]), ARTIFACT_ID)
 
-            found.append(linked)
+            found.append(lambda node: F.transform(F.array(node[name]["properties"]), linked))
         if self._is_activities(name, kind):
 
             def activity(node: Column) -> Column:

@@ -6,7 +6,7 @@ the JSON text (``body``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemart.functions.arrays import any_differs, set_ids
-from lakemart.functions.definitions import find_nodes, has_keys, may_contain, once, refusal
+from lakemart.functions.definitions import computed, find_nodes, has_keys, may_contain, refusal
 from lakemart.functions.rewriting import (
     ARTIFACT_ID,
     CONNECTION_KEYS,
@@ -279,34 +279,44 @@ def rewrite_pipelines(
     swaps = close_pairs(pairs)
     edits = _item_edits(source_items, target_items, types)
     groups = (*ITEM_KEYS, *CONNECTION_KEYS) if swaps else ITEM_KEYS
-    may_change = F.coalesce(may_contain(_col(body), *groups), F.lit(False))
-    one, two, own, tree, new, edited = helpers(["digest", "digest_too", "own", "tree", "new", "edited"], docs)
+    docs = computed(docs, body)
+    may_change = F.coalesce(has_keys(_col(body), *groups), F.lit(False))
+    one, two, own, tree, new, text, edited = helpers(
+        ["digest", "digest_too", "own", "tree", "new", "text", "edited"], docs
+    )
 
     @F.arrow_udf(EDITED)
     def rewrite(bodies: pa.Array, known: pa.Array) -> pa.Array:
         rows = []
-        for text, entries in zip(bodies.to_pylist(), known.to_pylist(), strict=True):
+        for document, entries in zip(bodies.to_pylist(), known.to_pylist(), strict=True):
             mine: Edits = {
-                (e["type"], e["old_id"]): (e["new_id"], e["endpoint"]) for e in entries or []
+                (kind, e["old_id"]): (new["new_id"], new["endpoint"])
+                for e in entries or []
+                for kind, new in e["found"].items()
+                if new is not None
             }
             edit = lambda tree: rewrite_pipeline(tree, workspace_id, wanted, mine, swaps)
-            rows.append(edit_text(text, edit))
+            rows.append(edit_text(document, edit))
         return edited_array(rows)
 
-    def digested(test: Callable[[Column], Column]) -> DataFrame:
+    def digested(test: Column) -> DataFrame:
         digests = {one: F.xxhash64(_col(body)), two: F.xxhash64(F.lit(1), _col(body))}
-        return docs.where(once(_col(body), test)).withColumns(digests)
+        return docs.where(test).withColumns(digests)
 
-    readable = digested(lambda b: has_keys(b, *groups))
+    readable = digested(may_change)
     uses = readable.select(
         F.col(one).alias("one"), F.col(two).alias("two"), F.explode(item_ids(_col(body))).alias("id")
     )
-    # grouped by a hash beside the digest, so that the join below has an exchange on both sides
+    # one row per id for all its types; grouped by a hash beside the key here and below, so
+    # that both joins have an exchange on both sides
+    by_type = [F.max(F.when(F.col("type") == t, F.struct("new_id", "endpoint"))).alias(t) for t in PIPELINE_TYPES]
+    by_id = edits.groupBy(F.xxhash64("old_id", F.lit(1)).alias("spread"), "old_id").agg(*by_type)
+    by_id = by_id.select("old_id", F.struct(*PIPELINE_TYPES).alias("found"))
     known = (
         uses.distinct()
-        .join(edits, F.col("id") == F.col("old_id"))
+        .join(by_id, F.col("id") == F.col("old_id"))
         .groupBy(F.xxhash64("one", "two", F.lit(2)).alias("spread"), "one", "two")
-        .agg(F.collect_list(F.struct("type", "old_id", "new_id", "endpoint")).alias("own"))
+        .agg(F.collect_list(F.struct("old_id", "found")).alias("own"))
         .select(F.col("one").alias(one), F.col("two").alias(two), F.col("own").alias(own))
     )
 
@@ -320,26 +330,23 @@ def rewrite_pipelines(
 
     kind = as_shape(shape)
     pattern = shape_pattern(kind)
-    joined = digested(lambda b: has_keys(b, *groups) & b.rlike(pattern)).join(known, [one, two], "left")
-    entries = F.transform(
-        F.coalesce(F.col(own), F.array().cast("array<struct<type:string,old_id:string,new_id:string,endpoint:string>>")),
-        lambda e: F.struct(F.concat(e["type"], F.lit(":"), e["old_id"]), F.struct(e["new_id"], e["endpoint"])),
-    )
+    joined = digested(may_change & _col(body).rlike(pattern)).join(known, [one, two], "left")
+    nothing = F.array().cast(known.schema[own].dataType)
     typed = joined.select(
         *[_col(c) for c in docs.columns],
-        F.map_from_entries(entries).alias(own),
+        F.map_from_entries(F.coalesce(F.col(own), nothing)).alias(own),
         F.from_json(_col(body), kind).alias(tree),
     )
     edit = PipelineEdit(kind, workspace_id, types, F.col(own), swaps)
     typed = typed.withColumn(new, edit.apply(F.col(tree)))
-    missing = F.filter(edit.references(F.col(tree)), lambda r: F.col(own)[r].isNull())
+    typed = typed.withColumn(text, F.when(~F.col(new).eqNullSafe(F.col(tree)), F.to_json(new)))
     result = F.struct(
-        F.when(~F.col(new).eqNullSafe(F.col(tree)), spaced(F.to_json(new))).alias("body"),
-        F.sort_array(F.array_distinct(missing)).alias("unresolved"),
+        spaced(F.col(text), kind).alias("body"),
+        F.sort_array(F.array_distinct(edit.missing(F.col(tree)))).alias("unresolved"),
         F.lit(None).cast("string").alias("error"),
     )
     in_jvm = _finished(typed.withColumn(edited, result), docs.columns, body, edited)
-    rest = digested(lambda b: has_keys(b, *groups) & ~b.rlike(pattern))
+    rest = digested(may_change & ~_col(body).rlike(pattern))
     return unchanged.unionByName(in_jvm).unionByName(in_python(rest))
 
 

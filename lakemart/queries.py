@@ -692,30 +692,16 @@ def pipeline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", "DataWarehouse")
         .otherwise("Blob")
     )
-    sink = F.struct(
-        _text("item-", F.col("o_custkey")).alias("artifactId"),
-        _text("ws-", F.col("o_custkey") % 3).alias("workspaceId"),
-        F.lit("old-endpoint").alias("endpoint"),
-    )
-    linked = F.struct(kind.alias("type"), sink.alias("typeProperties"))
-    copy = F.struct(
-        F.lit("Copy").alias("type"),
-        F.struct(
-            F.struct(F.struct(linked.alias("properties")).alias("linkedService")).alias("sink")
-        ).alias("typeProperties"),
-        F.struct(F.col("o_orderpriority").alias("connection")).alias("externalReferences"),
-    )
-    notebook = F.struct(
-        F.lit(NOTEBOOK_ACTIVITY).alias("type"),
-        F.struct(
-            _text("item-", F.col("o_orderkey") % 100).alias("notebookId"),
-            F.lit("ws-1").alias("workspaceId"),
-        ).alias("typeProperties"),
-    )
-    # Two activities of different shape: each is serialised by itself.
+    # Texts of known form are joined, a free one is quoted; a missing number leaves its fields out.
+    customer, order = F.col("o_custkey"), F.col("o_orderkey")
+    sink = _text('"artifactId":"item-', customer, '","workspaceId":"ws-', customer % 3, '",')
+    item = _text('"notebookId":"item-', order % 100, '",')
     body = _text(
-        '{"properties":{"activities":[', F.to_json(copy), ",", F.to_json(notebook), "]}}"
-    )
+        '{"properties":{"activities":[{"type":"Copy","typeProperties":{"sink":{"linkedService":{"properties":{"type":"',
+        kind, '","typeProperties":{', F.coalesce(sink, F.lit("")), '"endpoint":"old-endpoint"}}}}},"externalReferences":',
+        F.to_json(F.struct(F.col("o_orderpriority").alias("connection"))),
+        '},{"type":"', NOTEBOOK_ACTIVITY, '","typeProperties":{', F.coalesce(item, F.lit("")), '"workspaceId":"ws-1"}}]}}',
+    )
     # a test table is one row group, which one task reads: deal its narrow rows out first
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     spread = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
@@ -755,19 +741,21 @@ def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ops.rewrite_pipelines(
         pipeline_docs(spark, sf_dir), source, target, "ws-0", pairs, shape=PIPELINE_SHAPE
     )
-    copy, notebook = "$.properties.activities[0]", "$.properties.activities[1].typeProperties"
-    linked = f"{copy}.typeProperties.sink.linkedService.properties.typeProperties"
-    paths = {
-        "artifact": f"{linked}.artifactId",
-        "workspace": f"{linked}.workspaceId",
-        "endpoint": f"{linked}.endpoint",
-        "notebook": f"{notebook}.notebookId",
-        "notebook_workspace": f"{notebook}.workspaceId",
-        "connection": f"{copy}.externalReferences.connection",
+    # every new text is read once for all its values
+    docs = docs.withColumn("tree", F.from_json("new_body", PIPELINE_SHAPE))
+    copy, notebook = (F.get("tree.properties.activities", F.lit(i)) for i in (0, 1))
+    linked = copy["typeProperties"]["sink"]["linkedService"]["properties"]["typeProperties"]
+    values = {
+        "artifact": linked["artifactId"],
+        "workspace": linked["workspaceId"],
+        "endpoint": linked["endpoint"],
+        "notebook": notebook["typeProperties"]["notebookId"],
+        "notebook_workspace": notebook["typeProperties"]["workspaceId"],
+        "connection": copy["externalReferences"]["connection"],
     }
     return docs.select(
         "doc_id",
-        *[F.get_json_object("new_body", path).alias(name) for name, path in paths.items()],
+        *[value.alias(name) for name, value in values.items()],
         "changed",
         F.size("unresolved").cast("bigint").alias("n_unresolved"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakemart import operators as ops
 from lakemart.functions import close_pairs
 from lakemart.functions.rewriting import NOTEBOOK_ACTIVITY
-from lakemart.functions.shapes import as_shape, shape_pattern
+from lakemart.functions.shapes import as_shape, shape_pattern, spaced
 
 from helpers import physical_plan, row_set, rows
 
@@ -399,6 +399,27 @@ def fits(text):
     return tree.get("tags", []) is not None
 
 
+@pytest.mark.parametrize("numbers", [False, True])
+def test_blanks_go_behind_commas_and_colons_outside_of_texts(spark, numbers):
+    rng = random.Random(5)
+
+    def text():
+        return "".join(rng.choice('ab:,{}[]"\\ ') for _ in range(rng.randrange(6)))
+
+    def member():
+        return {k: text() for k in ("a", "b") if rng.random() < 0.7}
+
+    trees = [{"t": text(), "l": [text() for _ in range(rng.randrange(4))], "o": [member() for _ in range(3)], "m": [[text()], [text()]]} for _ in range(3000)]
+    # nothing that needs a closer look
+    trees += [{"t": "a: b, c", "l": ["x", "y,z"], "o": [{"a": "}, {"}, {"b": "1"}], "m": [["a"]]}] * 2
+    shape = "t string, l array<string>, o array<struct<a: string, b: string>>, m array<array<string>>"
+    if numbers:
+        shape, trees = shape + ", n array<bigint>", [{**t, "n": [1, -2, 3]} for t in trees]
+    docs = frame(spark, [json.dumps(t, separators=(",", ":")) for t in trees])
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", spaced(F.col("body"), as_shape(shape)).alias("s")).collect()}
+    assert [got[i] for i in range(len(trees))] == [json.dumps(t) for t in trees]
+
+
 def test_documents_of_the_shape_stay_in_the_jvm(spark, catalogs):
     """Those that fit are filtered out in front of Python."""
     docs = frame(spark, [json.dumps(random_pipeline(random.Random(i))) for i in range(5)])

@@ -122,6 +122,26 @@ def test_texts_that_name_nothing_are_not_shuffled(spark, small_dir):
         assert not any("Exchange" in line for line in plain[:3])
 
 
+def test_rewriting_computes_texts_and_deals_rows_once(spark, small_dir):
+    """No filter on the text moves below the shuffle of its columns, so all branches share that."""
+    result = QUERIES["r06_rewrite"](spark, small_dir)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [part.split("Relation")[0] for part in plan.split("RepartitionByExpression")[1:]]
+    assert dealt
+    assert not any("Filter" in part or "activities" in part for part in dealt)
+    assert "get_json_object(new_body" not in plan
+
+
+def test_ids_are_joined_to_one_row_for_all_types(spark):
+    docs = spark.createDataFrame([('{"linkedService":{"properties":{"type":"Lakehouse","typeProperties":{"artifactId":"a"}}}}',)], "body string")
+    items = spark.createDataFrame([("a", "n", t) for t in ("Warehouse", "Lakehouse", "Notebook")], "id string, display_name string, type string")
+    with settings(spark, **NO_BROADCAST):
+        plan = ops.rewrite_pipelines(docs, items, items, "w")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("(id#") :].split("\n")
+    below = next(line for line in joined if "Aggregate" in line and "old_id" in line)
+    assert "type#" not in below[: below.index("]")]
+
+
 def test_notebooks_are_looked_up_by_narrow_rows(spark, small_dir):
     """Bodies take part in one join only, the last; what is distinct and looked up has none."""
     docs = spark.range(10).selectExpr("id AS doc_id", "CAST(id AS STRING) AS body")
